@@ -27,6 +27,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def settled(value: Column) -> Column:
+    """The value, in a form the optimizer does not copy.
+
+    A filter on an array column is pushed below the projection that computes it, with the expression
+    written out in its place.  Here columns build on columns, so each step down would double the plan.
+    An expression that depends on the partition stays where it is.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def empty(element: str) -> Column:
     return F.array().cast(f"array<{element}>")
 
@@ -167,14 +177,22 @@ def applied(spans: Column, drop_contained: bool = True) -> Column:
     return _fold(spans, start, APPLIED, step)
 
 
-def rewrite(text: Column, wide: Column, marks: Column, replace: Callable[[Column], Column]) -> Column:
-    """The text with each applied span replaced."""
-    parts = F.transform(marks, lambda m: F.concat(piece(text, wide, m.gap, m.start - m.gap), replace(m)))
+def rewrite(
+    text: Column,
+    wide: Column,
+    marks: Column,
+    replace: Callable[[Column], Column],
+    clear: Callable[[Column], Column] = lambda c: c,
+) -> Column:
+    """The text with each applied span replaced; ``clear`` treats the stretches between them."""
+    parts = F.transform(
+        marks, lambda m: F.concat(clear(piece(text, wide, m.gap, m.start - m.gap)), replace(m))
+    )
     tail = F.element_at(marks, -1).end
     return F.when(
         F.size(marks) > 0,
-        F.concat(F.array_join(parts, ""), piece(text, wide, tail, F.length(text) - tail)),
-    ).otherwise(text)
+        F.concat(F.array_join(parts, ""), clear(piece(text, wide, tail, F.length(text) - tail))),
+    ).otherwise(clear(text))
 
 
 def placeholder(label: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from veilwright.functions import validators
 from veilwright.functions.dialect import to_java
-from veilwright.functions.spans import FINDING, empty, in_order, let, match_starts, piece, wide_form
+from veilwright.functions.spans import FINDING, empty, in_order, let, match_starts, piece, settled, wide_form
 from veilwright.sources.patterns import CONFIDENCE_FLOOR, CONTEXT_BOOST, CONTEXT_REACH, Pattern
 
 
@@ -173,7 +173,9 @@ def detect(
         hits.withColumn("__wide_lower", F.when(some, wide_lower))
         .withColumn(
             out,
-            F.when(some, in_order(F.flatten(F.transform("__hits", findings_of)))).otherwise(empty(FINDING)),
+            settled(
+                F.when(some, in_order(F.flatten(F.transform("__hits", findings_of)))).otherwise(empty(FINDING))
+            ),
         )
         .select(*columns, out)
     )
@@ -181,9 +183,7 @@ def detect(
 
 def finding_rows(df: DataFrame, keys: list[str], findings: str = "findings") -> DataFrame:
     """One row per finding."""
-    # The outer form: for the inner one Spark adds "the array is not empty" as a filter below the
-    # projection that computes the array, and so computes it twice.
-    return df.select(*keys, F.explode_outer(findings).alias("f")).where("f is not null").select(
+    return df.select(*keys, F.explode(findings).alias("f")).select(
         *keys,
         F.col("f.rule_id").alias("rule_id"),
         F.col("f.ord").alias("pattern_ord"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilwright.functions.spans import FINDING, empty, in_order, let, match_starts, wide_form
+from veilwright.functions.spans import FINDING, empty, in_order, let, match_starts, settled, wide_form
 from veilwright.operators.detect import any_word, lower_text, near
 
 # ---------------------------------------------------------------------------
@@ -141,6 +141,6 @@ def detect_entropy(
     )
     return (
         found.withColumn("__wide_lower", F.when(F.col("__live"), wide_form(lower)))
-        .withColumn(out, F.when(F.col("__live"), in_order(findings)).otherwise(empty(FINDING)))
+        .withColumn(out, settled(F.when(F.col("__live"), in_order(findings)).otherwise(empty(FINDING))))
         .select(*columns, out)
     )

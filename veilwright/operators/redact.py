@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilwright.functions.spans import applied, mask, maximal, placeholder, rewrite, wide_form
+from veilwright.functions.spans import applied, mask, maximal, placeholder, rewrite, settled, wide_form
 
 
 def redact(texts: DataFrame, text: str = "text", findings: str = "findings") -> DataFrame:
     """Add ``redacted_text`` and ``applied`` (label, original, start, end)."""
     body = F.col(text)
-    marked = texts.withColumn("__marks", applied(F.col(findings))).withColumn(
+    marked = texts.withColumn("__marks", settled(applied(F.col(findings)))).withColumn(
         "__wide", F.when(F.size("__marks") > 0, wide_form(body))
     )
-    out = marked.withColumn("redacted_text", mask(body, F.col("__wide"), F.col("__marks")))
+    out = marked.withColumn("redacted_text", settled(mask(body, F.col("__wide"), F.col("__marks"))))
     return out.withColumn("applied", applied_view(F.col("__marks"))).drop("__marks", "__wide")
 
 
@@ -39,36 +39,35 @@ def mask_layer(
     """
     body = F.col(text)
     return (
-        texts.withColumn(marks, applied(F.col(findings), drop_contained=False))
+        texts.withColumn(marks, settled(applied(F.col(findings), drop_contained=False)))
         .withColumn("__wide", F.when(F.size(marks) > 0, wide_form(body)))
-        .withColumn(masked, mask(body, F.col("__wide"), F.col(marks)))
+        .withColumn(masked, settled(mask(body, F.col("__wide"), F.col(marks))))
         .drop("__wide")
     )
 
 
-def highlight(texts: DataFrame, text: str = "text", findings: str = "findings") -> DataFrame:
-    """Add ``highlighted``: the text as escaped HTML with the spans in <mark> tags."""
-    body = F.col(text)
+def escaped(c: Column) -> Column:
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        c = F.replace(c, F.lit(raw), F.lit(safe))
+    return c
 
-    def escaped(c: Column) -> Column:
-        for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
-            c = F.replace(c, F.lit(raw), F.lit(safe))
-        return c
 
-    # Control characters stand for the tags until the text around them is escaped.
-    opened, closed = "", ""
-    marked = texts.withColumn("__marks", applied(F.col(findings), drop_contained=False)).withColumn(
+def highlight(texts: DataFrame, text: str = "text", findings: str = "findings") -> DataFrame:
+    """Add ``highlighted``: the text as HTML with the spans in <mark> tags."""
+    body = F.col(text)
+    marked = texts.withColumn("__marks", settled(applied(F.col(findings), drop_contained=False))).withColumn(
         "__wide", F.when(F.size("__marks") > 0, wide_form(body))
     )
-    tagged = rewrite(
-        body, F.col("__wide"), F.col("__marks"), lambda m: F.concat(F.lit(opened), m.value, F.lit(closed))
-    )
-    html = F.replace(
-        F.replace(escaped(tagged), F.lit(opened), F.lit("<mark>")), F.lit(closed), F.lit("</mark>")
+    html = rewrite(
+        body,
+        F.col("__wide"),
+        F.col("__marks"),
+        lambda m: F.concat(F.lit("<mark>"), escaped(m.value), F.lit("</mark>")),
+        escaped,
     )
-    return marked.withColumn("highlighted", html).drop("__marks", "__wide")
+    return marked.withColumn("highlighted", settled(html)).drop("__marks", "__wide")
 
 
 def maximal_spans(texts: DataFrame, findings: str = "findings", out: str = "maximal") -> DataFrame:
     """Add the findings that lie inside no earlier finding."""
-    return texts.withColumn(out, maximal(F.col(findings)))
+    return texts.withColumn(out, settled(maximal(F.col(findings))))

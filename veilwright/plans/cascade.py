@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilwright.functions.spans import FINDING, empty, in_order, original_position
+from veilwright.functions.spans import FINDING, empty, in_order, original_position, settled
 from veilwright.operators.detect import detect
 from veilwright.operators.entropy import DEFAULT_LENGTH, DEFAULT_THRESHOLD, detect_entropy
 from veilwright.operators.redact import mask_layer
@@ -126,12 +126,16 @@ def cascade(texts: DataFrame, layers: list[Layer], text: str = "text") -> DataFr
         later = any(x.ready and x.name != "contextgate" for x in layers[k:])
         state = state.withColumn(
             "findings",
-            F.when(F.size(F.col(f"__f{k}")) > 0, in_order(F.concat("findings", found))).otherwise(F.col("findings")),
+            settled(
+                F.when(F.size(F.col(f"__f{k}")) > 0, in_order(F.concat("findings", found))).otherwise(
+                    F.col("findings")
+                )
+            ),
         )
         if later:
             marks, seen = f"__m{k}", f"__t{k}"
             state = mask_layer(state, text=text, findings="findings", masked=seen, marks=marks)
-    return state.withColumn("layers", F.array(*infos)).select(*columns, "findings", "layers")
+    return state.withColumn("layers", settled(F.array(*infos))).select(*columns, "findings", "layers")
 
 
 def _info(name: str, count: Column, skipped: Column, reason: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilwright.functions.spans import settled
 from veilwright.operators.redact import redact
 from veilwright.operators.reuse import scan_distinct
 from veilwright.plans.cascade import Layer, Settings, cascade, default_layers
@@ -15,7 +16,7 @@ def without_allowed(df: DataFrame, words: list[str], findings: str = "findings")
     if not words:
         return df
     allowed = [w.lower() for w in words]
-    return df.withColumn(findings, F.filter(findings, lambda f: ~F.lower(f.value).isin(*allowed)))
+    return df.withColumn(findings, settled(F.filter(findings, lambda f: ~F.lower(f.value).isin(*allowed))))
 
 
 def scan_and_redact(
