@@ -107,7 +107,8 @@ def stats(reports: DataFrame, since, until) -> DataFrame:
 
 def hourly(reports: DataFrame, now: Column, hours: int = 24) -> DataFrame:
     """Buckets of one hour back from ``now``; bucket ``hours`` - 1 is the newest, empty ones are there."""
-    age = F.floor((F.unix_micros(now) - F.unix_micros("ts")) / F.lit(3_600_000_000)).cast("int")
+    micros = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
+    age = F.floor(micros / F.lit(3_600_000_000)).cast("int")
     counted = (
         reports.where((F.col("ts") <= now) & (F.col("ts") > now - F.expr(f"INTERVAL {hours} HOURS")))
         .groupBy((F.lit(hours - 1) - age).alias("bucket"))
