@@ -31,7 +31,10 @@ EV = "id, org_id, device_id, tool, verdict, direct_conn_count, observed_at, rece
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
-    e = read_table(spark, sf, "events")
+    return events_of(read_table(spark, sf, "events"))
+
+
+def events_of(e: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     return e.select(
         F.col("event_id").alias("id"),
@@ -75,7 +78,11 @@ def tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def attempts(spark: SparkSession, sf: str) -> DataFrame:
-    return read_table(spark, sf, "orders").select(
+    return attempts_of(read_table(spark, sf, "orders"))
+
+
+def attempts_of(orders: DataFrame) -> DataFrame:
+    return orders.select(
         F.col("o_orderkey").alias("attempt_id"),
         L.token_hash(F.concat(F.lit("token-"), F.col("o_custkey").cast("string"))).alias("token_hash"),
         F.col("o_orderdate").alias("attempted_at"),
