@@ -8,7 +8,9 @@ once per span, which a text with very many hits would feel.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,24 @@ BLOCK = 256
 LONG_TEXT = 20_000
 
 
+def built_once(build: Callable) -> Callable:
+    """Keep the expressions a function builds.
+
+    An expression names its columns and belongs to no table, so the same one serves every plan; the
+    large ones take thousands of calls into the JVM to put together.
+    """
+    kept: dict = {}
+
+    @wraps(build)
+    def get(*args):
+        key = (id(SparkContext._gateway), *args)
+        if key not in kept:
+            kept[key] = build(*args)
+        return kept[key]
+
+    return get
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Name a value inside an expression, so that it is computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)

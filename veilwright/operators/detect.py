@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from veilwright.functions import validators
 from veilwright.functions.dialect import to_java
-from veilwright.functions.spans import FINDING, empty, in_order, let, match_starts, piece, settled, wide_form
+from veilwright.functions.spans import FINDING, built_once, empty, in_order, let, match_starts, piece, settled, wide_form
 from veilwright.sources.patterns import CONFIDENCE_FLOOR, CONTEXT_BOOST, CONTEXT_REACH, Pattern
 
 
@@ -58,7 +58,7 @@ def _gate(p: Pattern, text: str) -> str:
     return " AND ".join(tests)
 
 
-def _tries(patterns: list[Pattern], text: str, gated: bool) -> str:
+def _tries(patterns: tuple[Pattern, ...], text: str, gated: bool) -> str:
     """Matches of every pattern, as one array; patterns without a match are left out."""
     items = []
     for k, p in enumerate(patterns):
@@ -70,7 +70,7 @@ def _tries(patterns: list[Pattern], text: str, gated: bool) -> str:
     return f"filter(array({', '.join(items)}), h -> size(h.m) > 0)"
 
 
-def _facts(patterns: list[Pattern]) -> str:
+def _facts(patterns: tuple[Pattern, ...]) -> str:
     """The pattern rows as a constant array, looked up by the number of the hit."""
     rows = []
     for p in patterns:
@@ -109,38 +109,36 @@ def near(lower: Column, wide: Column, start: Column, end: Column, words: Column,
     )
 
 
-def detect(
-    texts: DataFrame,
-    patterns: list[Pattern],
-    text: str = "text",
-    out: str = "findings",
-    layer: str = "presidio",
-    layer_ord: int = 1,
-    gated: bool = True,
-) -> DataFrame:
-    """Add ``out``, the ordered findings of all patterns in column ``text``."""
-    if not patterns:
-        return texts.withColumn(out, empty(FINDING))
-    columns = [c for c in texts.columns if c != out]
+@built_once
+def _prepared(text: str) -> tuple[list[Column], list[Column]]:
+    """Helper columns of a text, in two steps; each is computed once per text."""
     body = F.col(text)
-    # Helper columns sit in their own projection, so each is computed once per text.
-    prepared = texts.select(
-        *columns,
+    first = [
         lower_text(body).alias("__lower"),
         body.rlike("[0-9]").alias("__digit"),
         body.rlike("[:=]").alias("__mark"),
-    ).select(
-        "*",
+    ]
+    words = F.array_join(F.regexp_extract_all(body, F.lit(WORDS), 0), " ")
+    second = [
         F.replace("__lower", F.lit("ſ"), F.lit("s")).alias("__folded"),
         F.when(F.col("__digit"), F.regexp_replace(body, "[^0-9]{3,}", "~")).alias("__runs"),
-        F.when(F.col("__digit"), F.array_join(F.regexp_extract_all(body, F.lit(WORDS), 0), " ")).alias("__words"),
-    )
-    lower = F.col("__lower")
-    hits = prepared.select(*columns, "__lower", F.expr(_tries(patterns, f"`{text}`", gated)).alias("__hits"))
+        F.when(F.col("__digit"), words).alias("__words"),
+    ]
+    return first, second
+
+
+@built_once
+def _hits(patterns: tuple[Pattern, ...], text: str, gated: bool) -> Column:
+    return F.expr(_tries(patterns, f"`{text}`", gated)).alias("__hits")
+
+
+@built_once
+def _findings(patterns: tuple[Pattern, ...], text: str, layer: str, layer_ord: int) -> Column:
+    """Findings of a text from its hits."""
+    body, lower = F.col(text), F.col("__lower")
     facts = F.expr(_facts(patterns))
     checks = {p.validator for p in patterns}
     some_context = any(p.context for p in patterns)
-    wide, wide_lower = wide_form(body), wide_form(lower)
 
     def confidence(f: Column, value: Column, start: Column) -> Column:
         sure = f.score
@@ -168,16 +166,31 @@ def detect(
             ),
         )
 
-    some = F.size("__hits") > 0
+    found = in_order(F.flatten(F.transform("__hits", findings_of)))
+    return settled(F.when(F.size("__hits") > 0, found).otherwise(empty(FINDING)))
+
+
+def detect(
+    texts: DataFrame,
+    patterns: list[Pattern],
+    text: str = "text",
+    out: str = "findings",
+    layer: str = "presidio",
+    layer_ord: int = 1,
+    gated: bool = True,
+) -> DataFrame:
+    """Add ``out``, the ordered findings of all patterns in column ``text``."""
+    if not patterns:
+        return texts.withColumn(out, empty(FINDING))
+    columns = [c for c in texts.columns if c != out]
+    rows = tuple(patterns)
+    first, second = _prepared(text)
     return (
-        hits.withColumn("__wide_lower", F.when(some, wide_lower))
-        .withColumn(
-            out,
-            settled(
-                F.when(some, in_order(F.flatten(F.transform("__hits", findings_of)))).otherwise(empty(FINDING))
-            ),
-        )
-        .select(*columns, out)
+        texts.select(*columns, *first)
+        .select("*", *second)
+        .select(*columns, "__lower", _hits(rows, text, gated))
+        .withColumn("__wide_lower", F.when(F.size("__hits") > 0, wide_form(F.col("__lower"))))
+        .select(*columns, _findings(rows, text, layer, layer_ord).alias(out))
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilwright.functions.spans import FINDING, empty, in_order, let, match_starts, settled, wide_form
+from veilwright.functions.spans import FINDING, built_once, empty, in_order, let, match_starts, settled, wide_form
 from veilwright.operators.detect import any_word, lower_text, near
 
 # ---------------------------------------------------------------------------
@@ -81,25 +81,12 @@ def candidate(value: Column, min_length: int) -> Column:
     return (F.octet_length(value) >= min_length) & varied(value) & ~ordinary(value)
 
 
-def detect_entropy(
-    texts: DataFrame,
-    threshold: float = DEFAULT_THRESHOLD,
-    min_length: int = DEFAULT_LENGTH,
-    keyword_gated: bool = True,
-    unconditional: bool = False,
-    text: str = "text",
-    out: str = "findings",
-    layer_ord: int = 2,
-) -> DataFrame:
-    """Add ``out``, the findings of the entropy layer.
-
-    A token fires when its entropy reaches the threshold and either a secret word is within reach
-    or, with ``unconditional``, the entropy is 4.5 or more.
-    """
-    columns = [c for c in texts.columns if c != out]
-    if not (keyword_gated or unconditional):
-        return texts.select(*columns).withColumn(out, empty(FINDING))
-    body = F.col(text)
+@built_once
+def _columns(
+    threshold: float, min_length: int, keyword_gated: bool, unconditional: bool, text: str, layer_ord: int
+) -> tuple[Column, Column, Column]:
+    """Tokens of a text worth a look, whether one of them is a candidate, and the findings."""
+    body, lower = F.col(text), F.col("__lower")
     # The length limit counts bytes.  In ASCII text those are characters; elsewhere a token of n bytes
     # has at least n / 4 characters.
     run_ascii = F.lit(f"[{TOKEN_SET}]{{{min_length},}}")
@@ -109,12 +96,7 @@ def detect_entropy(
     tokens = F.when(ascii_only, F.regexp_extract_all(body, run_ascii, 0)).otherwise(
         F.regexp_extract_all(body, run_any, 0)
     )
-    prepared = texts.select(*columns, lower_text(body).alias("__lower"))
-    lower = F.col("__lower")
     gate = F.lit(True) if unconditional else any_word(lower, SECRET_WORDS)
-    found = prepared.withColumn("__tokens", F.when(gate, tokens)).withColumn(
-        "__live", F.exists("__tokens", lambda v: candidate(v, min_length))
-    )
     words = F.array(*[F.lit(w) for w in SECRET_WORDS])
 
     def finding(value: Column, start: Column) -> Column:
@@ -136,11 +118,37 @@ def detect_entropy(
         )
 
     starts = F.slice(match_starts(body, run, F.col("__tokens")), F.lit(1), F.size("__tokens"))
-    findings = F.filter(
-        F.zip_with("__tokens", starts, lambda v, s: finding(v, s)), lambda f: f.confidence.isNotNull()
+    found = F.filter(F.zip_with("__tokens", starts, finding), lambda f: f.confidence.isNotNull())
+    return (
+        F.when(gate, tokens),
+        F.exists("__tokens", lambda v: candidate(v, min_length)),
+        settled(F.when(F.col("__live"), in_order(found)).otherwise(empty(FINDING))),
     )
+
+
+def detect_entropy(
+    texts: DataFrame,
+    threshold: float = DEFAULT_THRESHOLD,
+    min_length: int = DEFAULT_LENGTH,
+    keyword_gated: bool = True,
+    unconditional: bool = False,
+    text: str = "text",
+    out: str = "findings",
+    layer_ord: int = 2,
+) -> DataFrame:
+    """Add ``out``, the findings of the entropy layer.
+
+    A token fires when its entropy reaches the threshold and either a secret word is within reach
+    or, with ``unconditional``, the entropy is 4.5 or more.
+    """
+    columns = [c for c in texts.columns if c != out]
+    if not (keyword_gated or unconditional):
+        return texts.select(*columns).withColumn(out, empty(FINDING))
+    tokens, live, found = _columns(threshold, min_length, keyword_gated, unconditional, text, layer_ord)
     return (
-        found.withColumn("__wide_lower", F.when(F.col("__live"), wide_form(lower)))
-        .withColumn(out, settled(F.when(F.col("__live"), in_order(findings)).otherwise(empty(FINDING))))
-        .select(*columns, out)
+        texts.select(*columns, lower_text(F.col(text)).alias("__lower"))
+        .withColumn("__tokens", tokens)
+        .withColumn("__live", live)
+        .withColumn("__wide_lower", F.when(F.col("__live"), wide_form(F.col("__lower"))))
+        .select(*columns, found.alias(out))
     )

@@ -5,16 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilwright.functions.spans import applied, mask, maximal, placeholder, rewrite, settled, wide_form
+from veilwright.functions.spans import applied, built_once, mask, maximal, placeholder, rewrite, settled, wide_form
+
+
+@built_once
+def _marks(findings: str, drop_contained: bool) -> Column:
+    return settled(applied(F.col(findings), drop_contained))
+
+
+@built_once
+def _masked(text: str, marks: str) -> Column:
+    return settled(mask(F.col(text), F.col("__wide"), F.col(marks)))
 
 
 def redact(texts: DataFrame, text: str = "text", findings: str = "findings") -> DataFrame:
     """Add ``redacted_text`` and ``applied`` (label, original, start, end)."""
     body = F.col(text)
-    marked = texts.withColumn("__marks", settled(applied(F.col(findings)))).withColumn(
+    marked = texts.withColumn("__marks", _marks(findings, True)).withColumn(
         "__wide", F.when(F.size("__marks") > 0, wide_form(body))
     )
-    out = marked.withColumn("redacted_text", settled(mask(body, F.col("__wide"), F.col("__marks"))))
+    out = marked.withColumn("redacted_text", _masked(text, "__marks"))
     return out.withColumn("applied", applied_view(F.col("__marks"))).drop("__marks", "__wide")
 
 
@@ -39,9 +49,9 @@ def mask_layer(
     """
     body = F.col(text)
     return (
-        texts.withColumn(marks, settled(applied(F.col(findings), drop_contained=False)))
+        texts.withColumn(marks, _marks(findings, False))
         .withColumn("__wide", F.when(F.size(marks) > 0, wide_form(body)))
-        .withColumn(masked, settled(mask(body, F.col("__wide"), F.col(marks))))
+        .withColumn(masked, _masked(text, marks))
         .drop("__wide")
     )
 
@@ -55,7 +65,7 @@ def escaped(c: Column) -> Column:
 def highlight(texts: DataFrame, text: str = "text", findings: str = "findings") -> DataFrame:
     """Add ``highlighted``: the text as HTML with the spans in <mark> tags."""
     body = F.col(text)
-    marked = texts.withColumn("__marks", settled(applied(F.col(findings), drop_contained=False))).withColumn(
+    marked = texts.withColumn("__marks", _marks(findings, False)).withColumn(
         "__wide", F.when(F.size("__marks") > 0, wide_form(body))
     )
     html = rewrite(

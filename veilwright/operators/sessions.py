@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilwright.functions.spans import settled
+
 # ---------------------------------------------------------------------------
 # Tools by the start of their command, provider hosts, safe commands, check domains.
 # ---------------------------------------------------------------------------
@@ -45,7 +47,7 @@ def process_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     words = F.split(F.regexp_replace(line, r"^\s+|\s+$", ""), r"\s+")
     start = F.array_join(F.slice("w", F.lit(5), F.lit(4)), " ")
     return (
-        lines.withColumn("w", words)
+        lines.withColumn("w", settled(words))
         .where((F.size("w") >= 9) & F.col("w")[0].rlike("^-?[0-9]+$"))
         .select(
             *[c for c in lines.columns if c != line],
@@ -125,8 +127,8 @@ def classify(snapshots: DataFrame, provider_ips: DataFrame, proxy: str, own_pid:
     known = (
         snapshots.withColumn("tool", tool_of(F.col("command")))
         .where(F.col("tool").isNotNull() & (F.col("pid") != own_pid))
-        .withColumn("env", env_map(F.col("env_text")))
-        .withColumn("connections", connections(F.col("conn_text")))
+        .withColumn("env", settled(env_map(F.col("env_text"))))
+        .withColumn("connections", settled(connections(F.col("conn_text"))))
     )
     proxy_env = F.coalesce(*[F.nullif(env_value(F.col("env"), n), F.lit("")) for n in PROXY_VARIABLES])
 
@@ -139,11 +141,11 @@ def classify(snapshots: DataFrame, provider_ips: DataFrame, proxy: str, own_pid:
     )
     return (
         known.crossJoin(F.broadcast(ips))  # one row
-        .withColumn("proxy_env", F.coalesce(proxy_env, F.lit("")))
+        .withColumn("proxy_env", settled(F.coalesce(proxy_env, F.lit(""))))
         .withColumn("has_proxy_env", F.col("proxy_env") != "")
         .withColumn("bound_flag", F.coalesce(env_value(F.col("env"), BOUND_VARIABLE) == "1", F.lit(False)))
         .withColumn("via_proxy", F.exists("connections", to_proxy))
-        .withColumn("direct_ai_conn", direct)
+        .withColumn("direct_ai_conn", settled(direct))
         .withColumn(
             "v",
             verdict(F.col("bound_flag"), F.col("has_proxy_env"), F.col("via_proxy"), F.size("direct_ai_conn")),

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilwright.functions.spans import FINDING, empty, in_order, original_position, settled
+from veilwright.functions.spans import FINDING, built_once, empty, in_order, original_position, settled
 from veilwright.operators.detect import detect
 from veilwright.operators.entropy import DEFAULT_LENGTH, DEFAULT_THRESHOLD, detect_entropy
 from veilwright.operators.redact import mask_layer
@@ -89,12 +89,13 @@ def default_layers(settings: Settings = Settings(), ml: Layer | None = None) ->
     return layers + ([ml] if ml else []) + [gate_layer()]
 
 
-def _moved(findings: Column, marks: Column) -> Column:
+@built_once
+def _moved(findings: str, marks: str) -> Column:
     """Findings of a masked text at their places in the original."""
 
     def move(f: Column) -> Column:
-        start = original_position(f.start, marks)
-        end = original_position(f.end, marks)
+        start = original_position(f.start, F.col(marks))
+        end = original_position(f.end, F.col(marks))
         return f.withField("start", start).withField("end", end).withField("neg_len", start - end)
 
     return F.transform(findings, move)
@@ -112,7 +113,7 @@ def cascade(texts: DataFrame, layers: list[Layer], text: str = "text") -> DataFr
             infos.append(_info(layer.name, F.lit(0), F.lit(True), F.lit(layer.skip_reason)))
             continue
         state = layer.scan(state, seen, f"__f{k}", k)
-        found = F.col(f"__f{k}")
+        found = _moved(f"__f{k}", marks) if marks else F.col(f"__f{k}")
         skipped, reason = F.lit(False), F.lit("")
         if layer.failure:
             skipped = F.coalesce(F.col(layer.failure), F.lit(False))
@@ -121,8 +122,6 @@ def cascade(texts: DataFrame, layers: list[Layer], text: str = "text") -> DataFr
         infos.append(_info(layer.name, F.size(F.col(f"__f{k}")), skipped, reason))
         if layer.name == "contextgate":
             continue
-        if marks:
-            found = _moved(found, F.col(marks))
         later = any(x.ready and x.name != "contextgate" for x in layers[k:])
         state = state.withColumn(
             "findings",

@@ -9,7 +9,7 @@ from veilwright.operators import fleet as L
 from veilwright.operators import sessions as S
 from veilwright.oracle import detection as O
 from veilwright.plans.registry import query, with_tables
-from veilwright.sources.tables import read_table
+from veilwright.sources.tables import read_table, spread
 
 NOW = "2024-01-31 00:00:00"
 SINCE = "TIMESTAMP '2024-01-30 00:00:00'"
@@ -303,7 +303,7 @@ SESSION_TABLES = {"snap": _SNAP, "sess": _SESS}
 
 
 def snapshots(spark: SparkSession, sf: str) -> DataFrame:
-    e = read_table(spark, sf, "events")
+    e = spread(read_table(spark, sf, "events").select("event_id", "user_id", "ts"))
     uid, eid = F.col("user_id"), F.col("event_id")
     ip = F.concat(F.lit("10.9."), (uid % 5).cast("string"), F.lit("."), (uid % 3).cast("string"))
     line = F.concat_ws(
