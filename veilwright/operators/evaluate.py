@@ -1,9 +1,11 @@
 """Precision and recall of findings against labelled spans.
 
-Truth: id, value, start, end, label.  Predicted: id, value, start, end, label, layer, ord (order of
-the findings of one text).  A truth entity is caught by the first finding of its text whose value
-holds it, is held by it, or whose span touches it.  Ignored labels do not count as missed, but a
-finding that meets one is no false positive.
+A labelled text is one row: its truth spans (value, start, end, label) and its findings, both arrays.
+A truth entity is caught by the first finding whose value holds it, is held by it, or whose span
+touches it.  Ignored labels do not count as missed, but a finding that meets one is no false positive.
+
+Both arrays sit in the row of their text, so matching is a map: nothing is joined and no pair of a
+text leaves its row.
 """
 
 from __future__ import annotations
@@ -11,39 +13,65 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilwright.functions.spans import settled
+
 
-def _match(t: str, p: str) -> Column:
-    tv, pv = F.col(f"{t}.value"), F.col(f"{p}.value")
+def meets(t: Column, f: Column) -> Column:
     return (
-        tv.contains(pv)
-        | pv.contains(tv)
-        | ((F.col(f"{p}.start") <= F.col(f"{t}.end")) & (F.col(f"{p}.end") >= F.col(f"{t}.start")))
+        F.contains(t.value, f.value) | F.contains(f.value, t.value) | ((f.start <= t.end) & (f.end >= t.start))
     )
 
 
-def credit(truth: DataFrame, predicted: DataFrame, ignored: list[str]) -> DataFrame:
-    """Truth rows with ``by_layer`` and ``by_label`` of the finding that caught them, else null.
+def score(labelled: DataFrame, ignored: list[str], truth: str = "truth", findings: str = "findings") -> DataFrame:
+    """(id, truth, findings) -> (id, credited, wrong).
 
-    The pairs of one text meet in a join on its id; what leaves the join is one row per entity.
+    ``credited``: counted truth spans with the layer and label of the finding that caught them, null
+    when none did.  ``wrong``: findings that meet no truth span, with their position.
     """
-    t = truth.where(~F.col("label").isin(*ignored) if ignored else F.lit(True)).alias("t")
-    first = (
-        t.join(predicted.alias("p"), (F.col("t.id") == F.col("p.id")) & _match("t", "p"), "left")
-        .groupBy("t.id", "t.value", "t.start", "t.end", "t.label")
-        .agg(F.min_by(F.struct("p.layer", "p.label"), F.col("p.ord")).alias("c"))
+
+    def credit(t: Column) -> Column:
+        first = F.get(F.filter(F.col(findings), lambda f: meets(t, f)), F.lit(0))
+        return F.struct(
+            t.value.alias("value"), t.start.alias("start"), t.end.alias("end"), t.label.alias("label"),
+            first.layer.alias("by_layer"), first.label.alias("by_label"),
+        )
+
+    counted = F.filter(truth, lambda t: ~t.label.isin(*ignored)) if ignored else F.col(truth)
+    numbered = F.transform(
+        findings,
+        lambda f, i: F.struct(
+            f.value.alias("value"), f.start.alias("start"), f.end.alias("end"), f.label.alias("label"),
+            f.layer.alias("layer"), i.alias("ord"),
+        ),
     )
-    return first.select(
-        "id", "value", "start", "end", "label", F.col("c.layer").alias("by_layer"), F.col("c.label").alias("by_label")
+    wrong = F.filter(numbered, lambda f: ~F.exists(F.col(truth), lambda t: meets(t, f)))
+    return labelled.select(
+        "id", settled(F.transform(counted, credit)).alias("credited"), settled(wrong).alias("wrong")
     )
 
 
-def false_positives(truth: DataFrame, predicted: DataFrame) -> DataFrame:
-    """Findings that meet no truth entity, ignored labels included."""
-    return predicted.alias("p").join(
-        truth.alias("t"), (F.col("t.id") == F.col("p.id")) & _match("t", "p"), "left_anti"
+def matches(labelled: DataFrame, truth: str = "truth", findings: str = "findings") -> DataFrame:
+    """Which findings meet which truth spans."""
+    met = F.transform(
+        F.filter(
+            F.transform(findings, lambda f, i: F.struct(f.alias("f"), i.alias("pos"))),
+            lambda x: meets(F.col("t"), x.f),
+        ),
+        lambda x: x.pos,
+    )
+    return labelled.select("id", findings, F.explode(truth).alias("t")).select(
+        "id", "t.value", "t.start", "t.end", "t.label", F.explode(met).alias("pos")
     )
 
 
+def credit_rows(scored: DataFrame) -> DataFrame:
+    return scored.select("id", F.explode("credited").alias("c")).select("id", "c.*")
+
+
+def wrong_rows(scored: DataFrame) -> DataFrame:
+    return scored.select("id", F.explode("wrong").alias("w")).select("id", "w.*")
+
+
 def caught(credited: DataFrame) -> DataFrame:
     return credited.where("by_layer is not null")
 
@@ -56,26 +84,37 @@ def _share(part: Column, whole: Column) -> Column:
     return F.round(F.when(whole > 0, part / whole * 100).otherwise(0.0), 6)
 
 
-def summary(credited: DataFrame, wrong: DataFrame) -> DataFrame:
-    totals = credited.agg(F.count("by_layer").alias("caught"), F.count_if(F.col("by_layer").isNull()).alias("missed"))
-    both = totals.crossJoin(wrong.agg(F.count("*").alias("false_pos")))  # one row each
+def summary(scored: DataFrame) -> DataFrame:
+    """One pass: what each text adds to the totals is counted in its row."""
+    hit = F.size(F.filter("credited", lambda c: c.by_layer.isNotNull()))
+    totals = scored.agg(
+        F.coalesce(F.sum(hit), F.lit(0)).alias("caught"),
+        F.coalesce(F.sum(F.size("credited") - hit), F.lit(0)).alias("missed"),
+        F.coalesce(F.sum(F.size("wrong")), F.lit(0)).alias("false_pos"),
+    )
     c, m, w = F.col("caught"), F.col("missed"), F.col("false_pos")
-    precision, recall = _share(c, c + w), _share(c, c + m)
-    return both.select(
+    return totals.select(
         "caught",
         "missed",
         "false_pos",
-        precision.alias("precision_pct"),
-        recall.alias("recall_pct"),
+        _share(c, c + w).alias("precision_pct"),
+        _share(c, c + m).alias("recall_pct"),
         F.round(F.when(2 * c + w + m > 0, F.lit(200.0) * c / (2 * c + w + m)).otherwise(0.0), 6).alias("f1"),
     )
 
 
-def by_layer(credited: DataFrame, wrong: DataFrame) -> DataFrame:
-    c = caught(credited).groupBy(F.col("by_layer").alias("layer")).agg(F.count("*").alias("caught"))
-    w = wrong.groupBy("layer").agg(F.count("*").alias("false_pos"))
-    return c.join(w, "layer", "full").na.fill(0, ["caught", "false_pos"]).withColumn(
-        "precision_pct", _share(F.col("caught"), F.col("caught") + F.col("false_pos"))
+def by_layer(scored: DataFrame) -> DataFrame:
+    """Caught entities and false positives of each layer, in one pass."""
+    hits = F.transform(
+        F.filter("credited", lambda c: c.by_layer.isNotNull()),
+        lambda c: F.struct(c.by_layer.alias("layer"), F.lit(True).alias("hit")),
+    )
+    misses = F.transform("wrong", lambda w: F.struct(w.layer.alias("layer"), F.lit(False).alias("hit")))
+    return (
+        scored.select(F.explode(F.concat(hits, misses)).alias("x"))
+        .groupBy("x.layer")
+        .agg(F.count_if("x.hit").alias("caught"), F.count_if(~F.col("x.hit")).alias("false_pos"))
+        .withColumn("precision_pct", _share(F.col("caught"), F.col("caught") + F.col("false_pos")))
     )
 
 
@@ -137,12 +176,9 @@ def label_check(samples: DataFrame) -> DataFrame:
 
 
 def read_labelled(spark, path: str) -> DataFrame:
-    """Labelled corpus in JSON -> truth rows.  The value may be a string or a number."""
-    schema = "id string, text string, locale string, domain string, pii array<struct<value:string,start:int,end:int,label:string>>"
-    return (
-        spark.read.schema(schema)
-        .option("multiLine", True)
-        .json(path)
-        .select("id", F.explode("pii").alias("p"))
-        .select("id", "p.value", "p.start", "p.end", "p.label")
+    """Labelled corpus in JSON -> (id, text, locale, domain, truth).  A value may be a string or a number."""
+    schema = (
+        "id string, text string, locale string, domain string, "
+        "pii array<struct<value:string,start:int,end:int,label:string>>"
     )
+    return spark.read.schema(schema).option("multiLine", True).json(path).withColumnRenamed("pii", "truth")

@@ -80,41 +80,49 @@ def token_hash(raw: Column) -> Column:
     return F.sha2(raw, 256)
 
 
+def running_rank(rows: DataFrame, key: str, time: str, tie: str, out: str) -> DataFrame:
+    """Position of each row among those of its key, in order of time.
+
+    One key may own a third of all rows, so its rank is not taken in one task: the rank within a day,
+    plus the number of rows on earlier days.
+    """
+    dated = rows.withColumn("__day", F.to_date(time))
+    per_day = dated.groupBy(key, "__day").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(key).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    base = per_day.select(key, "__day", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    within = F.row_number().over(Window.partitionBy(key, "__day").orderBy(time, tie))
+    return (
+        dated.withColumn("__rank", within)
+        .join(base, [key, "__day"])
+        .withColumn(out, (F.col("__base") + F.col("__rank")).cast("bigint"))
+        .drop("__rank", "__base", "__day")
+    )
+
+
 def admit(attempts: DataFrame, tokens: DataFrame) -> DataFrame:
     """Enrolment attempts with ``accepted``.
 
     In order of time a token takes attempts while it is neither revoked nor expired and has uses
-    left; 0 uses means no limit.  Only attempts on limited tokens are ranked, and of those no more
-    can be accepted than the token allows.
+    left; 0 uses means no limit.  Only valid attempts on limited tokens are ranked.
     """
     joined = attempts.join(tokens, "token_hash", "left")
     valid = (~F.col("revoked")) & (F.col("attempted_at") <= F.col("expires_at"))
     checked = joined.withColumn("valid", F.coalesce(valid, F.lit(False)))
     limited = checked.where(F.col("valid") & (F.col("max_uses") > 0))
-    order = Window.partitionBy("token_hash").orderBy("attempted_at", "attempt_id")
-    ranked = limited.withColumn("accepted", F.row_number().over(order) <= F.col("max_uses"))
+    ranked = running_rank(limited, "token_hash", "attempted_at", "attempt_id", "use")
+    ranked = ranked.withColumn("accepted", F.col("use") <= F.col("max_uses")).drop("use")
     rest = checked.where(~F.col("valid") | (F.col("max_uses") == 0)).withColumn("accepted", F.col("valid"))
     return ranked.unionByName(rest).drop("valid")
 
 
-def policy_versions(writes: DataFrame, key: str = "org_id") -> DataFrame:
-    """Writes with their version: 1, 2, 3, .. per organisation, in order of time.
+def policy_versions(writes: DataFrame) -> DataFrame:
+    """Writes with their version: 1, 2, 3, .. per organisation, in order of time."""
+    return running_rank(writes, "org_id", "written_at", "write_id", "version")
 
-    An organisation may own a third of all writes, so its rank is not taken in one task: ranks within
-    a day, plus the writes of earlier days.
-    """
-    day = F.to_date("written_at")
-    dated = writes.withColumn("day", day)
-    per_day = dated.groupBy(key, "day").agg(F.count("*").alias("n"))
-    before = Window.partitionBy(key).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    base = per_day.select(key, "day", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = F.row_number().over(Window.partitionBy(key, "day").orderBy("written_at", "write_id"))
-    return (
-        dated.withColumn("rank", within)
-        .join(base, [key, "day"])
-        .withColumn("version", (F.col("base") + F.col("rank")).cast("bigint"))
-        .drop("rank", "base", "day")
-    )
+
+def device_list(devices: DataFrame) -> DataFrame:
+    """Devices of all organisations in order; a range sort, so no organisation ends in one task."""
+    return devices.orderBy("org_id", "name", "id")
 
 
 def policy_current(writes: DataFrame) -> DataFrame:

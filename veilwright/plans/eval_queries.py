@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwright.functions.spans import let, match_starts
+from veilwright.functions.spans import let, match_starts, settled
 from veilwright.operators import evaluate as V
 from veilwright.operators import ml as M
 from veilwright.operators import rulesets
-from veilwright.operators.detect import detect, finding_rows
+from veilwright.operators.detect import detect
 from veilwright.oracle import detection as O
 from veilwright.plans.registry import query, with_tables
 from veilwright.plans.request_queries import RULE_TABLES, toggles, users
@@ -37,33 +37,25 @@ _TABLES = {
 }
 
 
-def truth(spark: SparkSession, sf: str) -> DataFrame:
-    return (
-        finding_rows(detect(corpus(spark, sf), profile("simple")), ["id"])
-        .select("id", "value", "start", "end", "label")
-        .distinct()
+def labelled(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts with truth and findings, from one pass over the corpus."""
+    both = detect(detect(corpus(spark, sf), profile("simple"), out="old"), profile("compat"))
+    spans = F.transform(
+        "old", lambda f: F.struct(f.value.alias("value"), f.start.alias("start"), f.end.alias("end"), f.label.alias("label"))
     )
+    return both.select("id", settled(F.array_distinct(spans)).alias("truth"), "findings")
 
 
-def predicted(spark: SparkSession, sf: str) -> DataFrame:
-    found = detect(corpus(spark, sf), profile("compat"))
-    return found.select("id", F.posexplode("findings").alias("ord", "f")).select(
-        "id",
-        F.col("f.value").alias("value"),
-        F.col("f.start").alias("start"),
-        F.col("f.end").alias("end"),
-        F.col("f.label").alias("label"),
-        F.col("f.layer").alias("layer"),
-        "ord",
-    )
+def _scored(spark: SparkSession, sf: str) -> DataFrame:
+    return V.score(labelled(spark, sf), IGNORED)
 
 
 def _credited(spark: SparkSession, sf: str) -> DataFrame:
-    return V.credit(truth(spark, sf), predicted(spark, sf), IGNORED)
+    return V.credit_rows(_scored(spark, sf))
 
 
 def _wrong(spark: SparkSession, sf: str) -> DataFrame:
-    return V.false_positives(truth(spark, sf), predicted(spark, sf))
+    return V.wrong_rows(_scored(spark, sf))
 
 
 def _spans(df: DataFrame) -> DataFrame:
@@ -75,16 +67,15 @@ def _register(name: str, sql: str, run) -> None:
 
 
 _T = "id, value, s AS span_start, e AS span_end, label"
-_register("src_truth", f"SELECT {_T} FROM truth", lambda s, f: _spans(truth(s, f)))
+_register(
+    "src_truth",
+    f"SELECT {_T} FROM truth",
+    lambda s, f: _spans(labelled(s, f).select("id", F.explode("truth").alias("t")).select("id", "t.*")),
+)
 _register(
     "eval_matches",
     f"SELECT {_T}, CAST(pos AS INTEGER) AS pos FROM pairs",
-    lambda s, f: _spans(
-        truth(s, f)
-        .alias("t")
-        .join(predicted(s, f).alias("p"), (F.col("t.id") == F.col("p.id")) & V._match("t", "p"))
-        .select("t.*", F.col("p.ord").alias("pos"))
-    ),
+    lambda s, f: _spans(V.matches(labelled(s, f))),
 )
 _register(
     "eval_credit", f"SELECT {_T}, by_layer, by_label FROM credited", lambda s, f: _spans(_credited(s, f))
@@ -108,7 +99,7 @@ _register(
          round(CASE WHEN c + m > 0 THEN c * 100.0 / (c + m) ELSE 0 END, 6) AS recall_pct,
          round(CASE WHEN 2 * c + w + m > 0 THEN CAST(200 * c AS DOUBLE) / (2 * c + w + m) ELSE 0 END, 6) AS f1
        FROM (SELECT (SELECT count(by_layer) FROM credited) AS c, (SELECT count(*) - count(by_layer) FROM credited) AS m, (SELECT count(*) FROM wrong) AS w)""",
-    lambda s, f: V.summary(_credited(s, f), _wrong(s, f)),
+    lambda s, f: V.summary(_scored(s, f)),
 )
 _register(
     "eval_by_layer",
@@ -116,7 +107,7 @@ _register(
          round(coalesce(c, 0) * 100.0 / (coalesce(c, 0) + coalesce(w, 0)), 6) AS precision_pct
        FROM (SELECT by_layer AS layer, count(*) AS c FROM credited WHERE by_layer IS NOT NULL GROUP BY 1)
        FULL JOIN (SELECT layer, count(*) AS w FROM wrong GROUP BY 1) USING (layer)""",
-    lambda s, f: V.by_layer(_credited(s, f), _wrong(s, f)),
+    lambda s, f: V.by_layer(_scored(s, f)),
 )
 _register(
     "eval_layer_label",

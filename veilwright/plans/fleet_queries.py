@@ -204,17 +204,9 @@ def device_state(spark: SparkSession, sf: str) -> DataFrame:
     return L.current_state(events(spark, sf), "device_id", ["received_at", "id"], ["verdict", "tool"])
 
 
-@query(
-    "fleet_lists",
-    with_tables(
-        "SELECT org_id, row_number() OVER (PARTITION BY org_id ORDER BY name, id) AS pos, id, name FROM devices", **TABLES
-    ),
-)
+@query("fleet_lists", with_tables("SELECT org_id, id, name FROM devices ORDER BY org_id, name, id", **TABLES))
 def fleet_lists(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    pos = F.row_number().over(Window.partitionBy("org_id").orderBy("name", "id"))
-    return devices(spark, sf).select("org_id", pos.cast("bigint").alias("pos"), "id", "name")
+    return L.device_list(devices(spark, sf)).select("org_id", "id", "name")
 
 
 _ENROL = {"tokens": _TOKENS, "attempts": _ATTEMPTS}
