@@ -169,3 +169,24 @@ def test_rules_reload_between_batches(spark, tmp_path):
     stream = jobs.file_stream(spark, source, "*.parquet", "id string, text string", files_per_trigger=1)
     jobs.reloading_scan(stream, settings, sink, str(tmp_path / "state")).awaitTermination()
     assert out == ["mail [REDACTED-EMAIL_ADDRESS]", "mail a.b@corp.io", "mail a.b@corp.io"]
+
+
+def test_labelled_corpus_with_string_and_number_values(spark, tmp_path):
+    from veilwright.operators import evaluate
+    from veilwright.operators.detect import detect
+    from veilwright.sources.patterns import profile
+
+    path = tmp_path / "labelled.json"
+    text = "mail a.b@corp.io pin 4711 name Ann ip 10.20.30.40"
+    pii = [
+        {"value": "a.b@corp.io", "start": 5, "end": 16, "label": "email"},
+        {"value": 4711, "start": 21, "end": 25, "label": "pin"},
+        {"value": "Ann", "start": 31, "end": 34, "label": "name"},
+    ]
+    path.write_text(json.dumps([{"id": "s1", "text": text, "locale": "en", "domain": "x", "pii": pii}]))
+    labelled = evaluate.read_labelled(spark, str(path))
+    assert [t.value for t in labelled.first().truth] == ["a.b@corp.io", "4711", "Ann"]
+    scored = evaluate.score(detect(labelled, profile("compat")), ["name"])
+    row = evaluate.summary(scored).first()
+    assert (row.caught, row.missed, row.false_pos) == (1, 1, 1)
+    assert (row.precision_pct, row.recall_pct, row.f1) == (50.0, 50.0, 50.0)
