@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veilwright.llm import decontaminate, quality
+from veilwright.llm import decontaminate, neardup, quality
 from veilwright.sources.scratch import written
 from veilwright.sources.tables import read_table
 
@@ -12,12 +12,17 @@ def quality_stage(spark, docs, sf_dir):
     return quality.keep_good(docs)
 
 
+def neardup_stage(spark, docs, sf_dir):
+    """One document of each group of near duplicates."""
+    return neardup.keep_one(docs)
+
+
 def decontaminate_stage(spark, docs, sf_dir):
     """Documents that hold no benchmark passage of weight."""
     return decontaminate.annotate(docs, read_table(spark, sf_dir, "benchmark"), docs.columns, drop=True)
 
 
-STAGES = [("quality_rules", quality_stage), ("benchmark_decontamination", decontaminate_stage)]
+STAGES = [("quality_rules", quality_stage), ("minhash_near_dedup", neardup_stage), ("benchmark_decontamination", decontaminate_stage)]
 
 #: Model-free, but tokenizing and near-duplicate classes are beyond SQL; tests/llm has the brute force.
 ORACLE_SQL = None

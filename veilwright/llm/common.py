@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Bytes of text that one call of a map function gets at most, one text aside.
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 4 << 20
 
 #: Lower-cases A-Z, keeps 0-9, a-z and every byte of non-ASCII letters, and blanks the rest.
 WORD_BYTES = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
