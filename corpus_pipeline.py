@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veilwright.llm import decontaminate, neardup, quality
+from veilwright.llm import decontaminate, neardup, packing, quality, secrets
 from veilwright.sources.scratch import written
 from veilwright.sources.tables import read_table
 
@@ -22,9 +22,25 @@ def decontaminate_stage(spark, docs, sf_dir):
     return decontaminate.annotate(docs, read_table(spark, sf_dir, "benchmark"), docs.columns, drop=True)
 
 
-STAGES = [("quality_rules", quality_stage), ("minhash_near_dedup", neardup_stage), ("benchmark_decontamination", decontaminate_stage)]
+def secrets_stage(spark, docs, sf_dir):
+    """The documents with their secrets masked."""
+    return secrets.masked(docs)
 
-#: Model-free, but tokenizing and near-duplicate classes are beyond SQL; tests/llm has the brute force.
+
+def packing_stage(spark, docs, sf_dir):
+    """Where each piece of each document lies in the packed sequences."""
+    return packing.pack(docs, ["doc_id"])
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("minhash_near_dedup", neardup_stage),
+    ("benchmark_decontamination", decontaminate_stage),
+    ("secret_scans", secrets_stage),
+    ("best_fit_packing", packing_stage),
+]
+
+#: Near-duplicate classes and tokens are beyond SQL; tests/llm has the brute force.
 ORACLE_SQL = None
 
 

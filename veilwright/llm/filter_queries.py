@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veilwright.llm import decontaminate, quality
+from veilwright.llm import decontaminate, quality, secrets
 from veilwright.llm.registry import WORDS, documents, query
 from veilwright.sources.tables import read_table
 
@@ -71,3 +71,8 @@ def quality_rules(spark, sf_dir):
 @query("op8_benchmark_decontamination", DECONTAMINATE_SQL)
 def benchmark_decontamination(spark, sf_dir):
     return decontaminate.annotate(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"), ["doc_id"])
+
+
+@query("op9_secret_scans")
+def secret_scans(spark, sf_dir):
+    return secrets.find(documents(spark, sf_dir), ["doc_id"])
