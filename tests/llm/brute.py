@@ -46,3 +46,30 @@ def near_classes(rows, similarity=0.8, size=5):
                 x, y = root(a), root(b)
                 parent[max(x, y)] = min(x, y)
     return {i: root(min(ids)) for ids in owner.values() for i in ids}
+
+
+def secret_base(text):
+    """``(start, kind, end)`` of the base findings, by the patterns as stated."""
+    found = []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
+        if len(m[2]) >= 6:
+            found.append((m.start(), "assign", m.end()))
+    for m in re.finditer(r"AKIA[A-Z0-9]+", text):
+        if len(m[0]) >= 20:
+            found.append((m.start(), "access", m.end()))
+    for m in re.finditer(r"[0-9a-f]+", text):
+        if len(m[0]) >= 24:
+            found.append((m.start(), "hex", m.end()))
+    return found
+
+
+def secret_links(text, base):
+    """Weak parts with a complement in the same scope, all pairs tried."""
+    from veilwright.llm import secrets
+
+    weak = secrets.weak_parts(text, base)
+    scope = lambda a: sum(m.end() <= a for m in secrets.SCOPE_END.finditer(text))
+    return [
+        x for x in weak
+        if any(y[2] in secrets.NEEDS[x[2]] and scope(x[0]) == scope(y[0]) and max(0, y[0] - x[1], x[0] - y[1]) <= secrets.NEAR for y in (*base, *weak))
+    ]

@@ -72,7 +72,7 @@ PLAIN = (
 )
 #: A text in which no word begins so, and none holds "licen", matches no rule.
 STEMS = (
-    "gpl", "lgpl", "agpl", "gfdl", "apache", "bsd", "mpl", "epl", "cddl", "cpl", "artistic", "boost", "bsl", "libpng", "wtfpl", "eupl", "ofl",
+    "gpl", "lgpl", "agpl", "gfdl", "apache", "bsd", "0bsd", "mpl", "epl", "cddl", "cpl", "artistic", "boost", "bsl", "libpng", "wtfpl", "eupl", "ofl",
     "psf", "php", "odbl", "pddl", "cc", "creative", "vimdoc", "public", "copyleft", "reserved", "mozilla", "eclipse", "openssl", "png", "gnu",
 )
 #: How a license is stated in prose.

@@ -175,9 +175,9 @@ def _ordered(pairs: DataFrame, similarity: float) -> DataFrame:
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
-    """``(members, features)``: ``members`` has a row for each document, ``(id, k1, k2, class_id)``.
+    """``(members, features)``: ``members`` has a row for each document, ``(id, k1, k2, class_id, root)``.
 
-    ``class_id`` is the least id of the group. Texts with the same words (letters and digits, case of
+    ``class_id`` is the least id of the group, and ``root`` tells groups apart even where ids repeat. Texts with the same words (letters and digits, case of
     A-Z aside) are one class; a text of one to four words has one shingle; a text without words is
     near nothing but its equals; a null text is a group of its own under its own id. Repeated rows
     are members of the same class. Ids may be null; the least id ignores them. An empty table gives no
@@ -235,10 +235,10 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text: str =
 
     grouped = classes.join(roots, "node", "left").select(*keys, "rep", F.coalesce("root", "node").alias("root"))
     least = grouped.groupBy("root").agg(F.min("rep").alias("class_id"))
-    named = grouped.join(least, "root").select(*keys, "class_id")
+    named = grouped.join(least, "root").select(*keys, "class_id", "root")
     known = features.where("k1 IS NOT NULL").select("id", *keys).join(named, keys)
-    unknown = features.where("k1 IS NULL").select("id", *keys, F.col("id").alias("class_id"))
-    return known.select("id", *keys, "class_id").unionByName(unknown), features
+    unknown = features.where("k1 IS NULL").select("id", *keys, F.col("id").alias("class_id"), F.lit(None).cast("long").alias("root"))
+    return known.select("id", *keys, "class_id", "root").unionByName(unknown), features
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -255,7 +255,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **opti
         return docs.join(chosen, docs[f"`{id_col}`"] == chosen[f"`{id_col}`"], "left_semi")
     names = [fresh(docs, "k1"), fresh(docs, "k2")]
     keyed = map_texts(docs, text, docs.columns, f"`{names[0]}` long, `{names[1]}` long", _keys)
-    leaders = members.where("k1 IS NOT NULL").groupBy("class_id").agg(F.min(F.struct(F.when(F.col("id").isNotNull(), 0).otherwise(1).alias("last"), "id", "k1", "k2")).alias("x")).select("x.*")
+    leaders = members.where("k1 IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.when(F.col("id").isNotNull(), 0).otherwise(1).alias("last"), "id", "k1", "k2")).alias("x")).select("x.*")
     same = [keyed[f"`{id_col}`"].eqNullSafe(leaders.id), keyed[names[0]] == leaders.k1, keyed[names[1]] == leaders.k2]
     one = keyed.join(leaders, same, "left_semi").dropDuplicates([id_col, *names])
     return one.unionByName(keyed.where(column(names[0]).isNull())).drop(*names)
