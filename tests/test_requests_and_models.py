@@ -52,6 +52,25 @@ def test_rewrite_keeps_parts_and_other_fields(spark):
     assert out["broken"] == "{"
 
 
+def test_rewrite_changes_nothing_but_texts(spark):
+    mail, masked = "a.b@corp.io", "[REDACTED-EMAIL_ADDRESS]"
+
+    def request(text, other):
+        image = {"type": "image", "source": {"data": other, "kind": "x"}}
+        nested = {"type": "tool_result", "tool_use_id": "t", "content": [{"type": "text", "text": text, "k": 1}, image], "is_error": False}
+        parts = [{"type": "text", "text": text, "cache_control": {"type": "ephemeral"}}, image, nested, {"type": "text", "n": 5}, {"type": "tool_result", "content": text}]
+        return body({"role": "user", "content": other}, {"role": "user", "name": "n", "content": parts}, {"role": "assistant", "content": other}, temperature=0.5)
+
+    rows = [(i, request(f"{mail} {k}", mail)) for k, i in enumerate(["same", "same", None, None])]
+    rows += [("same", body({"role": "user", "content": mail, "name": "z"})), (None, body({"role": "user", "content": f"x {mail}"}))]
+    out = extract.rewrite_requests(spark.createDataFrame(rows, "id string, body string"), clean).collect()
+    want = [json.loads(request(f"{masked} {k}", mail)) for k in range(4)]
+    want += [json.loads(body({"role": "user", "content": masked, "name": "z"})), json.loads(body({"role": "user", "content": f"x {masked}"}))]
+    order = lambda x: json.dumps(x, sort_keys=True)
+    assert sorted(map(order, [json.loads(r.body) for r in out])) == sorted(map(order, want))
+    assert [r.id for r in out].count("same") == 3
+
+
 def test_tool_messages(spark):
     rows = [
         ("parts", json.dumps({"id": 1, "result": {"content": [{"type": "text", "text": 'a "b" a.b@corp.io'}, {"type": "text", "text": "c.d@corp.io"}], "k": 1}})),

@@ -13,12 +13,40 @@ from veilwright.functions.spans import settled
 Clean = Callable[[DataFrame], DataFrame]
 
 
+def _string(part: Column, field: str) -> Column:
+    """A field of an object that is a string; null when it is something else."""
+    value = F.try_variant_get(part, f"$.{field}", "variant")
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+
+
+def _kind(part: Column) -> Column:
+    return F.try_variant_get(part, "$.type", "string")
+
+
+def _nested(part: Column) -> Column:
+    """Parts inside a tool result whose content is a list."""
+    content = F.try_variant_get(part, "$.content", "variant")
+    return F.when(F.schema_of_variant(content).startswith("ARRAY"), F.try_variant_get(content, "$", "array<variant>"))
+
+
+def _units(part: Column, place: Column) -> Column:
+    """``(part, nested, text)`` of each text in a content part; ``nested`` is -1 for the part's own."""
+
+    def unit(nested: Column, text: Column) -> Column:
+        return F.struct(place.alias("part"), nested.alias("nested"), text.alias("text"))
+
+    own = F.array(unit(F.lit(-1), F.when(_kind(part) == "text", _string(part, "text")).otherwise(_string(part, "content"))))
+    inner = F.transform(_nested(part), lambda q, j: unit(j, F.when(_kind(q) == "text", _string(q, "text"))))
+    found = F.when((_kind(part) == "tool_result") & _nested(part).isNotNull(), inner).when(_kind(part).isin("text", "tool_result"), own)
+    return F.filter(F.coalesce(found, F.filter(own, lambda _: F.lit(False))), lambda u: u.text.isNotNull())
+
+
 def _text_of(part: Column) -> Column:
     """Text of a content part; null when the part carries none."""
-    kind = F.try_variant_get(part, "$.type", "string")
-    result = F.try_variant_get(part, "$.content", "string")
-    return F.when(kind == "text", F.coalesce(F.try_variant_get(part, "$.text", "string"), F.lit(""))).when(
-        (kind == "tool_result") & (result != ""), result
+    inner = F.array_join(F.filter(F.transform(_nested(part), lambda q: F.when(_kind(q) == "text", _string(q, "text"))), lambda t: t.isNotNull()), "\n")
+    result = F.coalesce(inner, _string(part, "content"))
+    return F.when(_kind(part) == "text", F.coalesce(F.try_variant_get(part, "$.text", "string"), F.lit(""))).when(
+        (_kind(part) == "tool_result") & (result != ""), result
     )
 
 
@@ -45,7 +73,7 @@ def message_rows(requests: DataFrame, body: str = "body") -> DataFrame:
 
 
 def last_user(requests: DataFrame, body: str = "body") -> DataFrame:
-    """Add ``idx`` and ``content`` of the last message of role user, its texts and an ``error``."""
+    """Add ``idx`` and ``content`` of the last message of role user, its texts and units of text, and an ``error``."""
     picked = F.try_element_at(
         F.filter(
             F.transform("messages", lambda m, i: F.struct(i.alias("idx"), m.alias("m"))),
@@ -68,6 +96,13 @@ def last_user(requests: DataFrame, body: str = "body") -> DataFrame:
                 _is_string(F.col("content")), F.array(F.try_variant_get("content", "$", "string"))
             ),
         )
+        .withColumn(
+            "units",
+            F.when(F.col("is_array"), F.flatten(F.transform("parts", _units))).when(
+                _is_string(F.col("content")),
+                F.array(F.struct(F.lit(-1).alias("part"), F.lit(-1).alias("nested"), F.try_variant_get("content", "$", "string").alias("text"))),
+            ),
+        )
         .withColumn(
             "error",
             F.when(F.col("doc").isNull(), "parse request body")
@@ -98,88 +133,81 @@ def _object(fields: Column) -> Column:
     return F.concat(F.lit("{"), F.array_join(fields, ","), F.lit("}"))
 
 
-def _clean_texts(units: DataFrame, clean: Clean) -> DataFrame:
-    """(id, texts) -> (id, clean_texts), same length and order.
-
-    A request with one text keeps its row all the way.  Only requests with several parts are taken
-    apart and put together again, by request; the parts of one request came out of one row.
-    """
-    one = units.where(F.size("texts") == 1)
-    many = units.where(F.size("texts") > 1)
-    done_one = clean(one.select("id", F.element_at("texts", 1).alias("text"))).select(
-        "id", F.array("redacted_text").alias("clean_texts")
-    )
-    spread = many.select("id", F.posexplode("texts").alias("part", "text")).select(
-        F.struct("id", "part").alias("id"), "text"
-    )
-    done_many = (
-        clean(spread)
-        .groupBy(F.col("id.id").alias("id"))
-        .agg(F.sort_array(F.collect_list(F.struct(F.col("id.part").alias("part"), "redacted_text"))).alias("p"))
-        .select("id", F.transform("p", lambda x: x.redacted_text).alias("clean_texts"))
+def _with_field(v: Column, key: str, value: Column) -> Column:
+    """An object as JSON text, with one field that it has set anew and all others as they are."""
+    entries = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
+    return _object(
+        F.transform(
+            entries,
+            lambda e: F.concat(_quoted(e.key), F.lit(":"), F.when(e.key == key, value).otherwise(F.to_json(e.value))),
+        )
     )
-    return done_one.unionByName(done_many)
 
 
-def rewrite_requests(requests: DataFrame, clean: Clean, body: str = "body") -> DataFrame:
-    """(id, body): the last user message masked part by part, everything else as it was.
+def _cleaned(found: DataFrame, keep: list[str], clean: Clean) -> DataFrame:
+    """``keep`` and ``done``, the units ``(part, nested, text)`` with clean texts; null for a row without any.
 
-    A body without such a message comes back unchanged.
+    Each text goes through ``clean`` with its own row as its id, so nothing is joined, and ids may
+    repeat or be null. Only the texts of a row that has several come together again, by a key of that row.
     """
-    found = last_user(requests, body)
-    cleaned = _clean_texts(found.where("error is null").select("id", "texts"), clean)
-    joined = found.join(cleaned, "id", "left")
-
-    def part_json(p: Column, t: Column) -> Column:
-        kind = F.try_variant_get(p, "$.type", "string")
-        return F.to_json(
-            F.struct(
-                kind.alias("type"),
-                F.when(kind == "text", t).otherwise(F.try_variant_get(p, "$.text", "string")).alias("text"),
-                F.when(kind == "tool_result", t)
-                .otherwise(F.try_variant_get(p, "$.content", "string"))
-                .alias("content"),
-                F.try_variant_get(p, "$.tool_use_id", "string").alias("tool_use_id"),
-            )
-        )
+    units = F.coalesce(F.size("units"), F.lit(0))
+    none = found.where(units <= 0).select(*keep, F.lit(None).cast("array<struct<part:int,nested:int,text:string>>").alias("done"))
 
-    content = F.when(
-        F.col("is_array"),
-        F.concat(
-            F.lit("["), F.array_join(F.zip_with("parts", "clean_texts", part_json), ","), F.lit("]")
-        ),
-    ).otherwise(_quoted(F.element_at("clean_texts", 1)))
-    message = F.concat(F.lit('{"role":"user","content":'), content, F.lit("}"))
-    messages = F.concat(
-        F.lit("["),
-        F.array_join(
-            F.transform(
-                "messages", lambda m, i: F.when(i == F.col("idx"), F.col("__message")).otherwise(F.to_json(m))
-            ),
-            ",",
-        ),
-        F.lit("]"),
-    )
-    fields = F.transform(
-        F.map_entries(F.try_variant_get("doc", "$", "map<string,variant>")),
-        lambda e: F.concat(
-            _quoted(e.key),
-            F.lit(":"),
-            F.when(e.key == "messages", F.col("__messages")).otherwise(F.to_json(e.value)),
-        ),
+    def unit(i: Column) -> Column:
+        return F.array(F.struct(i.part.alias("part"), i.nested.alias("nested"), F.col("redacted_text").alias("text")))
+
+    first = F.element_at("units", 1)
+    one = found.where(units == 1).select(F.struct(*keep, first.part.alias("part"), first.nested.alias("nested")).alias("id"), first.text.alias("text"))
+    done_one = clean(one).select(*[F.col("id")[k].alias(k) for k in keep], unit(F.col("id")).alias("done"))
+
+    # The key is given before the row is taken apart, so that all its parts share it.
+    many = found.where(units > 1).select(*keep, "units", F.monotonically_increasing_id().alias("row"))
+    many = many.select(*keep, "row", F.posexplode("units").alias("at", "u"))
+    head = F.when(F.col("at") == 0, F.struct(*keep))  # what belongs to the row travels once
+    many = many.select(F.struct("row", "at", head.alias("head"), F.col("u.part").alias("part"), F.col("u.nested").alias("nested")).alias("id"), F.col("u.text").alias("text"))
+    grouped = clean(many).groupBy(F.col("id.row").alias("row")).agg(F.array_sort(F.collect_list(F.struct(F.col("id.at").alias("at"), F.col("id.head").alias("head"), unit(F.col("id")).alias("unit")))).alias("g"))
+    done_many = grouped.select(*[F.element_at("g", 1).head[k].alias(k) for k in keep], F.flatten(F.transform("g", lambda x: x.unit)).alias("done"))
+    return none.unionByName(done_one).unionByName(done_many)
+
+
+def _done(part: Column, nested: Column) -> Column:
+    """The clean text of a unit; null where there was none."""
+    return F.try_element_at(F.filter("done", lambda u: (u.part == part) & (u.nested == nested)), F.lit(1)).text
+
+
+def _part_json(part: Column, place: Column) -> Column:
+    """A content part as JSON text; only its texts differ from what it was."""
+    own = _done(place, F.lit(-1))
+    inner = F.transform(
+        _nested(part),
+        lambda q, j: F.when(_done(place, j).isNotNull(), _with_field(q, "text", _quoted(_done(place, j)))).otherwise(F.to_json(q)),
     )
+    inner = F.concat(F.lit("["), F.array_join(inner, ","), F.lit("]"))
     return (
-        joined.withColumn("__message", settled(message))
-        .withColumn("__messages", settled(messages))
-        .select(
-            "id",
-            F.when(F.col("error").isNull() & F.col("clean_texts").isNotNull(), _object(fields))
-            .otherwise(F.col(body))
-            .alias("body"),
-        )
+        F.when(own.isNotNull() & (_kind(part) == "text"), _with_field(part, "text", _quoted(own)))
+        .when(own.isNotNull(), _with_field(part, "content", _quoted(own)))
+        .when((_kind(part) == "tool_result") & _nested(part).isNotNull(), _with_field(part, "content", inner))
+        .otherwise(F.to_json(part))
     )
 
 
+def rewrite_requests(requests: DataFrame, clean: Clean, body: str = "body") -> DataFrame:
+    """(id, body): the texts of the last user message masked, everything else as it was.
+
+    A body without such a message comes back unchanged. Ids may repeat and may be null.
+    """
+    carried = requests.select("id", F.col(body).alias("body"))
+    found = last_user(carried).withColumn("units", F.when(F.col("error").isNull(), F.col("units")))
+    ready = last_user(_cleaned(found.select("id", "body", "units"), ["id", "body"], clean))
+    listed = F.concat(F.lit("["), F.array_join(F.transform("parts", _part_json), ","), F.lit("]"))
+    content = F.when(F.col("is_array"), listed).otherwise(_quoted(_done(F.lit(-1), F.lit(-1))))
+    ready = ready.withColumn("__content", settled(content))
+    ready = ready.withColumn("__message", settled(_with_field(F.col("last.m"), "content", F.col("__content"))))
+    messages = F.transform("messages", lambda m, i: F.when(i == F.col("idx"), F.col("__message")).otherwise(F.to_json(m)))
+    ready = ready.withColumn("__messages", settled(F.concat(F.lit("["), F.array_join(messages, ","), F.lit("]"))))
+    return ready.select("id", F.when(F.col("done").isNotNull(), _with_field(F.col("doc"), "messages", F.col("__messages"))).otherwise(F.col("body")).alias("body"))
+
+
 # --- tool messages ---------------------------------------------------------------------------------
 
 
@@ -224,42 +252,24 @@ def rpc_text(messages: DataFrame, message: str = "message") -> DataFrame:
 
 
 def clean_rpc(messages: DataFrame, clean: Clean, message: str = "message") -> DataFrame:
-    """(id, message): every text masked on its decoded value; a message without text is unchanged."""
-    found = rpc_texts(messages, message)
-    cleaned = _clean_texts(found.where("place is not null").select("id", "texts"), clean)
-    joined = found.join(cleaned, "id", "left")
-
-    def with_field(v: Column, key: str, value: Column) -> Column:
-        entries = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
-        return _object(
-            F.transform(
-                entries,
-                lambda e: F.concat(
-                    _quoted(e.key), F.lit(":"), F.when(e.key == key, value).otherwise(F.to_json(e.value))
-                ),
-            )
-        )
+    """(id, message): every text masked on its decoded value; a message without text is unchanged.
 
-    parts = F.concat(
-        F.lit("["),
-        F.array_join(
-            F.zip_with(
-                "parts",
-                "clean_texts",
-                lambda p, t: F.when(t.isNull(), F.to_json(p)).otherwise(with_field(p, "text", _quoted(t))),
-            ),
-            ",",
-        ),
-        F.lit("]"),
-    )
+    Ids may repeat and may be null.
+    """
+    carried = messages.select("id", F.col(message).alias("message"))
+    units = F.transform("texts", lambda t, i: F.struct(i.alias("part"), F.lit(-1).alias("nested"), t.alias("text")))
+    found = rpc_texts(carried).withColumn("units", F.when(F.col("place").isNotNull(), F.filter(units, lambda u: u.text.isNotNull())))
+    ready = rpc_texts(_cleaned(found.select("id", "message", "units"), ["id", "message"], clean))
+    parts = F.transform("parts", lambda p, i: F.when(_done(i, F.lit(-1)).isNull(), F.to_json(p)).otherwise(_with_field(p, "text", _quoted(_done(i, F.lit(-1))))))
     result = F.try_variant_get("doc", "$.result", "variant")
     params = F.try_variant_get("doc", "$.params", "variant")
-    first = _quoted(F.element_at("clean_texts", 1))
-    rebuilt = (
-        F.when(F.col("place") == "parts", with_field(F.col("doc"), "result", with_field(result, "content", parts)))
-        .when(F.col("place") == "result", with_field(F.col("doc"), "result", first))
-        .when(F.col("place") == "params", with_field(F.col("doc"), "params", with_field(params, "content", first)))
-    )
-    return joined.select(
-        "id", F.when(F.col("clean_texts").isNotNull(), rebuilt).otherwise(F.col(message)).alias("message")
+    first = _quoted(_done(F.lit(0), F.lit(-1)))
+    ready = ready.withColumn("__parts", settled(F.concat(F.lit("["), F.array_join(parts, ","), F.lit("]"))))
+    inner = (
+        F.when(F.col("place") == "parts", _with_field(result, "content", F.col("__parts")))
+        .when(F.col("place") == "params", _with_field(params, "content", first))
+        .otherwise(first)
     )
+    ready = ready.withColumn("__inner", settled(inner))
+    rebuilt = F.when(F.col("place") == "params", _with_field(F.col("doc"), "params", F.col("__inner"))).otherwise(_with_field(F.col("doc"), "result", F.col("__inner")))
+    return ready.select("id", F.when(F.col("done").isNotNull(), rebuilt).otherwise(F.col("message")).alias("message"))
