@@ -7,9 +7,9 @@ slot's first. Two texts agree in a slot with the probability Jaccard similarity
 
 Texts with the same words form one class first, by a grouped minimum. Classes that agree in a band of
 slots are candidates. Small buckets give all their pairs; in a large one every member is compared with
-a few pivots, and pivots are added until no two members are left that are neither connected nor
-compared. So links within a bucket decide the components exactly, while the pairs of a bucket of
-near copies grow in proportion to its size. A link is an exact Jaccard similarity of at least 0.8
+a few pivots first. Where that leaves a bucket in several components, each member outside the largest
+is compared with all members of the others, block by block. So links within a bucket decide the
+components exactly, while a bucket of near copies makes rows in proportion to its size. A link is an exact Jaccard similarity of at least 0.8
 between the shingle sets. Texts are read by the first map, and again only for candidates.
 """
 
@@ -32,9 +32,9 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 #: Buckets up to this size give all pairs; larger ones are compared with pivots.
 SMALL_BUCKET = 12
-PIVOTS = 2
-#: Pivots that a bucket gets in each later round.
-MORE_PIVOTS = 16
+PIVOTS = 3
+#: Outsiders and members that meet in one block of an open bucket.
+OUTSIDERS, MEMBERS = 256, 1024
 #: Word hashes that a task remembers.
 REMEMBERED = 400_000
 
@@ -174,6 +174,52 @@ def _ordered(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.where(fit & (F.col("node") != F.col("node2"))).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
 
 
+def _open_links(large: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links that still join components of one bucket, all of them tried.
+
+    In a bucket of several components, every member outside the largest one is compared with every
+    member of another component. Members come together in blocks, some of the outsiders and some of
+    all, and leave as links, one for each outsider and component: no pair is a row.
+    """
+    placed = large.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    sizes = placed.groupBy("key", "root").agg(F.count("*").alias("many"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("many", "root")).alias("top"), F.sum("many").alias("total"), F.count("*").alias("parts")).where("parts > 1")
+    main = main.select(
+        "key", F.col("top.root").alias("main"),
+        F.ceil((F.col("total") - F.col("top.many")) / OUTSIDERS).cast("int").alias("outside"), F.ceil(F.col("total") / MEMBERS).cast("int").alias("blocks"),
+    )
+    here = placed.join(main, "key")
+    number = F.xxhash64("node")
+    outsiders = here.where("root <> main").select("key", "node", "root", F.lit(True).alias("outsider"), F.pmod(number, F.col("outside")).cast("int").alias("o"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("m"))
+    members = here.select("key", "node", "root", F.lit(False).alias("outsider"), F.explode(F.sequence(F.lit(0), F.col("outside") - 1)).alias("o"), F.pmod(number, F.col("blocks")).cast("int").alias("m"))
+    dealt = outsiders.unionByName(members).join(sets, "node").select("key", "o", "m", "outsider", "node", "root", "shingles")
+
+    def compare(table: pa.Table) -> pa.Table:
+        outsider = table.column("outsider").to_numpy()
+        node, root = table.column("node").to_numpy(), table.column("root").to_numpy()
+        own = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        inside = np.flatnonzero(~outsider)
+        sizes = np.array([len(own[i]) for i in inside], np.int64)
+        elements = np.concatenate([np.zeros(0, np.uint64), *(own[i] for i in inside)])
+        holder = np.repeat(np.arange(len(inside)), sizes)
+        order = np.argsort(elements, kind="stable")
+        elements, holder = elements[order], holder[order]
+        found: list[tuple[int, int]] = []
+        for i in np.flatnonzero(outsider):
+            low, high = np.searchsorted(elements, own[i], "left"), np.searchsorted(elements, own[i], "right")
+            n = high - low
+            at = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            both = np.bincount(holder[at], minlength=len(inside))
+            near = (both >= similarity * (len(own[i]) + sizes - both) - 1e-9) & (root[inside] != root[i])
+            which = inside[near]
+            if len(which):
+                _, first = np.unique(root[which], return_index=True)
+                found += [(int(node[i]), int(x)) for x in node[which[first]]]
+        return pa.table({"a": pa.array([min(x) for x in found], pa.int64()), "b": pa.array([max(x) for x in found], pa.int64())})
+
+    return dealt.groupBy("key", "o", "m").applyInArrow(compare, "a long, b long").distinct()
+
+
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """``(members, features)``: ``members`` has a row for each document, ``(id, k1, k2, class_id, root)``.
 
@@ -212,26 +258,9 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text: str =
 
     links = written(_links(tested, sets, similarity), "neardup-links")
     roots = components(links)
-    used = pivots.select("key", F.col("node2").alias("node"))
-    while True:
-        placed = large.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-        sizes = placed.groupBy("key", "root").agg(F.count("*").alias("many"))
-        main = sizes.groupBy("key").agg(F.max_by("root", F.struct("many", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
-        open_buckets = placed.join(main, "key")
-        rest = open_buckets.where("root <> main").join(used, ["key", "node"], "left_anti")
-        slot = F.pmod(F.xxhash64("node", "key"), F.lit(MORE_PIVOTS))
-        more = rest.groupBy("key", slot.alias("slot")).agg(F.min_by(F.struct("node", "n", "root"), F.xxhash64("node")).alias("p"))
-        more = written(more.select("key", F.col("p.node").alias("node2"), F.col("p.n").alias("n2"), F.col("p.root").alias("root2")), "neardup-pivots")
-        if more.isEmpty():
-            break
-        fresh_pairs = _ordered(open_buckets.join(more, "key").where("root <> root2"), similarity)
-        fresh_pairs = written(fresh_pairs.join(tested, ["a", "b"], "left_anti"), "neardup-pairs")
-        tested = tested.unionByName(fresh_pairs)
-        used = used.unionByName(more.select("key", F.col("node2").alias("node")))
-        found = written(_links(fresh_pairs, sets, similarity), "neardup-links")
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            roots = components(links)
+    rest = written(_open_links(large, roots, sets, similarity), "neardup-links")
+    if not rest.isEmpty():
+        roots = components(links.unionByName(rest))
 
     grouped = classes.join(roots, "node", "left").select(*keys, "rep", F.coalesce("root", "node").alias("root"))
     least = grouped.groupBy("root").agg(F.min("rep").alias("class_id"))
