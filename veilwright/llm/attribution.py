@@ -16,11 +16,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from veilwright.llm.common import map_texts
-from veilwright.llm.tokens import Chunks, tokenizer_text, vocabulary_path
+from veilwright.llm.tokens import CUT, REMEMBERED, Chunks, tokenizer_text, vocabulary_path
 
 RULES = ("largest", "first", "last")
 SENTENCE_END = re.compile(r"[.!?\n]")
-CUT_TEXT = re.compile(r"(?<=[a-z])(?=[!-@\[-`{-~])")
 BLANKS = str.maketrans("\n\t\r\x0b\x0c", "     ")
 
 
@@ -39,18 +38,18 @@ class Offsets(Chunks):
             plain = piece.isascii() and piece.isalpha() and piece.islower()
             spans = [t.offsets for t in self.model.tokenize(piece)] if plain else self.tokenizer.encode(piece, add_special_tokens=False).offsets
             found = np.array(spans, "<i4").reshape(-1).tobytes()
-            if len(self.parts) >= 250_000:
+            if len(self.parts) >= REMEMBERED // 2:
                 self.parts.clear()
             self.parts[piece] = found
         return found
 
     def __missing__(self, chunk: str) -> bytes:
         at, out = 0, []
-        for piece in CUT_TEXT.split(chunk):
+        for piece in CUT.split(chunk):
             spans = self.part(piece)
             out.append((np.frombuffer(spans, "<i4") + np.int32(at)).tobytes() if at else spans)
             at += len(piece)
-        if len(self) >= 250_000:
+        if len(self) >= REMEMBERED // 2:
             self.clear()
         value = self[chunk] = b"".join(out)
         return value

@@ -12,18 +12,33 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from zlib import crc32
 
 import numpy as np
 
 #: A-Z in lower case, and the white space of ASCII as blanks.
 CHUNK_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if b in b"\t\n\x0b\x0c\r" else b for b in range(256))
-CUT = re.compile(rb"(?<=[a-z])(?=[!-@\[-`{-~])")
+#: 1 for a-z, 2 for the marks and digits of ASCII, 0 for the rest.
+CLASSES = bytes(1 if 0x61 <= b <= 0x7A else 2 if 0x21 <= b <= 0x7E else 0 for b in range(256))
+#: After a Latin letter, before a mark or digit of ASCII.
+CUT = re.compile("(?<=[a-zß-öø-\u012f\u0131-\u024f])(?=[!-@\\[-`{-~])")
+#: Latin letters that are lower case, or have a lower case of one letter whatever stands beside them.
+LATIN = re.compile("[a-zß-öø-\u012f\u0131-\u024f]+")
 #: Chunks that a task remembers.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 END = 1
 
 
+def _byte_signs() -> dict[int, int]:
+    """Signs that stand for bytes in byte-level vocabularies: themselves if they can be seen, else from 256 on."""
+    seen = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in seen)}
+
+
+BYTE_SIGNS = _byte_signs()
+
+
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -47,25 +62,27 @@ class Chunks(dict):
         self.tokenizer = Tokenizer.from_str(tokenizer)
         self.model = self.tokenizer.model
         self.special = re.compile(b"|".join(re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()) or rb"(?!)")
-        self.parts: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def part(self, piece: bytes) -> bytes:
+    def part(self, piece: str) -> bytes:
         found = self.parts.get(piece)
         if found is None:
-            if piece.isalpha() and piece.isascii():
-                found = np.array([t.id for t in self.model.tokenize(piece.decode())], "<u4").tobytes()
+            if LATIN.fullmatch(piece):  # one word for the model, as the tokenizer would hand it on
+                signs = piece if piece.isascii() else piece.lower().encode().decode("latin-1").translate(BYTE_SIGNS)
+                found = array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
             else:
-                found = self.whole(piece.decode())
-            if len(self.parts) >= REMEMBERED:
+                found = self.whole(piece)
+            if len(self.parts) >= REMEMBERED // 4:
                 self.parts.clear()
             self.parts[piece] = found
         return found
 
     def __missing__(self, chunk: bytes) -> bytes:
-        value = b"".join(map(self.part, CUT.split(chunk)))
+        text = chunk.decode()
+        value = b"".join(map(self.part, CUT.split(text)))
         if len(self) >= REMEMBERED:
             self.clear()
         self[chunk] = value
@@ -77,7 +94,12 @@ class Chunks(dict):
             return b""
         if self.special.search(text):
             return self.whole(text.decode())
-        return b"".join(map(self.__getitem__, text.translate(CHUNK_BYTES).split(b" ")))
+        lower = text.translate(CHUNK_BYTES)
+        kinds = np.frombuffer(lower.translate(CLASSES), np.uint8)
+        cuts = np.flatnonzero((kinds[:-1] == 1) & (kinds[1:] == 2)) + 1
+        if len(cuts):
+            lower = np.insert(np.frombuffer(lower, np.uint8), cuts, 0x20).tobytes()
+        return b"".join(map(self.__getitem__, lower.split(b" ")))
 
 
 def crc(ids: bytes) -> int:
