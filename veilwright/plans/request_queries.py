@@ -322,49 +322,63 @@ def clean_words(texts: DataFrame) -> DataFrame:
     return redact(detect(texts, WORD_PATTERNS)).select("id", "redacted_text")
 
 
-_UNITS = f"""SELECT {_TURN} AS id0, 0 AS part, CASE WHEN role = 'user' THEN text ELSE 'the first "question"' END AS text FROM conversations WHERE role = 'user' OR turn % 4 = 2
-    UNION ALL SELECT {_TURN}, 1, 'of the user' FROM conversations WHERE role = 'user' AND turn % 4 = 0"""
-_CLEAN_UNITS = {
-    "units": _UNITS,
-    "corpus": "SELECT id0 * 2 + part AS id, text FROM units",
-    "f": O.findings(WORD_PATTERNS, "corpus"),
-    "k": O.folded("SELECT * FROM corpus", "SELECT * FROM f", contained=True),
-}
+def full_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests with names, image parts, nested tool results and fields of all kinds; ids repeat, some are null."""
+    t = read_table(spark, sf, "conversations")
+    image = F.struct(F.lit("image").alias("type"), F.struct(F.lit("the data").alias("data")).alias("source"))
+    text_part = F.struct(F.lit("text").alias("type"), F.col("text").alias("text"), F.struct(F.lit("the cache").alias("type")).alias("cache_control"))
+    result = F.struct(F.lit("tool_result").alias("type"), F.concat(F.lit("of the "), F.col("role")).alias("content"), F.lit("the tool").alias("tool_use_id"))
+    inner = F.concat(F.lit('[{"type":"text","text":"the end","n":1},'), F.to_json(image), F.lit("]"))
+    nested = F.concat(F.lit('{"type":"tool_result","is_error":false,"content":'), inner, F.lit("}"))
+    parts = F.concat(F.lit("["), F.concat_ws(",", F.to_json(text_part), F.to_json(image), F.to_json(result), nested), F.lit("]"))
+    plain = F.to_json(F.struct(F.col("role"), F.col("text").alias("content"), F.lit("the name").alias("name")))
+    many = F.concat(F.lit('{"role":"'), F.col("role"), F.lit('","name":"the name","content":'), parts, F.lit("}"))
+    first = F.lit('{"role":"user","content":"the first \\"question\\""},')
+    message = F.when(F.col("turn") % 2 == 1, plain).when(F.col("turn") % 4 == 0, many).otherwise(F.concat(first, plain))
+    return t.select(
+        F.when(F.col("conv_id") % 7 != 0, F.expr("conv_id div 2")).alias("id"),
+        F.concat(F.lit('{"model":"the model","messages":['), message, F.lit('],"stream":true,"max_tokens":16}')).alias("body"),
+    )
+
+
+_KEY = "(conv_id * 1000 + turn) * 4"
+_UNITS = f"""SELECT {_KEY} AS id, CASE WHEN role = 'user' THEN text ELSE 'the first "question"' END AS text FROM conversations WHERE role = 'user' OR turn % 4 = 2
+    UNION ALL SELECT {_KEY} + 1, 'of the user' FROM conversations WHERE role = 'user' AND turn % 4 = 0
+    UNION ALL SELECT {_KEY} + 2, 'the end' FROM conversations WHERE role = 'user' AND turn % 4 = 0"""
+
+
+def _clean_units(units: str) -> dict[str, str]:
+    return {
+        "corpus": units,
+        "f": O.findings(WORD_PATTERNS, "corpus"),
+        "k": f"SELECT id, masked FROM ({O.folded('SELECT * FROM corpus', 'SELECT * FROM f', contained=True)})",
+    }
+
+
+_IMAGE = "json_object('source', json_object('data', 'the data'), 'type', 'image')"
+_PARTS = f"""json_array(json_object('cache_control', json_object('type', 'the cache'), 'text', t0, 'type', 'text'), {_IMAGE},
+    json_object('content', t1, 'tool_use_id', 'the tool', 'type', 'tool_result'),
+    json_object('content', json_array(json_object('n', 1, 'text', t2, 'type', 'text'), {_IMAGE}), 'is_error', false, 'type', 'tool_result'))"""
 
 
 @query(
     "requests_rewritten",
     with_tables(
-        f"""SELECT c.id, c.n AS n_messages, 'm-1' AS model, coalesce(string_agg(k.masked, chr(10) ORDER BY k.id), '') AS text,
-                   c.others FROM (
-              SELECT {_TURN} AS id, CAST(CASE WHEN turn % 4 = 2 THEN 2 ELSE 1 END AS INTEGER) AS n,
-                     CASE WHEN role <> 'user' THEN {_PART_TEXT} WHEN turn % 4 = 2 THEN 'the first "question"' ELSE '' END AS others
-              FROM conversations) c LEFT JOIN k ON k.id // 2 = c.id GROUP BY c.id, c.n, c.others""",
-        **_CLEAN_UNITS,
+        f"""SELECT CASE WHEN conv_id % 7 <> 0 THEN conv_id // 2 END AS id,
+              CAST(json_object('max_tokens', 16, 'messages', CASE
+                WHEN turn % 4 = 0 THEN json_array(json_object('content', {_PARTS}, 'name', 'the name', 'role', role))
+                WHEN turn % 4 = 2 THEN json_array(json_object('content', f0, 'role', 'user'), json_object('content', t0, 'name', 'the name', 'role', role))
+                ELSE json_array(json_object('content', t0, 'name', 'the name', 'role', role)) END, 'model', 'the model', 'stream', true) AS VARCHAR) AS body
+            FROM (SELECT c.*, CASE WHEN role = 'user' THEN a.masked ELSE text END AS t0, coalesce(b.masked, 'of the ' || role) AS t1, coalesce(d.masked, 'the end') AS t2,
+                    CASE WHEN role = 'user' THEN 'the first "question"' ELSE a.masked END AS f0
+                  FROM conversations c LEFT JOIN k a ON a.id = {_KEY} LEFT JOIN k b ON b.id = {_KEY} + 1 LEFT JOIN k d ON d.id = {_KEY} + 2)""",
+        **_clean_units(_UNITS),
     ),
 )
 def requests_rewritten(spark: SparkSession, sf: str) -> DataFrame:
-    out = extract.rewrite_requests(requests(spark, sf), clean_words)
-    again = extract.last_user(out)
-    other = F.filter(
-        F.transform("messages", lambda m, i: F.when(F.col("idx").isNull() | (i != F.col("idx")), m)),
-        lambda m: m.isNotNull(),
-    )
-
-    def text(m):
-        content = F.try_variant_get(m, "$.content", "variant")
-        parts = F.try_variant_get(content, "$", "array<variant>")
-        return F.when(F.schema_of_variant(content) == "STRING", F.try_variant_get(content, "$", "string")).otherwise(
-            F.array_join(F.filter(F.transform(parts, extract._text_of), lambda t: t.isNotNull()), "\n")
-        )
-
-    return again.select(
-        "id",
-        F.size("messages").alias("n_messages"),
-        F.try_variant_get("doc", "$.model", "string").alias("model"),
-        F.coalesce(F.array_join(F.filter("texts", lambda t: t.isNotNull()), "\n"), F.lit("")).alias("text"),
-        F.array_join(F.transform(other, text), "\n").alias("others"),
-    )
+    """Whole bodies, with the fields of every object in alphabetical order."""
+    out = extract.rewrite_requests(full_requests(spark, sf), clean_words)
+    return out.select("id", F.to_json(F.parse_json("body")).alias("body"))
 
 
 # --- tool messages -----------------------------------------------------------------------------------
@@ -401,16 +415,37 @@ def src_rpc_text(spark: SparkSession, sf: str) -> DataFrame:
     return extract.rpc_text(rpc_messages(spark, sf))
 
 
+def full_rpc(spark: SparkSession, sf: str) -> DataFrame:
+    """Tool messages with more fields in every object; ids repeat, some are null."""
+    t = read_table(spark, sf, "conversations")
+    part = F.to_json(F.struct(F.lit("text").alias("type"), F.col("text"), F.struct(F.lit(0.5).alias("priority")).alias("annotations")))
+    image = F.lit('{"type":"image","data":"the data"}')
+    parts = F.concat(F.lit('{"jsonrpc":"2.0","id":7,"result":{"isError":false,"content":['), F.concat_ws(",", part, image, F.lit('{"type":"text","text":"the end"}')), F.lit("]}}"))
+    return t.select(
+        F.when(F.col("conv_id") % 7 != 0, F.expr("conv_id div 2")).alias("id"),
+        F.when(F.col("turn") % 4 == 0, parts)
+        .when(F.col("turn") % 4 == 1, F.to_json(F.struct(F.lit("2.0").alias("jsonrpc"), F.col("text").alias("result"))))
+        .when(F.col("turn") % 4 == 2, F.to_json(F.struct(F.lit("2.0").alias("jsonrpc"), F.struct(F.col("text").alias("content"), F.lit(1).alias("n")).alias("params"))))
+        .otherwise(F.concat(F.lit("not json: "), F.col("text")))
+        .alias("message"),
+    )
+
+
 @query(
     "rpc_rewritten",
     with_tables(
-        f"""SELECT c.id, c.place, CASE WHEN c.place = '' THEN '' ELSE string_agg(k.masked, chr(10) ORDER BY k.id) END AS text
-            FROM (SELECT {_TURN} AS id, {_PLACE} AS place FROM conversations) c LEFT JOIN k ON k.id // 2 = c.id GROUP BY c.id, c.place""",
-        **{
-            **_CLEAN_UNITS,
-            "units": f"SELECT {_TURN} AS id0, 0 AS part, text FROM conversations WHERE turn % 4 <> 3 UNION ALL SELECT {_TURN}, 1, 'the end' FROM conversations WHERE turn % 4 = 0",
-        },
+        f"""SELECT CASE WHEN conv_id % 7 <> 0 THEN conv_id // 2 END AS id, CASE turn % 4
+              WHEN 0 THEN CAST(json_object('id', 7, 'jsonrpc', '2.0', 'result', json_object('content', json_array(
+                json_object('annotations', json_object('priority', 0.5), 'text', a.masked, 'type', 'text'), json_object('data', 'the data', 'type', 'image'),
+                json_object('text', b.masked, 'type', 'text')), 'isError', false)) AS VARCHAR)
+              WHEN 1 THEN CAST(json_object('jsonrpc', '2.0', 'result', a.masked) AS VARCHAR)
+              WHEN 2 THEN CAST(json_object('jsonrpc', '2.0', 'params', json_object('content', a.masked, 'n', 1)) AS VARCHAR)
+              ELSE 'not json: ' || text END AS message
+            FROM conversations LEFT JOIN k a ON a.id = {_KEY} LEFT JOIN k b ON b.id = {_KEY} + 1""",
+        **_clean_units(f"SELECT {_KEY} AS id, text FROM conversations WHERE turn % 4 <> 3 UNION ALL SELECT {_KEY} + 1, 'the end' FROM conversations WHERE turn % 4 = 0"),
     ),
 )
 def rpc_rewritten(spark: SparkSession, sf: str) -> DataFrame:
-    return extract.rpc_text(extract.clean_rpc(rpc_messages(spark, sf), clean_words))
+    """Whole messages, with the fields of every object in alphabetical order."""
+    out = extract.clean_rpc(full_rpc(spark, sf), clean_words)
+    return out.select("id", F.coalesce(F.to_json(F.try_parse_json("message")), "message").alias("message"))
