@@ -81,22 +81,24 @@ def token_hash(raw: Column) -> Column:
 
 
 def running_rank(rows: DataFrame, key: str, time: str, tie: str, out: str) -> DataFrame:
-    """Position of each row among those of its key, in order of time.
+    """Position of each row among those of its key, in order of time; a null time comes first.
 
-    One key may own a third of all rows, so its rank is not taken in one task: the rank within a day,
-    plus the number of rows on earlier days.
+    One key may own a third of all rows, so its rank is not taken in one task: the rank within a minute,
+    plus the rows in earlier minutes of the hour, plus the rows in earlier hours. A null key is a key.
     """
-    dated = rows.withColumn("__day", F.to_date(time))
-    per_day = dated.groupBy(key, "__day").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(key).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
-    base = per_day.select(key, "__day", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    within = F.row_number().over(Window.partitionBy(key, "__day").orderBy(time, tie))
-    return (
-        dated.withColumn("__rank", within)
-        .join(base, [key, "__day"])
-        .withColumn(out, (F.col("__base") + F.col("__rank")).cast("bigint"))
-        .drop("__rank", "__base", "__day")
-    )
+    minute, hour = F.date_trunc("minute", time), F.date_trunc("hour", "__minute")
+    dated = rows.withColumn("__minute", minute)
+    per_minute = dated.groupBy(key, "__minute").agg(F.count("*").alias("__n")).withColumn("__hour", hour)
+    per_hour = per_minute.groupBy(key, "__hour").agg(F.sum("__n").alias("__n"))
+    hours = Window.partitionBy(key).orderBy("__hour").rowsBetween(Window.unboundedPreceding, -1)
+    minutes = Window.partitionBy(key, "__hour").orderBy("__minute").rowsBetween(Window.unboundedPreceding, -1)
+    before_hour = per_hour.select(F.col(key).alias("__k"), F.col("__hour").alias("__h"), F.coalesce(F.sum("__n").over(hours), F.lit(0)).alias("__base"))
+    before = per_minute.withColumn("__earlier", F.coalesce(F.sum("__n").over(minutes), F.lit(0)))
+    before = before.join(before_hour, before[key].eqNullSafe(before_hour["__k"]) & before["__hour"].eqNullSafe(before_hour["__h"]))
+    before = before.select(F.col(key).alias("__key"), F.col("__minute").alias("__at"), (F.col("__base") + F.col("__earlier")).alias("__before"))
+    ranked = dated.withColumn("__rank", F.row_number().over(Window.partitionBy(key, "__minute").orderBy(time, tie)))
+    placed = ranked.join(before, ranked[key].eqNullSafe(before["__key"]) & ranked["__minute"].eqNullSafe(before["__at"]))
+    return placed.withColumn(out, (F.col("__before") + F.col("__rank")).cast("bigint")).drop("__rank", "__before", "__minute", "__key", "__at")
 
 
 def admit(attempts: DataFrame, tokens: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -84,7 +85,7 @@ def label_states(toggle_maps: DataFrame) -> DataFrame:
             for rule, label in LABEL_RULES.items()
         ]
     )
-    picked = F.get(F.map_values(F.map_filter("toggles", lambda k, v: k == F.col("r.rule"))), F.lit(0))
+    picked = F.try_element_at("toggles", F.col("r.rule"))
     return toggle_maps.select("user_id", "toggles", F.explode(rows).alias("r")).select(
         "user_id", F.col("r.label").alias("label"), F.coalesce(picked, F.col("r.d")).alias("enabled")
     )
@@ -116,7 +117,7 @@ def keep_first(e: Column, suppressed: list[str], min_score: float = DEFAULT_MIN,
     word = F.lower(_trim(text))
     digit = text.rlike("[0-9]")
     refused = (
-        (F.lit(bool(suppressed)) & label.isin(*suppressed, ""))
+        (label.isin(*suppressed) if suppressed else F.lit(False))
         | ((label == "PERSON") & word.isin(*GENERIC_ROLES))
         | _placeholder(text)
         | (label.isin("MEDICAL_RECORD", "NATIONAL_ID", "IBAN") & ~digit)
@@ -181,17 +182,30 @@ def to_findings(entities: Column, layer: str, layer_ord: int, label: Callable[[C
 Loader = Callable[[], Callable[[list[str]], list[list[dict]]]]
 
 
+def isolated(predict: Callable[[list[str]], list[list[dict]]], texts: list[str]) -> list[list[dict] | None]:
+    """Spans of each text, null for those that the model fails on."""
+    try:
+        return list(predict(texts)) if texts else []
+    except Exception as failure:  # whatever a model raises concerns its texts
+        if len(texts) == 1:
+            logging.getLogger(__name__).warning("a model failed on a text of %d characters: %r", len(texts[0]), failure)
+            return [None]
+    half = len(texts) // 2
+    return isolated(predict, texts[:half]) + isolated(predict, texts[half:])
+
+
 def model_column(load: Loader) -> Callable[[Column], Column]:
-    """Arrow batch function around a model.  A batch the model fails on gives nulls, not a dead job."""
+    """Arrow batch function around a model.
+
+    A text that the model fails on gives a null. A batch it fails on is halved until that text stands
+    alone, so its neighbours keep their spans. A model that can not be loaded fails the job.
+    """
 
     @F.pandas_udf(f"array<{ENTITY}>")
     def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         predict = load()
         for texts in batches:
-            try:
-                yield pd.Series(predict([t or "" for t in texts]))
-            except Exception:
-                yield pd.Series([None] * len(texts))
+            yield pd.Series(isolated(predict, [t or "" for t in texts]))
 
     return spans
 

@@ -124,29 +124,33 @@ def hourly(reports: DataFrame, now: Column, hours: int = 24) -> DataFrame:
 
 
 def trend(reports: DataFrame) -> DataFrame:
-    """Newer half of the reports against the older half.
+    """Newer half of the reports against the older half; reports without a ts are the oldest.
 
-    The boundary is the ts at which the halves part; only reports with that very ts need ranking, so
-    the log is not sorted in one task: a histogram of whole seconds finds the second of the boundary.
+    The boundary is the place at which the halves part. Counts by hour find its hour, counts by second
+    in that hour its second, and only the reports of that second are ranked.
     """
     second = F.date_trunc("second", "ts")
     per_second = reports.groupBy(second.alias("sec")).agg(F.count("*").alias("n"))
     per_hour = per_second.groupBy(F.date_trunc("hour", "sec").alias("hour")).agg(F.sum("n").alias("n"))
     total = per_hour.agg(F.sum("n").alias("total")).select(F.ceil(F.col("total") / 2).alias("half"))
-    # Hours are few whatever the log holds, so one window over them is small.
-    newest = Window.orderBy(F.desc("hour")).rowsBetween(Window.unboundedPreceding, -1)
-    hours = (
-        per_hour.withColumn("before", F.coalesce(F.sum("n").over(newest), F.lit(0)))
-        .crossJoin(F.broadcast(total))
-        .where((F.col("before") < F.col("half")) & (F.col("before") + F.col("n") >= F.col("half")))
-        .select(F.col("hour").alias("cut_hour"), (F.col("half") - F.col("before")).alias("need"))
-    )
-    tagged = reports.crossJoin(F.broadcast(hours)).withColumn("hour", F.date_trunc("hour", "ts"))
-    inside = tagged.where(F.col("hour") == F.col("cut_hour"))
-    rank = F.row_number().over(Window.partitionBy("hour").orderBy(F.desc("ts"), "id"))
-    split = inside.withColumn("recent", rank <= F.col("need")).unionByName(
-        tagged.where(F.col("hour") != F.col("cut_hour")).withColumn("recent", F.col("hour") > F.col("cut_hour"))
-    )
+
+    def cut(counts: DataFrame, at: str) -> DataFrame:
+        """The unit of time in which the boundary lies, and how many of its reports are recent."""
+        newest = Window.orderBy(F.desc_nulls_last(at)).rowsBetween(Window.unboundedPreceding, -1)
+        placed = counts.withColumn("before", F.coalesce(F.sum("n").over(newest), F.lit(0)))
+        return placed.where((F.col("before") < F.col("half")) & (F.col("before") + F.col("n") >= F.col("half"))).select(
+            F.col(at).alias("cut"), (F.col("half") - F.col("before")).alias("need")
+        )
+
+    # Hours are few whatever the log holds, and an hour has 3600 seconds: both windows are small.
+    hours = cut(per_hour.crossJoin(F.broadcast(total)), "hour")
+    inner = per_second.crossJoin(F.broadcast(hours.select(F.col("cut").alias("hour"), F.col("need").alias("half"))))
+    seconds = cut(inner.where(F.date_trunc("hour", "sec").eqNullSafe(F.col("hour"))), "sec")
+    tagged = reports.withColumn("sec", second).crossJoin(F.broadcast(seconds))
+    here = F.col("sec").eqNullSafe(F.col("cut"))
+    rank = F.row_number().over(Window.partitionBy("sec").orderBy(F.desc("ts"), "id"))
+    later = F.when(F.col("cut").isNull(), F.col("sec").isNotNull()).otherwise(F.coalesce(F.col("sec") > F.col("cut"), F.lit(False)))
+    split = tagged.where(here).withColumn("recent", rank <= F.col("need")).unionByName(tagged.where(~here).withColumn("recent", later))
     names = {"scanned": F.lit(True), "redacted": F.size("redactions") > 0, "blocked": F.col("blocked")}
     sums = [
         F.count_if(cond & (F.col("recent") == side)).alias(f"{name}_{half}")

@@ -67,8 +67,7 @@ def effective(users: DataFrame, toggles: DataFrame) -> DataFrame:
         .select(
             "user_id",
             "r.*",
-            F.coalesce(F.get(F.map_values(F.map_filter("toggles", lambda k, v: k == F.col("r.rule_id"))), F.lit(0)),
-                       default_state(F.col("r.tier"))).alias("enabled"),
+            F.coalesce(F.try_element_at("toggles", F.col("r.rule_id")), default_state(F.col("r.tier"))).alias("enabled"),
         )
     )
 

@@ -33,7 +33,7 @@ _TABLES = {
     "credited": f"""SELECT t.id, t.value, t.s, t.e, t.label, c.by_layer, c.by_label FROM truth t LEFT JOIN
         (SELECT id, value, s, e, label, min_by(by_layer, pos) AS by_layer, min_by(by_label, pos) AS by_label FROM pairs GROUP BY 1, 2, 3, 4, 5) c
         USING (id, value, s, e, label) WHERE t.label NOT IN ({', '.join(O.lit(x) for x in IGNORED)})""",
-    "wrong": "SELECT * FROM pred p WHERE NOT EXISTS (SELECT 1 FROM pairs x WHERE x.id = p.id AND x.pos = p.pos)",
+    "wrong": "SELECT p.* FROM pred p ANTI JOIN (SELECT DISTINCT id, pos FROM pairs) x ON x.id = p.id AND x.pos = p.pos",
 }
 
 

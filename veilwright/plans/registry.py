@@ -25,6 +25,6 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def with_tables(select: str, **relations: str) -> str:
-    """``WITH`` clause from named relations, in the order given."""
-    parts = ", ".join(f"{name} AS ({sql})" for name, sql in relations.items())
+    """``WITH`` clause from named relations, in the order given; each is computed once."""
+    parts = ", ".join(f"{name} AS MATERIALIZED ({sql})" for name, sql in relations.items())
     return f"WITH {parts} {select}"

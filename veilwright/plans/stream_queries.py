@@ -51,10 +51,16 @@ def stream_scan(spark: SparkSession, sf: str) -> DataFrame:
     return _written(spark, out, "stream-scan")
 
 
-@query("stream_ingest", with_tables(f"SELECT {Q.EV} FROM ev WHERE {Q._OK}", **Q.TABLES))
+@query("stream_ingest", with_tables(f"SELECT {Q.EV} FROM ev WHERE {Q._OK} AND {Q._ADMITTED}", **Q.TABLES))
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    folder = new_folder(spark, "stream-ingest")
+
+    def sink(batch: DataFrame, number: int) -> None:
+        Q.ev(batch).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
     events = Q.events_of(_stream(spark, sf, "events"))
-    return _written(spark, Q.ev(J.ingest_stream(events, Q.devices(spark, sf))), "stream-ingest")
+    J.ingest_batches(events, Q.devices(spark, sf), sink, f"{folder}/state").awaitTermination()
+    return Q.ev(spark.read.parquet(f"{folder}/out"))
 
 
 @query(
@@ -109,10 +115,7 @@ def stream_admissions(spark: SparkSession, sf: str) -> DataFrame:
 )
 def stream_first_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Repeat suppression: as many rows as there are distinct texts."""
-    texts = _stream(spark, sf, "documents").select(
-        "text", F.timestamp_seconds(F.lit(1704067200)).alias("seen_at")
-    )
-    out = J.first_sightings(texts, "seen_at").select("hash", F.lit(True).alias("seen"))
+    out = J.first_sightings(_stream(spark, sf, "documents").select("text")).select("hash", F.lit(True).alias("seen"))
     return _written(spark, out, "stream-first")
 
 

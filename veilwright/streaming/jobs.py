@@ -6,9 +6,11 @@ kept only for windows, for repeat suppression and for the uses of enrolment toke
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -33,18 +35,32 @@ def scan_stream(texts: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return scan_and_redact(texts, settings=settings)
 
 
-def first_sightings(texts: DataFrame, seen_at: str, keep: str = "1 hour", text: str = "text") -> DataFrame:
-    """Texts not seen within ``keep``; the state holds hashes, not texts."""
-    return (
-        texts.withColumn("hash", text_hash(text)).withWatermark(seen_at, keep).dropDuplicatesWithinWatermark(["hash"])
-    )
+def first_sightings(texts: DataFrame, keep: str = "1 hour", text: str = "text") -> DataFrame:
+    """Texts that did not arrive within the last ``keep``; the state holds hashes, not texts.
+
+    The clock is the arrival of the batch. By a clock in the data an old text would lie behind the
+    watermark and be dropped, seen before or not; so every text that is new here gets through.
+    """
+    arrived = texts.withColumn("hash", text_hash(text)).withColumn("arrived_at", F.current_timestamp())
+    return arrived.withWatermark("arrived_at", keep).dropDuplicatesWithinWatermark(["hash"])
 
 
 def ingest_stream(events: DataFrame, devices: DataFrame) -> DataFrame:
-    """Authorised events of a stream; the devices are joined as they are at each batch."""
+    """Authorised events of a stream; the devices are joined as they are at each batch.
+
+    For events of batches that were already admitted; ``ingest_batches`` admits them first.
+    """
     return fleet.authorised(events, devices)
 
 
+def ingest_batches(events: DataFrame, devices: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Events of a stream whose batch is not too large and whose device may send them.
+
+    A batch of events arrives as a whole, in one file, so its size is known within one trigger.
+    """
+    return each_batch(events, lambda batch, number: sink(fleet.ingest(batch, devices), number), checkpoint)
+
+
 def verdict_windows(
     events: DataFrame, clock: str = "received_at", late: str = "10 minutes", size: str = "24 hours", step: str = "1 hour"
 ) -> DataFrame:
@@ -103,15 +119,16 @@ def reloading_scan(
 ) -> StreamingQuery:
     """Scan with rules that may change: they are read before each batch.
 
-    Settings that can not be read leave the last good ones in force.
+    The first ones must be readable: without a good setting nothing is scanned. Later, settings that
+    can not be read (a missing or broken file) leave the last good ones in force, with a warning.
     """
-    current = {"settings": Settings()}
+    current = {"settings": read_settings()}
 
     def run(batch: DataFrame, number: int) -> None:
         try:
             current["settings"] = read_settings()
-        except Exception:
-            pass
+        except (OSError, ValueError, KeyError, PySparkException) as failure:
+            logging.getLogger(__name__).warning("batch %d keeps the last settings: %s", number, failure)
         sink(scan_and_redact(batch, settings=current["settings"]), number)
 
     return each_batch(texts, run, checkpoint)
