@@ -43,10 +43,6 @@ class Pattern(NamedTuple):
     gate: tuple[str, ...] = ("#digit",)
 
 
-def _words(text: str) -> tuple[str, ...]:
-    return tuple(w.strip() for w in text.split(",")) if text else ()
-
-
 # ---------------------------------------------------------------------------
 # Labels, expressions, scores and context words of the detector.
 # ---------------------------------------------------------------------------
@@ -55,15 +51,15 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
 _H = "[0-9A-Fa-f]"
 _MBI = "[ACDEFGHJKMNPQRTUVWXY]"
 _MBI_N = "[0-9ACDEFGHJKMNPQRTUVWXY]"
-_BIRTH = "birthday,born,dob,date of birth,birth date,birthdate"
-_MAC = "mac,mac address,hardware address,physical address,ethernet,device"
-_TAXPAYER = "individual,taxpayer,itin,tax,payer,tin"
-_US_PASSPORT = "passport,travel,document,us passport"
-_ABA = "aba,routing,bankrouting,transit"
-_MEDICARE = "medicare,mbi,beneficiary,cms,medicaid"
-_PROVIDER = "npi,national provider,provider,provider id,taxonomy"
-_SIN = "sin,social insurance,canada"
-_SSN = "social,security,ssn"
+_BIRTH = ("birthday", "born", "dob", "date of birth", "birth date", "birthdate")
+_MAC = ("mac", "mac address", "hardware address", "physical address", "ethernet", "device")
+_TAXPAYER = ("individual", "taxpayer", "itin", "tax", "payer", "tin")
+_US_PASSPORT = ("passport", "travel", "document", "us passport")
+_ABA = ("aba", "routing", "bankrouting", "transit")
+_MEDICARE = ("medicare", "mbi", "beneficiary", "cms", "medicaid")
+_PROVIDER = ("npi", "national provider", "provider", "provider id", "taxonomy")
+_SIN = ("sin", "social insurance", "canada")
+_SSN = ("social", "security", "ssn")
 
 _EMAIL_SET = r"!#$%&'*+\-/=?^_`{|}~"
 _EMAIL = (
@@ -101,10 +97,6 @@ _PEM = (
     r"(?s)-----BEGIN\s+(?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----.*?"
     r"-----END\s+(?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----"
 )
-_ID_NOUNS = (
-    "customer|employee|member|patient|policy|claim|case|ref(?:erence)?|order|invoice|ticket"
-    "|tracking|confirmation|transaction"
-)
 _PHONE_PLUS = r"\+\d{1,4}[\s\-.]?\(?\d{1,5}\)?[\s\-.]?\d{2,5}[\s\-.]?\d{2,5}[\s\-.]?\d{0,5}"
 _PHONE_ZERO = r"\b0\d{2,4}[\s.\-]\d{3,8}[\s.\-]?\d{0,6}\b"
 _PHONE_ZEROS = r"\b00\d{2,4}[\s.\-]\d{2,5}[\s\-.]?\d{3,5}[\s\-.]?\d{0,5}\b"
@@ -130,92 +122,93 @@ _EXPIRY = r"\b(?:0[1-9]|1[0-2])\/(?:2[0-9]|3[0-9])\b"
 PATTERNS: tuple[Pattern, ...] = (
     Pattern(1, "credit_card_luhn", "CREDIT_CARD",
             r"\b((4\d{3})|(5[0-5]\d{2})|(6\d{3})|(1\d{3})|(3\d{3}))[- ]?(\d{3,4})[- ]?(\d{3,4})[- ]?(\d{3,5})\b",
-            0.3, _words("credit,card,visa,mastercard,cc,amex,discover,jcb,diners,maestro"),
+            0.3, ("credit", "card", "visa", "mastercard", "cc", "amex", "discover", "jcb", "diners", "maestro"),
             "card", profile="extended"),
     Pattern(2, "crypto_btc", "CRYPTO", r"\b(bc1|[13])[a-zA-HJ-NP-Z0-9]{25,59}\b", 0.5,
-            _words("wallet,btc,bitcoin,crypto")),
+            ("wallet", "btc", "bitcoin", "crypto")),
     Pattern(3, "crypto_eth", "CRYPTO", r"\b0x[a-fA-F0-9]{40}\b", 0.5,
-            _words("wallet,eth,ethereum,crypto")),
+            ("wallet", "eth", "ethereum", "crypto")),
     Pattern(4, "email_regex", "EMAIL_ADDRESS", _EMAIL, 0.5, ("email",), edges="L", gate=("@",)),
     Pattern(5, "iban_presidio", "IBAN_CODE",
             r"(?:[^A-Z0-9]|^)([A-Z]{2}[0-9]{2}(?:[ -]?[A-Z0-9]{4}){2,7}(?:[ -]?[A-Z0-9]{1,4})?)(?:[^A-Z0-9]|$)",
-            0.5, _words("iban,bank,transaction,account"), "iban"),
+            0.5, ("iban", "bank", "transaction", "account"), "iban"),
     Pattern(6, "ipv4", "IP_ADDRESS",
             rf"\b{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}(?:/(?:[0-2]?\d|3[0-2]))?\b",
-            0.6, _words("ip,ipv4,ipv6,address")),
-    Pattern(7, "ipv6", "IP_ADDRESS", _IPV6, 0.6, _words("ip,ipv4,ipv6")),
+            0.6, ("ip", "ipv4", "ipv6", "address")),
+    Pattern(7, "ipv6", "IP_ADDRESS", _IPV6, 0.6, ("ip", "ipv4", "ipv6")),
     Pattern(8, "url_bare", "URL", r"https?://[^\s<>\"')\]]+", 0.5, (), "url"),
     Pattern(9, "dob_mdy", "DATE_OF_BIRTH",
             r"\b(?:0?[1-9]|1[0-2])[/\-.](?:0?[1-9]|[12]\d|3[01])[/\-.](?:\d{4}|\d{2})\b",
-            0.3, _words(_BIRTH), required=True),
+            0.3, _BIRTH, required=True),
     Pattern(10, "dob_dmy", "DATE_OF_BIRTH",
             r"\b(?:0?[1-9]|[12]\d|3[01])[/\-.](?:0?[1-9]|1[0-2])[/\-.](?:\d{4}|\d{2})\b",
-            0.3, _words(_BIRTH), required=True),
+            0.3, _BIRTH, required=True),
     Pattern(11, "mac_colon_dash", "MAC_ADDRESS", rf"\b{_H}{{2}}:{_H}{{2}}:{_H}{{2}}:{_H}{{2}}:{_H}{{2}}:{_H}{{2}}\b",
-            0.6, _words(_MAC), "mac"),
+            0.6, _MAC, "mac"),
     Pattern(12, "mac_colon_dash", "MAC_ADDRESS", rf"\b{_H}{{2}}-{_H}{{2}}-{_H}{{2}}-{_H}{{2}}-{_H}{{2}}-{_H}{{2}}\b",
-            0.6, _words(_MAC), "mac"),
+            0.6, _MAC, "mac"),
     Pattern(13, "mac_cisco_dot", "MAC_ADDRESS", rf"\b{_H}{{4}}\.{_H}{{4}}\.{_H}{{4}}\b", 0.6,
-            _words("mac,mac address,hardware address,cisco")),
+            ("mac", "mac address", "hardware address", "cisco")),
     Pattern(14, "us_ssn_dash", "US_SSN", r"\b([0-9]{3})[- .]([0-9]{2})[- .]([0-9]{4})\b", 0.5,
-            _words("social,security,ssn,ssns"), "ssn"),
+            ("social", "security", "ssn", "ssns"), "ssn"),
     Pattern(15, "us_itin_dash", "US_ITIN", r"\b9\d{2}[- ](5\d|6[0-5]|7\d|8[0-8]|9[0-24-9])[- ]\d{4}\b",
-            0.5, _words(_TAXPAYER)),
+            0.5, _TAXPAYER),
     Pattern(16, "us_itin_bare", "US_ITIN", r"\b9\d{2}(5\d|6[0-5]|7\d|8[0-8]|9[0-24-9])\d{4}\b",
-            0.3, _words(_TAXPAYER), required=True),
-    Pattern(17, "us_passport_numeric", "US_PASSPORT", r"\b\d{9}\b", 0.05, _words(_US_PASSPORT), required=True),
-    Pattern(18, "us_passport_alpha", "US_PASSPORT", r"\b[A-Z]\d{8}\b", 0.1, _words(_US_PASSPORT)),
+            0.3, _TAXPAYER, required=True),
+    Pattern(17, "us_passport_numeric", "US_PASSPORT", r"\b\d{9}\b", 0.05, _US_PASSPORT, required=True),
+    Pattern(18, "us_passport_alpha", "US_PASSPORT", r"\b[A-Z]\d{8}\b", 0.1, _US_PASSPORT),
     Pattern(19, "us_driver_license", "US_DRIVER_LICENSE", _US_LICENSE, 0.3,
-            _words("driver,license,licence,permit,identification,driving,dl,lic"), required=True),
+            ("driver", "license", "licence", "permit", "identification", "driving", "dl", "lic"), required=True),
     Pattern(20, "us_bank_number", "US_BANK_NUMBER", r"\b\d{10,17}\b", 0.05,
-            _words("account#,acct,bank account,checking,savings,routing number"), required=True),
-    Pattern(21, "aba_routing_dashed", "ABA_ROUTING", r"\b[0123678]\d{3}-\d{4}-\d\b", 0.3, _words(_ABA), "aba"),
-    Pattern(22, "aba_routing_bare", "ABA_ROUTING", r"\b[0123678]\d{8}\b", 0.05, _words(_ABA), "aba", required=True),
+            ("account#", "acct", "bank account", "checking", "savings", "routing number"), required=True),
+    Pattern(21, "aba_routing_dashed", "ABA_ROUTING", r"\b[0123678]\d{3}-\d{4}-\d\b", 0.3, _ABA, "aba"),
+    Pattern(22, "aba_routing_bare", "ABA_ROUTING", r"\b[0123678]\d{8}\b", 0.05, _ABA, "aba", required=True),
     Pattern(23, "dea_license", "MEDICAL_LICENSE", r"\b[ABCDEFGHJKLMPRSTUXabcdefghjklmprstux][a-zA-Z]\d{7}\b",
-            0.4, _words("medical,certificate,dea,license,npi,provider")),
+            0.4, ("medical", "certificate", "dea", "license", "npi", "provider")),
     Pattern(24, "us_mbi_separated", "US_MBI",
-            rf"\b\d{_MBI}{_MBI_N}\d-{_MBI}{_MBI_N}\d-{_MBI}{_MBI}\d{{2}}\b", 0.5, _words(_MEDICARE)),
+            rf"\b\d{_MBI}{_MBI_N}\d-{_MBI}{_MBI_N}\d-{_MBI}{_MBI}\d{{2}}\b", 0.5, _MEDICARE),
     Pattern(25, "us_mbi_bare", "US_MBI",
-            rf"\b\d{_MBI}{_MBI_N}\d{_MBI}{_MBI_N}\d{_MBI}{_MBI}\d{{2}}\b", 0.3, _words(_MEDICARE), required=True),
-    Pattern(26, "us_npi_separated", "US_NPI", r"\b[12]\d{3}[ -]\d{3}[ -]\d{3}\b", 0.4, _words(_PROVIDER)),
-    Pattern(27, "us_npi_bare", "US_NPI", r"\b[12]\d{9}\b", 0.1, _words(_PROVIDER), required=True),
+            rf"\b\d{_MBI}{_MBI_N}\d{_MBI}{_MBI_N}\d{_MBI}{_MBI}\d{{2}}\b", 0.3, _MEDICARE, required=True),
+    Pattern(26, "us_npi_separated", "US_NPI", r"\b[12]\d{3}[ -]\d{3}[ -]\d{3}\b", 0.4, _PROVIDER),
+    Pattern(27, "us_npi_bare", "US_NPI", r"\b[12]\d{9}\b", 0.1, _PROVIDER, required=True),
     Pattern(28, "uk_nhs", "UK_NHS", r"\b\d{3}[- ]?\d{3}[- ]?\d{4}\b", 0.3,
-            _words("national health service,nhs,health services authority,health authority"), "nhs", required=True),
+            ("national health service", "nhs", "health services authority", "health authority"), "nhs", required=True),
     Pattern(29, "uk_nino", "UK_NINO",
             r"(?i)\b[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z] ?\d{2} ?\d{2} ?\d{2} ?[A-D]\b", 0.5,
-            _words("national insurance,ni number,nino"), "nino", profile="extended", edges="LR"),
+            ("national insurance", "ni number", "nino"), "nino", profile="extended", edges="LR"),
     Pattern(30, "uk_postcode", "UK_POSTCODE", _UK_POSTCODE, 0.1,
-            _words("postcode,post code,postal code,zip,address,delivery,mailing"), required=True),
+            ("postcode", "post code", "postal code", "zip", "address", "delivery", "mailing"), required=True),
     Pattern(31, "uk_passport", "UK_PASSPORT", r"\b[A-Z]{2}\d{7}\b", 0.1,
-            _words("passport,travel document,uk passport,british passport"), required=True),
+            ("passport", "travel document", "uk passport", "british passport"), required=True),
     Pattern(32, "uk_driving_licence", "UK_DRIVING_LICENCE",
             r"\b[A-Z9]{5}\d(?:0[1-9]|1[0-2]|5[1-9]|6[0-2])(?:0[1-9]|[12]\d|3[01])\d[A-Z9]{2}[A-Z0-9][A-Z]{2}\b",
-            0.5, _words("driving licence,driving license,driver,dvla,licence number,license number")),
-    Pattern(33, "ca_sin", "CA_SIN", r"\b[1-79]\d{2}-\d{3}-\d{3}\b", 0.5, _words(_SIN), "sin"),
-    Pattern(34, "ca_sin", "CA_SIN", r"\b[1-79]\d{2} \d{3} \d{3}\b", 0.5, _words(_SIN), "sin"),
-    Pattern(35, "au_tfn", "AU_TFN", r"\b\d{3}\s\d{3}\s\d{3}\b", 0.1, _words("tax file number,tfn"), "tfn",
+            0.5, ("driving licence", "driving license", "driver", "dvla", "licence number", "license number")),
+    Pattern(33, "ca_sin", "CA_SIN", r"\b[1-79]\d{2}-\d{3}-\d{3}\b", 0.5, _SIN, "sin"),
+    Pattern(34, "ca_sin", "CA_SIN", r"\b[1-79]\d{2} \d{3} \d{3}\b", 0.5, _SIN, "sin"),
+    Pattern(35, "au_tfn", "AU_TFN", r"\b\d{3}\s\d{3}\s\d{3}\b", 0.1, ("tax file number", "tfn"), "tfn",
             required=True),
     Pattern(36, "in_pan", "IN_PAN", r"(?i)\b[A-Z]{3}[ABCFGHLJPT][A-Z]\d{4}[A-Z]\b", 0.5,
-            _words("permanent account number,pan,income tax"), edges="LR"),
-    Pattern(37, "es_nif", "ES_NIF", r"\b\d{8}[A-Z]\b", 0.3, _words("dni,nif,identificacion,documento"), "nif"),
+            ("permanent account number", "pan", "income tax"), edges="LR"),
+    Pattern(37, "es_nif", "ES_NIF", r"\b\d{8}[A-Z]\b", 0.3, ("dni", "nif", "identificacion", "documento"), "nif"),
     Pattern(38, "de_passport", "DE_PASSPORT", r"\b[CFGHJKLMNPRTVWXYZ][CFGHJKLMNPRTVWXYZ0-9]{7}\d\b", 0.4,
-            _words("reisepass,passport,passnummer,passport number"), required=True),
-    Pattern(39, "sg_nric_fin", "SG_NRIC_FIN", r"(?i)\b[STFGM]\d{7}[A-Z]\b", 0.5, _words("fin,nric,singapore"),
+            ("reisepass", "passport", "passnummer", "passport number"), required=True),
+    Pattern(39, "sg_nric_fin", "SG_NRIC_FIN", r"(?i)\b[STFGM]\d{7}[A-Z]\b", 0.5, ("fin", "nric", "singapore"),
             edges="LR"),
     Pattern(40, "person_id_generic", "PERSON_ID",
-            rf"(?i)(?:{_ID_NOUNS})\s*(?:id|no|number|num|#|:)\s*[:=#]?\s*[A-Z0-9\-]{{4,20}}\b", 0.5, edges="R",
+            r"(?i)(?:customer|employee|member|patient|policy|claim|case|ref(?:erence)?|order|invoice|ticket|tracking|confirmation|transaction)"
+            r"\s*(?:id|no|number|num|#|:)\s*[:=#]?\s*[A-Z0-9\-]{4,20}\b", 0.5, edges="R",
             gate=("customer|employee|member|patient|policy|claim|case|ref|order|invoice|ticket|tracking"
                   "|confirmation|transaction",)),
     Pattern(41, "swift_bic", "SWIFT_BIC", r"\b[A-Z]{4}[A-Z]{2}[A-Z0-9]{2}(?:[A-Z0-9]{3})?\b", 0.3,
-            _words("swift,bic,wire,routing,correspondent"), "swift", required=True),
+            ("swift", "bic", "wire", "routing", "correspondent"), "swift", required=True),
     Pattern(42, "cvv", "CVV", r"(?i)(?:cvv|cvc|cvv2|cvc2|security\s*code|card\s*verification)\s*[:=]?\s*\d{3,4}\b",
-            0.6, _words("card,credit,visa,mastercard,amex,expir,cardholder,payment"), required=True,
+            0.6, ("card", "credit", "visa", "mastercard", "amex", "expir", "cardholder", "payment"), required=True,
             gate=("#digit", "cvv|cvc|security|verification")),
     Pattern(43, "phone_parens", "PHONE_NUMBER", r"\(\d{3}\)[\s.\-]?\d{3}[\s.\-]?\d{4}", 0.7),
     Pattern(44, "phone_dash_dot", "PHONE_NUMBER", r"\b\d{3}[\-\.]\d{3}[\-\.]\d{4}\b", 0.6),
     Pattern(45, "phone_intl_plus", "PHONE_NUMBER", _PHONE_PLUS, 0.6, gate=("#digit", "+")),
     Pattern(46, "phone_leading_zero", "PHONE_NUMBER", _PHONE_ZERO, 0.5,
-            _words("phone,tel,mobile,cell,call,fax,contact"), edges="R"),
+            ("phone", "tel", "mobile", "cell", "call", "fax", "contact"), edges="R"),
     Pattern(47, "phone_double_zero", "PHONE_NUMBER", _PHONE_ZEROS, 0.5, edges="R"),
     Pattern(48, "aws_access_key", "AWS_ACCESS_KEY", r"AKIA[0-9A-Z]{16}", 0.9, gate=("akia",)),
     Pattern(49, "aws_secret_key", "AWS_SECRET_KEY", _AWS_SECRET, 0.9),
@@ -228,11 +221,11 @@ PATTERNS: tuple[Pattern, ...] = (
     Pattern(56, "password_prose", "PASSWORD", _PASSWORD_PROSE, 0.7, (), "prose", profile="extended",
             gate=("password|passwd|pwd|passcode",)),
     Pattern(57, "imei", "IMEI", r"\b\d{2}-\d{6}-\d{6}-\d{1}\b", 0.7),
-    Pattern(58, "cc_expiry", "CC_EXPIRY", _EXPIRY, 0.4, _words("card,credit,expir,exp,valid")),
+    Pattern(58, "cc_expiry", "CC_EXPIRY", _EXPIRY, 0.4, ("card", "credit", "expir", "exp", "valid")),
     Pattern(59, "insurance_id", "INSURANCE_ID", _INSURANCE, 0.6, gate=("#digit", "insurance|policy|health|member")),
     Pattern(60, "registration_id_generic", "REGISTRATION_ID", _STUDENT_ID, 0.6, (), "digit", profile="extended",
             edges="R", gate=("#digit", "student|reg|enrollment")),
-    Pattern(61, "iban_simple", "IBAN_CODE", _IBAN_FLAT, 0.5, _words("iban,bank,account")),
+    Pattern(61, "iban_simple", "IBAN_CODE", _IBAN_FLAT, 0.5, ("iban", "bank", "account")),
     Pattern(62, "credit_card_4x4", "CREDIT_CARD", _CARD_4X4, 0.7),
     Pattern(63, "health_plan_id", "HEALTH_PLAN_ID",
             r"(?i)(?:health\s*plan|beneficiary|hpb|hic|hicn|subscriber)\s*(?:id|no|number|num|#|:)\s*[:=#]?\s*[A-Z0-9\-]{6,15}\b",
@@ -250,8 +243,8 @@ PATTERNS: tuple[Pattern, ...] = (
     Pattern(67, "url_with_token", "URL_WITH_TOKEN",
             r"https?://[^\s<>\"')\]]*[?&](?:token|session|auth|key|api_key|access_token|sid|csrf|jwt)=[^\s<>\"')\]&]+",
             0.8),
-    Pattern(68, "us_ssn_dash", "US_SSN", r"\b\d{3}-\d{2}-\d{4}\b", 0.5, _words(_SSN)),
-    Pattern(69, "us_ssn_space", "US_SSN", r"\b\d{3}\s\d{2}\s\d{4}\b", 0.5, _words(_SSN)),
+    Pattern(68, "us_ssn_dash", "US_SSN", r"\b\d{3}-\d{2}-\d{4}\b", 0.5, _SSN),
+    Pattern(69, "us_ssn_space", "US_SSN", r"\b\d{3}\s\d{2}\s\d{4}\b", 0.5, _SSN),
     Pattern(70, "credit_card_bare", "CREDIT_CARD", _CARD_BARE, 0.7, profile="extended"),
 )
 
