@@ -2,7 +2,9 @@
 
 Spark runs ``java.util.regex``; the pattern dimension is written for RE2.  The differences that
 matter: Java's ``\\b`` looks at Unicode letters while ``\\w`` is ASCII, ``.`` and ``$`` stop at more
-line ends, ``(?i)`` folds ASCII only, and ``\\s`` includes the vertical tab.
+line ends, ``\\s`` includes the vertical tab, and folding. Folded by RE2, ``s`` is also the long s and
+``k`` the Kelvin sign, and no i has a dot above or none at all; Java folds ASCII only, or else takes
+those for an i. So ASCII is folded by the flag, and the two signs are spelled out.
 """
 
 from __future__ import annotations
@@ -33,6 +35,35 @@ def _walk_once(java: str) -> str:
     return java.replace(_LOCAL_RUN, _LOCAL_RUN_ONCE)
 
 
+#: Letters beyond ASCII that fold to an ASCII letter.
+_ALSO = {"s": "\u017f", "k": "\u212a"}
+
+
+def _class_end(body: str, start: int) -> int:
+    """Place of the bracket that ends the class beginning at ``start``."""
+    i = start + (2 if body[start + 1 : start + 2] == "^" else 1)
+    while body[i] != "]":
+        i += 2 if body[i] == "\\" else 1
+    return i
+
+
+def _also_in(members: str) -> str:
+    """The signs beyond ASCII that a folded class of these members takes in."""
+    found = re.findall(r"\\.|[^\\]-[^\\]|[^\\]", members, re.S)
+
+    def covers(letter: str) -> bool:
+        pairs = [(m[0], m[-1]) for m in found if m[0] != "\\"]
+        return "\\w" in found or any(low <= c <= high for low, high in pairs for c in (letter, letter.upper()))
+
+    return "".join(sign for letter, sign in _ALSO.items() if covers(letter))
+
+
+def _folded(letter: str) -> str:
+    if letter.lower() in _ALSO:
+        return f"[{letter}{_ALSO[letter.lower()]}]"
+    return f"(?u:{letter})" if letter.isalpha() and not letter.isascii() else letter
+
+
 def to_java(regex: str, edges: str = "") -> str:
     """Java form of an RE2 expression.
 
@@ -43,8 +74,8 @@ def to_java(regex: str, edges: str = "") -> str:
     folds = regex.startswith("(?i)")
     dotall = regex.startswith("(?s)")
     body = regex[4:] if folds or dotall else regex
-    flags = "(?d" + ("iu" if folds else "") + ("s" if dotall else "") + ")"
-    out, i, in_class = [], 0, False
+    flags = "(?d" + ("i" if folds else "") + ("s" if dotall else "") + ")"
+    out, i, in_class, also = [], 0, False, ""
     while i < len(body):
         two = body[i : i + 2]
         if two == r"\b" and not in_class:
@@ -58,24 +89,28 @@ def to_java(regex: str, edges: str = "") -> str:
         elif two == r"\s":
             out.append(_SPACE if in_class else f"[{_SPACE}]")
             i += 2
+        elif two == r"\w" and folds and not in_class:
+            out.append(rf"[\w{''.join(_ALSO.values())}]")
+            i += 2
         elif body[i] == "\\":
             out.append(two)
             i += 2
         elif body[i] == "[" and not in_class:
             in_class = True
             skip = 2 if body[i + 1 : i + 2] == "^" else 1
+            also = _also_in(body[i + skip : _class_end(body, i)]) if folds else ""
             out.append(body[i : i + skip])
             i += skip
         elif body[i] == "[" or (body[i] == "&" and body[i + 1 : i + 2] == "&"):
             out.append("\\" + body[i])
             i += 1
-        else:
+        elif in_class:
             if body[i] == "]":
                 in_class = False
+                out.append(also)
             out.append(body[i])
             i += 1
-    java = "".join(out)
-    if folds:
-        # A folded upper-case range also covers the Kelvin sign, which Java finds only by the lower one.
-        java = re.sub(r"(?<!\\)([A-Z])-([A-Z])(?![a-z]-)", lambda m: f"{m[0]}{m[0].lower()}", java)
-    return _walk_once(flags + java)
+        else:
+            out.append(_folded(body[i]) if folds else body[i])
+            i += 1
+    return _walk_once(flags + "".join(out))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veilwright.functions.dialect import to_java
 from veilwright.functions.spans import let
 from veilwright.sources import patterns as P
 
@@ -134,9 +135,7 @@ def nino(value: Column) -> Column:
 def not_state(value: Column) -> Column:
     """The word after "password is" is a value, not a state such as "required"."""
     states = "|".join(P.PROSE_STATES)
-    return ~value.rlike(
-        rf"(?iu)^(?:password|passwd|pwd|passcode)[\t\n\f\r ]*(?:is|was|:)[\t\n\f\r ]*(?:{states})(?![0-9A-Za-z_])"
-    )
+    return ~value.rlike(to_java(rf"(?i)^(?:password|passwd|pwd|passcode)\s*(?:is|was|:)\s*(?:{states})\b"))
 
 
 CHECKS: dict[str, Callable[[Column], Column]] = {
