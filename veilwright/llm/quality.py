@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilwright.functions.spans import let
+from veilwright.functions.spans import let, settled
 from veilwright.llm.common import column, fresh
 from veilwright.sources.scratch import written
 
@@ -28,6 +28,8 @@ SYMBOLS = "#*$%&|<>"
 REPEAT_WINDOW = 8
 #: Rows of the sample that the order of the rules is chosen on.
 SAMPLE_ROWS = 1000
+#: Longest text in the sample; longer ones are judged like all others, but not timed.
+SAMPLE_BYTES = 32 << 10
 
 
 def words_of(text: Column) -> Column:
@@ -129,8 +131,10 @@ def _inputs(names: dict[str, str], ready: tuple[str, ...]) -> dict[str, Column]:
 
 
 def order_rules(docs: DataFrame, text: str, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by rejection per cost, measured on at most ``rows`` rows."""
-    sample = written(docs.select(column(text).alias("text")).limit(rows), "quality-sample")
+    """The rules by rejection per cost, measured on at most ``rows`` texts of ``SAMPLE_BYTES`` at most."""
+    # take() reads as few partitions as it needs; both bounds keep the sample small on the driver.
+    some = docs.select(column(text).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES).take(rows)
+    sample = written(docs.sparkSession.createDataFrame([(r.text,) for r in some], "text string"), "quality-sample")
     names = _names(sample)
     ready = _prepared(sample, "text", names)
     inputs = _inputs(names, ())
@@ -186,4 +190,5 @@ def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RUL
     names = _names(docs)
     verdict = fresh(docs, "rejected_by")
     ready = _prepared(docs, text, names)
-    return ready.withColumn(verdict, cascade(order, _inputs(names, ()))).where(column(verdict).isNull()).select(*[column(c) for c in docs.columns])
+    # Settled, else the filter would take its own copy of every expression down to the scan.
+    return ready.withColumn(verdict, settled(cascade(order, _inputs(names, ())))).where(column(verdict).isNull()).select(*[column(c) for c in docs.columns])
