@@ -68,7 +68,7 @@ CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
 PLAIN = (
     ("gpl", "gnu (general public license|gpl)"), ("lgpl", "gnu (lesser|library) general public license"), ("apache", "apache (software )?license"),
     ("bsd", "bsd (style )?license"), ("mpl", "mozilla public license"), ("epl", "eclipse public license"), ("cc", "creative commons license"),
-    ("public-domain", "(in|into|to) the public domain"), ("copyleft", "copyleft license"), ("proprietary", "(all rights reserved|proprietary license)"),
+    ("public-domain", "(in|into|to) the public domain"), ("copyleft", "copyleft license"), ("proprietary", "all rights reserved"), ("proprietary", "proprietary license"),
 )
 #: A text in which no word begins so, and none holds "licen", matches no rule.
 STEMS = (
@@ -79,13 +79,17 @@ STEMS = (
 STATEMENT = "((re)?licensed|released|distributed|available|published|provided|shared|offered) under( the)?( terms of)?( the)?"
 
 
+#: Words that say little about which license is meant.
+COMMON = ("license", "licenses", "licensed", "version", "public", "general", "org", "the", "and", "of", "under", "identifier", "legal", "source", "free", "software", "commons", "attribution")
+
+
 @dataclass(frozen=True)
 class Signature:
     number: int
     priority: int
     label: str
-    #: A word, or the beginning of one, that every match holds.
-    keyword: str
+    #: Words that every match holds, the telling ones first; a text without one of them is not tried.
+    keywords: tuple[str, ...]
     regex: str
 
 
@@ -94,11 +98,13 @@ def _spaced(words: str) -> str:
     return " " + words.replace(" ?", "\0").replace(" ", "  ").replace("\0", "(?:  )?").replace("(", "(?:").replace("(?:?:", "(?:") + " "
 
 
-def _keyword(words: str) -> str:
-    """The longest word that every match holds; empty where brackets leave none."""
+def _keywords(words: str) -> tuple[str, ...]:
+    """The words outside brackets that nothing makes optional."""
     while "(" in words:
-        words = re.sub(r"\([^()]*\)\??", "|", words)
-    return max(re.findall(r"(?<![a-z0-9|\]])[a-z0-9]+(?![a-z0-9?|\[])", words), key=len, default="")
+        words = re.sub(r"\(( ?)[^()]*?( ?)\)\??", r"\1|\2", words)
+    words = re.sub(r"\S+ \?\S+", "|", words)  # two words that may be written as one
+    found = dict.fromkeys(re.findall(r"(?<![a-z0-9|\[\]])[a-z0-9]+(?![a-z0-9?|\[\]])", words))
+    return tuple(sorted(found, key=lambda w: (w in COMMON, -len(w))))
 
 
 def signatures() -> tuple[Signature, ...]:
@@ -107,7 +113,7 @@ def signatures() -> tuple[Signature, ...]:
     out = []
 
     def add(priority: int, label: str, words: str) -> None:
-        out.append(Signature(next(number), priority, label, _keyword(words), _spaced(words)))
+        out.append(Signature(next(number), priority, label, _keywords(words), _spaced(words)))
 
     families = list(FAMILIES)
     for code, name in CC_TERMS.items():
@@ -117,7 +123,8 @@ def signatures() -> tuple[Signature, ...]:
     for label, name, short, tag, address in families:
         add(1, label, f"spdx license identifier {tag}")
         add(1, label, address)
-        add(1, label, f"{STATEMENT} ({name}|{short})")
+        add(1, label, f"{STATEMENT} {name}")
+        add(1, label, f"{STATEMENT} {short}")
         add(2, label, name)
         add(3, label, short)
     for label, name in PLAIN:
