@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from veilwright.llm.common import map_texts
-from veilwright.llm.tokens import CUT, REMEMBERED, Chunks, tokenizer_text, vocabulary_path
+from veilwright.llm.tokens import CUT, REMEMBERED, Chunks, chunks_of, tokenizer_text, vocabulary_path
 
 RULES = ("largest", "first", "last")
 SENTENCE_END = re.compile(r"[.!?\n]")
@@ -32,27 +32,28 @@ def sentence_edges(text: str) -> list[int]:
 class Offsets(Chunks):
     """Character spans of the tokens of chunks, as pairs of 32-bit integers."""
 
+    def word(self, signs: str) -> bytes:
+        return np.array([t.offsets for t in self.model.tokenize(signs)], "<i4").reshape(-1).tobytes()
+
     def part(self, piece: str) -> bytes:
         found = self.parts.get(piece)
         if found is None:
-            plain = piece.isascii() and piece.isalpha() and piece.islower()
-            spans = [t.offsets for t in self.model.tokenize(piece)] if plain else self.tokenizer.encode(piece, add_special_tokens=False).offsets
-            found = np.array(spans, "<i4").reshape(-1).tobytes()
-            if len(self.parts) >= REMEMBERED // 2:
+            if piece.isascii() and piece.isalpha() and piece.islower():
+                found = self.word(piece)
+            else:
+                found = np.array(self.tokenizer.encode(piece, add_special_tokens=False).offsets, "<i4").reshape(-1).tobytes()
+            if len(self.parts) >= REMEMBERED // 4:
                 self.parts.clear()
             self.parts[piece] = found
         return found
 
-    def __missing__(self, chunk: str) -> bytes:
+    def made(self, chunk: str) -> bytes:
         at, out = 0, []
         for piece in CUT.split(chunk):
             spans = self.part(piece)
             out.append((np.frombuffer(spans, "<i4") + np.int32(at)).tobytes() if at else spans)
             at += len(piece)
-        if len(self) >= REMEMBERED // 2:
-            self.clear()
-        value = self[chunk] = b"".join(out)
-        return value
+        return b"".join(out)
 
     def spans(self, text: str) -> np.ndarray:
         """``(start, end)`` of each token of a whole text, in characters."""
@@ -97,7 +98,7 @@ def attribute(docs: DataFrame, keep: list[str], text: str = "text", edges: Calla
     vocabulary = docs.sparkSession.sparkContext.broadcast(tokenizer_text(tokenizer_path or vocabulary_path()))
 
     def setup():
-        offsets = Offsets(vocabulary.value)
+        offsets = chunks_of(vocabulary.value, Offsets)
 
         def scan(texts):
             rows = []

@@ -23,7 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from veilwright.llm.common import column, fresh, pieces
-from veilwright.llm.tokens import END, Chunks, crc, tokenizer_text, vocabulary_path
+from veilwright.llm.tokens import END, chunks_of, crc, tokenizer_text, vocabulary_path
 from veilwright.sources.scratch import written
 
 SIZE = 4096
@@ -123,7 +123,7 @@ def cut(docs: DataFrame, keep: list[str], text: str, size: int, tokenizer_path:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        chunks = Chunks(vocabulary.value)
+        chunks = chunks_of(vocabulary.value)
         seen = np.zeros(size + 1, np.int64)
         for batch in batches:
             for slice_ in pieces(batch, len(keep)):

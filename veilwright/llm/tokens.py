@@ -26,7 +26,7 @@ CUT = re.compile("(?<=[a-zß-öø-\u012f\u0131-\u024f])(?=[!-@\\[-`{-~])")
 #: Latin letters that are lower case, or have a lower case of one letter whatever stands beside them.
 LATIN = re.compile("[a-zß-öø-\u012f\u0131-\u024f]+")
 #: Chunks that a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 END = 1
 
 
@@ -52,7 +52,10 @@ def tokenizer_text(path: str) -> str:
 
 
 class Chunks(dict):
-    """Ids of chunks as little-endian unsigned 32-bit integers."""
+    """What is made of chunks: their ids, as little-endian unsigned 32-bit integers.
+
+    Two generations are remembered, so a full memory forgets what was not asked for lately.
+    """
 
     def __init__(self, tokenizer: str) -> None:
         super().__init__()
@@ -63,16 +66,20 @@ class Chunks(dict):
         self.model = self.tokenizer.model
         self.special = re.compile(b"|".join(re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()) or rb"(?!)")
         self.parts: dict[str, bytes] = {}
+        self.earlier: dict = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def word(self, signs: str) -> bytes:
+        """One word, as the tokenizer hands it to its model."""
+        return array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
+
     def part(self, piece: str) -> bytes:
         found = self.parts.get(piece)
         if found is None:
-            if LATIN.fullmatch(piece):  # one word for the model, as the tokenizer would hand it on
-                signs = piece if piece.isascii() else piece.lower().encode().decode("latin-1").translate(BYTE_SIGNS)
-                found = array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
+            if LATIN.fullmatch(piece):
+                found = self.word(piece if piece.isascii() else piece.lower().encode().decode("latin-1").translate(BYTE_SIGNS))
             else:
                 found = self.whole(piece)
             if len(self.parts) >= REMEMBERED // 4:
@@ -80,10 +87,17 @@ class Chunks(dict):
             self.parts[piece] = found
         return found
 
-    def __missing__(self, chunk: bytes) -> bytes:
-        text = chunk.decode()
-        value = b"".join(map(self.part, CUT.split(text)))
+    def made(self, chunk: bytes) -> bytes:
+        if chunk.isalpha():  # a-z only
+            return self.word(chunk.decode())
+        return b"".join(map(self.part, CUT.split(chunk.decode())))
+
+    def __missing__(self, chunk):
+        value = self.earlier.get(chunk)
+        if value is None:
+            value = self.made(chunk)
         if len(self) >= REMEMBERED:
+            self.earlier = dict(self)
             self.clear()
         self[chunk] = value
         return value
@@ -102,5 +116,17 @@ class Chunks(dict):
         return b"".join(map(self.__getitem__, lower.split(b" ")))
 
 
+_KEPT: dict[tuple, Chunks] = {}
+
+
+def chunks_of(tokenizer: str, kind: type[Chunks] = Chunks) -> Chunks:
+    """The chunks of this worker process: what one task has encoded, the next one finds."""
+    key = (kind, hash(tokenizer))
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = kind(tokenizer)
+    return _KEPT[key]
+
+
 def crc(ids: bytes) -> int:
     return crc32(ids)

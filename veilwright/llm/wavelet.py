@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 from veilwright.llm.common import column, pieces
 from veilwright.llm.sharding import crc_of
-from veilwright.llm.tokens import END, Chunks, crc, tokenizer_text, vocabulary_path
+from veilwright.llm.tokens import END, chunks_of, crc, tokenizer_text, vocabulary_path
 
 MAGIC = b"WVM1"
 #: Ids in a shard, the last document aside.
@@ -181,7 +181,7 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text: str = "tex
         from pyspark import TaskContext
 
         part, shard = TaskContext.get().partitionId(), 0
-        chunks = Chunks(vocabulary.value)
+        chunks = chunks_of(vocabulary.value)
         doc_ids: list[int | None] = []
         encoded: list[bytes] = []
         total = 0
