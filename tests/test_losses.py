@@ -79,3 +79,24 @@ def test_sessions_are_in_order(spark):
 def test_one_large_and_many_small_batches(spark):
     sizes = [r["count"] for r in fleet_queries.events(spark, SMALL).groupBy("batch_id").count().collect()]
     assert max(sizes) > fleet.MAX_BATCH and min(sizes) <= fleet.MAX_BATCH
+
+
+def test_percentiles(spark):
+    import numpy as np
+
+    rows = [("a", v) for v in (5, 1, 9, 9, 2, 2, 2, 30)] + [("b", 7), ("c", None), ("a", None)] + [(None, 3), (None, 4)]
+    df = spark.createDataFrame(rows, "provider string, latency_ms long")
+    got = {r.provider: (r.p50, r.p95, r.p99) for r in reports.percentiles(df).collect()}
+    for key in ("a", "b", None):
+        own = [v for k, v in rows if k == key and v is not None]
+        assert got[key] == pytest.approx(tuple(np.percentile(own, [50, 95, 99])))
+    assert got["c"] == (None, None, None)
+
+
+def test_context_gate_keeps_what_it_is_told(spark):
+    from veilwright.plans.cascade import cascade, gate_layer, pattern_layer
+
+    df = spark.createDataFrame([(1, "mail a.b@corp.io, ssn 536-22-8726")], "id long, text string")
+    labels = lambda layers: [f.label for f in cascade(df, layers).first().findings]
+    assert labels([pattern_layer(), gate_layer()]) == labels([pattern_layer()])
+    assert labels([pattern_layer(), gate_layer(lambda f: f.label != "US_SSN")]) == [x for x in labels([pattern_layer()]) if x != "US_SSN"] != []

@@ -100,8 +100,13 @@ def _columns(
     words = F.array(*[F.lit(w) for w in SECRET_WORDS])
 
     def finding(value: Column, start: Column) -> Column:
+        """Null for a token that is no candidate; its entropy and surroundings are then not looked at."""
         h = F.round(shannon(value), 9)
         close = near(lower, F.col("__wide_lower"), start, start + F.length(value), words, REACH)
+        seen = F.struct(h.alias("h"), close.alias("close"))
+        return F.when(candidate(value, min_length), let(seen, lambda x: judged(value, start, x.h, x.close)))
+
+    def judged(value: Column, start: Column, h: Column, close: Column) -> Column:
         fires = (F.lit(unconditional) & (h >= SURE)) | (F.lit(keyword_gated) & close)
         sure = F.round(F.least(h / 6, F.lit(1.0)), 6)
         return F.struct(
@@ -113,12 +118,12 @@ def _columns(
             F.when(close, F.lit("entropy_keyword_gated")).otherwise(F.lit("entropy_unconditional")).alias("rule_id"),
             F.lit(LABEL).alias("label"),
             value.alias("value"),
-            F.when(candidate(value, min_length), F.when((h >= threshold) & fires, sure)).alias("confidence"),
+            F.when((h >= threshold) & fires, sure).alias("confidence"),
             F.lit("entropy").alias("layer"),
         )
 
     starts = F.slice(match_starts(body, run, F.col("__tokens")), F.lit(1), F.size("__tokens"))
-    found = F.filter(F.zip_with("__tokens", starts, finding), lambda f: f.confidence.isNotNull())
+    found = F.filter(F.zip_with("__tokens", starts, finding), lambda f: f.isNotNull() & f.confidence.isNotNull())
     return (
         F.when(gate, tokens),
         F.exists("__tokens", lambda v: candidate(v, min_length)),

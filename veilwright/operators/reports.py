@@ -227,15 +227,38 @@ def latency_histogram(reports: DataFrame, key: Column, ms: Column) -> DataFrame:
 
 
 def percentiles(reports: DataFrame, exact: bool = True) -> DataFrame:
-    """P50, P95 and P99 of the latency per provider.  The sketch is the form for very long logs."""
-    points = [0.5, 0.95, 0.99]
-    if exact:
-        value = F.percentile("latency_ms", F.array(*[F.lit(p) for p in points]))
-    else:
-        value = F.percentile_approx("latency_ms", points, 10_000).cast("array<double>")
-    return reports.groupBy("provider").agg(value.alias("p")).select(
-        "provider", *[F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p50", "p95", "p99"))]
-    )
+    """P50, P95 and P99 of the latency per provider, values between two reports interpolated.
+
+    The exact form counts each latency first, so what is ordered are different latencies, not reports;
+    no provider's reports are held in one buffer.  The sketch is the form for unbounded latencies.
+    """
+    points = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    if not exact:
+        value = F.percentile_approx("latency_ms", list(points.values()), 10_000).cast("array<double>")
+        return reports.groupBy("provider").agg(value.alias("p")).select(
+            "provider", *[F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(points)]
+        )
+    counts = reports.groupBy("provider", "latency_ms").agg(F.count("latency_ms").alias("n"))
+    own = Window.partitionBy("provider")
+    up_to = own.orderBy("latency_ms").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.select("provider", "latency_ms", F.sum("n").over(up_to).alias("up_to"), F.sum("n").over(own).alias("total"))
+
+    def at(rank: Column) -> Column:
+        """The latency at a rank, counted from 0."""
+        return F.min(F.when(F.col("up_to") > rank, F.col("latency_ms")))
+
+    values = []
+    for name, p in points.items():
+        place = F.lit(p) * (F.col("total") - 1)
+        values += [at(F.floor(place)).alias(f"{name}_low"), at(F.ceil(place)).alias(f"{name}_high")]
+    found = placed.groupBy("provider", "total").agg(*values)
+
+    def between(name: str, p: float) -> Column:
+        place = F.lit(p) * (F.col("total") - 1)
+        part = place - F.floor(place)
+        return F.round(F.col(f"{name}_low") * (1 - part) + F.col(f"{name}_high") * part, 6).alias(name)
+
+    return found.select("provider", *[between(name, p) for name, p in points.items()])
 
 
 def layer_health(reports: DataFrame) -> DataFrame:

@@ -27,6 +27,7 @@ class Layer:
     """``scan`` adds a findings column.  A layer that is not ready is skipped with a reason.
 
     ``failure`` names a boolean column the scan may add: true where it failed on that text.
+    ``keep`` decides which of the findings so far stay; a layer that has one adds none itself.
     """
 
     name: str
@@ -35,6 +36,7 @@ class Layer:
     skip_reason: str = "not ready"
     failure: str | None = None
     failure_reason: str = "scan failed"
+    keep: Callable[[Column], Column] | None = None
 
 
 @dataclass(frozen=True)
@@ -75,12 +77,12 @@ def entropy_layer(settings: Settings = Settings()) -> Layer:
 
 
 def gate_layer(keep: Callable[[Column], Column] | None = None) -> Layer:
-    """Hook at the end of the cascade; the default adds nothing."""
+    """Hook at the end of the cascade: ``keep`` says of a finding whether it stays; the default keeps all."""
 
     def scan(texts: DataFrame, text: str, out: str, position: int) -> DataFrame:
         return texts.withColumn(out, empty(FINDING))
 
-    return Layer("contextgate", scan)
+    return Layer("contextgate", scan, keep=keep)
 
 
 def default_layers(settings: Settings = Settings(), ml: Layer | None = None) -> list[Layer]:
@@ -120,6 +122,8 @@ def cascade(texts: DataFrame, layers: list[Layer], text: str = "text") -> DataFr
             reason = F.when(skipped, F.lit(layer.failure_reason)).otherwise("")
             found = F.when(skipped, empty(FINDING)).otherwise(found)
         infos.append(_info(layer.name, F.size(F.col(f"__f{k}")), skipped, reason))
+        if layer.keep:
+            state = state.withColumn("findings", settled(F.filter("findings", layer.keep)))
         if layer.name == "contextgate":
             continue
         later = any(x.ready and x.name != "contextgate" for x in layers[k:])
