@@ -50,7 +50,7 @@ def pieces(batch: pa.RecordBatch, at: int, limit: int = PIECE_BYTES) -> Iterator
         yield batch.slice(begin)
 
 
-def map_texts(df: DataFrame, text: str, keep: list[str], fields: str, setup: Callable[[], Callable[..., Any]], extra: tuple[str, ...] = ()) -> DataFrame:
+def map_texts(df: DataFrame, text: str, keep: list[str], fields: str, setup: Callable[[], Callable[..., Any]], extra: tuple[str, ...] = (), limit: int = PIECE_BYTES) -> DataFrame:
     """``keep`` columns of each row, and new ``fields`` (DDL) computed from its text.
 
     ``setup()`` runs once in a task and gives a function from a list of texts (bytes, null as None),
@@ -67,7 +67,7 @@ def map_texts(df: DataFrame, text: str, keep: list[str], fields: str, setup: Cal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = setup()
         for batch in batches:
-            for part in pieces(batch, last):
+            for part in pieces(batch, last, limit):
                 texts = part.column(last).cast(pa.binary()).to_pylist()
                 mask, columns = scan(texts, *[part.column(i).to_pylist() for i in range(first, last)])
                 made = [pa.array(c, type=f.type) for c, f in zip(columns, types, strict=True)]

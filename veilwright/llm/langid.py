@@ -30,7 +30,13 @@ SMOOTH = 0.05
 #: Longest piece in bytes, and the run in which a longer word is taken.
 PIECE_MOST, RUN = 16, 32
 #: Words counted before they are handed on, and word scores remembered.
-COUNTED, REMEMBERED = 300_000, 200_000
+COUNTED, REMEMBERED = 300_000, 300_000
+#: Words up to these lengths are taken together.
+SIZES = (4, 6, 8, 10, 12, 14, 16, 20, 24, RUN + 1)
+#: Words that one pass takes, and bytes of text.
+TAKEN, TEXT_BYTES = 100_000, 12 << 20
+#: A piece is found by so many bits of its code.
+SLOT_BITS = 20
 LANGUAGES_MOST = 200
 UNDETERMINED = "und"
 
@@ -77,10 +83,22 @@ class Lattice:
 
     def __init__(self, vocabulary: list[bytes]) -> None:
         self.size = len(vocabulary)
-        codes = np.array([self._code(p) for p in vocabulary], np.uint64)
-        self.order = np.argsort(codes)
-        self.codes = codes[self.order]
+        self.codes = np.array([*(self._code(p) for p in vocabulary), 0], np.uint64)
         self.powers = np.array([pow(int(_BASE), k, 2**64) for k in range(PIECE_MOST + 1)], np.uint64)
+        # Tables from bits of the code to the piece; what finds its slot taken goes to the next table,
+        # and the slot is marked, so that only its visitors look there too.
+        self.tables: list[tuple[np.uint64, np.ndarray, np.ndarray]] = []
+        rest = np.arange(self.size)
+        while len(rest):
+            factor = _BASE * np.uint64(2 * len(self.tables) + 1)
+            slots = (self.codes[rest] * factor) >> np.uint64(64 - SLOT_BITS)
+            table = np.full(1 << SLOT_BITS, self.size, np.int32)
+            table[slots[::-1]] = rest[::-1]
+            late = table[slots] != rest
+            shared = np.zeros(1 << SLOT_BITS, bool)
+            shared[slots[late]] = True
+            self.tables.append((factor, table, shared))
+            rest = rest[late]
 
     @staticmethod
     def _code(piece: bytes) -> int:
@@ -90,57 +108,81 @@ class Lattice:
         return value
 
     def by_length(self, words: list[bytes]):
-        """``(places in the list, length, matrix)``; the matrix gives the code of every prefix."""
+        """``(places in the list, their lengths, size, codes)`` of words of about one length, filled up to ``size``.
+
+        ``codes`` has a row for each prefix. What lies behind a word's end matches no piece.
+        """
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        for n in np.unique(lengths).tolist():
-            at = np.flatnonzero(lengths == n)
+        group = np.searchsorted(SIZES, lengths)
+        for g in np.unique(group).tolist():
+            at = np.flatnonzero(group == g)
+            n = int(lengths[at].max())
             for some in np.array_split(at, -(-len(at) // 20_000)):
-                letters = np.frombuffer(b"".join([words[i] for i in some]), np.uint8).reshape(len(some), n)
+                letters = np.frombuffer(b"".join([words[i].ljust(n, b"\0") for i in some]), np.uint8).reshape(len(some), n)
                 prefix = np.zeros((n + 1, len(some)), np.uint64)
                 for k in range(n):
                     prefix[k + 1] = prefix[k] * _BASE + letters[:, k] + np.uint64(1)
-                yield some, n, prefix
+                yield some, lengths[some], n, prefix
 
-    def piece(self, prefix: np.ndarray, i: int, j: int) -> np.ndarray:
-        """For each word the piece that is its stretch i..j, or the number after the last piece."""
+    def pieces(self, prefix: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+        """The words whose stretch i..j is a piece, and which."""
         code = prefix[j] - prefix[i] * self.powers[j - i]
-        at = np.minimum(np.searchsorted(self.codes, code), self.size - 1)
-        return np.where(self.codes[at] == code, self.order[at], self.size)
+        rows, found, asked = [], [], None
+        for factor, table, shared in self.tables:
+            own = code if asked is None else code[asked]
+            slot = (own * factor) >> np.uint64(64 - SLOT_BITS)
+            here = table[slot]
+            hit = np.flatnonzero(self.codes[here] == own)
+            rows.append(hit if asked is None else asked[hit])
+            found.append(here[hit])
+            more = np.flatnonzero(shared[slot])
+            asked = more if asked is None else asked[more]
+            if not len(asked):
+                break
+        return np.concatenate(rows), np.concatenate(found)
 
     def scores(self, words: list[bytes], chance: np.ndarray) -> np.ndarray:
-        """Log probability of each word in each language; ``chance`` is pieces (and a row of 0) by languages."""
+        """Log probability of each word in each language; ``chance`` is pieces by languages."""
         out = np.zeros((len(words), chance.shape[1]))
-        for at, n, prefix in self.by_length(words):
+        for at, length, n, prefix in self.by_length(words):
             alpha = np.zeros((n + 1, len(at), chance.shape[1]))
             alpha[0] = 1
             for j in range(1, n + 1):
                 for i in range(max(0, j - PIECE_MOST), j):
-                    alpha[j] += alpha[i] * chance[self.piece(prefix, i, j)]
-            out[at] = np.log(alpha[n])
+                    rows, own = self.pieces(prefix, i, j)
+                    alpha[j, rows] += alpha[i, rows] * chance[own]
+            out[at] = np.log(alpha[length, np.arange(len(at))])
         return out
 
     def expected(self, words: list[bytes], counts: np.ndarray, chance: np.ndarray) -> np.ndarray:
         """How often each piece is expected in words of one language that occur ``counts`` times."""
-        total = np.zeros(self.size + 1)
-        for at, n, prefix in self.by_length(words):
+        total = np.zeros(self.size)
+        for at, length, n, prefix in self.by_length(words):
             alpha, beta = np.zeros((n + 1, len(at))), np.zeros((n + 1, len(at)))
-            alpha[0], beta[n] = 1, 1
-            arcs = [(i, j, own := self.piece(prefix, i, j), chance[own]) for j in range(1, n + 1) for i in range(max(0, j - PIECE_MOST), j)]
-            for i, j, _, p in arcs:
-                alpha[j] += alpha[i] * p
-            for i, j, _, p in sorted(arcs, key=lambda a: -a[0]):
-                beta[i] += p * beta[j]
-            weight = counts[at] / alpha[n]
-            for i, j, own, p in arcs:
-                total += np.bincount(own, alpha[i] * p * beta[j] * weight, self.size + 1)
-        return total[:-1]
+            alpha[0], beta[length, np.arange(len(at))] = 1, 1
+            arcs = []
+            for j in range(1, n + 1):
+                for i in range(max(0, j - PIECE_MOST), j):
+                    rows, own = self.pieces(prefix, i, j)
+                    if len(rows):
+                        arcs.append((i, j, rows, own, p := chance[own]))
+                        alpha[j, rows] += alpha[i, rows] * p
+            for i, j, rows, _, p in sorted(arcs, key=lambda a: -a[0]):
+                beta[i, rows] += p * beta[j, rows]
+            weight = counts[at] / alpha[length, np.arange(len(at))]
+            seen = np.concatenate([alpha[i, rows] * p * beta[j, rows] * weight[rows] for i, j, rows, _, p in arcs])
+            total += np.bincount(np.concatenate([own for _, _, _, own, _ in arcs]), seen, self.size)
+        return total
 
 
 class Model:
-    """Languages, the vocabulary, and chances of pieces (with a last row of 0) by language."""
+    """Languages, the vocabulary, and chances of pieces by language."""
 
     def __init__(self, languages: list[str], vocabulary: list[bytes], chance: np.ndarray) -> None:
         self.languages, self.vocabulary, self.chance = languages, vocabulary, chance
+        # What a worker has scored with this model; its next task finds it here.
+        self.place: dict[bytes, int] = {}
+        self.known = np.zeros((0, len(languages)))
 
 
 def count_words(labelled: DataFrame) -> DataFrame:
@@ -178,8 +220,7 @@ def learn(labelled: DataFrame, vocabulary_file: str | None = None, rounds: int =
     languages = sorted(r.lang for r in words.select("lang").distinct().limit(LANGUAGES_MOST + 1).collect())
     if len(languages) > LANGUAGES_MOST:
         raise ValueError(f"more than {LANGUAGES_MOST} languages")
-    chance = np.full((len(vocabulary) + 1, len(languages)), 1 / len(vocabulary))
-    chance[-1] = 0
+    chance = np.full((len(vocabulary), len(languages)), 1 / len(vocabulary))
     for _ in range(rounds if languages else 0):
         shared = spark.sparkContext.broadcast(Model(languages, vocabulary, chance))
 
@@ -187,21 +228,31 @@ def learn(labelled: DataFrame, vocabulary_file: str | None = None, rounds: int =
             model = shared.value
             lattice = Lattice(model.vocabulary)
             total = np.zeros((len(model.vocabulary), len(model.languages)))
+            waiting: dict[str, tuple[list, list]] = {lang: ([], []) for lang in model.languages}
+
+            def take(lang):
+                own, n = waiting[lang]
+                if own:
+                    k = model.languages.index(lang)
+                    total[:, k] += lattice.expected(own, np.array(n, np.float64), model.chance[:, k])
+                    waiting[lang] = [], []
+
             for batch in batches:
-                langs = np.array(batch.column(0).to_pylist(), object)
-                own = batch.column(1).to_pylist()
-                n = batch.column(2).to_numpy().astype(np.float64)
-                for k, lang in enumerate(model.languages):
-                    at = np.flatnonzero(langs == lang)
-                    if len(at):
-                        total[:, k] += lattice.expected([own[i] for i in at], n[at], model.chance[:, k])
+                for lang, word, n in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+                    waiting[lang][0].append(word)
+                    waiting[lang][1].append(n)
+                for lang in model.languages:
+                    if len(waiting[lang][0]) >= TAKEN:
+                        take(lang)
+            for lang in model.languages:
+                take(lang)
             piece, k = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(k), pa.array(total[piece, k])], names=["piece", "lang", "n"])
 
         found = words.mapInArrow(expect, "piece long, lang long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
         weight = np.full((len(vocabulary), len(languages)), SMOOTH)
         weight[found.piece.to_numpy(), found.lang.to_numpy()] += found.n.to_numpy()
-        chance = np.vstack([weight / weight.sum(axis=0), np.zeros(len(languages))])
+        chance = weight / weight.sum(axis=0)
     return Model(languages, vocabulary, chance)
 
 
@@ -221,21 +272,20 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
     def setup():
         own = shared.value
         lattice = Lattice(own.vocabulary)
-        place: dict[bytes, int] = {}
-        known = np.zeros((0, len(own.languages)))
 
         def scan(texts):
-            nonlocal known
             words = [hold_words(t) for t in texts]
+            place = own.place
             new = {w for of in words for w in of if w not in place}
             if len(place) + len(new) > REMEMBERED:
                 place.clear()
-                known = known[:0]
+                own.known = own.known[:0]
                 new = {w for of in words for w in of}
             if new:
                 listed = sorted(new)
-                place.update(zip(listed, range(len(known), len(known) + len(listed)), strict=True))
-                known = np.vstack([known, lattice.scores(listed, own.chance)])
+                place.update(zip(listed, range(len(own.known), len(own.known) + len(listed)), strict=True))
+                own.known = np.vstack([own.known, lattice.scores(listed, own.chance)])
+            known = own.known
             langs, scores = [], []
             for text, of in zip(texts, words, strict=True):
                 if not of or not own.languages or not has_letter(text):
@@ -250,4 +300,4 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
 
         return scan
 
-    return map_texts(docs, text, keep, "lang_pred string, score double", setup)
+    return map_texts(docs, text, keep, "lang_pred string, score double", setup, limit=TEXT_BYTES)
