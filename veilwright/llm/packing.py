@@ -129,8 +129,8 @@ def cut(docs: DataFrame, keep: list[str], text: str, size: int, tokenizer_path:
             for slice_ in pieces(batch, len(keep)):
                 rows: list[tuple] = []
                 of = []
-                for i, t in enumerate(slice_.column(len(keep)).cast(pa.binary()).to_pylist()):
-                    ids = chunks.encode(t) + end
+                for i, ids in enumerate(chunks.encode_all(slice_.column(len(keep)).cast(pa.binary()).to_pylist())):
+                    ids += end
                     for k, begin in enumerate(range(0, len(ids), 4 * size)):
                         own = ids[begin : begin + 4 * size]
                         n = len(own) // 4

@@ -104,16 +104,29 @@ class Chunks(dict):
 
     def encode(self, text: bytes | None) -> bytes:
         """Ids of a whole text (UTF-8; null: none)."""
-        if not text:
-            return b""
-        if self.special.search(text):
-            return self.whole(text.decode())
-        lower = text.translate(CHUNK_BYTES)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[bytes | None]) -> list[bytes]:
+        """Ids of each whole text; the texts are cut into chunks together."""
+        plain = [t or b"" for t in texts]
+        spelled = {}
+        if self.special.search(b"\n".join(plain)):
+            spelled = {i: self.whole(t.decode()) for i, t in enumerate(plain) if self.special.search(t)}
+            plain = [b"" if i in spelled else t for i, t in enumerate(plain)]
+        lower = b" ".join(plain).translate(CHUNK_BYTES)
         kinds = np.frombuffer(lower.translate(CLASSES), np.uint8)
         cuts = np.flatnonzero((kinds[:-1] == 1) & (kinds[1:] == 2)) + 1
-        if len(cuts):
-            lower = np.insert(np.frombuffer(lower, np.uint8), cuts, 0x20).tobytes()
-        return b"".join(map(self.__getitem__, lower.split(b" ")))
+        letters = np.frombuffer(lower, np.uint8)
+        starts = np.cumsum([0, *(len(t) + 1 for t in plain)])
+        # A text begins with the chunk whose number is the blanks and cuts before it.
+        first = (np.searchsorted(np.flatnonzero(letters == 0x20), starts) + np.searchsorted(cuts, starts)).tolist()
+        chunks = (np.insert(letters, cuts, 0x20).tobytes() if len(cuts) else lower).split(b" ")
+        found = list(map(self.__getitem__, chunks))
+        first[-1] = len(found)
+        out = [b"".join(found[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+        for i, ids in spelled.items():
+            out[i] = ids
+        return out
 
 
 _KEPT: dict[tuple, Chunks] = {}

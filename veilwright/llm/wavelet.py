@@ -14,10 +14,10 @@ any store; its counts are columns beside it.
 from __future__ import annotations
 
 import struct
-import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,13 +26,21 @@ from veilwright.llm.common import column, pieces
 from veilwright.llm.sharding import crc_of
 from veilwright.llm.tokens import END, chunks_of, crc, tokenizer_text, vocabulary_path
 
-MAGIC = b"WVM1"
+MAGIC = b"WVM2"
 #: Ids in a shard, the last document aside.
 SHARD_TOKENS = 1 << 21
 #: Bits between two entries of the rank directory.
 BLOCK = 1 << 12
 
 
+def squeeze(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def unsqueeze(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 class WaveletMatrix:
     """Ids with access, counting and occurrence lookup.
 
@@ -49,8 +57,8 @@ class WaveletMatrix:
         now = ids.astype(np.uint16 if top < 1 << 16 else np.uint32)
         zeros, packed = [], []
         for shift in range(max(1, top.bit_length()) - 1, -1, -1):
-            bit = (now >> now.dtype.type(shift)) & now.dtype.type(1) != 0
-            packed.append(zlib.compress(np.packbits(bit, bitorder="little").tobytes(), 1))
+            bit = (now & now.dtype.type(1 << shift)) != 0
+            packed.append(squeeze(np.packbits(bit, bitorder="little").tobytes()))
             low = now[~bit]
             zeros.append(len(low))
             now = np.concatenate([low, now[bit]])
@@ -59,7 +67,7 @@ class WaveletMatrix:
     def plane(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of a plane, and the ones before each block of it."""
         if k not in self._planes:
-            bits = np.frombuffer(zlib.decompress(self.packed[k]), np.uint8)
+            bits = np.frombuffer(unsqueeze(self.packed[k]), np.uint8)
             per_byte = np.bitwise_count(bits)
             starts = np.arange(0, len(bits), BLOCK // 8)
             blocks = np.add.reduceat(per_byte, starts, dtype=np.int64) if len(bits) else np.zeros(0, np.int64)
@@ -131,7 +139,7 @@ class WaveletMatrix:
         kind = np.uint16 if len(self.zeros) <= 16 else np.uint32
         now = np.zeros(self.n, kind)
         for k in range(len(self.zeros) - 1, -1, -1):
-            bit = np.unpackbits(np.frombuffer(zlib.decompress(self.packed[k]), np.uint8), count=self.n, bitorder="little").astype(bool)
+            bit = np.unpackbits(np.frombuffer(unsqueeze(self.packed[k]), np.uint8), count=self.n, bitorder="little").astype(bool)
             above = np.empty(self.n, kind)
             above[~bit] = now[: self.zeros[k]]
             above[bit] = now[self.zeros[k] :] | kind(1 << (len(self.zeros) - 1 - k))
@@ -142,7 +150,7 @@ class WaveletMatrix:
 def dump(doc_ids: list[int | None], lengths: list[int], matrix: WaveletMatrix) -> bytes:
     """A shard's file: counts, the documents, then a directory of planes and the planes."""
     ids = np.array([0 if d is None else d for d in doc_ids], "<i8")
-    parts = [zlib.compress(np.diff(ids, prepend=np.int64(0)).tobytes()), zlib.compress(np.packbits([d is None for d in doc_ids]).tobytes()), zlib.compress(np.array(lengths, "<u4").tobytes()), *matrix.packed]
+    parts = [squeeze(np.diff(ids, prepend=np.int64(0)).tobytes()), squeeze(np.packbits([d is None for d in doc_ids]).tobytes()), squeeze(np.array(lengths, "<u4").tobytes()), *matrix.packed]
     head = struct.pack("<4sIQI", MAGIC, len(doc_ids), matrix.n, len(matrix.zeros))
     return b"".join([head, np.array(matrix.zeros, "<u8").tobytes(), np.array([len(p) for p in parts], "<u8").tobytes(), *parts])
 
@@ -157,9 +165,9 @@ def load(file: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
     sizes = np.frombuffer(file, "<u8", levels + 3, at + 8 * levels)
     ends = at + 8 * (2 * levels + 3) + np.cumsum(sizes).astype(np.int64)
     parts = [file[e - s : e] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
-    ids = np.cumsum(np.frombuffer(zlib.decompress(parts[0]), "<i8")).tolist()
-    missing = np.unpackbits(np.frombuffer(zlib.decompress(parts[1]), np.uint8), count=n_docs)
-    lengths = np.frombuffer(zlib.decompress(parts[2]), "<u4").astype(np.int64)
+    ids = np.cumsum(np.frombuffer(unsqueeze(parts[0]), "<i8")).tolist()
+    missing = np.unpackbits(np.frombuffer(unsqueeze(parts[1]), np.uint8), count=n_docs)
+    lengths = np.frombuffer(unsqueeze(parts[2]), "<u4").astype(np.int64)
     return [None if m else d for d, m in zip(ids, missing.tolist(), strict=True)], lengths, WaveletMatrix(n, zeros, parts[3:])
 
 
@@ -193,9 +201,9 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text: str = "tex
 
         for batch in batches:
             for slice_ in pieces(batch, 1):
-                for doc, raw in zip(slice_.column(0).to_pylist(), slice_.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                for doc, ids in zip(slice_.column(0).to_pylist(), chunks.encode_all(slice_.column(1).cast(pa.binary()).to_pylist()), strict=True):
                     doc_ids.append(doc)
-                    encoded.append(chunks.encode(raw) + end)
+                    encoded.append(ids + end)
                     total += len(encoded[-1]) // 4
                     if total >= shard_tokens:
                         yield close()
