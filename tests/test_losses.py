@@ -4,6 +4,7 @@ import datetime as dt
 
 import pytest
 from conftest import SMALL
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 from veilwright.operators import fleet, ml, reports
 from veilwright.plans import fleet_queries
@@ -65,8 +66,10 @@ def test_rules_of_a_stream_must_be_readable_once(spark, tmp_path):
     def broken():
         raise OSError("no file")
 
-    with pytest.raises(OSError):
-        jobs.reloading_scan(spark.readStream.schema("id long, text string").parquet(str(tmp_path)), broken, lambda df, n: None, str(tmp_path / "c"))
+    spark.createDataFrame([(1, "x")], "id long, text string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long, text string").parquet(str(tmp_path / "in"))
+    with pytest.raises(StreamingQueryException, match="no file"):
+        jobs.reloading_scan(stream, broken, lambda df, n: None, str(tmp_path / "c")).awaitTermination()
 
 
 def test_sessions_are_in_order(spark):

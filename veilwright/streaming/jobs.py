@@ -119,15 +119,18 @@ def reloading_scan(
 ) -> StreamingQuery:
     """Scan with rules that may change: they are read before each batch.
 
-    The first ones must be readable: without a good setting nothing is scanned. Later, settings that
-    can not be read (a missing or broken file) leave the last good ones in force, with a warning.
+    Those for the first batch must be readable: without a good setting nothing is scanned. Later,
+    settings that can not be read (a missing or broken file) leave the last good ones in force, with a
+    warning.
     """
-    current = {"settings": read_settings()}
+    current: dict[str, Settings] = {}
 
     def run(batch: DataFrame, number: int) -> None:
         try:
             current["settings"] = read_settings()
         except (OSError, ValueError, KeyError, PySparkException) as failure:
+            if not current:
+                raise
             logging.getLogger(__name__).warning("batch %d keeps the last settings: %s", number, failure)
         sink(scan_and_redact(batch, settings=current["settings"]), number)
 
