@@ -25,7 +25,8 @@ from veilwright.sources.scratch import written
 
 WINDOW = 13
 SHINGLE = 3
-BLOCK_BYTES = 8 << 20
+#: Text of one block; its windows take some hundred times that on the driver while they are built.
+BLOCK_BYTES = 2 << 20
 #: Candidates compared at once.
 CHECKED = 1 << 16
 
