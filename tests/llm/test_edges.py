@@ -218,6 +218,54 @@ def test_every_license_rule_is_reached():
         assert rule.keywords and all(f" {k} " in words for k in rule.keywords), rule
 
 
+def forms(pattern):
+    """Every text of an expression of letters, classes, groups, alternatives and optional parts."""
+    from itertools import product
+    from re import _constants as c
+
+    out = [""]
+    for op, arg in pattern:
+        if op is c.LITERAL:
+            own = [chr(arg)]
+        elif op is c.IN:
+            own = [chr(a) for _, a in arg]
+        elif op is c.MAX_REPEAT:
+            assert arg[:2] == (0, 1)
+            own = ["", *forms(arg[2])]
+        elif op is c.SUBPATTERN:
+            own = forms(arg[3])
+        else:
+            assert op is c.BRANCH
+            own = [x for branch in arg[1] for x in forms(branch)]
+        out = [a + b for a, b in product(out, own)]
+    return out
+
+
+def test_license_rules_are_tried_in_every_form(spark):
+    """Gates change nothing, whichever optional parts of a rule a text has."""
+    from dataclasses import replace
+    from re import _parser
+
+    from veilwright.llm.licences import signatures
+
+    rules = signatures()
+    texts = set()
+    for rule in rules:
+        for form in forms(_parser.parse(rule.regex)):
+            words = form.split()
+            assert set(rule.keywords) <= set(words), (rule, form)
+            if "under" not in words:
+                texts |= {" ".join(words), "licensed under the " + " ".join(words)}
+    assert {"gpl v2", "licensed under the gpl v2", "apache v2 0", "lgpl v2 1", "php v3 01"} <= texts
+    docs = spark.createDataFrame(enumerate(sorted(texts)), "doc_id long, text string").repartition(8)
+    gated = licensing.scan(docs, ["doc_id", "text"])
+    every = licensing.scan(docs, ["doc_id", "text"], rules=tuple(replace(r, keywords=("",)) for r in rules))  # the plain form begins with an empty word
+    got = sorted(map(tuple, gated.collect()))
+    assert got == sorted(map(tuple, every.collect()))
+    score = {r[1]: r[-1] for r in got}
+    assert score["gpl v2"] == 0.5 and score["licensed under the gpl v2"] == 1.0 and min(score.values()) > 0
+
+
 def test_rules_order_changes_no_verdict(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     names = {r.doc_id for r in quality.keep_good(docs).collect()}

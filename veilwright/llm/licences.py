@@ -103,6 +103,7 @@ def _keywords(words: str) -> tuple[str, ...]:
     while "(" in words:
         words = re.sub(r"\(( ?)[^()]*?( ?)\)\??", r"\1|\2", words)
     words = re.sub(r"\S+ \?\S+", "|", words)  # two words that may be written as one
+    words = re.sub(r"\S*\?\S*", "|", words)  # a word with a letter that may be missing has two forms
     found = dict.fromkeys(re.findall(r"(?<![a-z0-9|\[\]])[a-z0-9]+(?![a-z0-9?|\[\]])", words))
     return tuple(sorted(found, key=lambda w: (w in COMMON, -len(w))))
 
