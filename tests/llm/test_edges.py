@@ -124,6 +124,18 @@ def test_near_duplicates(spark):
     assert sorted(kept, key=repr) == sorted([r for r in dict.fromkeys(ROWS) if r[1] != PLAIN] + [(6, PLAIN)], key=repr)
 
 
+def test_counts_of_a_shingle_lose_no_link(spark):
+    """Pages with a passage or a line many times, each against the page that has it once."""
+    rows = []
+    for k in range(12):
+        words = [f"p{k}w{i}" for i in range(300)]
+        rows += [(3 * k, " ".join(words)), (3 * k + 1, " ".join(words[:50] * 50 + words[50:])), (3 * k + 2, " ".join(words + words[-9:] * 400))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.near_classes(rows)
+    assert set(want.values()) == set(range(0, 36, 3))
+    assert {r.id: r.class_id for r in neardup.near_duplicate_classes(docs)[0].collect()} == want
+
+
 def test_large_buckets_lose_no_link(spark):
     """A chain of texts, each near the next, in buckets far above the size that gives all pairs."""
     words = [f"w{i}" for i in range(400)]

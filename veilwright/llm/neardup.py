@@ -3,7 +3,9 @@
 Every text is a weighted set: its five-word shingles with their counts. ProbMinHash lets the elements
 of that set arrive in a Poisson process of rate ``weight``; each arrival falls into one of ``m`` slots,
 a slot keeps its first arrival, and an element stops as soon as its next arrival is later than every
-slot's first. Two texts agree in a slot with the probability Jaccard similarity of their sets.
+slot's first. Two texts agree in a slot with the probability Jaccard similarity of their sets. A text
+that repeats a shingle also has the keys of the same process with all weights 1, so that sets which
+agree meet whatever their counts.
 
 Texts with the same words form one class first, by a grouped minimum. Classes that agree in a band of
 slots are candidates. Small buckets give all their pairs; in a large one every member is compared with
@@ -123,6 +125,11 @@ def _features(bands: int, rows: int):
             has = np.unique(text_of)
             keys = band_keys(signatures(len(has), np.searchsorted(has, text_of), element, weight.astype(np.float64), bands * rows), bands, rows)
             row = dict(zip(has.tolist(), keys, strict=True))
+            # Where no shingle repeats, these would be the same keys.
+            repeats = np.unique(text_of[weight > 1])
+            at = np.isin(text_of, repeats)
+            keys = band_keys(signatures(len(repeats), np.searchsorted(repeats, text_of[at]), element[at], np.ones(at.sum()), bands * rows), bands, rows)
+            row |= {i: np.concatenate([row[i], k]) for i, k in zip(repeats.tolist(), keys, strict=True)}
             size = np.bincount(text_of, minlength=len(texts))
             key = [(None, None) if t is None else _class_key(t, w) for t, w in zip(texts, words, strict=True)]
             return None, ([k[0] for k in key], [k[1] for k in key], size, [row.get(i, ()) for i in range(len(texts))])
