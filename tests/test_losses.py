@@ -103,3 +103,16 @@ def test_context_gate_keeps_what_it_is_told(spark):
     labels = lambda layers: [f.label for f in cascade(df, layers).first().findings]
     assert labels([pattern_layer(), gate_layer()]) == labels([pattern_layer()])
     assert labels([pattern_layer(), gate_layer(lambda f: f.label != "US_SSN")]) == [x for x in labels([pattern_layer()]) if x != "US_SSN"] != []
+
+
+def test_provider_addresses_are_joined_by_equality(spark):
+    from veilwright.operators import sessions
+
+    ends = ["10.0.0.2:443", "10.0.0.1:443", "10.0.0.2:443", "10.0.0.9:443", "10.0.0.1:22", "127.0.0.1:8080"]
+    rows = [(1, "claude --x", "", " ".join(f"a->{e}\n" for e in ends)), (2, "aider", "", ""), (2, "aider", "", "a->10.0.0.1:80\n"), (3, "vi", "", "a->10.0.0.1:80\n")]
+    snapshots = spark.createDataFrame(rows, "pid long, command string, env_text string, conn_text string")
+    ips = spark.createDataFrame([("10.0.0.1",), ("10.0.0.2",), ("10.0.0.2",), (None,)], "ip string")
+    got = sessions.classify(snapshots, ips, "127.0.0.1:8080")
+    assert sorted((r.pid, r.direct_ai_conn, r.status) for r in got.collect()) == [(1, ends[:3], "runaway"), (2, [], "unknown"), (2, ["10.0.0.1:80"], "runaway")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cross" not in plan and "collect_set" not in plan

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilwright.functions.spans import settled
+from veilwright.sources.scratch import written
 
 # ---------------------------------------------------------------------------
 # Tools by the start of their command, provider hosts, safe commands, check domains.
@@ -118,10 +119,9 @@ def verdict(bound: Column, env: Column, via: Column, direct: Column) -> Column:
 def classify(snapshots: DataFrame, provider_ips: DataFrame, proxy: str, own_pid: int = -1) -> DataFrame:
     """Processes (pid, .., command, env_text, conn_text) -> sessions of known tools.
 
-    ``provider_ips`` (ip) holds the addresses of a fixed list of hosts, so it is small; it is turned
-    into one array that rides along with the plan rather than joined per connection.
+    ``provider_ips`` (ip) may be of any size: connections that could be direct become rows, are joined
+    with the addresses, and come together again by a key of their process, in the order they had.
     """
-    ips = provider_ips.agg(F.collect_set("ip").alias("ips"))
     proxy_host, _, proxy_port = proxy.rpartition(":")
     local = ["127.0.0.1", "::1", "localhost", proxy_host.strip("[]")]
     known = (
@@ -135,17 +135,21 @@ def classify(snapshots: DataFrame, provider_ips: DataFrame, proxy: str, own_pid:
     def to_proxy(c: Column) -> Column:
         return host_of(c).isin(*local) & (port_of(c) == proxy_port) & F.lit(bool(proxy_port))
 
-    direct = F.filter(
-        "connections",
-        lambda c: ~to_proxy(c) & F.array_contains("ips", host_of(c)) & port_of(c).isin("443", "80"),
+    known = written(known.withColumn("row_key", F.monotonically_increasing_id()), "sessions-known")  # keys stay what they are
+    open_ends = F.filter("connections", lambda c: ~to_proxy(c) & port_of(c).isin("443", "80"))
+    ends = known.select("row_key", F.posexplode(open_ends).alias("at", "c")).withColumn("ip", host_of(F.col("c")))
+    direct = (
+        ends.join(provider_ips.select("ip").distinct(), "ip", "left_semi")
+        .groupBy("row_key")
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "c"))), lambda x: x.c).alias("direct"))
     )
     return (
-        known.crossJoin(F.broadcast(ips))  # one row
+        known.join(direct, "row_key", "left")
         .withColumn("proxy_env", settled(F.coalesce(proxy_env, F.lit(""))))
         .withColumn("has_proxy_env", F.col("proxy_env") != "")
         .withColumn("bound_flag", F.coalesce(env_value(F.col("env"), BOUND_VARIABLE) == "1", F.lit(False)))
         .withColumn("via_proxy", F.exists("connections", to_proxy))
-        .withColumn("direct_ai_conn", settled(direct))
+        .withColumn("direct_ai_conn", settled(F.coalesce("direct", F.array().cast("array<string>"))))
         .withColumn(
             "v",
             verdict(F.col("bound_flag"), F.col("has_proxy_env"), F.col("via_proxy"), F.size("direct_ai_conn")),
@@ -153,7 +157,7 @@ def classify(snapshots: DataFrame, provider_ips: DataFrame, proxy: str, own_pid:
         .withColumn("status", F.col("v.status"))
         .withColumn("reason", F.col("v.reason"))
         .withColumn("command", shortened(F.col("command")))
-        .drop("v", "ips", "env", "env_text", "conn_text")
+        .drop("v", "row_key", "direct", "env", "env_text", "conn_text")
     )
 
 
