@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+import zlib
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -73,3 +75,129 @@ def secret_links(text, base):
         x for x in weak
         if any(y[2] in secrets.NEEDS[x[2]] and scope(x[0]) == scope(y[0]) and max(0, y[0] - x[1], x[0] - y[1]) <= secrets.NEAR for y in (*base, *weak))
     ]
+
+
+def rebuilt(rows):
+    """conv_id -> turns ``(role, text)`` of the rebuilt conversation, for rows ``(conv_id, turn, role, text)``."""
+    by = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            role, text = role or "", text or ""
+            by.setdefault(c, []).append((turn is not None, turn or 0, hashlib.md5(f"{len(role)}:{role}{text}".encode()).hexdigest(), (role, text)))
+    own = {c: [x[3] for x in sorted(v)] for c, v in by.items()}
+    heads = {c: zlib.crc32(str(c).encode()) % 9 for c in own}
+    return {c: own.get(c - c % 5, [])[: heads[c]] + own[c][heads[c] :] for c in own}
+
+
+def trie_nodes(sequences, weight):
+    """``(conv_id, depth, parent's, n_convs, n_children, n_leaves, saved, ids that end there)`` of every prefix."""
+    members, children = {}, {}
+    for c, turns in sequences.items():
+        for d in range(len(turns) + 1):
+            members.setdefault(tuple(turns[:d]), []).append(c)
+    for k in members:
+        if k:
+            children.setdefault(k[:-1], []).append(k)
+    leaves, saved = {}, {}
+    for k in sorted(members, key=len, reverse=True):
+        below = children.get(k, [])
+        leaves[k] = sum(leaves[x] for x in below) or 1
+        saved[k] = sum(saved[x] for x in below) + ((len(members[k]) - 1) * weight(k[-1]) if k else 0)
+    return [
+        (min(m), len(k), min(members[k[:-1]]) if k else None, len(m), len(children.get(k, [])), leaves[k], saved[k], sorted(c for c in m if len(sequences[c]) == len(k)))
+        for k, m in members.items()
+    ]
+
+
+def damaged(rows):
+    out = []
+    for c, turn, role, text in rows:
+        role, text = " " if role is None else role, " " if text is None else text
+        kind = zlib.crc32(f"{' ' if c is None else c}:{' ' if turn is None else turn}".encode()) % 20
+        text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+        if kind:
+            out += [(c, turn, "user" if kind == 4 else role, text)] * (2 if kind == 3 else 1)
+    return out
+
+
+def with_faults(rows):
+    """Rows ``(turn, role, text)`` of one conversation, in order, as ``(role, text, first fault)``."""
+    seen, out = set(), []
+    for _, _, role, _, text in sorted((t is not None, t or 0, r, hashlib.md5(x.encode()).hexdigest(), x) for t, r, x in rows):
+        ink = re.findall(r"[^\x20\x09-\x0D]", text)
+        fault = "blank" if not ink else "duplicate" if (role, text) in seen else "truncated" if ink[-1] not in ".!?" else None
+        seen.add((role, text))
+        out.append((role, text, fault))
+    return out
+
+
+LEADS = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}
+FULL = {"u": "user", "a": "assistant"}
+
+
+def cheapest_edits(rows):
+    """``(cost, audit, lines)`` by a walk over rows and states, all that happened so far kept as a string."""
+
+    def inserted(best):
+        for _ in range(4):
+            for p, (cost, audit, lines) in list(best.items()):
+                for initial, q in LEADS[p].items():
+                    found = (cost + 5, audit + "I", (*lines, (FULL.get(initial), "")))
+                    if initial != "s" and (q not in best or found[:2] < best[q][:2]):
+                        best[q] = found
+        return best
+
+    best = inserted({0: (0, "", ())})
+    for role, text, fault in rows:
+        after = {}
+        for p, (cost, audit, lines) in best.items():
+            ways = [(p, cost + 2, audit + "D", lines)]
+            if fault not in ("blank", "duplicate"):
+                more = 5 * (fault == "truncated")
+                for initial, q in LEADS[p].items():
+                    if role[:1] == initial:
+                        ways.append((q, cost + more, audit + "K", (*lines, (role, text))))
+                    if initial != "s":
+                        ways.append((q, cost + more + 1, audit + "R", (*lines, (FULL[initial], text))))
+            for q, *found in ways:
+                if q not in after or tuple(found[:2]) < after[q][:2]:
+                    after[q] = tuple(found)
+        best = inserted(after)
+    return min(best[q] for q in (0, 3) if q in best)
+
+
+def chart(codes):
+    """``(cost, audit)`` by the whole chart: symbols e(mpty), s, u, a, p(airs) and w(hole) over all spans and all splits."""
+    rules = [("e", "e", "e"), ("u", "e", "u"), ("u", "u", "e"), ("a", "e", "a"), ("a", "a", "e"), ("s", "e", "s"), ("s", "s", "e"), ("p", "u", "a"), ("p", "p", "p"), ("w", "s", "p"), ("w", "e", "w"), ("w", "w", "e"), ("p", "e", "p"), ("p", "p", "e")]
+    n, cells = len(codes), {}
+
+    def close(i, j):
+        cell, changed = cells[i, j], True
+        while changed:
+            changed = False
+            for k in range(i, j + 1):
+                for x, y, z in rules:
+                    if y in cells.get((i, k), {}) and z in cells.get((k, j), {}):
+                        (c, a), (d, b) = cells[i, k][y], cells[k, j][z]
+                        if x not in cell or (c + d, a + b) < cell[x]:
+                            cell[x], changed = (c + d, a + b), True
+            for x in ("p", "e"):
+                if x in cell and ("w" not in cell or cell[x] < cell["w"]):
+                    cell["w"], changed = cell[x], True
+
+    for i in range(n + 1):
+        cells[i, i] = {"e": (0, ""), "u": (5, "I"), "a": (5, "I")}
+        close(i, i)
+    for width in range(1, n + 1):
+        for i in range(n - width + 1):
+            cells[i, i + width] = {}
+            if width == 1:
+                cell, code = cells[i, i + 1], codes[i]
+                cell["e"] = (2, "D")
+                if code != "d":
+                    more = 5 * code.isupper()
+                    cell |= {x: (more + 1, "R") for x in "ua"}
+                    if code.lower() in "sua":
+                        cell[code.lower()] = (more, "K")
+            close(i, i + width)
+    return cells[0, n]["w"]
