@@ -87,6 +87,31 @@ def test_tool_messages(spark):
     assert out["other"] == rows[3][1] and out["broken"] == "nope"
 
 
+def test_nothing_hides_behind_a_repeated_key_or_a_broken_body(spark):
+    mail, mask = "bob@corp.io", "[REDACTED-EMAIL_ADDRESS]"
+    message = '{"role":"assistant","role":"user","content":"x","content":"mail %s"}' % mail
+    rows = [
+        ("model", '{"model":"a","model":"b","messages":[{"role":"user","content":"mail %s"}]}' % mail),
+        ("message", '{"messages":[],"messages":[%s]}' % message),
+        ("part", '{"messages":[{"role":"user","content":[{"type":"x","type":"text","text":"","text":"%s"}]}]}' % mail),
+        ("cut", '{"messages":[{"role":"user","content":"mail %s' % mail), ("list", '["mail %s"]' % mail), ("string", '"mail %s"' % mail),
+        ("odd", '{"messages":"mail %s"}' % mail), ("huge", '{"n":1e999,"messages":[{"role":"user","content":"%s"}]}' % mail), ("nothing", None), ("none", '{"messages":null}'),
+    ]
+    out = {r.id: r for r in extract.rewrite_requests(spark.createDataFrame(rows, "id string, body string"), clean).collect()}
+    assert len(out) == len(rows) and not any(mail in (r.body or "") for r in out.values())
+    assert json.loads(out["model"].body) == {"model": "b", "messages": [{"role": "user", "content": f"mail {mask}"}]}
+    assert json.loads(out["message"].body) == {"messages": [{"role": "user", "content": f"mail {mask}"}]}
+    assert json.loads(out["part"].body) == {"messages": [{"role": "user", "content": [{"type": "text", "text": mask}]}]}
+    wrong = {"cut", "list", "string", "odd", "huge", "nothing"}
+    assert {i for i, r in out.items() if r.error == "parse request body"} == wrong and out["none"].error == "no user message found"
+    assert all(out[i].body == dict(rows)[i].replace(mail, mask) for i in wrong - {"nothing"}) and out["nothing"].body is None
+
+    rows = [("twice", '{"result":"x","result":"mail %s"}' % mail), ("text", '{"result":{"content":[{"text":"a","text":"%s"}]}}' % mail), ("cut", '{"result":"%s' % mail)]
+    out = {r.id: r for r in extract.clean_rpc(spark.createDataFrame(rows, "id string, message string"), clean).collect()}
+    assert json.loads(out["twice"].message) == {"result": f"mail {mask}"} and json.loads(out["text"].message) == {"result": {"content": [{"text": mask}]}}
+    assert (out["cut"].message, out["cut"].error) == ('{"result":"%s' % mask, "parse message")
+
+
 def test_hosts_and_bypass(spark):
     rows = [("API.openai.com:443", "GET", "/v1/models"), ("x.y", "options", "/v1/chat"), ("x.y", "GET", "/v1/models/gpt"), ("x.y", "GET", "/.well-known/a")]
     out = spark.createDataFrame(rows, "host string, method string, path string").select(

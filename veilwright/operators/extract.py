@@ -1,4 +1,10 @@
-"""Text out of chat requests and tool messages, and clean text back in.  JSON is read as variants."""
+"""Text out of chat requests and tool messages, and clean text back in.  JSON is read as variants.
+
+Of a repeated key the last value counts, so that no text hides behind one. Spark decides that by a
+setting of the session, ``spark.sql.variant.allowDuplicateKeys``; it is switched on here, in the session
+of the table that is read. A body that still can not be read, or holds a number that no double holds,
+is masked as plain text as a whole and marked with an ``error``.
+"""
 
 from __future__ import annotations
 
@@ -8,10 +14,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilwright.functions.spans import settled
+from veilwright.sources.scratch import written
 
 # (id, text) -> (id, redacted_text)
 Clean = Callable[[DataFrame], DataFrame]
 
+REPEATED_KEYS = "spark.sql.variant.allowDuplicateKeys"
+UNREADABLE = "parse request body"
+#: Place of the unit that is a whole unreadable body.
+WHOLE = -2
+
+
+def _readable(body: Column) -> Column:
+    """The body as a variant; null where it is no JSON or writing it again would change a number."""
+    doc = F.try_parse_json(body)
+    huge = body.rlike(r"[0-9][eE]\+?[0-9]{3}") & F.to_json(doc).rlike('"-?Infinity"')
+    return F.when(~huge, doc)
+
+
+def lenient(df: DataFrame) -> DataFrame:
+    """``df``, in whose session the last value of a repeated JSON key counts."""
+    df.sparkSession.conf.set(REPEATED_KEYS, "true")
+    return df
+
 
 def _string(part: Column, field: str) -> Column:
     """A field of an object that is a string; null when it is something else."""
@@ -55,8 +80,11 @@ def _is_string(v: Column) -> Column:
 
 
 def parsed(requests: DataFrame, body: str = "body") -> DataFrame:
-    """Add ``doc`` (the body as a variant) and ``messages`` (array of variants)."""
-    return requests.withColumn("doc", F.try_parse_json(body)).withColumn(
+    """Add ``doc`` (the body as a variant, null if it is no request) and ``messages`` (array of variants)."""
+    doc = _readable(F.col(body))
+    listed = F.try_variant_get(doc, "$.messages", "variant")
+    fits = F.schema_of_variant(doc).startswith("OBJECT") & (listed.isNull() | F.schema_of_variant(listed).startswith("ARRAY") | F.schema_of_variant(listed).isin("VOID"))
+    return lenient(requests).withColumn("doc", settled(F.when(fits, doc))).withColumn(
         "messages", F.try_variant_get("doc", "$.messages", "array<variant>")
     )
 
@@ -105,7 +133,7 @@ def last_user(requests: DataFrame, body: str = "body") -> DataFrame:
         )
         .withColumn(
             "error",
-            F.when(F.col("doc").isNull(), "parse request body")
+            F.when(F.col("doc").isNull(), UNREADABLE)
             .when(F.col("last").isNull(), "no user message found")
             .when(F.col("texts").isNull(), "unsupported content format"),
         )
@@ -144,30 +172,29 @@ def _with_field(v: Column, key: str, value: Column) -> Column:
     )
 
 
+def _whole(body: str) -> Column:
+    """The units of a body that can not be read: all of it."""
+    return F.array(F.struct(F.lit(WHOLE).alias("part"), F.lit(-1).alias("nested"), F.col(body).alias("text")))
+
+
 def _cleaned(found: DataFrame, keep: list[str], clean: Clean) -> DataFrame:
     """``keep`` and ``done``, the units ``(part, nested, text)`` with clean texts; null for a row without any.
 
-    Each text goes through ``clean`` with its own row as its id, so nothing is joined, and ids may
-    repeat or be null. Only the texts of a row that has several come together again, by a key of that row.
+    Rows are written with a key first, so a task that runs again finds the key it had. Each text goes
+    through ``clean`` with the key of its row, and the texts of a row come together by that key; what
+    else belongs to the row travels once. Ids may repeat or be null.
     """
-    units = F.coalesce(F.size("units"), F.lit(0))
-    none = found.where(units <= 0).select(*keep, F.lit(None).cast("array<struct<part:int,nested:int,text:string>>").alias("done"))
-
-    def unit(i: Column) -> Column:
-        return F.array(F.struct(i.part.alias("part"), i.nested.alias("nested"), F.col("redacted_text").alias("text")))
-
-    first = F.element_at("units", 1)
-    one = found.where(units == 1).select(F.struct(*keep, first.part.alias("part"), first.nested.alias("nested")).alias("id"), first.text.alias("text"))
-    done_one = clean(one).select(*[F.col("id")[k].alias(k) for k in keep], unit(F.col("id")).alias("done"))
-
-    # The key is given before the row is taken apart, so that all its parts share it.
-    many = found.where(units > 1).select(*keep, "units", F.monotonically_increasing_id().alias("row"))
-    many = many.select(*keep, "row", F.posexplode("units").alias("at", "u"))
-    head = F.when(F.col("at") == 0, F.struct(*keep))  # what belongs to the row travels once
-    many = many.select(F.struct("row", "at", head.alias("head"), F.col("u.part").alias("part"), F.col("u.nested").alias("nested")).alias("id"), F.col("u.text").alias("text"))
-    grouped = clean(many).groupBy(F.col("id.row").alias("row")).agg(F.array_sort(F.collect_list(F.struct(F.col("id.at").alias("at"), F.col("id.head").alias("head"), unit(F.col("id")).alias("unit")))).alias("g"))
-    done_many = grouped.select(*[F.element_at("g", 1).head[k].alias(k) for k in keep], F.flatten(F.transform("g", lambda x: x.unit)).alias("done"))
-    return none.unionByName(done_one).unionByName(done_many)
+    rows = written(found.select(*keep, "units", F.monotonically_increasing_id().alias("row")), "bodies")
+    none = rows.where("coalesce(size(units), 0) <= 0").select(*keep, F.lit(None).cast("array<struct<part:int,nested:int,text:string>>").alias("done"))
+    parts = rows.where("size(units) > 0").select("row", *keep, F.posexplode("units").alias("at", "u"))
+    head = F.when(F.col("at") == 0, F.struct(*keep))
+    parts = parts.select(F.struct("row", "at", head.alias("head"), F.col("u.part").alias("part"), F.col("u.nested").alias("nested")).alias("id"), F.col("u.text").alias("text"))
+    unit = F.struct(F.col("id.part").alias("part"), F.col("id.nested").alias("nested"), F.col("redacted_text").alias("text"))
+    grouped = clean(parts).groupBy(F.col("id.row").alias("row")).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("id.at").alias("at"), F.col("id.head").alias("head"), unit.alias("unit")))).alias("g")
+    )
+    done = grouped.select(*[F.element_at("g", 1).head[k].alias(k) for k in keep], F.transform("g", lambda x: x.unit).alias("done"))
+    return none.unionByName(done)
 
 
 def _done(part: Column, nested: Column) -> Column:
@@ -192,12 +219,14 @@ def _part_json(part: Column, place: Column) -> Column:
 
 
 def rewrite_requests(requests: DataFrame, clean: Clean, body: str = "body") -> DataFrame:
-    """(id, body): the texts of the last user message masked, everything else as it was.
+    """(id, body, error): the texts of the last user message masked, everything else as it was.
 
-    A body without such a message comes back unchanged. Ids may repeat and may be null.
+    A body without such a message comes back unchanged, with the reason as ``error`` (else empty). Of a
+    repeated key the last value is kept. A body that can not be read is masked as one text; a null one
+    stays null. Ids may repeat and may be null.
     """
     carried = requests.select("id", F.col(body).alias("body"))
-    found = last_user(carried).withColumn("units", F.when(F.col("error").isNull(), F.col("units")))
+    found = last_user(carried).withColumn("units", F.when(F.col("error").isNull(), F.col("units")).when((F.col("error") == UNREADABLE) & F.col("body").isNotNull(), _whole("body")))
     ready = last_user(_cleaned(found.select("id", "body", "units"), ["id", "body"], clean))
     listed = F.concat(F.lit("["), F.array_join(F.transform("parts", _part_json), ","), F.lit("]"))
     content = F.when(F.col("is_array"), listed).otherwise(_quoted(_done(F.lit(-1), F.lit(-1))))
@@ -205,7 +234,9 @@ def rewrite_requests(requests: DataFrame, clean: Clean, body: str = "body") -> D
     ready = ready.withColumn("__message", settled(_with_field(F.col("last.m"), "content", F.col("__content"))))
     messages = F.transform("messages", lambda m, i: F.when(i == F.col("idx"), F.col("__message")).otherwise(F.to_json(m)))
     ready = ready.withColumn("__messages", settled(F.concat(F.lit("["), F.array_join(messages, ","), F.lit("]"))))
-    return ready.select("id", F.when(F.col("done").isNotNull(), _with_field(F.col("doc"), "messages", F.col("__messages"))).otherwise(F.col("body")).alias("body"))
+    raw = _done(F.lit(WHOLE), F.lit(-1))
+    body_out = F.when(F.col("done").isNull(), F.col("body")).when(raw.isNotNull(), raw).otherwise(_with_field(F.col("doc"), "messages", F.col("__messages")))
+    return ready.select("id", body_out.alias("body"), F.coalesce("error", F.lit("")).alias("error"))
 
 
 # --- tool messages ---------------------------------------------------------------------------------
@@ -217,7 +248,7 @@ def rpc_texts(messages: DataFrame, message: str = "message") -> DataFrame:
     result = F.try_variant_get("doc", "$.result", "variant")
     params = F.try_variant_get("doc", "$.params.content", "variant")
     return (
-        messages.withColumn("doc", F.try_parse_json(message))
+        lenient(messages).withColumn("doc", settled(_readable(F.col(message))))
         .withColumn("parts", content)
         .withColumn(
             "place",
@@ -252,13 +283,14 @@ def rpc_text(messages: DataFrame, message: str = "message") -> DataFrame:
 
 
 def clean_rpc(messages: DataFrame, clean: Clean, message: str = "message") -> DataFrame:
-    """(id, message): every text masked on its decoded value; a message without text is unchanged.
+    """(id, message, error): every text masked on its decoded value; a message without text is unchanged.
 
-    Ids may repeat and may be null.
+    A message that can not be read is masked as one text and marked. Ids may repeat and may be null.
     """
     carried = messages.select("id", F.col(message).alias("message"))
     units = F.transform("texts", lambda t, i: F.struct(i.alias("part"), F.lit(-1).alias("nested"), t.alias("text")))
-    found = rpc_texts(carried).withColumn("units", F.when(F.col("place").isNotNull(), F.filter(units, lambda u: u.text.isNotNull())))
+    read = F.when(F.col("place").isNotNull(), F.filter(units, lambda u: u.text.isNotNull()))
+    found = rpc_texts(carried).withColumn("units", read.when(F.col("doc").isNull() & F.col("message").isNotNull(), _whole("message")))
     ready = rpc_texts(_cleaned(found.select("id", "message", "units"), ["id", "message"], clean))
     parts = F.transform("parts", lambda p, i: F.when(_done(i, F.lit(-1)).isNull(), F.to_json(p)).otherwise(_with_field(p, "text", _quoted(_done(i, F.lit(-1))))))
     result = F.try_variant_get("doc", "$.result", "variant")
@@ -272,4 +304,6 @@ def clean_rpc(messages: DataFrame, clean: Clean, message: str = "message") -> Da
     )
     ready = ready.withColumn("__inner", settled(inner))
     rebuilt = F.when(F.col("place") == "params", _with_field(F.col("doc"), "params", F.col("__inner"))).otherwise(_with_field(F.col("doc"), "result", F.col("__inner")))
-    return ready.select("id", F.when(F.col("done").isNotNull(), rebuilt).otherwise(F.col("message")).alias("message"))
+    raw = _done(F.lit(WHOLE), F.lit(-1))
+    message_out = F.when(F.col("done").isNull(), F.col("message")).when(raw.isNotNull(), raw).otherwise(rebuilt)
+    return ready.select("id", message_out.alias("message"), F.when(F.col("doc").isNull(), "parse message").otherwise("").alias("error"))

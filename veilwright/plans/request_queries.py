@@ -323,28 +323,34 @@ def clean_words(texts: DataFrame) -> DataFrame:
 
 
 def full_requests(spark: SparkSession, sf: str) -> DataFrame:
-    """Requests with names, image parts, nested tool results and fields of all kinds; ids repeat, some are null."""
+    """Requests with names, image parts, nested tool results and fields of all kinds; ids repeat, some are null.
+
+    Keys repeat in some objects; every thirteenth conversation has bodies that are no JSON.
+    """
     t = read_table(spark, sf, "conversations")
     image = F.struct(F.lit("image").alias("type"), F.struct(F.lit("the data").alias("data")).alias("source"))
     text_part = F.struct(F.lit("text").alias("type"), F.col("text").alias("text"), F.struct(F.lit("the cache").alias("type")).alias("cache_control"))
     result = F.struct(F.lit("tool_result").alias("type"), F.concat(F.lit("of the "), F.col("role")).alias("content"), F.lit("the tool").alias("tool_use_id"))
-    inner = F.concat(F.lit('[{"type":"text","text":"the end","n":1},'), F.to_json(image), F.lit("]"))
+    inner = F.concat(F.lit('[{"type":"text","text":"the start","text":"the end","n":1},'), F.to_json(image), F.lit("]"))
     nested = F.concat(F.lit('{"type":"tool_result","is_error":false,"content":'), inner, F.lit("}"))
     parts = F.concat(F.lit("["), F.concat_ws(",", F.to_json(text_part), F.to_json(image), F.to_json(result), nested), F.lit("]"))
     plain = F.to_json(F.struct(F.col("role"), F.col("text").alias("content"), F.lit("the name").alias("name")))
     many = F.concat(F.lit('{"role":"'), F.col("role"), F.lit('","name":"the name","content":'), parts, F.lit("}"))
     first = F.lit('{"role":"user","content":"the first \\"question\\""},')
     message = F.when(F.col("turn") % 2 == 1, plain).when(F.col("turn") % 4 == 0, many).otherwise(F.concat(first, plain))
+    model = F.when(F.col("conv_id") % 11 == 3, '{"model":"of the past","messages":[],"model":"the model","messages":[').otherwise('{"model":"the model","messages":[')
+    broken = F.concat(F.lit("{the broken "), F.col("text"), F.lit(" of the end"))
     return t.select(
         F.when(F.col("conv_id") % 7 != 0, F.expr("conv_id div 2")).alias("id"),
-        F.concat(F.lit('{"model":"the model","messages":['), message, F.lit('],"stream":true,"max_tokens":16}')).alias("body"),
+        F.when(F.col("conv_id") % 13 == 5, broken).otherwise(F.concat(model, message, F.lit('],"stream":true,"max_tokens":16}'))).alias("body"),
     )
 
 
 _KEY = "(conv_id * 1000 + turn) * 4"
 _UNITS = f"""SELECT {_KEY} AS id, CASE WHEN role = 'user' THEN text ELSE 'the first "question"' END AS text FROM conversations WHERE role = 'user' OR turn % 4 = 2
     UNION ALL SELECT {_KEY} + 1, 'of the user' FROM conversations WHERE role = 'user' AND turn % 4 = 0
-    UNION ALL SELECT {_KEY} + 2, 'the end' FROM conversations WHERE role = 'user' AND turn % 4 = 0"""
+    UNION ALL SELECT {_KEY} + 2, 'the end' FROM conversations WHERE role = 'user' AND turn % 4 = 0
+    UNION ALL SELECT {_KEY} + 3, '{{the broken ' || text || ' of the end' FROM conversations WHERE conv_id % 13 = 5"""
 
 
 def _clean_units(units: str) -> dict[str, str]:
@@ -365,20 +371,22 @@ _PARTS = f"""json_array(json_object('cache_control', json_object('type', 'the ca
     "requests_rewritten",
     with_tables(
         f"""SELECT CASE WHEN conv_id % 7 <> 0 THEN conv_id // 2 END AS id,
-              CAST(json_object('max_tokens', 16, 'messages', CASE
+              CASE WHEN conv_id % 13 = 5 THEN 'parse request body' WHEN role = 'user' OR turn % 4 = 2 THEN '' ELSE 'no user message found' END AS error,
+              CASE WHEN conv_id % 13 = 5 THEN raw ELSE CAST(json_object('max_tokens', 16, 'messages', CASE
                 WHEN turn % 4 = 0 THEN json_array(json_object('content', {_PARTS}, 'name', 'the name', 'role', role))
                 WHEN turn % 4 = 2 THEN json_array(json_object('content', f0, 'role', 'user'), json_object('content', t0, 'name', 'the name', 'role', role))
-                ELSE json_array(json_object('content', t0, 'name', 'the name', 'role', role)) END, 'model', 'the model', 'stream', true) AS VARCHAR) AS body
-            FROM (SELECT c.*, CASE WHEN role = 'user' THEN a.masked ELSE text END AS t0, coalesce(b.masked, 'of the ' || role) AS t1, coalesce(d.masked, 'the end') AS t2,
+                ELSE json_array(json_object('content', t0, 'name', 'the name', 'role', role)) END, 'model', 'the model', 'stream', true) AS VARCHAR) END AS body
+            FROM (SELECT c.*, r.masked AS raw, CASE WHEN role = 'user' THEN a.masked ELSE text END AS t0, coalesce(b.masked, 'of the ' || role) AS t1, coalesce(d.masked, 'the end') AS t2,
                     CASE WHEN role = 'user' THEN 'the first "question"' ELSE a.masked END AS f0
-                  FROM conversations c LEFT JOIN k a ON a.id = {_KEY} LEFT JOIN k b ON b.id = {_KEY} + 1 LEFT JOIN k d ON d.id = {_KEY} + 2)""",
+                  FROM conversations c LEFT JOIN k a ON a.id = {_KEY} LEFT JOIN k b ON b.id = {_KEY} + 1 LEFT JOIN k d ON d.id = {_KEY} + 2
+                    LEFT JOIN k r ON r.id = {_KEY} + 3)""",
         **_clean_units(_UNITS),
     ),
 )
 def requests_rewritten(spark: SparkSession, sf: str) -> DataFrame:
     """Whole bodies, with the fields of every object in alphabetical order."""
     out = extract.rewrite_requests(full_requests(spark, sf), clean_words)
-    return out.select("id", F.to_json(F.parse_json("body")).alias("body"))
+    return out.select("id", "error", F.coalesce(F.to_json(F.try_parse_json("body")), "body").alias("body"))
 
 
 # --- tool messages -----------------------------------------------------------------------------------
@@ -416,11 +424,11 @@ def src_rpc_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def full_rpc(spark: SparkSession, sf: str) -> DataFrame:
-    """Tool messages with more fields in every object; ids repeat, some are null."""
+    """Tool messages with more fields in every object; ids and some keys repeat, some ids are null."""
     t = read_table(spark, sf, "conversations")
     part = F.to_json(F.struct(F.lit("text").alias("type"), F.col("text"), F.struct(F.lit(0.5).alias("priority")).alias("annotations")))
     image = F.lit('{"type":"image","data":"the data"}')
-    parts = F.concat(F.lit('{"jsonrpc":"2.0","id":7,"result":{"isError":false,"content":['), F.concat_ws(",", part, image, F.lit('{"type":"text","text":"the end"}')), F.lit("]}}"))
+    parts = F.concat(F.lit('{"jsonrpc":"2.0","id":6,"id":7,"result":"the past","result":{"isError":false,"content":['), F.concat_ws(",", part, image, F.lit('{"type":"text","text":"the end"}')), F.lit("]}}"))
     return t.select(
         F.when(F.col("conv_id") % 7 != 0, F.expr("conv_id div 2")).alias("id"),
         F.when(F.col("turn") % 4 == 0, parts)
@@ -440,12 +448,12 @@ def full_rpc(spark: SparkSession, sf: str) -> DataFrame:
                 json_object('text', b.masked, 'type', 'text')), 'isError', false)) AS VARCHAR)
               WHEN 1 THEN CAST(json_object('jsonrpc', '2.0', 'result', a.masked) AS VARCHAR)
               WHEN 2 THEN CAST(json_object('jsonrpc', '2.0', 'params', json_object('content', a.masked, 'n', 1)) AS VARCHAR)
-              ELSE 'not json: ' || text END AS message
-            FROM conversations LEFT JOIN k a ON a.id = {_KEY} LEFT JOIN k b ON b.id = {_KEY} + 1""",
-        **_clean_units(f"SELECT {_KEY} AS id, text FROM conversations WHERE turn % 4 <> 3 UNION ALL SELECT {_KEY} + 1, 'the end' FROM conversations WHERE turn % 4 = 0"),
+              ELSE r.masked END AS message, CASE WHEN turn % 4 = 3 THEN 'parse message' ELSE '' END AS error
+            FROM conversations LEFT JOIN k a ON a.id = {_KEY} LEFT JOIN k b ON b.id = {_KEY} + 1 LEFT JOIN k r ON r.id = {_KEY} + 2""",
+        **_clean_units(f"SELECT {_KEY} AS id, text FROM conversations WHERE turn % 4 <> 3 UNION ALL SELECT {_KEY} + 1, 'the end' FROM conversations WHERE turn % 4 = 0 UNION ALL SELECT {_KEY} + 2, 'not json: ' || text FROM conversations WHERE turn % 4 = 3"),
     ),
 )
 def rpc_rewritten(spark: SparkSession, sf: str) -> DataFrame:
     """Whole messages, with the fields of every object in alphabetical order."""
     out = extract.clean_rpc(full_rpc(spark, sf), clean_words)
-    return out.select("id", F.coalesce(F.to_json(F.try_parse_json("message")), "message").alias("message"))
+    return out.select("id", "error", F.coalesce(F.to_json(F.try_parse_json("message")), "message").alias("message"))
