@@ -5,21 +5,44 @@ A truth entity is caught by the first finding whose value holds it, is held by i
 touches it.  Ignored labels do not count as missed, but a finding that meets one is no false positive.
 
 Both arrays sit in the row of their text, so matching is a map: nothing is joined and no pair of a
-text leaves its row.
+text leaves its row. How spans are found in each other is in ``matching``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from veilwright.functions.spans import settled
+from veilwright.operators.matching import Meeting
 
+CREDIT = "array<struct<value:string,start:int,end:int,label:string,by_layer:string,by_label:string>>"
+WRONG = "array<struct<value:string,start:int,end:int,label:string,layer:string,ord:int>>"
 
-def meets(t: Column, f: Column) -> Column:
-    return (
-        F.contains(t.value, f.value) | F.contains(f.value, t.value) | ((f.start <= t.end) & (f.end >= t.start))
-    )
+
+def _met(labelled: DataFrame, truth: str, findings: str, fields: str, judge: Callable[[list[dict], list[dict], Meeting], tuple]) -> DataFrame:
+    """``id`` and ``fields`` made from the truth, the findings and how they meet, text by text; null arrays are empty."""
+    span = lambda x: F.struct(x.value.alias("value"), x.start.cast("int").alias("start"), x.end.cast("int").alias("end"), x.label.alias("label"))
+    found = lambda x: F.struct(x.value.alias("value"), x.start.cast("int").alias("start"), x.end.cast("int").alias("end"), x.label.alias("label"), x.layer.alias("layer"))
+    rows = labelled.select("id", F.transform(truth, span).alias("truth"), F.transform(findings, found).alias("found"))
+    schema = T.StructType([rows.schema["id"], *T.StructType.fromDDL(fields).fields])
+    types = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for wanted, had in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                wanted, had = wanted or [], had or []
+                plain = [[(x["value"], x["start"], x["end"]) for x in spans] for spans in (wanted, had)]
+                out.append(judge(wanted, had, Meeting(*plain)))
+            made = [pa.array([o[i] for o in out], f.type) for i, f in enumerate(list(types)[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=types.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def score(labelled: DataFrame, ignored: list[str], truth: str = "truth", findings: str = "findings") -> DataFrame:
@@ -28,40 +51,28 @@ def score(labelled: DataFrame, ignored: list[str], truth: str = "truth", finding
     ``credited``: counted truth spans with the layer and label of the finding that caught them, null
     when none did.  ``wrong``: findings that meet no truth span, with their position.
     """
+    refused = frozenset(ignored)
 
-    def credit(t: Column) -> Column:
-        first = F.get(F.filter(F.col(findings), lambda f: meets(t, f)), F.lit(0))
-        return F.struct(
-            t.value.alias("value"), t.start.alias("start"), t.end.alias("end"), t.label.alias("label"),
-            first.layer.alias("by_layer"), first.label.alias("by_label"),
-        )
+    def judge(wanted: list[dict], had: list[dict], meeting: Meeting) -> tuple:
+        credited = []
+        for t, plain in zip(wanted, meeting.truth, strict=True):
+            if t["label"] not in refused:
+                i = meeting.first(plain)
+                by = had[i] if i is not None else {"layer": None, "label": None}
+                credited.append(t | {"by_layer": by["layer"], "by_label": by["label"]})
+        return credited, [had[i] | {"ord": i} for i in meeting.unmet()]
 
-    counted = F.filter(truth, lambda t: ~t.label.isin(*ignored)) if ignored else F.col(truth)
-    numbered = F.transform(
-        findings,
-        lambda f, i: F.struct(
-            f.value.alias("value"), f.start.alias("start"), f.end.alias("end"), f.label.alias("label"),
-            f.layer.alias("layer"), i.alias("ord"),
-        ),
-    )
-    wrong = F.filter(numbered, lambda f: ~F.exists(F.col(truth), lambda t: meets(t, f)))
-    return labelled.select(
-        "id", settled(F.transform(counted, credit)).alias("credited"), settled(wrong).alias("wrong")
-    )
+    return _met(labelled, truth, findings, f"credited {CREDIT}, wrong {WRONG}", judge)
 
 
 def matches(labelled: DataFrame, truth: str = "truth", findings: str = "findings") -> DataFrame:
     """Which findings meet which truth spans."""
-    met = F.transform(
-        F.filter(
-            F.transform(findings, lambda f, i: F.struct(f.alias("f"), i.alias("pos"))),
-            lambda x: meets(F.col("t"), x.f),
-        ),
-        lambda x: x.pos,
-    )
-    return labelled.select("id", findings, F.explode(truth).alias("t")).select(
-        "id", "t.value", "t.start", "t.end", "t.label", F.explode(met).alias("pos")
-    )
+
+    def judge(wanted: list[dict], had: list[dict], meeting: Meeting) -> tuple:
+        return ([t | {"met": meeting.all(plain)} for t, plain in zip(wanted, meeting.truth, strict=True)],)
+
+    met = _met(labelled, truth, findings, "met array<struct<value:string,start:int,end:int,label:string,met:array<int>>>", judge)
+    return met.select("id", F.explode("met").alias("t")).select("id", "t.value", "t.start", "t.end", "t.label", F.explode("t.met").alias("pos"))
 
 
 def credit_rows(scored: DataFrame) -> DataFrame:
@@ -118,6 +129,29 @@ def by_layer(scored: DataFrame) -> DataFrame:
     )
 
 
+def breakdown(scored: DataFrame) -> DataFrame:
+    """``(level, layer, label, total, caught, missed, false_pos, precision_pct, recall_pct, f1)`` in one job.
+
+    Levels: ``all``, ``layer``, ``layer_label`` (what each layer caught) and ``label``. Every truth span
+    and every wrong finding is one row, counted at all levels by one grouping; a missed span has no layer
+    and a wrong finding counts under its own label.
+    """
+    spans = F.transform("credited", lambda c: F.struct(c.by_layer.alias("layer"), c.label.alias("label"), F.lit(True).alias("truth")))
+    extra = F.transform("wrong", lambda w: F.struct(w.layer.alias("layer"), w.label.alias("label"), F.lit(False).alias("truth")))
+    rows = scored.select(F.explode(F.concat(spans, extra)).alias("x")).select("x.*")
+    layer, label, truth = F.col("layer"), F.col("label"), F.col("truth")
+    counted = rows.groupingSets([[], [layer], [layer, label], [label]], layer, label).agg(
+        F.grouping_id().alias("g"), F.count_if(truth).alias("total"), F.count_if(truth & layer.isNotNull()).alias("caught"), F.count_if(~truth).alias("false_pos")
+    )
+    level = F.when(F.col("g") == 3, "all").when(F.col("g") == 1, "layer").when(F.col("g") == 0, "layer_label").otherwise("label")
+    named = counted.withColumns({"level": level, "missed": F.col("total") - F.col("caught")}).where("layer IS NOT NULL OR level IN ('all', 'label')")
+    c, m, w = F.col("caught"), F.col("missed"), F.col("false_pos")
+    return named.select(
+        "level", "layer", "label", "total", "caught", "missed", "false_pos", _share(c, c + w).alias("precision_pct"), _share(c, c + m).alias("recall_pct"),
+        F.round(F.when(2 * c + w + m > 0, F.lit(200.0) * c / (2 * c + w + m)).otherwise(0.0), 6).alias("f1"),
+    )
+
+
 def layer_label(credited: DataFrame) -> DataFrame:
     return caught(credited).groupBy(F.col("by_layer").alias("layer"), "label").agg(F.count("*").alias("caught"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilwright.functions.spans import FINDING, empty, in_order, settled
+from veilwright.operators.deadline import timed
 from veilwright.plans.cascade import Layer
 from veilwright.sources.catalog import effective
 
@@ -182,6 +183,10 @@ def to_findings(entities: Column, layer: str, layer_ord: int, label: Callable[[C
 Loader = Callable[[], Callable[[list[str]], list[list[dict]]]]
 
 
+FAILED = "scan failed"
+ANSWER = f"struct<entities:array<{ENTITY}>,reason:string>"
+
+
 def isolated(predict: Callable[[list[str]], list[list[dict]]], texts: list[str]) -> list[list[dict] | None]:
     """Spans of each text, null for those that the model fails on."""
     try:
@@ -194,38 +199,45 @@ def isolated(predict: Callable[[list[str]], list[list[dict]]], texts: list[str])
     return isolated(predict, texts[:half]) + isolated(predict, texts[half:])
 
 
-def model_column(load: Loader) -> Callable[[Column], Column]:
-    """Arrow batch function around a model.
+def model_column(load: Loader, timeout_ms: int | None = None) -> Callable[[Column], Column]:
+    """Arrow batch function around a model: the spans of a text, or the reason why there are none.
 
-    A text that the model fails on gives a null. A batch it fails on is halved until that text stands
-    alone, so its neighbours keep their spans. A model that can not be loaded fails the job.
+    A batch the model fails on is halved until the text it fails on stands alone, so its neighbours keep
+    their spans. With a time limit each text is asked by itself, of a model in a process of its own. A
+    model that can not be loaded fails the job.
     """
 
-    @F.pandas_udf(f"array<{ENTITY}>")
-    def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def answers(batches: Iterator[list[str]]) -> Iterator[list[tuple[list[dict] | None, str | None]]]:
         predict = load()
         for texts in batches:
-            yield pd.Series(isolated(predict, [t or "" for t in texts]))
+            yield [(found, None if found is not None else FAILED) for found in isolated(predict, texts)]
+
+    ask = timed(load, timeout_ms) if timeout_ms else answers
+
+    @F.pandas_udf(ANSWER)
+    def spans(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for found in ask([t or "" for t in texts] for texts in batches):
+            yield pd.DataFrame({"entities": pd.Series([f[0] for f in found], dtype=object), "reason": pd.Series([f[1] for f in found], dtype=object)})
 
     return spans
 
 
 def model_layer(
-    load: Loader, toggles: dict[str, bool] | None = None, second: bool = False, ready: bool = True
+    load: Loader, toggles: dict[str, bool] | None = None, second: bool = False, ready: bool = True, timeout_ms: int | None = None
 ) -> Layer:
     """A model as a layer of the cascade.  It sees the text the layers before it have masked."""
     name = "opf" if second else "gliner"
-    failed = f"__failed_{name}"
+    reason, answer = f"__reason_{name}", f"__answer_{name}"
     suppressed = suppressed_labels(toggles)
 
     def scan(texts: DataFrame, text: str, out: str, position: int) -> DataFrame:
-        found = texts.withColumn("__entities", model_column(load)(F.col(text)))
-        kept = F.filter("__entities", keep_second if second else lambda e: keep_first(e, suppressed))
+        found = texts.withColumn(answer, model_column(load, timeout_ms)(F.col(text)))
+        kept = F.filter(F.col(answer)["entities"], keep_second if second else lambda e: keep_first(e, suppressed))
         as_findings = to_findings(kept, name, position, second_label if second else lambda c: c)
         return (
             found.withColumn(out, settled(in_order(F.coalesce(as_findings, empty(FINDING)))))
-            .withColumn(failed, F.col("__entities").isNull())
-            .drop("__entities")
+            .withColumn(reason, F.col(answer)["reason"])
+            .drop(answer)
         )
 
-    return Layer(name, scan, ready=ready, failure=failed)
+    return Layer(name, scan, ready=ready, failure=reason)

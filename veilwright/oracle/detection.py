@@ -196,6 +196,21 @@ def tokens(source: str, min_length: int) -> str:
       AND NOT starts_with(value, 'REDACTED-')"""
 
 
+#: The place in the original of a place ``{p}`` in the masked text, by the column ``marks``.
+BACK = (
+    "coalesce(list_filter(marks, lambda m: m.ms < {p} AND {p} < m.me)[1].s, "
+    "{p} - coalesce(list_filter(marks, lambda m: m.me <= {p})[-1].shift, 0))"
+)
+
+
+def moved(found: str, marks: str) -> str:
+    """Findings in the masked texts of table ``marks``, at their places in the original."""
+    return f"""
+    SELECT id, rule_id, ord, label, value, CAST({BACK.format(p='s')} AS INTEGER) AS s, CAST({BACK.format(p='e')} AS INTEGER) AS e,
+           confidence, layer, layer_ord
+    FROM ({found}) JOIN (SELECT id, marks FROM {marks}) USING (id)"""
+
+
 def entropy(
     source: str, threshold: float, min_length: int, gated: bool = True, unconditional: bool = False, layer_ord: int = 2
 ) -> str:
@@ -207,13 +222,9 @@ def entropy(
         f"substr(lower(text), greatest(s - {E.REACH}, 0) + 1, "
         f"least(e + {E.REACH}, length(text)) - greatest(s - {E.REACH}, 0))"
     )
-    back = (
-        "coalesce(list_filter(marks, lambda m: m.ms < {p} AND {p} < m.me)[1].s, "
-        "{p} - coalesce(list_filter(marks, lambda m: m.me <= {p})[-1].shift, 0))"
-    )
     return f"""
     SELECT id, CASE WHEN near THEN 'entropy_keyword_gated' ELSE 'entropy_unconditional' END AS rule_id, 0 AS ord,
-           '{E.LABEL}' AS label, value, CAST({back.format(p='s')} AS INTEGER) AS s, CAST({back.format(p='e')} AS INTEGER) AS e,
+           '{E.LABEL}' AS label, value, CAST({BACK.format(p='s')} AS INTEGER) AS s, CAST({BACK.format(p='e')} AS INTEGER) AS e,
            round(least(h / 6, 1.0), 6) AS confidence, 'entropy' AS layer, {layer_ord} AS layer_ord
     FROM (SELECT *, round({bits}, 9) AS h,
                  len(list_filter({words(E.SECRET_WORDS)}, lambda w: contains({window}, w))) > 0 AS near

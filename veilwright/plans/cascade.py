@@ -26,7 +26,7 @@ Scan = Callable[[DataFrame, str, str, int], DataFrame]
 class Layer:
     """``scan`` adds a findings column.  A layer that is not ready is skipped with a reason.
 
-    ``failure`` names a boolean column the scan may add: true where it failed on that text.
+    ``failure`` names a column the scan may add: why it failed on that text, null where it did not.
     ``keep`` decides which of the findings so far stay; a layer that has one adds none itself.
     """
 
@@ -35,7 +35,6 @@ class Layer:
     ready: bool = True
     skip_reason: str = "not ready"
     failure: str | None = None
-    failure_reason: str = "scan failed"
     keep: Callable[[Column], Column] | None = None
 
 
@@ -118,8 +117,8 @@ def cascade(texts: DataFrame, layers: list[Layer], text: str = "text") -> DataFr
         found = _moved(f"__f{k}", marks) if marks else F.col(f"__f{k}")
         skipped, reason = F.lit(False), F.lit("")
         if layer.failure:
-            skipped = F.coalesce(F.col(layer.failure), F.lit(False))
-            reason = F.when(skipped, F.lit(layer.failure_reason)).otherwise("")
+            skipped = F.col(layer.failure).isNotNull()
+            reason = F.coalesce(F.col(layer.failure), F.lit(""))
             found = F.when(skipped, empty(FINDING)).otherwise(found)
         infos.append(_info(layer.name, F.size(F.col(f"__f{k}")), skipped, reason))
         if layer.keep:

@@ -209,15 +209,18 @@ _VOWELS = "length(regexp_replace(text, '[^aeiouAEIOU]', '', 'g'))"
 _LETTERS = r"length(regexp_replace(text, '[^\p{L}]', '', 'g'))"
 
 
+_SECOND_KEPT = f"""strlen(text) >= 4 AND NOT ({_LETTERS} > 3 AND {_VOWELS} = 0) AND NOT ({_LETTERS} > 5 AND {_VOWELS} / {_LETTERS} < 0.1)
+    AND NOT contains(text, 'REDACTED')
+    AND NOT (label2 IN ('SECRET', 'PRIVATE_ADDRESS') AND strlen(text) < 8) AND NOT (label2 = 'PRIVATE_DATE' AND strlen(text) < 6)
+    AND NOT (label2 = 'ACCOUNT_NUMBER' AND strlen(text) < 5)"""
+
+
 @query(
     "ml2_spans_filtered",
     with_tables(
         f"""SELECT id, text, coalesce(CASE label2 {' '.join(f"WHEN {O.lit(k)} THEN {O.lit(v)}" for k, v in M.LABEL_MAP.items())} END, label2) AS label,
               s AS span_start, e AS span_end FROM entities
-            WHERE strlen(text) >= 4 AND NOT ({_LETTERS} > 3 AND {_VOWELS} = 0) AND NOT ({_LETTERS} > 5 AND {_VOWELS} / {_LETTERS} < 0.1)
-              AND NOT contains(text, 'REDACTED')
-              AND NOT (label2 IN ('SECRET', 'PRIVATE_ADDRESS') AND strlen(text) < 8) AND NOT (label2 = 'PRIVATE_DATE' AND strlen(text) < 6)
-              AND NOT (label2 = 'ACCOUNT_NUMBER' AND strlen(text) < 5)""",
+            WHERE {_SECOND_KEPT}""",
         **_ML,
     ),
 )
