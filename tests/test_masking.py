@@ -131,7 +131,7 @@ def test_hot_texts_are_spread_and_whole(spark):
     def job(df):
         return redact(cascade(df, default_layers(settings)))
 
-    spread = scan_distinct(texts, job, hot=20).select("id", "redacted_text")
+    spread = scan_distinct(texts, job).select("id", "redacted_text")
     plain = scan_and_redact(texts, settings=settings).select("id", "redacted_text")
     assert spread.count() == 400
     assert spread.exceptAll(plain).count() == 0

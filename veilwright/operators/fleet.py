@@ -63,6 +63,32 @@ def verdict_board(events: DataFrame, since: Column) -> DataFrame:
     return events.where(F.col("received_at") >= since).groupBy("org_id").agg(*counts)
 
 
+def panes(events: DataFrame, clock: str, keys: list[str]) -> DataFrame:
+    """``(hour, keys, n)``: events of each hour."""
+    hour = F.date_trunc("hour", clock).cast(events.schema[clock].dataType)
+    return events.groupBy(hour.alias("hour"), *keys).agg(F.count("*").alias("n"))
+
+
+def sliding(counts: DataFrame, keys: list[str], size: int = 24) -> DataFrame:
+    """``(window_start, keys, n)`` of all windows of ``size`` hours, one each hour, that hold an event.
+
+    Made from hourly counts (``hour``, keys, ``n``), which are summed over the hours of a window; an event
+    is never laid out once for each of its windows. An hour opens the windows that begin after the hour
+    with events before it, ``size`` at most; events without a time are in no window.
+    """
+    counts = counts.where("hour IS NOT NULL")
+    step = F.expr("INTERVAL 1 HOUR")
+    before = F.lag("hour").over(Window.partitionBy(*keys).orderBy("hour"))  # a row for each hour
+    earliest = F.col("hour") - F.expr(f"INTERVAL {size - 1} HOURS")
+    opened = counts.withColumn("since", F.greatest(earliest, before + step))
+    starts = opened.select(F.explode(F.sequence("since", "hour", step)).alias("hour"), *keys, F.lit(0).cast("bigint").alias("n"), F.lit(True).alias("is_start"))
+    seconds = F.unix_seconds(F.col("hour").cast("timestamp"))
+    ahead = Window.partitionBy(*keys).orderBy(seconds).rangeBetween(0, (size - 1) * 3600)
+    both = counts.select("hour", *keys, "n", F.lit(False).alias("is_start")).unionByName(starts)
+    summed = both.withColumn("n", F.sum("n").over(ahead)).where("is_start")
+    return summed.select(F.col("hour").alias("window_start"), *keys, "n")
+
+
 def device_last_seen(devices: DataFrame, events: DataFrame) -> DataFrame:
     """Devices with the time of their latest authorised event, null when there is none."""
     seen = authorised(events, devices).groupBy(F.col("device_id").alias("id")).agg(F.max("received_at").alias("last_seen_at"))

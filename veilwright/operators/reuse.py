@@ -7,10 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_COPIES = 100_000
-PIECES = 64
-
-
 def text_hash(column: str = "text") -> Column:
     """Key of equal texts; a missing text has one as well."""
     return F.coalesce(F.sha2(F.col(column), 256), F.lit(""))
@@ -29,32 +25,14 @@ def scan_distinct(
     job: Callable[[DataFrame], DataFrame],
     id_col: str = "id",
     text: str = "text",
-    hot: int = HOT_COPIES,
 ) -> DataFrame:
     """Run the job once per distinct text and join its result back to every row.
 
-    A text with more than ``hot`` copies would put them all in one join partition.  Such texts are
-    spread: their rows take a random-looking piece number, their result is laid out once per piece.
-    There are at most rows / ``hot`` of them, so the list of their hashes is small enough to broadcast.
+    The rows that come back carry ids and hashes only. A text with very many copies makes one large
+    partition of them, against one row of results: adaptive execution splits it.
     """
-    once = distinct_texts(texts, text)
-    heavy = once.where(F.col("copies") > hot).select("hash").withColumn("hot", F.lit(True))
-    done = job(once.select("hash", text, "copies")).select(
-        "hash",
-        "copies",
-        *["redacted_text", "findings", "applied", "layers"],
-    )
-    done = done.withColumn(
-        "piece",
-        F.explode(
-            F.when(F.col("copies") > hot, F.sequence(F.lit(0), F.lit(PIECES - 1))).otherwise(F.array(F.lit(0)))
-        ),
-    )
-    rows = texts.select(id_col, text_hash(text).alias("hash")).join(F.broadcast(heavy), "hash", "left")
-    rows = rows.withColumn(
-        "piece", F.when(F.col("hot"), F.pmod(F.xxhash64(id_col), F.lit(PIECES)).cast("int")).otherwise(0)
-    )
-    return rows.join(done, ["hash", "piece"]).select(id_col, "redacted_text", "findings", "applied", "layers")
+    done = job(distinct_texts(texts, text).select("hash", text)).select("hash", "redacted_text", "findings", "applied", "layers")
+    return texts.select(id_col, text_hash(text).alias("hash")).join(done, "hash").drop("hash")
 
 
 def cache_stats(texts: DataFrame, text: str = "text") -> DataFrame:

@@ -175,12 +175,7 @@ def verdict_board(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def events_windowed(spark: SparkSession, sf: str) -> DataFrame:
-    return (
-        events(spark, sf)
-        .groupBy(F.window("received_at", "24 hours", "1 hour").alias("w"), "verdict")
-        .agg(F.count("*").alias("n"))
-        .select(F.col("w.start").alias("window_start"), "verdict", "n")
-    )
+    return L.sliding(L.panes(events(spark, sf), "received_at", ["verdict"]), ["verdict"])
 
 
 @query(

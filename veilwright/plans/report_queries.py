@@ -35,7 +35,10 @@ TABLES = {"reports": _REPORTS}
 
 
 def reports(spark: SparkSession, sf: str) -> DataFrame:
-    e = read_table(spark, sf, "events")
+    return reports_of(read_table(spark, sf, "events"))
+
+
+def reports_of(e: DataFrame) -> DataFrame:
     eid = F.col("event_id")
     layer = lambda name, skipped, ms: F.struct(
         F.lit(name).alias("name"), skipped.alias("skipped"), ms.cast("bigint").alias("ms")

@@ -5,23 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilwright.operators import fleet as L
 from veilwright.operators import reports as R
 from veilwright.oracle import detection as O
 from veilwright.plans import fleet_queries as Q
 from veilwright.plans.cascade import Settings
-from veilwright.plans.registry import query, with_tables
+from veilwright.plans.registry import ORACLES, query, with_tables
+from veilwright.plans.report_queries import reports_of
 from veilwright.plans.text_queries import _CLEAN
 from veilwright.sources.catalog import everything_on
 from veilwright.sources.patterns import profile
 from veilwright.sources.scratch import new_folder
 from veilwright.sources.tables import read_table, spread
 from veilwright.streaming import jobs as J
+from veilwright.streaming import state as ST
 
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return J.file_stream(spark, sf, f"{name}.parquet", read_table(spark, sf, name).schema)
 
 
+def _files(spark: SparkSession, sf: str, name: str, files: int = 4) -> DataFrame:
+    """The table as a stream of several files, one for each batch."""
+    folder = new_folder(spark, f"stream-{name}")
+    table = read_table(spark, sf, name)
+    table.repartition(files, table.columns[0]).write.parquet(folder)
+    return J.file_stream(spark, folder, "*.parquet", table.schema, files_per_trigger=1)
+
+
 def _written(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     folder = new_folder(spark, name)
     J.to_parquet(stream, f"{folder}/out", f"{folder}/state").awaitTermination()
@@ -80,17 +91,77 @@ def stream_alerts(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def stream_verdict_windows(spark: SparkSession, sf: str) -> DataFrame:
-    """Final state of the sliding counts: complete mode, the last state replaces the earlier ones."""
-    events = Q.events_of(_stream(spark, sf, "events")).withColumn("received_at", F.col("received_at").cast("timestamp"))
+    """Hourly counts as they stand after the last batch, summed over windows of a day."""
+    events = Q.events_of(_files(spark, sf, "events")).withColumn("received_at", F.col("received_at").cast("timestamp"))
     folder = new_folder(spark, "stream-windows")
+    ST.live(J.verdict_panes(events), ["hour", "verdict"], f"{folder}/out", f"{folder}/state").awaitTermination()
+    out = L.sliding(ST.state_of(spark, f"{folder}/out"), ["verdict"])
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
-    def sink(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/out")
 
-    J.each_batch(J.verdict_windows(events), sink, f"{folder}/state", mode="complete").awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select(
-        F.col("window_start").cast("timestamp_ntz").alias("window_start"), "verdict", "n"
-    )
+@query(
+    "stream_observed_windows",
+    with_tables(
+        """SELECT w AS window_start, verdict, count(*) AS n FROM (
+             SELECT verdict, unnest(generate_series(date_trunc('hour', observed_at) - INTERVAL 23 HOUR, date_trunc('hour', observed_at), INTERVAL 1 HOUR)) AS w FROM ev)
+           GROUP BY 1, 2""",
+        **Q.TABLES,
+    ),
+)
+def stream_observed_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows by the events' own clock over several files; events behind the watermark are added from their table."""
+    events, folder = Q.events_of(_files(spark, sf, "events")), new_folder(spark, "stream-observed")
+    ST.observed_counts(events, folder, f"{folder}/state").awaitTermination()
+    late = L.panes(ST.late_events(spark, folder), "observed_at", ["verdict"])
+    both = ST.observed_panes(spark, folder).unionByName(late).groupBy("hour", "verdict").agg(F.sum("n").alias("n"))
+    return L.sliding(both, ["verdict"])
+
+
+@query("stream_counters", ORACLES["requests_total"])
+def stream_counters(spark: SparkSession, sf: str) -> DataFrame:
+    """Counters after the last of several batches, each merged by its number."""
+    folder = new_folder(spark, "stream-counters")
+    ST.live(J.live_counters(reports_of(_files(spark, sf, "events"))), ["upstream", "status"], f"{folder}/out", f"{folder}/state").awaitTermination()
+    return ST.state_of(spark, f"{folder}/out").select("upstream", "status", "total")
+
+
+@query("stream_histogram", ORACLES["latency_histogram"])
+def stream_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    folder = new_folder(spark, "stream-histogram")
+    counted = J.live_histogram(reports_of(_files(spark, sf, "events")), F.col("provider"), F.col("latency_ms"))
+    ST.live(counted, ["name", "le"], f"{folder}/out", f"{folder}/state").awaitTermination()
+    return ST.state_of(spark, f"{folder}/out").select("name", "le", "cumulative", "sum_seconds", "n")
+
+
+@query("stream_scan_once", with_tables("SELECT id, masked AS redacted_text, CAST(len(marks) AS INTEGER) AS applied_count FROM k2", **_STREAM_TABLES))
+def stream_scan_once(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row of several files with the result of its text, scanned once."""
+    texts = _files(spark, sf, "documents").selectExpr("doc_id AS id", "text")
+    settings = Settings(toggles=everything_on(), entropy_threshold=3.5, entropy_length=16)
+    return _written(spark, ST.scan_once(texts, settings=settings), "stream-once").select("id", "redacted_text", F.size("applied").alias("applied_count"))
+
+
+@query("stream_scanned_texts", "SELECT sha256(text) AS hash, count(*) AS n, CAST(1 AS BIGINT) AS scans FROM documents GROUP BY 1")
+def stream_scanned_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each text came, and how often it was scanned."""
+    texts = _files(spark, sf, "documents").selectExpr("struct(doc_id, sha2(text, 256) AS hash) AS id", "text")
+    out = _written(spark, ST.scan_once(texts), "stream-once")
+    return out.groupBy("id.hash").agg(F.count("*").alias("n"), F.count_if("scanned").alias("scans"))
+
+
+@query("stream_feed", "SELECT event_id AS id, CAST(1 AS BIGINT) AS times FROM events")
+def stream_feed(spark: SparkSession, sf: str) -> DataFrame:
+    """Reports of a feed with ids made from what they hold, stopped and started again: each is sent once."""
+    folder = new_folder(spark, "stream-feed")
+    reports = _files(spark, sf, "events").select(ST.report_id("event_id", "ts").alias("report_id"), F.col("event_id").alias("id"))
+
+    def send(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/received/batch={number}")
+
+    for _ in range(2):
+        ST.feed(reports, send, folder, f"{folder}/state").awaitTermination()
+    received = spark.read.parquet(f"{folder}/received")
+    return received.groupBy("report_id").agg(F.min("id").alias("id"), F.count("*").alias("times")).select("id", "times")
 
 
 @query(

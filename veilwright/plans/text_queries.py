@@ -9,6 +9,7 @@ from veilwright.functions.spans import applied, settled
 from veilwright.operators.blocking import block_texts, content_is_blocked, file_is_blocked
 from veilwright.operators.detect import detect, finding_rows
 from veilwright.operators.entropy import candidate, detect_entropy, shannon
+from veilwright.operators.kept import scan_kept
 from veilwright.operators.redact import highlight, mask_layer, maximal_spans, redact
 from veilwright.operators.reuse import cache_stats, hot_texts
 from veilwright.oracle import detection as O
@@ -18,6 +19,7 @@ from veilwright.plans.scan import scan_and_redact, without_allowed
 from veilwright.sources.catalog import active_patterns, everything_on
 from veilwright.sources.derived import corpus
 from veilwright.sources.patterns import PATTERNS, URL_SKIP, Pattern, profile, word_patterns
+from veilwright.sources.scratch import new_folder
 from veilwright.sources.tables import read_table, read_texts
 
 CORPUS = O.corpus()
@@ -456,3 +458,32 @@ def block_files(spark: SparkSession, sf: str) -> DataFrame:
 def block_content(spark: SparkSession, sf: str) -> DataFrame:
     notes = corpus(spark, sf).withColumn("path", F.concat(F.lit("/tmp/note"), F.col("id").cast("string"), F.lit(".txt")))
     return block_texts(notes, EXTENSIONS).select("id", "text", "blocked", "reason")
+
+
+# --- results kept between runs -----------------------------------------------------------------------
+
+_RULES_OFF = {"email_regex": False}
+_CHANGED = O.findings(active_patterns(_RULES_OFF), "corpus")
+
+
+@query(
+    "kept_results",
+    with_tables(
+        """SELECT 'more texts' AS run, id, masked AS redacted_text, text NOT IN (SELECT text FROM documents) AS scanned FROM k2
+           UNION ALL SELECT 'the same' AS run, id, masked, false FROM k2
+           UNION ALL SELECT 'a rule off' AS run, id, masked, true FROM k3""",
+        **_DEFAULT,
+        k2=_CLEAN,
+        m1=_CHANGED,
+        mk=O.folded("SELECT * FROM corpus", "SELECT * FROM m1", contained=False),
+        m2=O.entropy("mk", 4.5, 20),
+        k3=O.folded("SELECT * FROM corpus", "SELECT * FROM m1 UNION ALL SELECT * FROM m2", contained=True),
+    ),
+)
+def kept_results(spark: SparkSession, sf: str) -> DataFrame:
+    """After a run over the documents: one over more texts, the same again, and one with a rule switched off."""
+    store = new_folder(spark, "kept")
+    scan_kept(read_texts(spark, sf, "documents", "doc_id", "text"), store)
+    runs = {name: scan_kept(corpus(spark, sf), store, settings) for name, settings in (("more texts", Settings()), ("the same", Settings()), ("a rule off", Settings(toggles=_RULES_OFF)))}
+    rows = [df.select(F.lit(name).alias("run"), "id", "redacted_text", "scanned") for name, df in runs.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])

@@ -13,6 +13,23 @@ def shared_folder(spark: SparkSession) -> str:
     return (base or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch").rstrip("/")
 
 
+def _path(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def children(spark: SparkSession, folder: str) -> list[str]:
+    """Names of what is in a folder of any file system; none where there is no such folder."""
+    path, files = _path(spark, folder)
+    return sorted(s.getPath().getName() for s in files.listStatus(path)) if files.exists(path) else []
+
+
+def removed(spark: SparkSession, folder: str) -> bool:
+    """Remove a folder of ours on any file system; whether it was there."""
+    path, files = _path(spark, folder)
+    return files.delete(path, True)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder that the driver and all executors see."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -61,19 +61,16 @@ def ingest_batches(events: DataFrame, devices: DataFrame, sink: Callable[[DataFr
     return each_batch(events, lambda batch, number: sink(fleet.ingest(batch, devices), number), checkpoint)
 
 
-def verdict_windows(
-    events: DataFrame, clock: str = "received_at", late: str = "10 minutes", size: str = "24 hours", step: str = "1 hour"
-) -> DataFrame:
-    """Events per verdict in sliding windows.
+def verdict_panes(events: DataFrame, clock: str = "received_at", late: str | None = None) -> DataFrame:
+    """Events per hour and verdict; ``fleet.sliding`` sums them over windows of a day.
 
-    By the time of arrival nothing is late; by the time of observation, events past the watermark drop.
+    The state holds one count for each hour, not one for each window, and without ``late`` nothing is ever
+    dropped. With it, hours past the watermark are forgotten and events behind it dropped
+    (``state.observed_counts`` keeps them).
     """
-    return (
-        events.withWatermark(clock, late)
-        .groupBy(F.window(clock, size, step).alias("w"), "verdict")
-        .agg(F.count("*").alias("n"))
-        .select(F.col("w.start").alias("window_start"), "verdict", "n")
-    )
+    rows = events.withWatermark(clock, late) if late else events
+    hours = rows.groupBy(F.window(clock, "1 hour").alias("w"), "verdict").agg(F.count("*").alias("n"))
+    return hours.select(F.col("w.start").alias("hour"), "verdict", "n")
 
 
 def live_counters(report_stream: DataFrame) -> DataFrame:
