@@ -66,15 +66,19 @@ def secret_base(text):
 
 
 def secret_links(text, base):
-    """Weak parts with a complement in the same scope, all pairs tried."""
-    from veilwright.llm import secrets
-
-    weak = secrets.weak_parts(text, base)
-    scope = lambda a: sum(m.end() <= a for m in secrets.SCOPE_END.finditer(text))
-    return [
-        x for x in weak
-        if any(y[2] in secrets.NEEDS[x[2]] and scope(x[0]) == scope(y[0]) and max(0, y[0] - x[1], x[0] - y[1]) <= secrets.NEAR for y in (*base, *weak))
-    ]
+    """Weak parts with a complement in the same run of lines, all pairs tried; base is ``(start, end, kind)``."""
+    found = []
+    for m in re.finditer(r"""\b(?:user|username|login|account|accountid|account_id|clientid|client_id|access_?keyid|access_?key_id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""", text, re.I | re.A):
+        found.append((m.start(), m.end(), "identifier"))
+    for m in re.finditer(r"\b(?:http|https|s3|jdbc:[a-z]+|postgres|postgresql|mysql|mongodb|mongodb\+srv|redis|amqp|ftp)://[A-Za-z0-9._~:/?#@!$&*+,;=%-]+", text, re.A):
+        found.append((m.start(), m.end(), "endpoint"))
+    for m in re.finditer(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/=_-])", text):
+        if any(c.isdigit() for c in m[0]) and any(c.isupper() for c in m[0]) and any(c.islower() for c in m[0]):
+            found.append((m.start(), m.end(), "bare_key"))
+    weak = [x for x in found if not any(y[0] < x[1] and x[0] < y[1] for y in base)]
+    needs = {"identifier": {"assign", "hex", "bare_key"}, "bare_key": {"assign", "access", "identifier", "endpoint"}, "endpoint": {"assign", "access", "hex", "bare_key"}}
+    scope = lambda x: len(re.findall(r"\n[\x20\t\r]*\n", text[: x[0]]))
+    return [x for x in weak if any(y[2] in needs[x[2]] and scope(x) == scope(y) for y in (*base, *weak))]
 
 
 def rebuilt(rows):

@@ -98,10 +98,23 @@ def test_forward_sum_over_all_segmentations():
             return 1.0
         return sum(chance[i, k] * total(word[len(p) :], k) for i, p in enumerate(vocabulary) if word.startswith(p))
 
-    words = [b" a", b" ab", b" abab", b" baab", b"ba"]
+    words = [b" a", b" ab", b" abab", b" baab", b"ba", b" " + b"ab" * 30, b"b" * 200]
+
+    def log_total(word, k):
+        """The same for long words, with whole numbers in place of small fractions."""
+        from fractions import Fraction
+        from math import log
+
+        sums = [Fraction(1)]
+        for j in range(1, len(word) + 1):
+            sums.append(sum((Fraction(chance[i, k]) * sums[j - len(p)] for i, p in enumerate(vocabulary) if len(p) <= j and word[j - len(p) : j] == p), Fraction(0)))
+        return log(sums[-1].numerator) - log(sums[-1].denominator)
+
     lattice = langid.Lattice(vocabulary)
     got = lattice.scores(words, chance)
-    assert np.allclose(np.exp(got), [[total(w, k) for k in range(2)] for w in words])
+    assert np.allclose(np.exp(got[:5]), [[total(w, k) for k in range(2)] for w in words[:5]])
+    assert np.allclose(got, [[log_total(w, k) for k in range(2)] for w in words])
+    words = words[:5]
 
     def pieces(word):
         """Every segmentation as a list of pieces."""
@@ -116,6 +129,54 @@ def test_forward_sum_over_all_segmentations():
     assert np.allclose(lattice.expected(words, np.array([3.0, 1, 2, 5, 1]), chance[:, 0]), want)
 
 
+def test_a_long_word_is_taken_whole():
+    """Expected counts of a long word cut nowhere: they cover it, and agree with the short form of the sums."""
+    import numpy as np
+
+    vocabulary = [b" ", b"a", b"b", b"ab", b" a", b"ba", b"abababababababababab"]
+    chance = np.array([0.1, 0.2, 0.15, 0.2, 0.05, 0.1, 0.2])
+    lattice = langid.Lattice(vocabulary)
+    word = b" " + b"ab" * 50
+    seen = lattice.expected([word], np.array([1.0]), chance)
+    assert np.isclose(sum(n * len(p) for n, p in zip(seen, vocabulary, strict=True)), len(word))
+    assert seen[6] > 1  # the piece of twenty bytes is among them
+    japanese = "今日は天気がいいから散歩しましょう".encode()
+    assert langid.hold_words(japanese) == [b" " + japanese]
+
+
+@pytest.mark.parametrize("name", sorted(RUNS))
+def test_kept_columns_may_have_the_names_of_results(spark, name):
+    names = {"sharding": ("size", "part"), "langid": ("lang_pred", "score"), "quality": ("kept", "n_words"), "attribution": ("n_tokens",), "packing": ("piece", "part", "rank"), "secrets": ("spans",), "licensing": ("labels", "n_words", "own")}
+    if name not in names:
+        pytest.skip("keeps its own columns")
+    docs = spark.createDataFrame(ROWS[5:9], "doc_id long, text string").withColumns({c: F.lit(f"own {c}") for c in names[name]})
+    keep = ["doc_id", *names[name]]
+    run = {
+        "sharding": lambda: sharding.shard(docs, 2, keep), "langid": lambda: langid.predict(docs, lang_model(spark), keep), "quality": lambda: quality.measure(docs, keep),
+        "attribution": lambda: attribution.attribute(docs, keep), "packing": lambda: packing.pack(docs, keep), "secrets": lambda: secrets.find(docs, keep), "licensing": lambda: licensing.scan(docs, keep),
+    }[name]()
+    rows = run.collect()
+    plain = {"part": "part" in run.columns, "rank": "rank" in run.columns, "own": "own" in run.columns}
+    for c in names[name]:
+        column = c if plain.get(c) else f"{c}_"
+        assert {r[column] for r in rows} == {f"own {c}"}
+    assert len(set(run.columns)) == len(run.columns)
+
+
+def test_shards_of_a_table_with_a_column_of_that_name(spark):
+    folder = new_folder(spark, "shards-test")
+    sharding.write_shards(table(spark), 3, folder)
+    back = spark.read.parquet(folder)
+    assert back.count() == len(ROWS) and {r["size_"] for r in back.collect()} == {"own size"}
+
+
+def test_parts_far_apart_in_one_scope():
+    key = "Ab" * 40 + "1"  # the only digit stands far behind
+    text = f"user: bob\n{'x ' * 400}\n{key}\n\n{key} alone"
+    assert {(k, text[a:b]) for a, b, k in secrets.linked(text, secrets.base_spans(text))} == {("identifier", "user: bob"), ("bare_key", key)}
+    assert len(secrets.linked(text, secrets.base_spans(text))) == 2
+
+
 def test_near_duplicates(spark):
     got = sorted(((r.id, r.class_id) for r in RUNS["neardup"](spark, table(spark)).collect()), key=repr)
     want = [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 6), (7, 6), (8, 6), (8, 6), (None, 6), (None, None), (9, 9), (10, 10), (10, 10), (11, 11), (12, 12)]
@@ -195,7 +256,7 @@ def test_secrets(spark):
     assert {x.split(":")[0] for x in got[12].spans.split(",")} == {"access", "hex", "identifier", "endpoint"}
     assert got[1].spans == got[2].spans == got[6].spans == ""
     alone = spark.createDataFrame([(1, "user: bob\n\nhttps://a.example"), (2, "user: bob https://a.example"), (3, "user: bob " + "x" * 400 + " 0123456789abcdef01234567")], "doc_id long, text string")
-    assert [r.spans.count("identifier") for r in secrets.find(alone, ["doc_id"]).orderBy("doc_id").collect()] == [0, 0, 0]
+    assert [r.spans.count("identifier") for r in secrets.find(alone, ["doc_id"]).orderBy("doc_id").collect()] == [0, 0, 1]
 
 
 def test_masked_texts(spark):
@@ -214,6 +275,25 @@ def test_licenses(spark):
     assert b.labels == "mit,mpl-2.0"
 
 
+def test_license_texts_and_notices(spark):
+    texts = {
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal": "mit",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that": "bsd",
+        "Redistribution and use in source and binary forms, with or without\n * modification, are permitted. Neither the name of the X nor the names of its contributors\n# may be used to endorse or promote products derived from this software": "bsd,bsd-3-clause",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED \"AS IS\"": "0bsd",
+        "licensed under GPLv3": "gpl-3.0", "under LGPLv2.1+": "lgpl-2.1", "GPLv2 or later": "gpl-2.0", "AGPLv3": "agpl-3.0", "Apache2": "apache-2.0",
+        "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": "gpl,gpl-3.0",
+        "the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License": "lgpl-2.1",
+        "All rights reserved. MIT License": "mit", "All rights reserved.": "all-rights-reserved", "rights": "", "permission to speak": "",
+        "This is free and unencumbered software released into the public domain.": "unlicense",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "mpl-2.0",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.text: r.labels for r in licensing.scan(docs, ["text"]).collect()}
+    assert {t: labels for t, labels in got.items() if labels != texts[t]} == {}
+
+
 def test_every_license_rule_is_reached():
     import re
 

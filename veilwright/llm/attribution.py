@@ -91,7 +91,7 @@ def attribute(docs: DataFrame, keep: list[str], text: str = "text", edges: Calla
 
     ``edges(text)`` gives the ascending ends of sections; the first begins at 0 and the last ends with
     the text. Null and empty texts have no sections and no tokens. Repeated rows are counted row by row;
-    an empty table gives no rows. A kept column must not have the name of a result.
+    an empty table gives no rows. A kept column with the name of a result gets ``_`` at its end.
     """
     if rule not in RULES:
         raise ValueError(f"rule is one of {', '.join(RULES)}")

@@ -32,6 +32,24 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def kept_names(keep: list[str], results: list[str]) -> dict[str, str]:
+    """What each kept column is called beside ``results``: its own name, or, where a result has that, with ``_`` at the end."""
+    names: dict[str, str] = {}
+    taken = {r.lower() for r in results} | {k.lower() for k in keep}
+    for k in keep:
+        name = k
+        if k.lower() in {r.lower() for r in results}:
+            while name.lower() in taken:
+                name += "_"
+            taken.add(name.lower())
+        names[k] = name
+    return names
+
+
+def kept_columns(keep: list[str], results: list[str]) -> list[Column]:
+    return [column(k).alias(name) for k, name in kept_names(keep, results).items()]
+
+
 def column(name: str) -> Column:
     """The column of exactly this name, dots and all."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -53,13 +71,16 @@ def pieces(batch: pa.RecordBatch, at: int, limit: int = PIECE_BYTES) -> Iterator
 def map_texts(df: DataFrame, text: str, keep: list[str], fields: str, setup: Callable[[], Callable[..., Any]], extra: tuple[str, ...] = (), limit: int = PIECE_BYTES) -> DataFrame:
     """``keep`` columns of each row, and new ``fields`` (DDL) computed from its text.
 
+    A kept column with the name of a field gets ``_`` at the end of its own.
+
     ``setup()`` runs once in a task and gives a function from a list of texts (bytes, null as None),
     and lists of the ``extra`` columns, to ``(mask, columns)``: the rows to keep (None: all) and one
     list or array per field.
     """
     names = [fresh(df, n) for n in (*(f"arg_{i}" for i in range(len(extra))), "text_of_map")]
-    source = df.select(*[column(c) for c in keep], *[column(c).alias(n) for c, n in zip((*extra, text), names, strict=True)])
     added = T.StructType.fromDDL(fields) if fields else T.StructType()
+    kept = kept_columns(keep, [f.name for f in added])
+    source = df.select(*kept, *[column(c).alias(n) for c, n in zip((*extra, text), names, strict=True)])
     schema = T.StructType([source.schema[i] for i in range(len(keep))] + added.fields)
     types = to_arrow_schema(added)
     first, last = len(keep), len(keep) + len(extra)
@@ -71,8 +92,8 @@ def map_texts(df: DataFrame, text: str, keep: list[str], fields: str, setup: Cal
                 texts = part.column(last).cast(pa.binary()).to_pylist()
                 mask, columns = scan(texts, *[part.column(i).to_pylist() for i in range(first, last)])
                 made = [pa.array(c, type=f.type) for c, f in zip(columns, types, strict=True)]
-                kept = [part.column(i) for i in range(first)]
-                out = pa.RecordBatch.from_arrays([*kept, *made], names=[f.name for f in schema])
+                own = [part.column(i) for i in range(first)]
+                out = pa.RecordBatch.from_arrays([*own, *made], names=[f.name for f in schema])
                 yield out if mask is None else out.filter(pa.array(mask, type=pa.bool_()))
 
     return source.mapInArrow(run, schema)

@@ -27,12 +27,14 @@ from veilwright.sources.scratch import written
 ROUNDS = 3
 #: Added to each expected count.
 SMOOTH = 0.05
-#: Longest piece in bytes, and the run in which a longer word is taken.
-PIECE_MOST, RUN = 16, 32
+#: Cells (word places by languages) that one pass of the lattice holds.
+CELLS = 2_000_000
+#: Words of more bytes are taken with a scale for each stretch of ``STRETCH`` bytes, so that nothing vanishes.
+PLAIN_MOST, STRETCH = 40, 8
 #: Words counted before they are handed on, and word scores remembered.
 COUNTED, REMEMBERED = 300_000, 300_000
-#: Words up to these lengths are taken together.
-SIZES = (4, 6, 8, 10, 12, 14, 16, 20, 24, RUN + 1)
+#: Words up to these lengths are taken together, longer ones by powers of two.
+SIZES = (4, 6, 8, 10, 12, 14, 16, 20, 24, 32, PLAIN_MOST, *(1 << k for k in range(6, 41)))
 #: Words that one pass takes, and bytes of text.
 TAKEN, TEXT_BYTES = 100_000, 12 << 20
 #: A piece is found by so many bits of its code.
@@ -55,19 +57,13 @@ def read_vocabulary(path: str) -> list[bytes]:
     """Pieces that a lower-case word, with a blank before it, can hold; all single bytes are among them."""
     with open(path, "rb") as f:
         found = {base64.b64decode(line.split()[0]) for line in f}
-    fit = {p for p in found if len(p) <= PIECE_MOST and (p == b" " or not p.removeprefix(b" ").translate(None, LETTER_BYTES[0x61:0x7B] + bytes(range(0x80, 0x100))))}
+    fit = {p for p in found if p == b" " or not p.removeprefix(b" ").translate(None, LETTER_BYTES[0x61:0x7B] + bytes(range(0x80, 0x100)))}
     return sorted(fit | {b" "} | {bytes([b]) for b in (*range(0x61, 0x7B), *range(0x80, 0x100))})
 
 
 def hold_words(text: bytes | None) -> list[bytes]:
-    """The words of a text, each with a blank before it; a long one in runs."""
-    out = []
-    for w in text.translate(LETTER_BYTES).split() if text else ():
-        if len(w) < RUN:
-            out.append(b" " + w)
-        else:
-            out += [(b"" if i else b" ") + w[i : i + RUN] for i in range(0, len(w), RUN)]
-    return out
+    """The words of a text, whole, each with a blank before it."""
+    return [b" " + w for w in text.translate(LETTER_BYTES).split()] if text else []
 
 
 def has_letter(text: bytes | None) -> bool:
@@ -84,7 +80,8 @@ class Lattice:
     def __init__(self, vocabulary: list[bytes]) -> None:
         self.size = len(vocabulary)
         self.codes = np.array([*(self._code(p) for p in vocabulary), 0], np.uint64)
-        self.powers = np.array([pow(int(_BASE), k, 2**64) for k in range(PIECE_MOST + 1)], np.uint64)
+        self.lengths = sorted({len(p) for p in vocabulary})
+        self.powers = np.array([pow(int(_BASE), k, 2**64) for k in range(self.lengths[-1] + 1)], np.uint64)
         # Tables from bits of the code to the piece; what finds its slot taken goes to the next table,
         # and the slot is marked, so that only its visitors look there too.
         self.tables: list[tuple[np.uint64, np.ndarray, np.ndarray]] = []
@@ -107,7 +104,7 @@ class Lattice:
             value = (value * int(_BASE) + b + 1) % 2**64
         return value
 
-    def by_length(self, words: list[bytes]):
+    def by_length(self, words: list[bytes], languages: int = 1):
         """``(places in the list, their lengths, size, codes)`` of words of about one length, filled up to ``size``.
 
         ``codes`` has a row for each prefix. What lies behind a word's end matches no piece.
@@ -117,16 +114,15 @@ class Lattice:
         for g in np.unique(group).tolist():
             at = np.flatnonzero(group == g)
             n = int(lengths[at].max())
-            for some in np.array_split(at, -(-len(at) // 20_000)):
+            for some in np.array_split(at, -(-len(at) // max(1, CELLS // ((n + 1) * max(1, languages))))):
                 letters = np.frombuffer(b"".join([words[i].ljust(n, b"\0") for i in some]), np.uint8).reshape(len(some), n)
                 prefix = np.zeros((n + 1, len(some)), np.uint64)
                 for k in range(n):
                     prefix[k + 1] = prefix[k] * _BASE + letters[:, k] + np.uint64(1)
                 yield some, lengths[some], n, prefix
 
-    def pieces(self, prefix: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
-        """The words whose stretch i..j is a piece, and which."""
-        code = prefix[j] - prefix[i] * self.powers[j - i]
+    def pieces(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of ``code`` that are a piece's, and which."""
         rows, found, asked = [], [], None
         for factor, table, shared in self.tables:
             own = code if asked is None else code[asked]
@@ -141,37 +137,76 @@ class Lattice:
                 break
         return np.concatenate(rows), np.concatenate(found)
 
+    def arcs(self, prefix: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``(begins, words, pieces, bounds)`` of all stretches that are a piece; those that end at j lie from ``bounds[j]`` to ``bounds[j + 1]``."""
+        many = prefix.shape[1]
+        begins, words, found, ends = [], [], [], []
+        for d in self.lengths:
+            if d > n:
+                break
+            rows, own = self.pieces((prefix[d:] - prefix[:-d] * self.powers[d]).ravel())
+            begin = rows // many
+            begins.append(begin.astype(np.int32))
+            words.append((rows - begin * many).astype(np.int32))
+            found.append(own)
+            ends.append(begins[-1] + np.int32(d))
+        end = np.concatenate(ends)
+        order = np.argsort(end.astype(np.uint16) if n < 1 << 16 else end, kind="stable")
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(end, minlength=n + 1))])
+        return np.concatenate(begins)[order], np.concatenate(words)[order], np.concatenate(found)[order], bounds
+
+    def forward(self, prefix: np.ndarray, n: int, chance: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
+        """Sums over all segmentations of each prefix of each word, the logarithms of their scales, and the arcs.
+
+        Sums and scales have a row for each place, then words, then languages. A sum is ``alpha *
+        exp(scale)``; scales change every ``STRETCH`` places of a long word. For each place there is
+        ``(begins, words, pieces, weight)``, the weight as it connects the scaled sums of both ends.
+        """
+        begins, words, found, bounds = self.arcs(prefix, n)
+        many, languages = prefix.shape[1], chance.shape[1]
+        alpha = np.zeros((n + 1, many, languages))
+        scale = np.zeros((n + 1, many, languages) if n > PLAIN_MOST else 1)
+        alpha[0] = 1
+        steps = []
+        for j in range(1, n + 1):
+            own = slice(bounds[j], bounds[j + 1])
+            i, w, p = begins[own], words[own], found[own]
+            weight = chance[p]
+            if n > PLAIN_MOST:
+                scale[j] = scale[j - 1]
+                if j % STRETCH == 1 and j > 1:  # what is 0 there lies behind the word's end
+                    scale[j] += np.log(np.where(alpha[j - 1] > 0, alpha[j - 1], 1))
+                weight = weight * np.exp(scale[i, w] - scale[j, w])
+            terms = alpha[i, w] * weight
+            for k in range(languages):
+                alpha[j, :, k] = np.bincount(w, terms[:, k], many)
+            steps.append((i, w, p, weight))
+        return alpha, scale, steps
+
     def scores(self, words: list[bytes], chance: np.ndarray) -> np.ndarray:
         """Log probability of each word in each language; ``chance`` is pieces by languages."""
         out = np.zeros((len(words), chance.shape[1]))
-        for at, length, n, prefix in self.by_length(words):
-            alpha = np.zeros((n + 1, len(at), chance.shape[1]))
-            alpha[0] = 1
-            for j in range(1, n + 1):
-                for i in range(max(0, j - PIECE_MOST), j):
-                    rows, own = self.pieces(prefix, i, j)
-                    alpha[j, rows] += alpha[i, rows] * chance[own]
-            out[at] = np.log(alpha[length, np.arange(len(at))])
+        for at, length, n, prefix in self.by_length(words, chance.shape[1]):
+            alpha, scale, _ = self.forward(prefix, n, chance)
+            each = np.arange(len(at))
+            out[at] = np.log(alpha[length, each]) + (scale[length, each] if n > PLAIN_MOST else 0)
         return out
 
     def expected(self, words: list[bytes], counts: np.ndarray, chance: np.ndarray) -> np.ndarray:
         """How often each piece is expected in words of one language that occur ``counts`` times."""
         total = np.zeros(self.size)
         for at, length, n, prefix in self.by_length(words):
-            alpha, beta = np.zeros((n + 1, len(at))), np.zeros((n + 1, len(at)))
-            alpha[0], beta[length, np.arange(len(at))] = 1, 1
-            arcs = []
-            for j in range(1, n + 1):
-                for i in range(max(0, j - PIECE_MOST), j):
-                    rows, own = self.pieces(prefix, i, j)
-                    if len(rows):
-                        arcs.append((i, j, rows, own, p := chance[own]))
-                        alpha[j, rows] += alpha[i, rows] * p
-            for i, j, rows, _, p in sorted(arcs, key=lambda a: -a[0]):
-                beta[i, rows] += p * beta[j, rows]
-            weight = counts[at] / alpha[length, np.arange(len(at))]
-            seen = np.concatenate([alpha[i, rows] * p * beta[j, rows] * weight[rows] for i, j, rows, _, p in arcs])
-            total += np.bincount(np.concatenate([own for _, _, _, own, _ in arcs]), seen, self.size)
+            alpha, _, steps = self.forward(prefix, n, chance[:, None])
+            alpha = alpha[:, :, 0]
+            beta, each = np.zeros((n + 1, len(at))), np.arange(len(at))
+            beta[length, each] = 1 / alpha[length, each]
+            seen = []
+            for j in range(n, 0, -1):
+                i, w, _, weight = steps[j - 1]
+                weight = weight[:, 0] * beta[j, w]
+                beta[i, w] += weight  # a begin and a word come once for one end
+                seen.append(alpha[i, w] * weight * counts[at[w]])
+            total += np.bincount(np.concatenate([step[2] for step in reversed(steps)]), np.concatenate(seen), self.size)
         return total
 
 
@@ -265,7 +300,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
     """``keep`` columns with ``lang_pred`` and ``score``, the posterior of that language among all, each as likely beforehand.
 
     Null texts and texts without a letter are ``und`` with score 0; so is everything where no language
-    was learned. An empty table gives no rows. A kept column must not have the name of a result.
+    was learned. An empty table gives no rows. A kept column with the name of a result gets ``_`` at its end.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -5,8 +5,10 @@ characters, two blanks between words and around the whole. A rule's expression s
 and takes one blank on either side, so matches of one rule never share a blank. All expressions keep
 to what Java and RE2 read alike.
 
-Rules are the product of families and forms. A form says how sure the wording is: 1 for tags,
-addresses and statements of a license, 2 for its name, 3 for its short name beside a version.
+Signatures of three sorts, each written out by hand below: sentences of license texts, notices that put
+a file under a license, and short names run together with a version. Beside them stand the names of
+families, each in the forms in which a license is named. A form says how sure the wording is: 1 for
+sentences, notices, tags, addresses and statements, 2 for a name, 3 for a short name beside a version.
 """
 
 from __future__ import annotations
@@ -68,12 +70,64 @@ CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
 PLAIN = (
     ("gpl", "gnu (general public license|gpl)"), ("lgpl", "gnu (lesser|library) general public license"), ("apache", "apache (software )?license"),
     ("bsd", "bsd (style )?license"), ("mpl", "mozilla public license"), ("epl", "eclipse public license"), ("cc", "creative commons license"),
-    ("public-domain", "(in|into|to) the public domain"), ("copyleft", "copyleft license"), ("proprietary", "all rights reserved"), ("proprietary", "proprietary license"),
+    ("public-domain", "(in|into|to) the public domain"), ("copyleft", "copyleft license"), ("proprietary", "proprietary license"),
 )
+# Sentences that stand in the text of a license, priority 1 where only one license has them.
+BODIES = (
+    (1, "mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    (1, "mit", "the above copyright notice and this permission notice( including the next paragraph)? shall be included in all copies or substantial portions of the software"),
+    (2, "isc", "permission to use copy modify and( or)? distribute this software for any purpose with or without fee is hereby granted"),
+    (1, "isc", "permission to use copy modify and( or)? distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    (1, "0bsd", "permission to use copy modify and( or)? distribute this software for any purpose with or without fee is hereby granted the software is provided as is"),
+    (2, "bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    (1, "bsd-2-clause", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided"),
+    (1, "bsd-3-clause", "nor the names of( its| the)? contributors may be used to endorse or promote products derived from this software"),
+    (1, "bsd-3-clause", "the name of the author may not be used to endorse or promote products derived from this software"),
+    (1, "bsd-4-clause", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    (1, "apache-1.1", "this product includes software developed by the apache software foundation"),
+    (1, "apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http(s)? www apache org licenses license 2 0"),
+    (1, "openssl", "this product includes software developed by the openssl project"),
+    (1, "unlicense", "this is free and unencumbered software released into the public domain"),
+    (1, "zlib", "in no event will the authors be held liable for any damages arising from the use of this software"),
+    (1, "bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    (1, "ofl-1.1", "permission is hereby granted free of charge to any person obtaining a copy of the font software"),
+    (1, "wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"),
+    (1, "postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    (1, "cc0-1.0", "the person who associated a work with this deed has dedicated the work to the public domain"),
+    (1, "json", "the software shall be used for good not evil"),
+    (1, "beerware", "as long as you retain this notice you can do whatever you want with this stuff"),
+    (1, "ms-pl", "this license governs use of the accompanying software if you use the software you accept this license"),
+    (1, "mpl-2.0", "this source code form is subject to the terms of the mozilla public license v(ersion)? 2 0"),
+    (1, "mpl-1.1", "the contents of this file are subject to the mozilla public license version 1 1"),
+    (1, "epl-1.0", "made available under the terms of the eclipse public license v(ersion)? 1 0"),
+    (1, "epl-2.0", "made available under the terms of the eclipse public license( v(ersion)?)? 2 0"),
+    (1, "cddl-1.0", "the contents of this file are subject to the terms of the common development and distribution license"),
+    (1, "artistic-2.0", "this package is free software you can redistribute it and or modify it under the terms of the artistic license( version)? 2 0"),
+    (1, "agpl-3.0", "notwithstanding any other provision of this license if you modify the program your modified version must prominently offer all users interacting with it remotely"),
+)
+# Label, name and version of the licenses that files are put under by the words of their publisher.
+NOTICES = (
+    ("gpl-1.0", "gnu general public license", "1"), ("gpl-2.0", "gnu general public license", "2"), ("gpl-3.0", "gnu general public license", "3"),
+    ("lgpl-2.0", "gnu (library|lesser) general public license", "2"), ("lgpl-2.1", "gnu lesser general public license", "2 1"), ("lgpl-3.0", "gnu lesser general public license", "3"),
+    ("agpl-3.0", "gnu affero general public license", "3"),
+)
+# Short names run together with a version, or beside the word "version".
+GLUED = (
+    ("gpl-1.0", "gplv1"), ("gpl-1.0", "gpl version 1"), ("gpl-2.0", "gplv2( 0)?"), ("gpl-2.0", "gpl2"), ("gpl-2.0", "gpl version 2( 0)?"),
+    ("gpl-3.0", "gplv3( 0)?"), ("gpl-3.0", "gpl3"), ("gpl-3.0", "gpl version 3( 0)?"), ("lgpl-2.0", "lgplv2( 0)?"), ("lgpl-2.0", "lgpl version 2( 0)?"),
+    ("lgpl-2.1", "lgplv2 1"), ("lgpl-2.1", "lgpl version 2 1"), ("lgpl-3.0", "lgplv3( 0)?"), ("lgpl-3.0", "lgpl3"), ("lgpl-3.0", "lgpl version 3( 0)?"),
+    ("agpl-3.0", "agplv3( 0)?"), ("agpl-3.0", "agpl3"), ("agpl-3.0", "agpl version 3( 0)?"), ("apache-2.0", "apachev2( 0)?"), ("apache-2.0", "apache2( 0)?"),
+    ("apache-2.0", "asl 2( 0)?"), ("apache-2.0", "asl2( 0)?"), ("apache-2.0", "apache version 2( 0)?"), ("mpl-1.1", "mplv1 1"), ("mpl-2.0", "mplv2( 0)?"), ("mpl-2.0", "mpl2( 0)?"),
+    ("epl-1.0", "eplv1( 0)?"), ("epl-2.0", "eplv2( 0)?"), ("eupl-1.2", "euplv1 2"), ("cc0-1.0", "cc zero"), ("bsd-2-clause", "bsd2( clause)?"), ("bsd-3-clause", "bsd3( clause)?"),
+)
+LATER = "( or( at your option)?( any)? later( version)?)?"
+#: Says nothing where a license is named too.
+RESERVED = "all-rights-reserved"
 #: A text in which no word begins so, and none holds "licen", matches no rule.
 STEMS = (
     "gpl", "lgpl", "agpl", "gfdl", "apache", "bsd", "0bsd", "mpl", "epl", "cddl", "cpl", "artistic", "boost", "bsl", "libpng", "wtfpl", "eupl", "ofl",
     "psf", "php", "odbl", "pddl", "cc", "creative", "vimdoc", "public", "copyleft", "reserved", "mozilla", "eclipse", "openssl", "png", "gnu",
+    "permission", "redistribution", "contributors", "endorse", "advertising", "liable", "unencumbered", "asl", "evil", "dedicated", "stuff",
 )
 #: How a license is stated in prose.
 STATEMENT = "((re)?licensed|released|distributed|available|published|provided|shared|offered) under( the)?( terms of)?( the)?"
@@ -128,6 +182,16 @@ def signatures() -> tuple[Signature, ...]:
         add(1, label, f"{STATEMENT} {short}")
         add(2, label, name)
         add(3, label, short)
+    for priority, label, words in BODIES:
+        add(priority, label, words)
+    for label, name, v in NOTICES:
+        add(1, label, f"{name} as published by the free software foundation( either)? version {v}( 0)?( of the license)?{LATER}")
+        add(1, label, f"{name} version {v}( 0)?( only)? as published by the free software foundation")
+        add(1, label, f"{name} v ?{v}( 0)?( only)?{LATER}")
+    for label, words in GLUED:
+        add(1, label, f"{STATEMENT} {words}{LATER}")
+        add(3, label, f"{words}{LATER}")
+    add(2, RESERVED, "all rights reserved")
     for label, name in PLAIN:
         add(2, label, name)
         add(1, label, f"{STATEMENT} {name}")

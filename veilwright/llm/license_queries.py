@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from veilwright.llm import licensing
-from veilwright.llm.licences import signatures
+from veilwright.llm.licences import RESERVED, signatures
 from veilwright.llm.registry import WORDS, documents, query
 
 RULES_SQL = ", ".join(f"({r.number}, {r.priority}, '{r.label}', '{r.regex}')" for r in signatures())
@@ -31,12 +31,19 @@ left_over AS (
   SELECT * FROM spans a WHERE NOT EXISTS (
     SELECT 1 FROM spans b WHERE b.doc_id = a.doc_id AND b.start <= a.start AND b.stop >= a.stop AND b.priority <= a.priority
       AND (b.start < a.start OR b.stop > a.stop OR b.priority < a.priority OR b.number < a.number))
-), own AS (SELECT doc_id, list(DISTINCT label) AS labels, min(priority) AS best FROM left_over GROUP BY doc_id)
+), own AS (
+  SELECT doc_id, list(DISTINCT label) FILTER (WHERE label <> '{RESERVED}') AS labels, min(priority) FILTER (WHERE label <> '{RESERVED}') AS best,
+         count(*) FILTER (WHERE label = '{RESERVED}') AS reserved
+  FROM left_over GROUP BY doc_id
+), joined AS (
+  SELECT *, list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(own.labels, [])))) AS listed, coalesce(base.labels, []) AS of_base
+  FROM plain LEFT JOIN base USING (doc_id) LEFT JOIN own USING (doc_id)
+)
 SELECT doc_id, n AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
-       array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
-       array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(own.labels, [])))), ',') AS labels,
-       CASE WHEN best = 1 THEN 1.0 WHEN best = 2 THEN 0.75 WHEN best = 3 OR n_base > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
-FROM plain LEFT JOIN base USING (doc_id) LEFT JOIN own USING (doc_id)
+       array_to_string(list_sort(of_base), ',') AS base_labels,
+       CASE WHEN len(listed) = 0 AND reserved > 0 THEN '{RESERVED}' ELSE array_to_string(listed, ',') END AS labels,
+       CASE WHEN best = 1 THEN 1.0 WHEN best = 2 THEN 0.75 WHEN best = 3 OR n_base > 0 OR reserved > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
+FROM joined
 """
 
 

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veilwright.functions.spans import let
-from veilwright.llm.common import column, fresh
-from veilwright.llm.licences import STEMS, Signature, signatures
+from veilwright.llm.common import column, fresh, kept_columns, kept_names
+from veilwright.llm.licences import RESERVED, STEMS, Signature, signatures
 from veilwright.sources.scratch import written
 
 #: Before and after A-Z are in lower case.
@@ -102,19 +102,24 @@ def detections(found: DataFrame, row: str, hits: str) -> DataFrame:
     return placed.withColumn("inside", F.coalesce(reach, F.lit(False))).where("NOT inside").drop("inside")
 
 
+#: Names of the results, and of what is added on the way to them.
+RESULTS = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "own", "best", "n_reserved")
+
+
 def scan(docs: DataFrame, keep: list[str], text: str = "text", rules: tuple[Signature, ...] | None = None) -> DataFrame:
     """``keep`` columns with ``n_words, n_base, first_word, last_word, base_labels, labels, score``.
 
     Null and empty texts have no words and no labels; their score is 0. Repeated rows are scanned row by
-    row; an empty table gives no rows. A kept column must not have the name of a result.
+    row; an empty table gives no rows. A kept column with the name of a result gets ``_`` at its end.
     """
     rules = signatures() if rules is None else rules
-    kept = docs.select(*[column(c) for c in keep])
+    own = kept_names(keep, list(RESULTS))
+    kept = docs.select(*kept_columns(keep, list(RESULTS)))
     names = {n: fresh(kept, n) for n in ("row", "plain", "phrases", "hits", "lower", "whole")}
     plain, phrases, hits = (column(names[n]) for n in ("plain", "phrases", "hits"))
     whole = F.coalesce(column(text), F.lit(""))
     seen = docs.select(
-        *[column(c) for c in keep], F.monotonically_increasing_id().alias(names["row"]),
+        *kept_columns(keep, list(RESULTS)), F.monotonically_increasing_id().alias(names["row"]),
         F.size(F.array_remove(F.split(whole, f"{NOT_WORD}+", -1), "")).cast("long").alias("n_words"),
         F.lower(whole).alias(names["lower"]), whole.alias(names["whole"]),
     )
@@ -125,13 +130,18 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text", rules: tuple[Sign
     seen = seen.withColumns({names["phrases"]: F.when(plain.isNotNull(), _phrases(plain)), names["hits"]: F.when(plain.isNotNull(), _hits(plain, rules))}).drop(names["plain"])
     found = written(seen, "license-scan")  # row numbers stay what they are from here on
 
-    best = detections(found, names["row"], names["hits"]).groupBy(F.col("row").alias(names["row"])).agg(F.collect_set("label").alias("own"), F.min("priority").alias("best"))
+    # Rights that are reserved are no license beside one that is named.
+    named = F.col("label") != RESERVED
+    best = detections(found, names["row"], names["hits"]).groupBy(F.col("row").alias(names["row"])).agg(
+        F.collect_set(F.when(named, F.col("label"))).alias("own"), F.min(F.when(named, F.col("priority"))).alias("best"), F.count_if(~named).alias("n_reserved")
+    )
     base = F.transform(F.coalesce(phrases, F.array()), lambda p: p.label)
     joined = found.join(best, names["row"], "left")
     listed = F.array_sort(F.array_distinct(F.concat(base, F.coalesce("own", F.array().cast("array<string>")))))
-    sure = F.when(F.col("best") == 1, SURE[1]).when(F.col("best") == 2, SURE[2]).when(F.col("best") == 3, SURE[3]).when(F.size(base) > 0, 0.5).otherwise(0.0)
+    listed = F.when((F.size(listed) == 0) & (F.col("n_reserved") > 0), F.array(F.lit(RESERVED))).otherwise(listed)
+    sure = F.when(F.col("best") == 1, SURE[1]).when(F.col("best") == 2, SURE[2]).when(F.col("best") == 3, SURE[3]).when((F.size(base) > 0) | (F.col("n_reserved") > 0), 0.5).otherwise(0.0)
     return joined.select(
-        *[column(c) for c in keep], "n_words",
+        *[column(own[c]) for c in keep], "n_words",
         F.aggregate(F.coalesce(phrases, F.array()), F.lit(0).cast("long"), lambda a, p: a + p.n).alias("n_base"),
         F.array_min(F.transform(phrases, lambda p: p["first"])).alias("first_word"), F.array_max(F.transform(phrases, lambda p: p["last"])).alias("last_word"),
         F.array_join(F.array_sort(base), ",").alias("base_labels"), F.array_join(listed, ",").alias("labels"), sure.alias("score"),

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
-from veilwright.llm.common import column, fresh, pieces
+from veilwright.llm.common import column, fresh, kept_columns, kept_names, pieces
 from veilwright.llm.tokens import END, chunks_of, crc, tokenizer_text, vocabulary_path
 from veilwright.sources.scratch import written
 
@@ -109,9 +109,14 @@ def places(patterns: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, np.nd
     return {length: np.array(r, np.int64) for length, r in rows.items()}
 
 
+#: Names of the results, and of what is added on the way to them.
+RESULTS = ("piece", "start", "length", "ids_crc32", "ids", "part", "rank_in_part", "sequence_id", "offset", "rank", "base", "n")
+
+
 def cut(docs: DataFrame, keep: list[str], text: str, size: int, tokenizer_path: str | None, with_ids: bool) -> DataFrame:
     """Pieces of every document: ``keep``, piece, start, length, ids_crc32 (and ids), and their number in this part."""
-    source = docs.select(*[column(c) for c in keep], column(text).alias(fresh(docs.select(*[column(c) for c in keep]), "text_of_map")))
+    kept = kept_columns(keep, list(RESULTS))
+    source = docs.select(*kept, column(text).alias(fresh(docs.select(*kept), "text_of_map")))
     fields = "piece int, start long, length long, ids_crc32 long, part int, rank_in_part long" + (", ids binary" if with_ids else "")
     added = T.StructType.fromDDL(fields)
     schema = T.StructType([source.schema[i] for i in range(len(keep))] + added.fields)
@@ -137,10 +142,10 @@ def cut(docs: DataFrame, keep: list[str], text: str, size: int, tokenizer_path:
                         rows.append((k, begin // 4, n, crc(own), part, int(seen[n])) + ((own,) if with_ids else ()))
                         seen[n] += 1
                         of.append(i)
-                kept = slice_.select(range(len(keep))).take(pa.array(of, pa.int64()))
+                held = slice_.select(range(len(keep))).take(pa.array(of, pa.int64()))
                 made = [pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), types, strict=True)]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([*kept.columns, *made], names=[f.name for f in schema])
+                    yield pa.RecordBatch.from_arrays([*held.columns, *made], names=[f.name for f in schema])
 
     return source.mapInArrow(run, schema)
 
@@ -151,7 +156,7 @@ def pack(docs: DataFrame, keep: list[str], text: str = "text", size: int = SIZE,
     ``with_ids`` adds the ids of the piece (little-endian unsigned 32-bit). A document's ids end with id
     1; null and empty texts are that id alone. Only a document longer than ``size`` is cut, and only its
     last piece may be shorter. Repeated rows are packed as often as they come. An empty table gives no
-    rows. A kept column must not have the name of a result.
+    rows. A kept column with the name of a result gets ``_`` at its end.
     """
     # The pieces are written once: which place a piece gets depends on its number within its part.
     cuts = written(cut(docs, keep, text, size, tokenizer_path, with_ids), "packing-pieces")
@@ -162,7 +167,7 @@ def pack(docs: DataFrame, keep: list[str], text: str = "text", size: int = SIZE,
     table = docs.sparkSession.sparkContext.broadcast(places(plan(totals, size)))
 
     ranked = cuts.join(bases, ["part", "length"]).withColumn("rank", F.col("base") + F.col("rank_in_part"))
-    result = [*keep, "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
+    result = [*kept_names(keep, list(RESULTS)).values(), "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
     ranked = ranked.select(*[column(c) for c in result], "rank")
     schema = T.StructType([*ranked.schema.fields[:-1], *T.StructType.fromDDL("sequence_id long, offset long").fields])
 

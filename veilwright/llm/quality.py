@@ -1,7 +1,7 @@
 """Quality rules as a short-circuit cascade of DataFrame expressions.
 
-Every rule is a condition that rejects a text. A bounded sample is written once; each rule is timed on
-it, and one grouping gives which rules reject which sample rows together. The order is greedy: next
+Every rule is a condition that rejects a text. A sample of rows from all partitions, as large for any
+table, is written once; each rule is timed on it a few times, and one grouping gives which rules reject which sample rows together. The order is greedy: next
 comes the rule that rejects most of the rows still left per second of its cost. The cascade is one
 ``CASE`` expression, so a text that a cheap rule rejects never meets the dear ones. The order changes
 how long the job takes and the reason that is named, never the verdict.
@@ -15,21 +15,22 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
+from statistics import median
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilwright.functions.spans import let, settled
-from veilwright.llm.common import column, fresh
+from veilwright.llm.common import column, fresh, kept_columns
 from veilwright.sources.scratch import written
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 REPEAT_WINDOW = 8
-#: Rows of the sample that the order of the rules is chosen on.
-SAMPLE_ROWS = 1000
-#: Longest text in the sample; longer ones are judged like all others, but not timed.
-SAMPLE_BYTES = 32 << 10
+#: Rows, as expected, of the sample that the order of the rules is chosen on, and how often each rule is timed on it.
+SAMPLE_ROWS = 4000
+TIMES = 3
+SEED = 11
 
 
 def words_of(text: Column) -> Column:
@@ -131,10 +132,14 @@ def _inputs(names: dict[str, str], ready: tuple[str, ...]) -> dict[str, Column]:
 
 
 def order_rules(docs: DataFrame, text: str, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by rejection per cost, measured on at most ``rows`` texts of ``SAMPLE_BYTES`` at most."""
-    # take() reads as few partitions as it needs; both bounds keep the sample small on the driver.
-    some = docs.select(column(text).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES).take(rows)
-    sample = written(docs.sparkSession.createDataFrame([(r.text,) for r in some], "text string"), "quality-sample")
+    """The rules by rejection per cost, measured on about ``rows`` rows, each as likely to be taken as any other.
+
+    Long texts and copies are in the sample as often as in the table; nothing of it passes the driver.
+    """
+    texts = docs.select(column(text).alias("text"))
+    share = min(1.0, rows / max(1, docs.count()))
+    some = texts.sample(share, SEED) if share < 1 else texts
+    sample = written(some.coalesce(docs.sparkSession.sparkContext.defaultParallelism), "quality-sample")
     names = _names(sample)
     ready = _prepared(sample, "text", names)
     inputs = _inputs(names, ())
@@ -145,8 +150,9 @@ def order_rules(docs: DataFrame, text: str, rules: tuple[Rule, ...] = RULES, row
         return time.perf_counter() - begin
 
     seconds(column(names["n_words"]))  # the first job pays for planning code that is not yet compiled
-    base = seconds(column(names["n_words"]))
-    cost = [max(1e-3, seconds(r.reject(inputs)) - base) for r in rules]
+    timed = [(column(names["n_words"]), *(r.reject(inputs) for r in rules)) for _ in range(TIMES)]
+    base, *each = (median(run) for run in zip(*[[seconds(value) for value in round_] for round_ in timed], strict=True))
+    cost = [max(1e-3, own - base) for own in each]
     seen = ready.select(F.array(*[r.reject(inputs) for r in rules]).alias("hits")).groupBy("hits").count().collect()
     left = {tuple(r.hits): r["count"] for r in seen}
     order, rest = [], set(range(len(rules)))
@@ -171,7 +177,7 @@ def measure(docs: DataFrame, keep: list[str], text: str = "text", rules: tuple[R
     """``keep`` columns with the five measures, ``base_failed``, ``kept`` and ``rejected_by``.
 
     Null and empty texts have no words and fail the base as too short. Repeated rows are judged alike,
-    row by row. An empty table gives no rows. A kept column must not have the name of a result.
+    row by row. An empty table gives no rows. A kept column with the name of a result gets ``_`` at its end.
     """
     order = order_rules(docs, text, rules)
     names = _names(docs)
@@ -180,7 +186,7 @@ def measure(docs: DataFrame, keep: list[str], text: str = "text", rules: tuple[R
     docs = docs.withColumns({names["n_dup_lines"]: doubled_lines(c["text"]), names["n_repeat_words"]: repeated_words(c["words"])})
     base = TOO_SHORT.reject(c) | REPETITIVE.reject(c)
     rejected = F.when(base, F.lit("base")).otherwise(cascade(order, c))
-    docs = docs.select(*[column(k) for k in keep], *[c[n].alias(n) for n in MEASURES], base.alias("base_failed"), rejected.alias("rejected_by"))
+    docs = docs.select(*kept_columns(keep, [*MEASURES, "base_failed", "kept", "rejected_by"]), *[c[n].alias(n) for n in MEASURES], base.alias("base_failed"), rejected.alias("rejected_by"))
     return docs.withColumn("kept", F.col("rejected_by").isNull())
 
 

@@ -2,10 +2,10 @@
 
 Three kinds of base findings stand by themselves. Beside them there are parts that mean little alone:
 an account or user name, a bare long key, a service address. A part is reported only when its
-complements lie in the same scope, a run of lines without an empty line between them, and near enough:
+complements lie in the same scope, a run of lines without an empty line between them, at any distance:
 an identifier needs a secret, a bare key needs an identifier or an address, an address needs a secret.
-Base findings count as the secret or the identifier they are. The parts of a scope are joined by their
-intervals: sorted by place, each part looks only at the nearest complement before and behind it.
+Base findings count as the secret or the identifier they are. Scopes are intervals of the text; every
+part is joined to the scope it begins in, and asks which kinds that scope holds.
 
 The job is one Arrow map over whole texts; nothing is shuffled.
 """
@@ -23,8 +23,6 @@ from veilwright.llm.common import column, fresh, map_texts
 
 #: Kinds in the order that breaks ties of place.
 KINDS = ("assign", "access", "hex", "identifier", "bare_key", "endpoint")
-#: Characters between the ends of two parts that still belong together.
-NEAR = 300
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ASSIGN_WORDS = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
@@ -33,7 +31,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 
 IDENTIFIER = re.compile(r"""\b(?:user(?:name)?|login|account(?:_?id)?|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.I | re.A)
 IDENTIFIER_WORDS = re.compile(r"user|login|account|client_?id|key_?id", re.I | re.A)
-BARE_KEY = re.compile(r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/_-]{0,59}[0-9])(?=[A-Za-z0-9+/_-]{0,59}[A-Z])(?=[A-Za-z0-9+/_-]{0,59}[a-z])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/=_-])")
+BARE_KEY = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/=_-])")
+#: What a bare key holds at least one of each.
+KEY_LETTERS = tuple(re.compile(f"[{c}]") for c in ("0-9", "A-Z", "a-z"))
 LONG_RUN = re.compile(r"[A-Za-z0-9+/_-]{32}")
 ENDPOINT = re.compile(r"\b(?:https?|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqp|ftp)://[A-Za-z0-9._~:/?#@!$&*+,;=%-]+", re.A)
 SCOPE_END = re.compile(r"\n[\x20\t\r]*\n")
@@ -63,7 +63,7 @@ def weak_parts(text: str, base: list[Span]) -> list[Span]:
     if "://" in text:
         found += [(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text)]
     if LONG_RUN.search(text):
-        found += [(m.start(), m.end(), "bare_key") for m in BARE_KEY.finditer(text)]
+        found += [(m.start(), m.end(), "bare_key") for m in BARE_KEY.finditer(text) if all(c.search(m[0]) for c in KEY_LETTERS)]
     starts = sorted(base)
     ends, high = [], 0
     for s in starts:
@@ -72,34 +72,16 @@ def weak_parts(text: str, base: list[Span]) -> list[Span]:
     return [x for x in found if not (i := bisect_left(starts, (x[1],))) or ends[i - 1] <= x[0]]
 
 
-def linked(text: str, base: list[Span], near: int = NEAR) -> list[Span]:
-    """The weak parts with a complement in their scope, ``near`` characters away at most."""
+def linked(text: str, base: list[Span]) -> list[Span]:
+    """The weak parts with a complement in their scope."""
     weak = weak_parts(text, base)
     if not weak or len(weak) + len(base) < 2:
         return []
     breaks = [m.end() for m in SCOPE_END.finditer(text)]
-    places: dict[str, tuple[list[Span], list[Span]]] = {}
-    for kind in KINDS:
-        own = sorted(s for s in (*base, *weak) if s[2] == kind)
-        # Spans of a kind do not overlap, so both their starts and their ends rise.
-        places[kind] = (own, sorted(own, key=lambda s: s[1]))
-
-    def joins(x: Span) -> bool:
-        scope = bisect_right(breaks, x[0])
-        for kind in NEEDS[x[2]]:
-            by_start, by_end = places[kind]
-            i = bisect_left(by_start, (x[1],))
-            j = bisect_right(by_end, x[0], key=lambda s: s[1]) - 1
-            behind = by_start[i : i + 1]
-            before = by_end[j : j + 1] if j >= 0 else []
-            across = by_start[max(0, i - 1) : i]
-            for y in (*behind, *before, *across):
-                gap = max(0, y[0] - x[1], x[0] - y[1])
-                if gap <= near and bisect_right(breaks, y[0]) == scope:
-                    return True
-        return False
-
-    return [x for x in weak if joins(x)]
+    kinds: dict[int, set[str]] = {}
+    for start, _, kind in (*base, *weak):
+        kinds.setdefault(bisect_right(breaks, start), set()).add(kind)
+    return [x for x in weak if not kinds[bisect_right(breaks, x[0])].isdisjoint(NEEDS[x[2]])]
 
 
 def in_order(spans: list[Span]) -> list[Span]:
@@ -126,12 +108,11 @@ def redact(text: str, spans: list[Span], marker: str = "[SECRET]") -> str:
 RESULT = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
-def find(docs: DataFrame, keep: list[str], text: str = "text", near: int = NEAR) -> DataFrame:
+def find(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns with counts of base findings, a digest of them, and all spans.
 
     Spans are ``kind:start:end`` in code points, by start. Null and empty texts have none. Repeated rows
-    are scanned row by row; an empty table gives no rows. A kept column must not have the name of a
-    result.
+    are scanned row by row; an empty table gives no rows. A kept column with the name of a result gets ``_`` at its end.
     """
 
     def setup():
@@ -141,7 +122,7 @@ def find(docs: DataFrame, keep: list[str], text: str = "text", near: int = NEAR)
                 text = (t or b"").decode()
                 base = base_spans(text)
                 kinds = [k for _, _, k in base]
-                rows.append((kinds.count("assign"), kinds.count("access"), kinds.count("hex"), hashlib.sha256(as_text(base).encode()).hexdigest(), as_text(base + linked(text, base, near))))
+                rows.append((kinds.count("assign"), kinds.count("access"), kinds.count("hex"), hashlib.sha256(as_text(base).encode()).hexdigest(), as_text(base + linked(text, base))))
             return None, list(zip(*rows, strict=True)) if rows else [[]] * 5
 
         return scan
@@ -149,7 +130,7 @@ def find(docs: DataFrame, keep: list[str], text: str = "text", near: int = NEAR)
     return map_texts(docs, text, keep, RESULT, setup)
 
 
-def masked(docs: DataFrame, text: str = "text", length: str | None = "n_chars", near: int = NEAR) -> DataFrame:
+def masked(docs: DataFrame, text: str = "text", length: str | None = "n_chars") -> DataFrame:
     """The documents with every span replaced by a marker; ``length``, if there is such a column, follows the text.
 
     Documents without a span, and null texts, stay as they are.
@@ -163,7 +144,7 @@ def masked(docs: DataFrame, text: str = "text", length: str | None = "n_chars",
             for t in texts:
                 text = None if t is None else t.decode()
                 spans = base_spans(text) if text else []
-                spans = spans + linked(text, spans, near) if text else []
+                spans = spans + linked(text, spans) if text else []
                 out.append(redact(text, spans) if spans else None)
                 hit.append(bool(spans))
             return None, (out, hit)

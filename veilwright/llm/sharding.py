@@ -15,11 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veilwright.llm.common import column, fresh
+from veilwright.llm.common import column, fresh, kept_columns, kept_names
 from veilwright.sources.scratch import written
 
 #: Bytes a row takes besides its text.
 ROW_BYTES = 8
+RESULTS = ("size", "text_crc32", "shard", "slot")
 
 
 def size_of(text: Column) -> Column:
@@ -36,14 +37,15 @@ def shard(docs: DataFrame, shards: int, keep: list[str], order: str = "doc_id",
 
     Null texts have the size of an empty one. Null ids come first. Rows with the same id are in the order
     of their checksums; rows that are alike in both may stand either way round. An empty table gives no
-    rows. A kept column must not have the name of a result.
+    rows. A kept column with the name of a result gets ``_`` at its end.
     """
     if shards < 1:
         raise ValueError("at least one shard")
-    names = {n: fresh(docs.select(*[column(c) for c in keep]), n) for n in ("order_key", "tie", "part", "first_byte", "first_row", "all_bytes", "row_at", "shard_row")}
+    own = kept_names(keep, list(RESULTS))
+    names = {n: fresh(docs.select(*kept_columns(keep, list(RESULTS))), n) for n in ("order_key", "tie", "part", "first_byte", "first_row", "all_bytes", "row_at", "shard_row")}
     key, tie, part = (column(names[n]) for n in ("order_key", "tie", "part"))
     keyed = docs.select(
-        *[column(c) for c in keep], column(order).alias(names["order_key"]), F.monotonically_increasing_id().alias(names["tie"]),
+        *kept_columns(keep, list(RESULTS)), column(order).alias(names["order_key"]), F.monotonically_increasing_id().alias(names["tie"]),
         size_of(column(text)).alias("size"), crc_of(column(text)).alias("text_crc32"),
     )
     ranged = keyed.repartitionByRange(key, F.col("text_crc32"), tie).withColumn(names["part"], F.spark_partition_id())
@@ -64,7 +66,7 @@ def shard(docs: DataFrame, shards: int, keep: list[str], order: str = "doc_id",
     placed = placed.withColumn("shard", F.least(F.lit(shards - 1), at.cast("int")))
     firsts = placed.groupBy("shard").agg(F.min(names["row_at"]).alias(names["shard_row"]))  # one row for each shard
     out = placed.join(F.broadcast(firsts), "shard")
-    return out.select(*[column(c) for c in keep], "size", "text_crc32", "shard", (column(names["row_at"]) - column(names["shard_row"])).alias("slot"))
+    return out.select(*[column(own[c]) for c in keep], "size", "text_crc32", "shard", (column(names["row_at"]) - column(names["shard_row"])).alias("slot"))
 
 
 def write_shards(docs: DataFrame, shards: int, folder: str, order: str = "doc_id", text: str = "text") -> None:
