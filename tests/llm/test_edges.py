@@ -219,9 +219,11 @@ def test_wavelet_files(spark):
     assert dict(map(tuple, found)) == {1: len(ROWS), 49406: 0}  # the end of each document
 
 
-def test_wavelet_matrix():
+@pytest.mark.parametrize("block", [8, 4096, wavelet.BLOCK])
+def test_wavelet_matrix(monkeypatch, block):
     import numpy as np
 
+    monkeypatch.setattr(wavelet, "BLOCK", block)
     rng = np.random.default_rng(1)
     for ids in (rng.integers(0, 70_000, 9_000), rng.choice([0, 1, 5, 49_407], 20_000), np.zeros(0, int), np.array([0]), np.array([3])):
         docs, lengths, matrix = wavelet.load(wavelet.dump([5, None], [len(ids), 0], wavelet.WaveletMatrix.build(ids)))
@@ -234,6 +236,38 @@ def test_wavelet_matrix():
             assert matrix.rank(token) == len(own) and matrix.rank(token, len(ids) // 2) == int((ids[: len(ids) // 2] == token).sum())
             assert [matrix.select(token, k) for k in range(0, len(own), 333)] == own[::333].tolist()
             assert matrix.select(token, len(own)) == -1
+            assert matrix.occurrences(token) == own.tolist()
+
+
+def test_a_lookup_unpacks_what_it_needs(monkeypatch):
+    """Counting: the block of the beginning and that of the end in each plane; then one block for each plane on the way up."""
+    import numpy as np
+
+    monkeypatch.setattr(wavelet, "BLOCK", 512)
+    ids = np.random.default_rng(2).integers(0, 50_000, 60_000)
+    file = wavelet.dump([1], [len(ids)], wavelet.WaveletMatrix.build(ids))
+    planes = wavelet.Shard(file).matrix.planes
+    assert len(planes) == 16 and all(len(p.ends) - 1 == 118 for p in planes)
+
+    def opened(call):
+        matrix = wavelet.Shard(file).matrix
+        call(matrix)
+        return [p.opened for p in matrix.planes]
+
+    token = int(ids[30_000])
+    assert max(opened(lambda m: m.access([30_000]))) == 1
+    assert max(opened(lambda m: m.rank(token))) <= 2
+    assert max(opened(lambda m: m.select(token, 0))) <= 3
+    assert sum(opened(lambda m: m)) == 0
+
+
+def test_occurrences_of_tokens(spark):
+    folder, _ = wavelet_round_trip(spark, table(spark))
+    counts = {(r.part, r.shard): r.n for r in wavelet.lookup(spark, folder, [1]).collect()}
+    places = wavelet.occurrences(spark, folder, [1, 49406]).collect()
+    assert {r.token for r in places} == {1} and len(places) == len(ROWS) == sum(counts.values())
+    firsts = {(r.part, r.shard): r["first"] for r in wavelet.lookup(spark, folder, [1]).collect()}
+    assert all(min(r.place for r in places if (r.part, r.shard) == k) == at for k, at in firsts.items() if at >= 0)
 
 
 def test_decontamination(spark):

@@ -3,8 +3,8 @@
 A shard holds the ids of consecutive documents as bit-planes, highest bit first; after each plane the
 ids are parted, zeros before ones, in their order. With a directory of counted ones per block, a plane
 answers rank and select, and the matrix answers: the id at a place, how often an id occurs before a
-place, and where its k-th occurrence is. The planes are compressed one by one, so a lookup opens only
-what it needs.
+place, and where its k-th occurrence is. The directory is part of the file, and planes are compressed in
+blocks that are found by it, so a lookup unpacks one block of each plane, two where its ends part.
 
 Documents are dealt out by ranges of their ids, and each task encodes its documents in order and closes
 a shard whenever it is full. A shard is one Parquet file of one row, written by Spark, so it can lie in
@@ -26,11 +26,15 @@ from veilwright.llm.common import column, pieces
 from veilwright.llm.sharding import crc_of
 from veilwright.llm.tokens import END, chunks_of, crc, tokenizer_text, vocabulary_path
 
-MAGIC = b"WVM2"
+MAGIC = b"WVM3"
+#: Magic, documents, ids, planes, bits of a block.
+HEAD = "<4sIQII"
 #: Ids in a shard, the last document aside.
 SHARD_TOKENS = 1 << 21
-#: Bits between two entries of the rank directory.
-BLOCK = 1 << 12
+#: Bits of a block: what is packed by itself, and what two entries of the directory lie apart.
+BLOCK = 1 << 16
+#: Unpacked blocks that a matrix remembers.
+REMEMBERED = 64
 
 
 def squeeze(data: bytes) -> bytes:
@@ -41,66 +45,96 @@ def unsqueeze(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-class WaveletMatrix:
-    """Ids with access, counting and occurrence lookup.
+class Plane:
+    """A bit-plane in packed blocks: ``ones[b]`` counts the ones before block b, ``ends`` says where the packed blocks end."""
 
-    ``planes[k]`` are packed bits, ``zeros[k]`` how many are 0, ``ones[k]`` the ones before each block.
-    """
+    def __init__(self, n: int, size: int, ones: np.ndarray, ends: np.ndarray, data) -> None:
+        self.n, self.size, self.ones, self.ends, self.data = n, size, ones, ends, data
+        #: Blocks unpacked so far, whatever is still remembered.
+        self.opened = 0
+        self.kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    @classmethod
+    def build(cls, bit: np.ndarray) -> Plane:
+        packed = np.packbits(bit, bitorder="little")
+        starts = np.arange(0, len(packed), BLOCK // 8)
+        counts = np.add.reduceat(np.bitwise_count(packed), starts, dtype=np.int64) if len(packed) else np.zeros(0, np.int64)
+        press = zstandard.ZstdCompressor(level=1)
+        blocks = [press.compress(packed[a : a + BLOCK // 8].tobytes()) for a in starts.tolist()]
+        return cls(len(bit), BLOCK, np.concatenate([[0], np.cumsum(counts)]), np.cumsum([0, *map(len, blocks)]), b"".join(blocks))
+
+    def block(self, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of a block, and the ones before each of them; only this block is unpacked."""
+        if b not in self.kept:
+            if len(self.kept) >= REMEMBERED:
+                self.kept.clear()
+            bits = np.frombuffer(unsqueeze(self.data[int(self.ends[b]) : int(self.ends[b + 1])]), np.uint8)
+            self.kept[b] = bits, np.concatenate([[0], np.cumsum(np.bitwise_count(bits), dtype=np.int64)])
+            self.opened += 1
+        return self.kept[b]
+
+    def _by_block(self, blocks: np.ndarray):
+        """``(block, which of the places lie in it)``."""
+        order = np.argsort(blocks, kind="stable")
+        found, first = np.unique(blocks[order], return_index=True)
+        if len(blocks):
+            yield from zip(found.tolist(), np.split(order, first[1:]), strict=True)
+
+    def rank(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ones before each place, and the bit there (0 behind the end)."""
+        ones, bit = np.empty(len(at), np.int64), np.zeros(len(at), np.int64)
+        for b, own in self._by_block(at // self.size):
+            if b >= len(self.ends) - 1:
+                ones[own] = self.ones[-1]
+                continue
+            bits, before = self.block(b)
+            inside = at[own] - b * self.size
+            byte, rest = inside >> 3, (inside & 7).astype(np.uint8)
+            here = np.append(bits, np.uint8(0))[byte]
+            ones[own] = self.ones[b] + before[byte] + np.bitwise_count(here & ((np.uint8(1) << rest) - np.uint8(1)))
+            bit[own] = (here >> rest) & 1
+        return ones, bit
+
+    def select(self, bit: int, nth: np.ndarray) -> np.ndarray:
+        """Places of the ``nth`` (from 0) bits of this value; the directory says in which block each lies."""
+        counts = self.ones if bit else np.minimum(np.arange(len(self.ones)) * self.size, self.n) - self.ones
+        out = np.empty(len(nth), np.int64)
+        for b, own in self._by_block(np.searchsorted(counts, nth, "right") - 1):
+            places = np.flatnonzero(np.unpackbits(self.block(b)[0], count=min(self.size, self.n - b * self.size), bitorder="little") == bit)
+            out[own] = b * self.size + places[nth[own] - counts[b]]
+        return out
+
+    def bits(self) -> np.ndarray:
+        """The whole plane."""
+        blocks = [unsqueeze(self.data[int(a) : int(b)]) for a, b in zip(self.ends[:-1], self.ends[1:], strict=True)]
+        return np.unpackbits(np.frombuffer(b"".join(blocks), np.uint8), count=self.n, bitorder="little").astype(bool)
 
-    def __init__(self, n: int, zeros: list[int], packed: list[bytes]) -> None:
-        self.n, self.zeros, self.packed = n, zeros, packed
-        self._planes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+class WaveletMatrix:
+    """Ids with access, counting and occurrence lookup; ``zeros[k]`` counts the zeros of plane k."""
+
+    def __init__(self, n: int, zeros: list[int], planes: list[Plane]) -> None:
+        self.n, self.zeros, self.planes = n, zeros, planes
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
         top = int(ids.max()) if len(ids) else 0
         now = ids.astype(np.uint16 if top < 1 << 16 else np.uint32)
-        zeros, packed = [], []
+        zeros, planes = [], []
         for shift in range(max(1, top.bit_length()) - 1, -1, -1):
             bit = (now & now.dtype.type(1 << shift)) != 0
-            packed.append(squeeze(np.packbits(bit, bitorder="little").tobytes()))
+            planes.append(Plane.build(bit))
             low = now[~bit]
             zeros.append(len(low))
             now = np.concatenate([low, now[bit]])
-        return cls(len(ids), zeros, packed)
-
-    def plane(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes of a plane, and the ones before each block of it."""
-        if k not in self._planes:
-            bits = np.frombuffer(unsqueeze(self.packed[k]), np.uint8)
-            per_byte = np.bitwise_count(bits)
-            starts = np.arange(0, len(bits), BLOCK // 8)
-            blocks = np.add.reduceat(per_byte, starts, dtype=np.int64) if len(bits) else np.zeros(0, np.int64)
-            self._planes[k] = bits, np.concatenate([[0], np.cumsum(blocks)])
-        return self._planes[k]
-
-    def _rank1(self, k: int, at: np.ndarray) -> np.ndarray:
-        """Ones of plane ``k`` before each place."""
-        bits, before = self.plane(k)
-        out = np.empty(len(at), np.int64)
-        for i, p in enumerate(np.asarray(at).tolist()):
-            block, byte = p // BLOCK, p // 8
-            n = int(before[block]) + int(np.bitwise_count(bits[block * (BLOCK // 8) : byte]).sum())
-            out[i] = n + (int(bits[byte] & ((1 << (p % 8)) - 1)).bit_count() if p % 8 else 0)
-        return out
-
-    def _bit(self, k: int, at: np.ndarray) -> np.ndarray:
-        return (self.plane(k)[0][at >> 3] >> (at & 7).astype(np.uint8)) & 1
-
-    def _select(self, k: int, bit: int, nth: int) -> int:
-        """Place of the ``nth`` (from 0) bit of this value in plane ``k``."""
-        bits, before = self.plane(k)
-        counts = before if bit else np.arange(len(before)) * BLOCK - before
-        block = int(np.searchsorted(counts, nth, "right")) - 1
-        own = np.unpackbits(bits[block * (BLOCK // 8) : (block + 1) * (BLOCK // 8)], bitorder="little")
-        return block * BLOCK + int(np.flatnonzero(own == bit)[nth - int(counts[block])])
+        return cls(len(ids), zeros, planes)
 
     def access(self, places) -> np.ndarray:
         """The ids at these places."""
         at = np.asarray(places, np.int64).copy()
         out = np.zeros(len(at), np.int64)
-        for k, zeros in enumerate(self.zeros):
-            bit, ones = self._bit(k, at), self._rank1(k, at)
+        for plane, zeros in zip(self.planes, self.zeros, strict=True):
+            ones, bit = plane.rank(at)
             out = out << 1 | bit
             at = np.where(bit == 1, zeros + ones, at - ones)
         return out
@@ -114,8 +148,8 @@ class WaveletMatrix:
         if token < 0 or token >> len(self.zeros):
             return 0, 0
         low, high = 0, place
-        for k, zeros in enumerate(self.zeros):
-            a, b = self._rank1(k, np.array([low, high])).tolist()
+        for k, (plane, zeros) in enumerate(zip(self.planes, self.zeros, strict=True)):
+            a, b = plane.rank(np.array([low, high]))[0].tolist()
             one = token >> (len(self.zeros) - 1 - k) & 1
             low, high = (zeros + a, zeros + b) if one else (low - a, high - b)
         return low, high
@@ -123,23 +157,26 @@ class WaveletMatrix:
     def select(self, token: int, nth: int) -> int:
         """Place of the ``nth`` occurrence (from 0) of an id; -1 if there are fewer."""
         low, high = self._range(token, self.n)
-        if not 0 <= nth < high - low:
-            return -1
-        at = low + nth
+        return int(self._climb(token, np.array([low + nth]))[0]) if 0 <= nth < high - low else -1
+
+    def _climb(self, token: int, at: np.ndarray) -> np.ndarray:
+        """Places in the shard of places below the last plane."""
         for k in range(len(self.zeros) - 1, -1, -1):
             one = token >> (len(self.zeros) - 1 - k) & 1
-            at = self._select(k, one, at - self.zeros[k] if one else at)
+            at = self.planes[k].select(one, at - self.zeros[k] if one else at)
         return at
 
     def occurrences(self, token: int) -> list[int]:
-        return [self.select(token, i) for i in range(self.rank(token))]
+        """All places of an id, climbed together."""
+        low, high = self._range(token, self.n)
+        return sorted(self._climb(token, np.arange(low, high)).tolist())
 
     def decode(self) -> np.ndarray:
         """All ids in their order: the parting of each plane undone, lowest plane first."""
         kind = np.uint16 if len(self.zeros) <= 16 else np.uint32
         now = np.zeros(self.n, kind)
         for k in range(len(self.zeros) - 1, -1, -1):
-            bit = np.unpackbits(np.frombuffer(unsqueeze(self.packed[k]), np.uint8), count=self.n, bitorder="little").astype(bool)
+            bit = self.planes[k].bits()
             above = np.empty(self.n, kind)
             above[~bit] = now[: self.zeros[k]]
             above[bit] = now[self.zeros[k] :] | kind(1 << (len(self.zeros) - 1 - k))
@@ -148,27 +185,46 @@ class WaveletMatrix:
 
 
 def dump(doc_ids: list[int | None], lengths: list[int], matrix: WaveletMatrix) -> bytes:
-    """A shard's file: counts, the documents, then a directory of planes and the planes."""
+    """A shard's file: counts, the documents, the directory of each plane, and the packed blocks of all planes."""
     ids = np.array([0 if d is None else d for d in doc_ids], "<i8")
-    parts = [squeeze(np.diff(ids, prepend=np.int64(0)).tobytes()), squeeze(np.packbits([d is None for d in doc_ids]).tobytes()), squeeze(np.array(lengths, "<u4").tobytes()), *matrix.packed]
-    head = struct.pack("<4sIQI", MAGIC, len(doc_ids), matrix.n, len(matrix.zeros))
+    documents = [squeeze(np.diff(ids, prepend=np.int64(0)).tobytes()), squeeze(np.packbits([d is None for d in doc_ids]).tobytes()), squeeze(np.array(lengths, "<u4").tobytes())]
+    directories = [squeeze(np.concatenate([p.ones, p.ends]).astype("<u8").tobytes()) for p in matrix.planes]
+    parts = [*documents, *directories, *[p.data for p in matrix.planes]]
+    head = struct.pack(HEAD, MAGIC, len(doc_ids), matrix.n, len(matrix.zeros), matrix.planes[0].size)
     return b"".join([head, np.array(matrix.zeros, "<u8").tobytes(), np.array([len(p) for p in parts], "<u8").tobytes(), *parts])
 
 
+class Shard:
+    """A shard's file, of which only the counts are read at once; documents and planes are read when they are asked for."""
+
+    def __init__(self, file: bytes) -> None:
+        magic, self.n_docs, self.n, levels, size = struct.unpack_from(HEAD, file)
+        if magic != MAGIC:
+            raise ValueError("not a wavelet shard")
+        at = struct.calcsize(HEAD)
+        zeros = np.frombuffer(file, "<u8", levels, at).tolist()
+        sizes = np.frombuffer(file, "<u8", 2 * levels + 3, at + 8 * levels)
+        ends = at + 8 * (3 * levels + 3) + np.cumsum(sizes).astype(np.int64)
+        view = memoryview(file)
+        self.parts = [view[e - s : e] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
+        planes = []
+        for k in range(levels):
+            directory = np.frombuffer(unsqueeze(self.parts[3 + k]), "<u8").astype(np.int64)
+            planes.append(Plane(self.n, size, directory[: len(directory) // 2], directory[len(directory) // 2 :], self.parts[3 + levels + k]))
+        self.matrix = WaveletMatrix(self.n, zeros, planes)
+
+    def documents(self) -> tuple[list[int | None], np.ndarray]:
+        """Ids of the documents, and how many token ids each has."""
+        ids = np.cumsum(np.frombuffer(unsqueeze(self.parts[0]), "<i8")).tolist()
+        missing = np.unpackbits(np.frombuffer(unsqueeze(self.parts[1]), np.uint8), count=self.n_docs)
+        lengths = np.frombuffer(unsqueeze(self.parts[2]), "<u4").astype(np.int64)
+        return [None if m else d for d, m in zip(ids, missing.tolist(), strict=True)], lengths
+
+
 def load(file: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
     """Document ids, their lengths, and the matrix of a shard's file."""
-    magic, n_docs, n, levels = struct.unpack_from("<4sIQI", file)
-    if magic != MAGIC:
-        raise ValueError("not a wavelet shard")
-    at = struct.calcsize("<4sIQI")
-    zeros = np.frombuffer(file, "<u8", levels, at).tolist()
-    sizes = np.frombuffer(file, "<u8", levels + 3, at + 8 * levels)
-    ends = at + 8 * (2 * levels + 3) + np.cumsum(sizes).astype(np.int64)
-    parts = [file[e - s : e] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
-    ids = np.cumsum(np.frombuffer(unsqueeze(parts[0]), "<i8")).tolist()
-    missing = np.unpackbits(np.frombuffer(unsqueeze(parts[1]), np.uint8), count=n_docs)
-    lengths = np.frombuffer(unsqueeze(parts[2]), "<u4").astype(np.int64)
-    return [None if m else d for d, m in zip(ids, missing.tolist(), strict=True)], lengths, WaveletMatrix(n, zeros, parts[3:])
+    shard = Shard(file)
+    return *shard.documents(), shard.matrix
 
 
 FILE = "part int, shard int, n_docs long, n_tokens long, first_doc long, last_doc long, file binary"
@@ -244,8 +300,24 @@ def lookup(spark: SparkSession, folder: str, tokens: list[int]) -> DataFrame:
     def find(batches):
         for batch in batches:
             for part, shard, file in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
-                matrix = load(file)[2]
+                matrix = Shard(file).matrix
                 rows = [(part, shard, t, matrix.rank(t), matrix.select(t, 0)) for t in tokens]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i < 2 else pa.int64()) for i, c in enumerate(zip(*rows, strict=True))], names=["part", "shard", "token", "n", "first"])
 
     return shards.mapInArrow(find, "part int, shard int, token long, n long, first long")
+
+
+def occurrences(spark: SparkSession, folder: str, tokens: list[int]) -> DataFrame:
+    """``(part, shard, token, place)`` of every occurrence of some tokens."""
+    shards = spark.read.schema(FILE).parquet(folder).select("part", "shard", "file")
+
+    def find(batches):
+        for batch in batches:
+            for part, shard, file in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+                matrix = Shard(file).matrix
+                for t in tokens:
+                    places = matrix.occurrences(t)
+                    columns = [pa.array([part] * len(places), pa.int32()), pa.array([shard] * len(places), pa.int32()), pa.array([t] * len(places), pa.int64()), pa.array(places, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["part", "shard", "token", "place"])
+
+    return shards.mapInArrow(find, "part int, shard int, token long, place long")
