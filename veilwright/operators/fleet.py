@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilwright.operators.numbering import numbered
+
 # Verdicts, the size limit of one batch, the policy of an organisation without one.
 VERDICTS = ("protected", "runaway", "unknown")
 MAX_BATCH = 500
@@ -107,24 +109,11 @@ def token_hash(raw: Column) -> Column:
 
 
 def running_rank(rows: DataFrame, key: str, time: str, tie: str, out: str) -> DataFrame:
-    """Position of each row among those of its key, in order of time; a null time comes first.
+    """Position (from 1) of each row among those of its key, in order of time; a null time comes first.
 
-    One key may own a third of all rows, so its rank is not taken in one task: the rank within a minute,
-    plus the rows in earlier minutes of the hour, plus the rows in earlier hours. A null key is a key.
+    One key may own a third of all rows, all at one time: rows are numbered by ranges of (key, time, tie).
     """
-    minute, hour = F.date_trunc("minute", time), F.date_trunc("hour", "__minute")
-    dated = rows.withColumn("__minute", minute)
-    per_minute = dated.groupBy(key, "__minute").agg(F.count("*").alias("__n")).withColumn("__hour", hour)
-    per_hour = per_minute.groupBy(key, "__hour").agg(F.sum("__n").alias("__n"))
-    hours = Window.partitionBy(key).orderBy("__hour").rowsBetween(Window.unboundedPreceding, -1)
-    minutes = Window.partitionBy(key, "__hour").orderBy("__minute").rowsBetween(Window.unboundedPreceding, -1)
-    before_hour = per_hour.select(F.col(key).alias("__k"), F.col("__hour").alias("__h"), F.coalesce(F.sum("__n").over(hours), F.lit(0)).alias("__base"))
-    before = per_minute.withColumn("__earlier", F.coalesce(F.sum("__n").over(minutes), F.lit(0)))
-    before = before.join(before_hour, before[key].eqNullSafe(before_hour["__k"]) & before["__hour"].eqNullSafe(before_hour["__h"]))
-    before = before.select(F.col(key).alias("__key"), F.col("__minute").alias("__at"), (F.col("__base") + F.col("__earlier")).alias("__before"))
-    ranked = dated.withColumn("__rank", F.row_number().over(Window.partitionBy(key, "__minute").orderBy(time, tie)))
-    placed = ranked.join(before, ranked[key].eqNullSafe(before["__key"]) & ranked["__minute"].eqNullSafe(before["__at"]))
-    return placed.withColumn(out, (F.col("__before") + F.col("__rank")).cast("bigint")).drop("__rank", "__before", "__minute", "__key", "__at")
+    return numbered(rows, key, [time, tie], out).withColumn(out, F.col(out) + 1)
 
 
 def admit(attempts: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -148,11 +137,6 @@ def policy_versions(writes: DataFrame) -> DataFrame:
     return running_rank(writes, "org_id", "written_at", "write_id", "version")
 
 
-def device_list(devices: DataFrame) -> DataFrame:
-    """Devices of all organisations in order; a range sort, so no organisation ends in one task."""
-    return devices.orderBy("org_id", "name", "id")
-
-
 def policy_current(writes: DataFrame) -> DataFrame:
     """Last policy and number of writes per organisation; combined on the map side."""
     return writes.groupBy("org_id").agg(

@@ -228,3 +228,8 @@ def posture(configs: DataFrame) -> DataFrame:
     }
     rows = F.array(*[F.struct(F.lit(n).alias("check"), c.alias("ok")) for n, c in checks.items()])
     return configs.select("user_id", F.explode(rows).alias("c")).select("user_id", "c.check", "c.ok")
+
+
+def passing(checks: DataFrame) -> DataFrame:
+    """How many of its checks each configuration passes, of how many."""
+    return checks.groupBy("user_id").agg(F.count_if("ok").alias("passing"), F.count("*").alias("total"))

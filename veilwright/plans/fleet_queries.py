@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilwright.operators import changes as C
 from veilwright.operators import fleet as L
 from veilwright.operators import sessions as S
 from veilwright.oracle import detection as O
@@ -201,9 +202,108 @@ def device_state(spark: SparkSession, sf: str) -> DataFrame:
     return L.current_state(events(spark, sf), "device_id", ["received_at", "id"], ["verdict", "tool"])
 
 
-@query("fleet_lists", with_tables("SELECT org_id, id, name FROM devices ORDER BY org_id, name, id", **TABLES))
+# --- change logs: entities made, revoked, seen and finished, folded field by field ----------------------
+
+_ORG_LOG = """SELECT 'org' || r_regionkey AS id, 'create' AS change, TIMESTAMP '2023-01-05 00:00:00' - r_regionkey * INTERVAL 7 HOUR AS at, r_name AS name FROM region"""
+_DEVICE_LOG = """SELECT 'dev' || c_custkey AS id, 'create' AS change, TIMESTAMP '2023-06-01 00:00:00' + (c_custkey * 37 % 9000) * INTERVAL 1 MINUTE AS at,
+    'org' || c_custkey % 5 AS org_id, c_name AS name, false AS revoked, CAST(NULL AS TIMESTAMP) AS last_seen_at FROM customer
+  UNION ALL SELECT 'dev' || c_custkey, 'revoke', TIMESTAMP '2024-01-15 00:00:00' + (c_custkey % 40) * INTERVAL 1 DAY, NULL, NULL, true, NULL FROM customer WHERE c_custkey % 7 = 0
+  UNION ALL SELECT device_id, 'touch', received_at, NULL, NULL, NULL, received_at FROM ev"""
+_TOKEN_LOG = """SELECT token_hash AS id, 'create' AS change, TIMESTAMP '1992-01-01 00:00:00' AS at, org_id, max_uses, false AS revoked FROM tokens
+  UNION ALL SELECT token_hash, 'revoke', TIMESTAMP '1995-06-01 00:00:00', NULL, NULL, true FROM tokens WHERE revoked
+  UNION ALL SELECT token_hash, 'use', attempted_at, NULL, NULL, NULL FROM attempts"""
+_IMAGE_LOG = """SELECT 'img' || o_orderkey AS id, 'create' AS change, o_orderdate + (o_orderkey % 5) * INTERVAL 1 HOUR AS at, 'org' || o_custkey % 5 AS org_id, 'tag' || o_orderkey % 9 AS tag, '' AS ref, 'building' AS status FROM orders
+  UNION ALL SELECT 'img' || o_orderkey, 'result', o_orderdate + (6 + o_orderkey % 3) * INTERVAL 1 HOUR, NULL, NULL, CASE WHEN o_orderkey % 4 = 1 THEN '' ELSE 'ref:' || o_orderkey END,
+    CASE WHEN o_orderkey % 4 = 1 THEN 'failed' ELSE 'ready' END FROM orders WHERE o_orderkey % 4 <> 0
+  UNION ALL SELECT 'img' || o_orderkey, 'result', o_orderdate - INTERVAL 1 DAY, NULL, NULL, 'too early', 'lost' FROM orders WHERE o_orderkey % 6 = 0"""
+
+
+def _folded(log: str, fields: list[str], as_of: str | None = None, counts: dict[str, str] | None = None) -> str:
+    """The fold of a log once more, as SQL."""
+    when = f'AND "at" <= {as_of}' if as_of else ""
+    last = ", ".join(f"arg_max({f}, ((change <> 'create'), \"at\", change)) FILTER (WHERE {f} IS NOT NULL) AS {f}" for f in fields)
+    counted = "".join(f", count(*) FILTER (WHERE change = '{kind}') AS {name}" for name, kind in (counts or {}).items())
+    return f"""SELECT id, created_at, {last}{counted} FROM {log} JOIN (SELECT id, min("at") AS created_at FROM {log} WHERE change = 'create' {when} GROUP BY 1) USING (id)
+        WHERE "at" >= created_at {when} GROUP BY ALL"""
+
+
+_NOW = f"TIMESTAMP '{NOW}'"
+_LOGS = {**TABLES, "tokens": _TOKENS, "attempts": _ATTEMPTS, "org_log": _ORG_LOG, "device_log": _DEVICE_LOG, "token_log": _TOKEN_LOG, "image_log": _IMAGE_LOG}
+DEVICE_FIELDS, TOKEN_FIELDS, IMAGE_FIELDS = ["org_id", "name", "revoked", "last_seen_at"], ["org_id", "max_uses", "revoked"], ["org_id", "tag", "ref", "status"]
+
+
+def _after(base: str, number: F.Column, unit: str) -> F.Column:
+    return F.lit(base).cast("timestamp_ntz") + F.make_interval(**{unit: number.cast("int")})
+
+
+def org_log(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.col("r_regionkey")
+    rows = read_table(spark, sf, "region").withColumn("id", F.concat(F.lit("org"), key.cast("string")))
+    return C.change(rows, C.CREATE, "id", _after("2023-01-05 00:00:00", -7 * key, "hours"), {"name": F.col("r_name")})
+
+
+def device_log(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.col("c_custkey")
+    rows = read_table(spark, sf, "customer").withColumn("id", F.concat(F.lit("dev"), key.cast("string")))
+    made = C.change(rows, C.CREATE, "id", _after("2023-06-01 00:00:00", key * 37 % 9000, "mins"), {"org_id": F.concat(F.lit("org"), (key % 5).cast("string")), "name": F.col("c_name"), "revoked": F.lit(False)})
+    revoked = C.change(rows.where(key % 7 == 0), "revoke", "id", _after("2024-01-15 00:00:00", key % 40, "days"), {"revoked": F.lit(True)})
+    return C.log(made, revoked, C.change(events(spark, sf), "touch", "device_id", F.col("received_at"), {"last_seen_at": F.col("received_at")}))
+
+
+def token_log(spark: SparkSession, sf: str) -> DataFrame:
+    rows = tokens(spark, sf)
+    at = lambda text: F.lit(text).cast("timestamp_ntz")
+    made = C.change(rows, C.CREATE, "token_hash", at("1992-01-01 00:00:00"), {"org_id": F.col("org_id"), "max_uses": F.col("max_uses"), "revoked": F.lit(False)})
+    revoked = C.change(rows.where("revoked"), "revoke", "token_hash", at("1995-06-01 00:00:00"), {"revoked": F.lit(True)})
+    return C.log(made, revoked, C.change(attempts(spark, sf), "use", "token_hash", F.col("attempted_at").cast("timestamp_ntz"), {}))
+
+
+def image_log(spark: SparkSession, sf: str) -> DataFrame:
+    key, at = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp_ntz")
+    rows = read_table(spark, sf, "orders").withColumn("id", F.concat(F.lit("img"), key.cast("string")))
+    hours = lambda n: at + F.make_interval(hours=n.cast("int"))
+    made = C.change(rows, C.CREATE, "id", hours(key % 5), {"org_id": F.concat(F.lit("org"), (F.col("o_custkey") % 5).cast("string")), "tag": F.concat(F.lit("tag"), (key % 9).cast("string")), "ref": F.lit(""), "status": F.lit("building")})
+    failed = key % 4 == 1
+    result = C.change(rows.where(key % 4 != 0), "result", "id", hours(6 + key % 3), {"ref": F.when(failed, "").otherwise(F.concat(F.lit("ref:"), key.cast("string"))), "status": F.when(failed, "failed").otherwise("ready")})
+    early = C.change(rows.where(key % 6 == 0), "result", "id", at - F.make_interval(days=F.lit(1)), {"ref": F.lit("too early"), "status": F.lit("lost")})
+    return C.log(made, result, early)
+
+
+@query("device_states", with_tables(f"SELECT * FROM ({_folded('device_log', DEVICE_FIELDS, _NOW)})", **_LOGS))
+def device_states(spark: SparkSession, sf: str) -> DataFrame:
+    """Devices as they stood at a time: enrolled, seen, revoked."""
+    return C.fold(device_log(spark, sf), DEVICE_FIELDS, F.lit(NOW).cast("timestamp_ntz"))
+
+
+@query("token_states", with_tables(f"SELECT * FROM ({_folded('token_log', TOKEN_FIELDS, counts={'used_count': 'use'})})", **_LOGS))
+def token_states(spark: SparkSession, sf: str) -> DataFrame:
+    return C.fold(token_log(spark, sf), TOKEN_FIELDS, counts={"used_count": "use"})
+
+
+@query("image_states", with_tables(f"SELECT * FROM ({_folded('image_log', IMAGE_FIELDS)})", **_LOGS))
+def image_states(spark: SparkSession, sf: str) -> DataFrame:
+    return C.fold(image_log(spark, sf), IMAGE_FIELDS)
+
+
+@query(
+    "fleet_lists",
+    with_tables(
+        f"""SELECT 'orgs' AS list, '' AS org_id, id, row_number() OVER (ORDER BY created_at, id) AS place FROM ({_folded('org_log', ['name'])})
+            UNION ALL SELECT 'devices', org_id, id, row_number() OVER (PARTITION BY org_id ORDER BY created_at, id) FROM ({_folded('device_log', DEVICE_FIELDS)})
+            UNION ALL SELECT 'images', org_id, id, row_number() OVER (PARTITION BY org_id ORDER BY created_at DESC, id) FROM ({_folded('image_log', IMAGE_FIELDS)})""",
+        **_LOGS,
+    ),
+)
 def fleet_lists(spark: SparkSession, sf: str) -> DataFrame:
-    return L.device_list(devices(spark, sf)).select("org_id", "id", "name")
+    """Organisations as they were made, devices as they enrolled, images newest first, with their places."""
+    orgs = C.fold(org_log(spark, sf), ["name"]).withColumn("org_id", F.lit(""))
+    lists = {
+        "orgs": C.listed(orgs, "org_id", ["created_at", "id"]),
+        "devices": C.listed(C.fold(device_log(spark, sf), DEVICE_FIELDS), "org_id", ["created_at", "id"]),
+        "images": C.listed(C.fold(image_log(spark, sf), IMAGE_FIELDS), "org_id", [F.desc("created_at"), "id"]),
+    }
+    rows = [df.select(F.lit(name).alias("list"), "org_id", "id", "place") for name, df in lists.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 _ENROL = {"tokens": _TOKENS, "attempts": _ATTEMPTS}
@@ -452,3 +552,12 @@ def posture(spark: SparkSession, sf: str) -> DataFrame:
         (key % 7 == 0).alias("hooks_enabled"),
     )
     return S.posture(configs)
+
+
+@query(
+    "posture_passing",
+    """SELECT c_custkey AS user_id, CAST((c_custkey % 2 = 0)::INT + (c_custkey % 4 = 3)::INT + (c_custkey % 3 = 0)::INT + (c_custkey % 5 = 0)::INT + (c_custkey % 7 = 0)::INT AS BIGINT) AS passing,
+         CAST(6 AS BIGINT) AS total FROM customer""",
+)
+def posture_passing(spark: SparkSession, sf: str) -> DataFrame:
+    return S.passing(posture(spark, sf))

@@ -11,6 +11,7 @@ from veilwright.plans.registry import query, with_tables
 from veilwright.plans.scan import scan_and_redact
 from veilwright.plans.text_queries import _CASCADE, _CLEAN, BENCH
 from veilwright.sources.derived import corpus
+from veilwright.sources.scratch import new_folder
 from veilwright.sources.tables import read_table
 
 HOSTS = ["api.anthropic.com", "api.openai.com", "api.githubcopilot.com", "api"]
@@ -277,3 +278,39 @@ def scan_reports_built(spark: SparkSession, sf: str) -> DataFrame:
         F.array_join(F.transform("redactions", lambda r: r.label), ",").alias("labels"),
         "blocked",
     )
+
+
+# --- stored sketches ---------------------------------------------------------------------------------
+
+#: Share of the values by which the rank of a percentile from a sketch may be off.
+TOLERANCE = 0.02
+
+
+@query(
+    "latency_sketches",
+    with_tables(
+        """SELECT provider, range, p, count(*) AS n, true AS within FROM (
+             SELECT provider, 'all' AS range FROM reports UNION ALL
+             SELECT provider, 'ten days' FROM reports WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-20 00:00:00'), (VALUES (50), (95), (99)) v(p)
+           GROUP BY 1, 2, 3""",
+        **TABLES,
+    ),
+)
+def latency_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    """Percentiles merged from hourly sketches that were stored, held against the ranks of their values among all."""
+    folder = new_folder(spark, "sketches")
+    rows = reports(spark, sf)
+    R.latency_sketches(rows).write.parquet(folder)
+    stored = spark.read.parquet(folder)
+    low, high = (F.lit(f"2024-01-{day} 00:00:00").cast("timestamp") for day in (10, 20))
+    ranges = {"all": (rows, stored), "ten days": (rows.where((F.col("ts") >= low) & (F.col("ts") < high)), stored.where((F.col("hour") >= low) & (F.col("hour") < high)))}
+    out = []
+    for name, (own, sketches) in ranges.items():
+        points = R.sketch_percentiles(sketches).select("provider", "n", F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.col(f"p{p}").alias("value")) for p in (50, 95, 99)])).alias("x")).select("provider", "n", "x.p", "x.value")
+        ranked = own.groupBy("provider", "latency_ms").agg(F.count("*").alias("many")).join(points, "provider").groupBy("provider", "p", "n").agg(
+            F.sum(F.when(F.col("latency_ms") < F.col("value"), F.col("many")).otherwise(0)).alias("below"), F.sum(F.when(F.col("latency_ms") <= F.col("value"), F.col("many")).otherwise(0)).alias("up_to")
+        )
+        share = F.col("p") / 100
+        within = (F.col("below") / F.col("n") <= share + TOLERANCE) & (F.col("up_to") / F.col("n") >= share - TOLERANCE)
+        out.append(ranked.select("provider", F.lit(name).alias("range"), "p", "n", within.alias("within")))
+    return out[0].unionByName(out[1])
