@@ -90,3 +90,27 @@ def test_passing(spark):
     rows = [(1, "a", True), (1, "b", False), (2, "a", None)]
     got = {r.user_id: (r.passing, r.total) for r in sessions.passing(spark.createDataFrame(rows, "user_id int, check string, ok boolean")).collect()}
     assert got == {1: (1, 2), 2: (0, 1)}
+
+
+def test_scratch_tables_are_shared_and_can_be_removed(spark, monkeypatch):
+    import pytest
+    from veilwright.sources import scratch
+
+    back = scratch.written(spark.range(3), "scratch-test")
+    assert back.count() == 3 and scratch.children(spark, scratch.application_folder(spark)) != []
+    folder = scratch.new_folder(spark, "alone")
+    spark.range(1).write.parquet(folder)
+    assert scratch.removed(spark, folder) and not scratch.removed(spark, folder) and scratch.children(spark, folder) == []
+
+    class Cluster:
+        class sparkContext:  # noqa: N801
+            master, applicationId = "spark://x:7077", "app"
+            getConf = staticmethod(dict)
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, *rest: {"spark.sql.warehouse.dir": "file:/tmp/w"}.get(key, *rest))
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.shared_folder(Cluster)
+    Cluster.conf.get = staticmethod(lambda key, *rest: {"spark.sql.warehouse.dir": "hdfs://n/w"}.get(key, *rest))
+    assert scratch.new_folder(Cluster, "t").startswith("hdfs://n/w/scratch/app/t-")

@@ -8,9 +8,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset, a folder in the warehouse, which is shared too."""
+    """``spark.checkpoint.dir`` of the session; where it is unset, a folder in the warehouse.
+
+    On a cluster a warehouse without a scheme, or on ``file:``, is each machine's own: there the setting
+    is asked for.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (base or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch").rstrip("/")
+    if base:
+        return base.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not spark.sparkContext.master.startswith("local") and warehouse.split(":", 1)[0] in (warehouse, "file"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+    return f"{warehouse}/scratch"
+
+
+def application_folder(spark: SparkSession) -> str:
+    """Where this application's scratch tables are."""
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+
+
+def cleaned(spark: SparkSession) -> bool:
+    """Remove all scratch tables of this application; results that were not written elsewhere go with them."""
+    return removed(spark, application_folder(spark))
 
 
 def _path(spark: SparkSession, folder: str):
@@ -32,7 +51,7 @@ def removed(spark: SparkSession, folder: str) -> bool:
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder that the driver and all executors see."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{application_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
