@@ -195,6 +195,7 @@ def _open_links(large: DataFrame, roots: DataFrame, sets: DataFrame, similarity:
         "key", F.col("top.root").alias("main"),
         F.ceil((F.col("total") - F.col("top.many")) / OUTSIDERS).cast("int").alias("outside"), F.ceil(F.col("total") / MEMBERS).cast("int").alias("blocks"),
     )
+    main = written(main, "neardup-open")
     here = placed.join(main, "key")
     number = F.xxhash64("node")
     outsiders = here.where("root <> main").select("key", "node", "root", F.lit(True).alias("outsider"), F.pmod(number, F.col("outside")).cast("int").alias("o"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("m"))
@@ -243,8 +244,9 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text: str =
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "neardup-classes")
 
     own = features.join(classes, [features.k1 == classes.k1, features.k2 == classes.k2, features.id.eqNullSafe(classes.rep)])
-    slots = own.select("node", "n", F.explode("bands").alias("key")).distinct()
-    shared = slots.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
+    # Both sides of the join below are read from tables, so that a key with very many members can be split.
+    slots = written(own.select("node", "n", F.explode("bands").alias("key")).distinct(), "neardup-slots")
+    shared = written(slots.groupBy("key").agg(F.count("*").alias("many")).where("many > 1"), "neardup-keys")
     members = written(slots.join(shared, "key"), "neardup-buckets")
 
     small = members.where(F.col("many") <= SMALL_BUCKET).select("key", "node", "n")
@@ -271,7 +273,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text: str =
 
     grouped = classes.join(roots, "node", "left").select(*keys, "rep", F.coalesce("root", "node").alias("root"))
     least = grouped.groupBy("root").agg(F.min("rep").alias("class_id"))
-    named = grouped.join(least, "root").select(*keys, "class_id", "root")
+    named = written(grouped.join(least, "root").select(*keys, "class_id", "root"), "neardup-named")
     known = features.where("k1 IS NOT NULL").select("id", *keys).join(named, keys)
     unknown = features.where("k1 IS NULL").select("id", *keys, F.col("id").alias("class_id"), F.lit(None).cast("long").alias("root"))
     return known.select("id", *keys, "class_id", "root").unionByName(unknown), features

@@ -1,6 +1,6 @@
-"""Row numbers and joined digests within groups of any size.
+"""Joined digests of groups of any size; row numbers within them are in ``operators.numbering``.
 
-A group may hold a third of all rows, so neither gathers one. Rows are put in order by a range exchange
+A group may hold a third of all rows, so none is gathered. Rows are put in order by a range exchange
 over the group and the order, which cuts a large group like any other run of rows.
 """
 
@@ -14,42 +14,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.window import Window
 
-from veilwright.llm.common import column, fresh
+from veilwright.llm.common import column
+from veilwright.operators.numbering import numbered
 from veilwright.sources.scratch import written
 
+__all__ = ["joined_digests", "numbered"]
+
 #: Bytes of the pieces in which a group that is cut by the exchange travels to its digest.
 CHUNK_BYTES = 16 << 10
 #: Bytes of a group that a task holds back until it knows whether the group ends there.
 HELD_BYTES = 1 << 20
 
 
-def numbered(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
-    """``df`` with ``name`` (long): the row's place in its group, from 0, in ascending ``order``, nulls first.
-
-    Rows alike in ``order`` stand either way round. Null is a group of its own. Inside a part of the
-    exchange a window counts; only the first group of a part can have begun in parts before, so what is
-    broadcast to start the counts is one row for each part at most.
-    """
-    part, tie, size, first = (fresh(df, n) for n in ("part", "tie", "n_in_part", "first_row"))
-    keys = [column(group), *map(column, order), column(tie)]
-    ranged = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(*keys).withColumn(part, F.spark_partition_id())
-    ranged = written(ranged, "numbered")  # the parts stay what they are from here on
-    counts = ranged.groupBy(part, group).agg(F.count("*").alias(size))
-    # Both ends of a part, so that a group over many parts is there with each of its counts.
-    key = F.struct(column(group))
-    ends = counts.groupBy(part).agg(F.min_by(F.struct(group, size), key).alias("low"), F.max_by(F.struct(group, size), key).alias("high"))
-    edges = ends.select(part, F.explode(F.array_distinct(F.array("low", "high"))).alias("edge")).select(part, f"edge.{group}", f"edge.{size}")
-    before = Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    bases = edges.withColumn(first, F.sum(size).over(before)).where(column(first) > 0).select(column(part).alias(part + "_"), column(group).alias(group + "_"), first)
-    inside = Window.partitionBy(part, group).orderBy(*map(column, order), column(tie))
-    at_part = (column(part) == column(part + "_")) & column(group).eqNullSafe(column(group + "_"))
-    placed = ranged.join(F.broadcast(bases), at_part, "left")  # one row for each part at most
-    row = F.row_number().over(inside) - 1 + F.coalesce(column(first), F.lit(0))
-    return placed.select(*map(column, df.columns), row.cast("long").alias(name))
-
-
 def joined_digests(df: DataFrame, group: str, order: list[str], piece: str, separator: str, name: str = "sha256") -> DataFrame:
     """``(group, name)``: lower-case SHA-256 of the group's pieces (strings, null: empty), in ``order``, joined by ``separator``.
 
