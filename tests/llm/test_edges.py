@@ -207,6 +207,24 @@ def test_large_buckets_lose_no_link(spark):
     assert {r.id: r.class_id for r in members} == brute.near_classes(rows)
 
 
+def test_benchmark_in_stretches(spark):
+    """A long item is cut, its copies are one, every window stays whole in some stretch."""
+    words = [f"w{i}" for i in range(500)]
+    rows = [("long", " ".join(words))] * 50 + [("short", "one Two"), ("exact", " ".join(words[:13])), ("none", "..."), (None, "x"), ("null", None)]
+    bench = spark.createDataFrame(rows, "item_id string, text string")
+    got = [(r.item, bytes(r.text).decode().split()) for r in decontaminate.stretches(bench, "item_id", "text", 13, 300).collect()]
+    assert sorted(t for i, t in got if i == "short") == [["one", "two"]] and [t for i, t in got if i == ""] == [["x"]] and [t for i, t in got if i == "exact"] == [words[:13]]
+    long = [t for i, t in got if i == "long"]
+    assert 5 < len(long) < 20 and all(13 <= len(t) and len(" ".join(t)) < 400 for t in long)
+    assert {tuple(t[k : k + 13]) for t in long for k in range(len(t) - 12)} == {tuple(words[k : k + 13]) for k in range(488)}
+    assert {i for i, _ in got} == {"long", "short", "exact", ""}
+    sizes = [sum(len(w) for w in block.vocabulary) for block, _ in decontaminate._blocks(bench, "item_id", "text", 1000, 13)]
+    assert len(sizes) > 3 and max(sizes) <= 1000
+    docs = spark.createDataFrame([(1, " ".join(words[200:260])), (2, " ".join(words[300:312])), (3, "ONE two")], "doc_id long, text string")
+    hit = {r.doc_id: (r.n_hit, r.n_items) for r in decontaminate.annotate(docs, bench, ["doc_id"], block_bytes=1000).collect()}
+    assert hit == {1: (60, 1), 2: (0, 0), 3: (2, 1)}
+
+
 def test_wavelet_files(spark):
     folder, back = wavelet_round_trip(spark, table(spark))
     got = sorted((r.start, r.doc_id, r.n_tokens) for r in back.collect())

@@ -17,6 +17,55 @@ DAMAGES = 20
 EMPTY = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 
+_CRC = """remainders AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(
+    list_concat([n::BIGINT], range(8)), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS tab
+)"""
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII string, with ``tab`` in scope."""
+    codes = f"list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {codes}), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295)"
+
+
+#: Every prefix of every rebuilt conversation by name; sums over a subtree go along the paths of its least members.
+TRIE_SQL = f"""
+WITH {_CRC}, turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, token) - 1 AS pos
+  FROM (SELECT conv_id, turn, octet_length(encode(text)) AS weight, md5(length(role) || ':' || role || text) AS token FROM turns)
+), ids AS (
+  SELECT conv_id, conv_id - ((conv_id % {GROUP} + {GROUP}) % {GROUP}) AS base, {_crc32('conv_id::VARCHAR')} % {HEADS} AS h
+  FROM (SELECT DISTINCT conv_id FROM turns), remainders
+), taken AS (
+  SELECT i.conv_id, o.pos, o.token, o.weight FROM ids i JOIN own o ON o.conv_id = i.base AND o.pos < i.h
+), rebuilt AS (
+  SELECT * FROM taken UNION ALL
+  SELECT conv_id, o.pos - i.h + coalesce(m.n, 0), o.token, o.weight
+  FROM own o JOIN ids i USING (conv_id) LEFT JOIN (SELECT conv_id, count(*) AS n FROM taken GROUP BY 1) m USING (conv_id) WHERE o.pos >= i.h
+), paths AS (
+  SELECT conv_id, pos + 1 AS depth, string_agg(token, '') OVER (PARTITION BY conv_id ORDER BY pos) AS name, weight FROM rebuilt
+  UNION ALL SELECT conv_id, 0, '', 0 FROM ids
+), nodes AS (
+  SELECT name, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(weight) AS weight FROM paths GROUP BY 1, 2
+), children AS (
+  SELECT left(name, 32 * (depth - 1)::INT) AS name, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1
+), below AS (
+  SELECT p.name, count(*) FILTER (WHERE c.n IS NULL) AS n_leaves, sum((x.n_convs - 1) * x.weight) AS saved
+  FROM nodes x LEFT JOIN children c ON c.name = x.name JOIN paths p ON p.conv_id = x.conv_id AND p.depth <= x.depth GROUP BY 1
+), ends AS (
+  SELECT name, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS listed
+  FROM (SELECT conv_id, arg_max(name, depth) AS name FROM paths GROUP BY 1) GROUP BY 1
+)
+SELECT x.conv_id, x.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, x.n_convs, coalesce(c.n, 0)::BIGINT AS n_children, b.n_leaves::BIGINT AS n_leaves,
+       b.saved::BIGINT AS saved_tokens, sha256(coalesce(e.listed, '')) AS ends_sha256
+FROM nodes x JOIN below b ON b.name = x.name LEFT JOIN children c ON c.name = x.name LEFT JOIN ends e ON e.name = x.name
+LEFT JOIN nodes p ON x.depth > 0 AND p.name = left(x.name, 32 * (x.depth - 1)::INT)
+"""
+
+
 def rebuilt(conversations):
     """``(conv_id, pos, token, weight)`` of the rebuilt turns, and all ``conv_id``; rows without one are in no conversation.
 
@@ -35,7 +84,7 @@ def rebuilt(conversations):
     return taken.unionByName(rest.select("conv_id", (F.col("pos") - F.col("h") + F.col("m")).alias("pos"), "token", "weight")), heads.select("conv_id")
 
 
-@query("op11_conversation_trie")
+@query("op11_conversation_trie", TRIE_SQL)
 def conversation_trie(spark, sf_dir):
     turns, ids = rebuilt(read_table(spark, sf_dir, "conversations"))
     nodes, ends = trie.prefix_trie(turns, ids)
@@ -46,6 +95,60 @@ def conversation_trie(spark, sf_dir):
     )
 
 
+#: A walk over the rows, the cheapest way into each state; then the edits are carried out.
+REPAIR_SQL = f"""
+WITH RECURSIVE {_CRC}, damaged AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % {DAMAGES} AS kind FROM conversations, remainders)
+  WHERE kind <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS row FROM damaged
+), faulty AS (
+  SELECT *, CASE WHEN ink = '' THEN 'blank' WHEN row > min(row) OVER (PARTITION BY conv_id, role, text) THEN 'duplicate'
+                 WHEN right(ink, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+  FROM (SELECT *, regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g') AS ink FROM placed)
+), inserted(p, r, cost, audit) AS (
+  VALUES (0, 0, 0, ''), (0, 2, 5, 'I'), (0, 3, 10, 'II'), (1, 1, 0, ''), (1, 2, 5, 'I'), (1, 3, 10, 'II'), (2, 2, 0, ''), (2, 3, 5, 'I'), (3, 3, 0, ''), (3, 2, 5, 'I')
+), leads(r, q, initial) AS (VALUES (0, 1, 's'), (0, 2, 'u'), (1, 2, 'u'), (2, 3, 'a'), (3, 2, 'u')
+), steps AS (
+  SELECT conv_id, row, r, r AS q, 2 AS cost, 'D' AS edit FROM faulty, (VALUES (0), (1), (2), (3)) v(r)
+  UNION ALL SELECT conv_id, row, r, q, CASE fault WHEN 'truncated' THEN 5 ELSE 0 END, 'K' FROM faulty, leads WHERE fault NOT IN ('blank', 'duplicate') AND left(role, 1) = initial
+  UNION ALL SELECT conv_id, row, r, q, CASE fault WHEN 'truncated' THEN 6 ELSE 1 END, 'R' FROM faulty, leads WHERE fault NOT IN ('blank', 'duplicate') AND initial <> 's'
+), walk AS (
+  SELECT conv_id, 0 AS row, 0 AS state, {{'cost': 0, 'audit': ''}} AS best FROM (SELECT DISTINCT conv_id FROM faulty)
+  UNION ALL
+  SELECT w.conv_id, s.row::INTEGER, s.q, min({{'cost': w.best.cost + i.cost + s.cost, 'audit': w.best.audit || i.audit || s.edit}})
+  FROM walk w JOIN inserted i ON i.p = w.state JOIN steps s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.row = w.row + 1 AND s.r = i.r
+  GROUP BY w.conv_id, s.row, s.q
+), ended AS (
+  SELECT w.conv_id, min({{'cost': w.best.cost + i.cost, 'audit': w.best.audit || i.audit}}) AS best
+  FROM walk w JOIN (SELECT conv_id, max(row) AS row FROM faulty GROUP BY 1) n ON n.conv_id IS NOT DISTINCT FROM w.conv_id AND n.row = w.row JOIN inserted i ON i.p = w.state AND i.r IN (0, 3)
+  GROUP BY w.conv_id
+), edits AS (
+  SELECT *, count(*) FILTER (WHERE edit <> 'I') OVER so_far AS row, count(*) FILTER (WHERE edit <> 'D') OVER so_far AS out
+  FROM (SELECT conv_id, k, substr(best.audit, k::INT, 1) AS edit FROM ended, unnest(range(1, length(best.audit) + 1)) u(k))
+  WINDOW so_far AS (PARTITION BY conv_id ORDER BY k ROWS UNBOUNDED PRECEDING)
+), lines AS (
+  SELECT e.conv_id, k, edit, CASE WHEN edit = 'I' THEN '' ELSE f.text END AS text, f.role,
+         max(CASE WHEN out = 1 AND edit = 'K' AND left(f.role, 1) = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY e.conv_id) AS led, out
+  FROM edits e LEFT JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM e.conv_id AND f.row = e.row AND e.edit <> 'I' WHERE edit <> 'D'
+), repaired AS (
+  SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (out - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY k) AS listed FROM lines GROUP BY 1
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+         count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+         count(*) FILTER (WHERE before IS NOT NULL AND before || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT *, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY row) AS before FROM faulty) GROUP BY 1
+)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(e.best.cost, 0)::BIGINT AS cost, coalesce(e.best.audit, '') AS audit, sha256(coalesce(listed, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN counted n ON n.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
 def damaged(conversations):
     """Rows with one of five faults each, or none, by a checksum of their id and turn."""
     kind = (F.crc32(F.concat(spaced(F.col("conv_id")), F.lit(":"), spaced(F.col("turn"))).cast("binary")) % DAMAGES).cast("int")
@@ -56,7 +159,7 @@ def damaged(conversations):
     return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
 
 
-@query("op12_conversation_repair")
+@query("op12_conversation_repair", REPAIR_SQL)
 def conversation_repair(spark, sf_dir):
     conversations = read_table(spark, sf_dir, "conversations")
     audits, edits, lines = repair.repair(damaged(conversations))

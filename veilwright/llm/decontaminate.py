@@ -7,8 +7,8 @@ occurs, takes the rarest shingle of each window as its prefix, joins document po
 it, applies the length and position bounds, and compares the words of what is left.
 
 Documents are never shuffled: both passes are maps, and only counts of benchmark shingles are grouped.
-The benchmark is taken in blocks of at most ``block_bytes``, so what is broadcast has a fixed bound; a
-larger benchmark makes more passes.
+The benchmark is taken in blocks of at most ``block_bytes``, so what is broadcast has a fixed bound; long
+items are cut into stretches that overlap, copies count once, and a larger benchmark makes more passes.
 """
 
 from __future__ import annotations
@@ -163,14 +163,44 @@ def _rarity(docs: DataFrame, text: str, block: Block) -> dict[int, int]:
     return {r.shingle: r.n for r in counts.groupBy("shingle").agg(F.sum("n").alias("n")).collect()}
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, limit: int, window: int):
-    """Blocks of the benchmark with about ``limit`` bytes each; one is on the driver at a time."""
+def stretches(benchmark: DataFrame, item: str, text: str, window: int, most: int) -> DataFrame:
+    """``(item, text, bytes)``: the words of each item, a long one in stretches of about ``most`` bytes.
+
+    Neighbouring stretches share ``window`` - 1 words, so each window lies whole in one at least. Equal
+    stretches of an item are one row, so copies of an item cost nothing.
+    """
     items = benchmark.select(F.coalesce(column(item).cast("string"), F.lit("")).alias("item"), column(text).alias("text")).where("text IS NOT NULL")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // limit) or 1
+
+    def cut(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for name, whole in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                words = word_list(whole)
+                out, begin = [], 0
+                while begin == 0 and words or begin + window <= len(words):
+                    end, size = begin, 0
+                    while end < len(words) and size < most:
+                        size += len(words[end]) + 1
+                        end += 1
+                    out.append(b" ".join(words[begin : end + window - 1]))
+                    begin = end
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(out), pa.string()), pa.array(out, pa.binary()), pa.array([len(x) for x in out], pa.int64())], names=["item", "text", "bytes"])
+
+    return items.mapInArrow(cut, "item string, text binary, bytes long").distinct()
+
+
+def _blocks(benchmark: DataFrame, item: str, text: str, limit: int, window: int):
+    """Blocks of the benchmark of ``limit`` bytes at most; one is on the driver at a time.
+
+    Stretches are a 64th of a block, and blocks are half full on average, so that none grows beyond the limit.
+    """
+    parts = written(stretches(benchmark, item, text, window, max(1, limit // 64)), "decontaminate-benchmark")
+    total = parts.agg(F.sum("bytes")).first()[0] or 0
+    n = 1 if total <= limit else -(-2 * total // limit)
     for b in range(n):
-        own = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b)
-        yield Block([(r.item, r.text.encode()) for r in own.toLocalIterator()], window), b == n - 1
+        own = parts if n == 1 else parts.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b)
+        yield Block([(r.item, bytes(r.text)) for r in own.select("item", "text").toLocalIterator()], window), b == n - 1
 
 
 def annotate(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, drop: bool = False) -> DataFrame:
