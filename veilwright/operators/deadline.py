@@ -47,6 +47,10 @@ while (text := take()) is not None:
 """
 
 
+#: Spans or the reason why there are none, and milliseconds.
+Answer = tuple[list[dict] | None, str | None, float]
+
+
 class Late(Exception):
     """No answer in time."""
 
@@ -107,28 +111,30 @@ class Child:
         self.process.stdout.close()
 
 
-def timed(load: Callable, milliseconds: int, load_seconds: float | None = None) -> Callable[[Iterator[list[str]]], Iterator[list[tuple[list[dict] | None, str | None]]]]:
-    """A function from lists of texts to ``(spans, reason)`` of each: spans or the reason why there are none.
+def timed(load: Callable, milliseconds: int, load_seconds: float | None = None) -> Callable[[Iterator[list[str]]], Iterator[list[Answer]]]:
+    """A function from lists of texts to ``(spans, reason, ms)`` of each: spans or the reason why there are none, and the time.
 
     The limit holds for each text alone, from when the model gets it. A model that can not be loaded
     fails the job.
     """
     loader, log = cloudpickle.dumps(load), logging.getLogger(__name__)
 
-    def answer(child: Child | None, text: str) -> tuple[Child | None, tuple[list[dict] | None, str | None]]:
+    def answer(child: Child | None, text: str) -> tuple[Child | None, Answer]:
         child = child or Child(loader, load_seconds)
+        begin = monotonic()
+        spent = lambda: (monotonic() - begin) * 1000
         try:
             kind, said = child.ask(text, milliseconds / 1000)
         except (Late, Died) as failure:
             child.end()
             log.warning("a model was ended over a text of %d characters: %r", len(text), failure)
-            return None, (None, f"timeout after {milliseconds}ms" if isinstance(failure, Late) else "scan failed")
+            return None, (None, f"timeout after {milliseconds}ms" if isinstance(failure, Late) else "scan failed", spent())
         if kind == "done":
-            return child, (said, None)
+            return child, (said, None, spent())
         log.warning("a model failed on a text of %d characters: %s", len(text), said)
-        return child, (None, "scan failed")
+        return child, (None, "scan failed", spent())
 
-    def run(lists: Iterator[list[str]]) -> Iterator[list[tuple[list[dict] | None, str | None]]]:
+    def run(lists: Iterator[list[str]]) -> Iterator[list[Answer]]:
         child: Child | None = None
         try:
             for texts in lists:

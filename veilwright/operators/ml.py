@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Iterator
+from time import perf_counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -184,7 +185,7 @@ Loader = Callable[[], Callable[[list[str]], list[list[dict]]]]
 
 
 FAILED = "scan failed"
-ANSWER = f"struct<entities:array<{ENTITY}>,reason:string>"
+ANSWER = f"struct<entities:array<{ENTITY}>,reason:string,ms:double>"
 
 
 def isolated(predict: Callable[[list[str]], list[list[dict]]], texts: list[str]) -> list[list[dict] | None]:
@@ -200,24 +201,27 @@ def isolated(predict: Callable[[list[str]], list[list[dict]]], texts: list[str])
 
 
 def model_column(load: Loader, timeout_ms: int | None = None) -> Callable[[Column], Column]:
-    """Arrow batch function around a model: the spans of a text, or the reason why there are none.
+    """Arrow batch function around a model: the spans of a text, or the reason why there are none, and its time in ms.
 
     A batch the model fails on is halved until the text it fails on stands alone, so its neighbours keep
     their spans. With a time limit each text is asked by itself, of a model in a process of its own. A
-    model that can not be loaded fails the job.
+    model that can not be loaded fails the job. Of a batch each text has an equal share of its time.
     """
 
-    def answers(batches: Iterator[list[str]]) -> Iterator[list[tuple[list[dict] | None, str | None]]]:
+    def answers(batches: Iterator[list[str]]) -> Iterator[list[tuple[list[dict] | None, str | None, float]]]:
         predict = load()
         for texts in batches:
-            yield [(found, None if found is not None else FAILED) for found in isolated(predict, texts)]
+            begin = perf_counter()
+            all_found = isolated(predict, texts)
+            ms = (perf_counter() - begin) * 1000 / max(1, len(texts))
+            yield [(found, None if found is not None else FAILED, ms) for found in all_found]
 
     ask = timed(load, timeout_ms) if timeout_ms else answers
 
     @F.pandas_udf(ANSWER)
     def spans(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for found in ask([t or "" for t in texts] for texts in batches):
-            yield pd.DataFrame({"entities": pd.Series([f[0] for f in found], dtype=object), "reason": pd.Series([f[1] for f in found], dtype=object)})
+            yield pd.DataFrame({"entities": pd.Series([f[0] for f in found], dtype=object), "reason": pd.Series([f[1] for f in found], dtype=object), "ms": pd.Series([f[2] for f in found], dtype=float)})
 
     return spans
 
@@ -227,7 +231,7 @@ def model_layer(
 ) -> Layer:
     """A model as a layer of the cascade.  It sees the text the layers before it have masked."""
     name = "opf" if second else "gliner"
-    reason, answer = f"__reason_{name}", f"__answer_{name}"
+    reason, answer, ms = f"__reason_{name}", f"__answer_{name}", f"__ms_{name}"
     suppressed = suppressed_labels(toggles)
 
     def scan(texts: DataFrame, text: str, out: str, position: int) -> DataFrame:
@@ -237,7 +241,8 @@ def model_layer(
         return (
             found.withColumn(out, settled(in_order(F.coalesce(as_findings, empty(FINDING)))))
             .withColumn(reason, F.col(answer)["reason"])
+            .withColumn(ms, F.col(answer)["ms"])
             .drop(answer)
         )
 
-    return Layer(name, scan, ready=ready, failure=reason)
+    return Layer(name, scan, ready=ready, failure=reason, latency=ms)

@@ -27,6 +27,7 @@ class Layer:
     """``scan`` adds a findings column.  A layer that is not ready is skipped with a reason.
 
     ``failure`` names a column the scan may add: why it failed on that text, null where it did not.
+    ``latency`` names one with the milliseconds it took; layers that are expressions run as one with others.
     ``keep`` decides which of the findings so far stay; a layer that has one adds none itself.
     """
 
@@ -35,6 +36,7 @@ class Layer:
     ready: bool = True
     skip_reason: str = "not ready"
     failure: str | None = None
+    latency: str | None = None
     keep: Callable[[Column], Column] | None = None
 
 
@@ -111,7 +113,7 @@ def cascade(texts: DataFrame, layers: list[Layer], text: str = "text") -> DataFr
     marks: str | None = None
     for k, layer in enumerate(layers, start=1):
         if not layer.ready:
-            infos.append(_info(layer.name, F.lit(0), F.lit(True), F.lit(layer.skip_reason)))
+            infos.append(_info(layer.name, F.lit(0), F.lit(True), F.lit(layer.skip_reason), None))
             continue
         state = layer.scan(state, seen, f"__f{k}", k)
         found = _moved(f"__f{k}", marks) if marks else F.col(f"__f{k}")
@@ -120,7 +122,7 @@ def cascade(texts: DataFrame, layers: list[Layer], text: str = "text") -> DataFr
             skipped = F.col(layer.failure).isNotNull()
             reason = F.coalesce(F.col(layer.failure), F.lit(""))
             found = F.when(skipped, empty(FINDING)).otherwise(found)
-        infos.append(_info(layer.name, F.size(F.col(f"__f{k}")), skipped, reason))
+        infos.append(_info(layer.name, F.size(F.col(f"__f{k}")), skipped, reason, layer.latency))
         if layer.keep:
             state = state.withColumn("findings", settled(F.filter("findings", layer.keep)))
         if layer.name == "contextgate":
@@ -140,10 +142,20 @@ def cascade(texts: DataFrame, layers: list[Layer], text: str = "text") -> DataFr
     return state.withColumn("layers", settled(F.array(*infos))).select(*columns, "findings", "layers")
 
 
-def _info(name: str, count: Column, skipped: Column, reason: Column) -> Column:
+def _info(name: str, count: Column, skipped: Column, reason: Column, latency: str | None) -> Column:
     return F.struct(
         F.lit(name).alias("name"),
         count.cast("int").alias("findings_count"),
         skipped.alias("skipped"),
         reason.alias("skip_reason"),
+        (F.col(latency) if latency else F.lit(None)).cast("double").alias("latency_ms"),
+    )
+
+
+def layer_report(scanned: DataFrame) -> DataFrame:
+    """``(layer, texts, findings, skipped, timed, avg_ms, max_ms)`` of each layer over all scanned texts."""
+    one = scanned.select(F.explode("layers").alias("l"))
+    return one.groupBy(F.col("l.name").alias("layer")).agg(
+        F.count("*").alias("texts"), F.sum("l.findings_count").cast("bigint").alias("findings"), F.count_if("l.skipped").alias("skipped"),
+        F.count("l.latency_ms").alias("timed"), F.avg("l.latency_ms").alias("avg_ms"), F.max("l.latency_ms").alias("max_ms"),
     )

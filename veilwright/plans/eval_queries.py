@@ -20,6 +20,7 @@ from veilwright.plans.registry import query, with_tables
 from veilwright.plans.request_queries import RULE_TABLES, toggles, users
 from veilwright.sources.derived import corpus
 from veilwright.sources.patterns import Pattern, profile
+from veilwright.sources.scratch import new_folder
 from veilwright.sources.tables import read_texts
 
 IGNORED = ["IBAN", "IP-ADDRESS"]
@@ -72,6 +73,17 @@ _register(
     f"SELECT {_T} FROM truth",
     lambda s, f: _spans(labelled(s, f).select("id", F.explode("truth").alias("t")).select("id", "t.*")),
 )
+@query("src_labelled", with_tables("SELECT id::VARCHAR AS id, value, CAST(s AS INTEGER) AS span_start, CAST(e AS INTEGER) AS span_end, label FROM truth", **_TABLES))
+def src_labelled(spark: SparkSession, sf: str) -> DataFrame:
+    """The truth as labelled JSON files, written and read back; values of digits alone are numbers there."""
+    folder = new_folder(spark, "labelled")
+    item = F.struct(F.col("id").cast("string").alias("id"), F.lit("text").alias("text"), F.lit("en").alias("locale"), F.lit("x").alias("domain"), F.col("truth").alias("pii"))
+    samples = labelled(spark, sf).select(F.regexp_replace(F.to_json(item), '"value":"([1-9][0-9]{0,17})"', '"value":$1').alias("json"), F.pmod(F.xxhash64("id"), F.lit(16)).alias("file"))
+    files = samples.groupBy("file").agg(F.concat(F.lit("["), F.array_join(F.collect_list("json"), ","), F.lit("]")).alias("value"))
+    files.select("value").write.option("maxRecordsPerFile", 1).text(folder)  # a file is one array
+    return _spans(V.read_labelled(spark, folder).select("id", F.explode("truth").alias("t")).select("id", "t.*"))
+
+
 _register(
     "eval_matches",
     f"SELECT {_T}, CAST(pos AS INTEGER) AS pos FROM pairs",

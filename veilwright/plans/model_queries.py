@@ -17,7 +17,7 @@ from veilwright.operators import evaluate as V
 from veilwright.operators import ml as M
 from veilwright.operators.detect import detect, finding_rows
 from veilwright.oracle import detection as O
-from veilwright.plans.cascade import Settings, cascade, entropy_layer, pattern_layer
+from veilwright.plans.cascade import Settings, cascade, entropy_layer, layer_report, pattern_layer
 from veilwright.plans.eval_queries import _FIRST, _LABELS, _ONE, _SECOND, _SECOND_KEPT, IGNORED, NAME
 from veilwright.plans.eval_queries import _TABLES as TRUTH_TABLES
 from veilwright.plans.registry import query, with_tables
@@ -65,6 +65,21 @@ def detect_ml(spark: SparkSession, sf: str) -> DataFrame:
     return finding_rows(scanned(spark, sf), ["id"]).select("id", "label", "start", "end", "value", "confidence", "layer")
 
 
+@query(
+    "layer_report",
+    with_tables(
+        f"""SELECT 'gliner' AS layer, count(*) AS texts, (SELECT count(*) FROM entities WHERE {_FIRST}) AS findings, count(*) FILTER (WHERE {_FAILS}) AS skipped,
+              count(*) AS timed, true AS plausible FROM corpus""",
+        **_TABLES,
+    ),
+)
+def layer_report_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings, failures and times of a layer; the times themselves differ from run to run."""
+    report = layer_report(scanned(spark, sf))
+    plausible = (F.col("avg_ms") > 0) & (F.col("avg_ms") <= F.col("max_ms"))
+    return report.select("layer", "texts", "findings", "skipped", "timed", plausible.alias("plausible"))
+
+
 #: Texts that the slow stand-in never answers, and how long it gets.
 _HANGS, LIMIT_MS = "length(text) % 211 = 7", 2000
 

@@ -96,6 +96,19 @@ def rules_groups(spark: SparkSession, sf: str) -> DataFrame:
     return rulesets.group_states(state(spark, sf))
 
 
+@query(
+    "rules_all_groups",
+    with_tables(
+        "SELECT user_id, count(DISTINCT group_id) AS groups, count(DISTINCT group_id) = (SELECT count(DISTINCT group_id) FROM rules) AS complete FROM state GROUP BY 1",
+        **STATE_TABLES,
+    ),
+)
+def rules_all_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups that each user sees, against the number of groups there are."""
+    groups = rulesets.group_states(state(spark, sf)).groupBy("user_id").agg(F.count("*").alias("groups"))
+    return groups.withColumn("complete", F.col("groups") == rulesets.group_count())
+
+
 @query(
     "rules_tier1_off",
     with_tables(

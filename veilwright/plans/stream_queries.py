@@ -13,7 +13,7 @@ from veilwright.plans.cascade import Settings
 from veilwright.plans.registry import ORACLES, query, with_tables
 from veilwright.plans.report_queries import reports_of
 from veilwright.plans.text_queries import _CLEAN
-from veilwright.sources.catalog import everything_on
+from veilwright.sources.catalog import active_patterns, everything_on
 from veilwright.sources.patterns import profile
 from veilwright.sources.scratch import new_folder
 from veilwright.sources.tables import read_table, spread
@@ -149,6 +149,43 @@ def stream_scanned_texts(spark: SparkSession, sf: str) -> DataFrame:
     return out.groupBy("id.hash").agg(F.count("*").alias("n"), F.count_if("scanned").alias("scans"))
 
 
+_OFF = {"email_regex": False}
+_RELOADED = {
+    "corpus": "SELECT doc_id AS id, text FROM documents",
+    "on1": O.findings(active_patterns(), "corpus"),
+    "off1": O.findings(active_patterns(_OFF), "corpus"),
+}
+for _state in ("on", "off"):
+    _RELOADED[f"{_state}k"] = O.folded("SELECT * FROM corpus", f"SELECT * FROM {_state}1", contained=False)
+    _RELOADED[f"{_state}2"] = O.entropy(f"{_state}k", 4.5, 20)
+    _RELOADED[f"{_state}c"] = O.folded("SELECT * FROM corpus", f"SELECT * FROM {_state}1 UNION ALL SELECT * FROM {_state}2", contained=True)
+
+
+@query(
+    "stream_reloaded",
+    with_tables("SELECT id, masked AS redacted_text FROM onc WHERE id % 4 IN (0, 3) UNION ALL SELECT id, masked FROM offc WHERE id % 4 IN (1, 2)", **_RELOADED),
+)
+def stream_reloaded(spark: SparkSession, sf: str) -> DataFrame:
+    """Four batches: a rule is on, then off, then its setting can not be read, then it is on again."""
+    folder, table = new_folder(spark, "stream-reloaded"), read_table(spark, sf, "documents")
+    states = [Settings(), Settings(toggles=_OFF), None, Settings()]
+
+    def read() -> Settings:
+        state = states.pop(0)
+        if state is None:
+            raise ValueError("the settings can not be read")
+        return state
+
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.select("id", "redacted_text").write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    for k in range(4):  # one file for each batch, written one after the other
+        table.where(F.col("doc_id") % 4 == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    texts = J.file_stream(spark, f"{folder}/in", "*.parquet", table.schema, files_per_trigger=1).selectExpr("doc_id AS id", "text")
+    J.reloading_scan(texts, read, sink, f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("id", "redacted_text")
+
+
 @query("stream_feed", "SELECT event_id AS id, CAST(1 AS BIGINT) AS times FROM events")
 def stream_feed(spark: SparkSession, sf: str) -> DataFrame:
     """Reports of a feed with ids made from what they hold, stopped and started again: each is sent once."""
