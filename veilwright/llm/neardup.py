@@ -9,9 +9,10 @@ agree meet whatever their counts.
 
 Texts with the same words form one class first, by a grouped minimum. Classes that agree in a band of
 slots are candidates. Small buckets give all their pairs; in a large one every member is compared with
-a few pivots first. Where that leaves a bucket in several components, each member outside the largest
-is compared with all members of the others, block by block. So links within a bucket decide the
-components exactly, while a bucket of near copies makes rows in proportion to its size. A link is an exact Jaccard similarity of at least 0.8
+a few pivots first. Where that leaves a bucket in several components, its members are looked up by the
+rare shingles that similar sets must share; where many share one, each member outside the largest
+component is compared with all members of the others, block by block. So links within a bucket decide
+the components exactly, while a bucket of near copies makes rows in proportion to its size. A link is an exact Jaccard similarity of at least 0.8
 between the shingle sets. Texts are read by the first map, and again only for candidates.
 """
 
@@ -24,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from veilwright.llm.common import column, fresh, map_texts, word_list
 from veilwright.llm.components import components
@@ -181,14 +183,56 @@ def _ordered(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.where(fit & (F.col("node") != F.col("node2"))).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
 
 
+def _shingle_rows(batches):
+    """``(node, n, root, shingle)`` from ``(node, n, root, shingles)``."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            own = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(3)]
+            row = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]))
+            yield pa.RecordBatch.from_arrays([*[part.column(i).take(row) for i in range(3)], pa.array(np.concatenate(own))], names=["node", "n", "root", "shingle"])
+
+
+def _prefixes(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``(shingle, node, n, root, many)``: rare shingles that a similar set must share with one of another root.
+
+    Of two sets that are similar enough, the rarest shingles of each, as many as may differ and one more,
+    have one in common. Rarity is counted among ``nodes``; what only one of them holds leads nowhere.
+    """
+    rows = written(nodes.join(sets, "node").select("node", "n", "root", "shingles").mapInArrow(_shingle_rows, "node long, n int, root long, shingle long"), "neardup-open-shingles")
+    often = written(rows.groupBy("shingle").agg(F.count("*").alias("f")).where("f > 1"), "neardup-open-counts")
+    own = Window.partitionBy("node")  # the shingles of one text
+    rank = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("f", "shingle"))
+    first = rows.join(often, "shingle").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1)
+    first = written(first.select("shingle", "node", "n", "root"), "neardup-open-prefixes")
+    groups = first.groupBy("shingle").agg(F.count("*").alias("many"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    return first.join(written(groups.select("shingle", "many"), "neardup-open-groups"), "shingle")
+
+
 def _open_links(large: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links that still join components of one bucket, all of them tried.
+    """Links that still join components of one bucket; none that could is left out.
 
-    In a bucket of several components, every member outside the largest one is compared with every
-    member of another component. Members come together in blocks, some of the outsiders and some of
-    all, and leave as links, one for each outsider and component: no pair is a row.
+    Members of buckets in several components are looked up by the rare shingles that a similar set must
+    share, so members of one template that are not near enough never meet. Few that share one give their
+    pairs. Where many do, every member outside the largest component is compared with every member of
+    another one: they come together in blocks, some of the outsiders and some of all, and leave as
+    links, one for each outsider and component, so no pair is a row.
     """
-    placed = large.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    placed = large.select("key", "node", "n").join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    parted = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    nodes = written(placed.join(written(parted, "neardup-open"), "key", "left_semi").select("node", "n", "root").distinct(), "neardup-open-nodes")
+    shared = written(_prefixes(nodes, sets, similarity), "neardup-open-shared")
+
+    few = shared.where(F.col("many") <= SMALL_BUCKET).select("shingle", "node", "n", "root")
+    other = few.select("shingle", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
+    pairs = few.join(other, "shingle").where("node < node2 AND root <> root2").select("shingle", "node", "n", "node2", "n2")
+    of_few = _links(written(_ordered(pairs, similarity), "neardup-open-pairs"), sets, similarity)
+    crowded = shared.where(F.col("many") > SMALL_BUCKET).select(F.col("shingle").alias("key"), "node", "root")
+    return of_few.unionByName(_in_blocks(crowded, sets, similarity)).distinct()
+
+
+def _in_blocks(placed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links between members ``(key, node, root)`` of one key and several roots, all of them tried."""
     sizes = placed.groupBy("key", "root").agg(F.count("*").alias("many"))
     main = sizes.groupBy("key").agg(F.max(F.struct("many", "root")).alias("top"), F.sum("many").alias("total"), F.count("*").alias("parts")).where("parts > 1")
     main = main.select(
