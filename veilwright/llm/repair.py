@@ -123,7 +123,7 @@ def marked(rows: DataFrame, conv: str, turn: str, role: str, text: str) -> DataF
     plain = plain.withColumn("sum", F.md5("text"))
     placed = written(numbered(plain, "conv_id", ["turn", "role", "sum"], "row"), "repair-rows")
     same = placed.groupBy("conv_id", "role", "sum").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    same = same.toDF("conv_", "role_", "sum_", "first")
+    same = written(same.toDF("conv_", "role_", "sum_", "first"), "repair-repeats")  # a table by itself: a hot key can be split
     alike = F.col("conv_id").eqNullSafe(F.col("conv_")) & (F.col("role") == F.col("role_")) & (F.col("sum") == F.col("sum_"))
     seen = placed.join(same, alike, "left").drop("conv_", "role_", "sum_")
     inked = F.rtrim(F.translate("text", "\t\n\x0b\x0c\r", " " * 5))

@@ -48,7 +48,8 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url: str = "ur
     payload = F.coalesce(column(html), F.lit(""))
     keyed = pages.select(column(id_col).cast("long").alias("id"), column(url).alias("url"), payload.alias("payload"), F.sha2(payload.cast("binary"), 256).alias("digest"), F.octet_length(payload).alias("bytes"))
     first = keyed.where(F.col("bytes") >= LEAST_REVISIT).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    known = keyed.join(first, "digest", "left")
+    # A table by itself, so that a digest with very many pages can be split in the join.
+    known = keyed.join(written(first, "warc-firsts"), "digest", "left")
     again = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     urn = lambda c: F.concat(F.lit(f"<{URN}"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), F.col("bytes").cast("string"), F.lit(AFTER))
