@@ -129,6 +129,20 @@ def test_forward_sum_over_all_segmentations():
     assert np.allclose(lattice.expected(words, np.array([3.0, 1, 2, 5, 1]), chance[:, 0]), want)
 
 
+def test_any_number_of_languages(spark):
+    """Models of one or two languages each give what one model of all gives."""
+    rows = [("en", "the end of the thing with words"), ("de", "das ende der dinge mit worten"), ("fr", "la fin des choses avec les mots"), ("es", "el fin de las cosas con palabras"), ("it", "la fine delle cose con parole")]
+    labelled = spark.createDataFrame(rows, "lang string, text string")
+    docs = table(spark, [*ROWS, *((20 + i, t) for i, (_, t) in enumerate(rows))])
+    want = sorted(((r.doc_id, r.lang_pred, round(r.score, 9)) for r in langid.predict(docs, langid.learn(labelled, rounds=2), ["doc_id"]).collect()), key=repr)
+    assert {(20 + i, lang) for i, (lang, _) in enumerate(rows)} <= {w[:2] for w in want}
+    for most in (1, 2):
+        models = langid.learn(labelled, rounds=2, languages_most=most)
+        assert [len(m.languages) for m in models] == [min(most, 5 - k) for k in range(0, 5, most)]
+        got = langid.predict(docs, models, ["doc_id"]).collect()
+        assert sorted(((r.doc_id, r.lang_pred, round(r.score, 9)) for r in got), key=repr) == want
+
+
 def test_a_long_word_is_taken_whole():
     """Expected counts of a long word cut nowhere: they cover it, and agree with the short form of the sums."""
     import numpy as np

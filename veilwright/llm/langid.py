@@ -15,13 +15,14 @@ from __future__ import annotations
 
 import base64
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilwright.llm.common import column, map_texts, pieces
+from veilwright.llm.common import fresh, map_texts, pieces
 from veilwright.sources.scratch import written
 
 ROUNDS = 3
@@ -39,6 +40,7 @@ SIZES = (4, 6, 8, 10, 12, 14, 16, 20, 24, 32, PLAIN_MOST, *(1 << k for k in rang
 TAKEN, TEXT_BYTES = 100_000, 12 << 20
 #: A piece is found by so many bits of its code.
 SLOT_BITS = 20
+#: Languages of one model, whose chances are broadcast together.
 LANGUAGES_MOST = 200
 UNDETERMINED = "und"
 
@@ -247,16 +249,23 @@ def count_words(labelled: DataFrame) -> DataFrame:
     return labelled.mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def learn(labelled: DataFrame, vocabulary_file: str | None = None, rounds: int = ROUNDS) -> Model:
-    """The model of rows ``(lang, text)``; rows without a lang or a text are left out."""
-    spark = labelled.sparkSession
+def learn(labelled: DataFrame, vocabulary_file: str | None = None, rounds: int = ROUNDS, languages_most: int = LANGUAGES_MOST) -> list[Model]:
+    """Models of rows ``(lang, text)``, one for each ``languages_most`` languages; rows without a lang or a text are left out.
+
+    A language is learned from its own words alone, so which others share its model changes nothing.
+    """
     vocabulary = read_vocabulary(vocabulary_file or vocabulary_path())
     words = written(count_words(labelled.where("lang IS NOT NULL AND text IS NOT NULL")), "langid-words")
-    languages = sorted(r.lang for r in words.select("lang").distinct().limit(LANGUAGES_MOST + 1).collect())
-    if len(languages) > LANGUAGES_MOST:
-        raise ValueError(f"more than {LANGUAGES_MOST} languages")
+    languages = sorted(r.lang for r in words.select("lang").distinct().collect())  # names only
+    blocks = [languages[k : k + languages_most] for k in range(0, len(languages), languages_most)]
+    return [_learned(words if len(blocks) == 1 else words.where(F.col("lang").isin(block)), block, vocabulary, rounds) for block in blocks]
+
+
+def _learned(words: DataFrame, languages: list[str], vocabulary: list[bytes], rounds: int) -> Model:
+    """The model of some languages, from their words ``(lang, word, n)``."""
+    spark = words.sparkSession
     chance = np.full((len(vocabulary), len(languages)), 1 / len(vocabulary))
-    for _ in range(rounds if languages else 0):
+    for _ in range(rounds):
         shared = spark.sparkContext.broadcast(Model(languages, vocabulary, chance))
 
         def expect(batches, shared=shared):
@@ -296,19 +305,32 @@ def held_out(id_: Column) -> Column:
     return F.crc32(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
+def predict(docs: DataFrame, models: list[Model], keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns with ``lang_pred`` and ``score``, the posterior of that language among all, each as likely beforehand.
 
     Null texts and texts without a letter are ``und`` with score 0; so is everything where no language
-    was learned. An empty table gives no rows. A kept column with the name of a result gets ``_`` at its end.
+    was learned. An empty table gives no rows. A kept column with the name of a result gets ``_`` at its
+    end. Of several models each reads the texts once, and the best language so far goes along.
     """
+    carried: tuple[str, ...] = ()
+    for model in models[:-1]:
+        names = carried or tuple(fresh(docs, n) for n in ("best_lang", "best_log", "sum_log"))
+        fields = f"`{names[0]}` string, `{names[1]}` double, `{names[2]}` double"
+        docs = written(map_texts(docs, text, [c for c in docs.columns if c not in carried], fields, _scorer(docs, model, False), carried, limit=TEXT_BYTES), "langid-scores")
+        carried = names
+    last = models[-1] if models else Model([], [b" "], np.zeros((1, 0)))
+    return map_texts(docs, text, keep, "lang_pred string, score double", _scorer(docs, last, True), carried, limit=TEXT_BYTES)
+
+
+def _scorer(docs: DataFrame, model: Model, last: bool):
+    """Setup of a map: the best language of a text, its log probability, and the logarithm of all languages' sum; at last, the result."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def setup():
         own = shared.value
         lattice = Lattice(own.vocabulary)
 
-        def scan(texts):
+        def totals(texts: list[bytes | None]):
             words = [hold_words(t) for t in texts]
             place = own.place
             new = {w for of in words for w in of if w not in place}
@@ -320,19 +342,24 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
                 listed = sorted(new)
                 place.update(zip(listed, range(len(own.known), len(own.known) + len(listed)), strict=True))
                 own.known = np.vstack([own.known, lattice.scores(listed, own.chance)])
-            known = own.known
-            langs, scores = [], []
             for text, of in zip(texts, words, strict=True):
-                if not of or not own.languages or not has_letter(text):
-                    langs.append(UNDETERMINED)
-                    scores.append(0.0)
-                    continue
-                total = known[np.fromiter(map(place.__getitem__, of), np.int64, len(of))].sum(axis=0)
-                best = int(np.argmax(total))
-                langs.append(own.languages[best])
-                scores.append(float(1 / np.exp(total - total[best]).sum()))
-            return None, (langs, scores)
+                yield own.known[np.fromiter(map(place.__getitem__, of), np.int64, len(of))].sum(axis=0) if of and own.languages and has_letter(text) else None
+
+        def scan(texts, langs=None, tops=None, sums=None):
+            out: list[tuple] = []
+            before = zip(langs, tops, sums, strict=True) if langs else repeat((None, -np.inf, -np.inf))
+            for total, (lang, top, whole) in zip(totals(texts), before, strict=False):
+                if total is not None:
+                    best = int(np.argmax(total))
+                    here = float(total[best])
+                    whole = float(np.logaddexp(-np.inf if lang is None else whole, here + np.log(np.exp(total - here).sum())))
+                    if lang is None or here > top:
+                        lang, top = own.languages[best], here
+                out.append((lang, top, whole))
+            if last:
+                return None, ([x[0] or UNDETERMINED for x in out], [min(1.0, float(np.exp(x[1] - x[2]))) if x[0] else 0.0 for x in out])
+            return None, [list(c) for c in zip(*out, strict=True)] if out else [[]] * 3
 
         return scan
 
-    return map_texts(docs, text, keep, "lang_pred string, score double", setup, limit=TEXT_BYTES)
+    return setup
