@@ -221,21 +221,6 @@ def test_large_buckets_lose_no_link(spark):
     assert {r.id: r.class_id for r in members} == brute.near_classes(rows)
 
 
-def test_pages_of_one_template(spark):
-    """Thousands of pages that share 60 % of their words: none is near another but for planted families."""
-    template = [f"t{i}" for i in range(120)]
-    page = lambda k: template + [f"p{k}x{i}" for i in range(40)]
-    rows = [(k, " ".join(page(k))) for k in range(3000)]
-    rows += [(5000 + k, " ".join([*page(k)[:-3], f"q{k}", f"r{k}", f"s{k}"])) for k in range(0, 60, 3)]  # near copies of some
-    rows += [(7000 + k, " ".join(template + [f"f{i}" for i in range(40 - k)] + [f"g{k}x{i}" for i in range(k)])) for k in range(30)]  # a family that shares rare words
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
-    got = {r.id: r.class_id for r in neardup.near_duplicate_classes(docs)[0].collect()}
-    want = brute.near_classes(rows[:300] + rows[3000:])
-    assert {i: c for i, c in got.items() if i in want} == want
-    assert all(got[k] == k for k in range(300, 3000))
-    assert len(set(want.values())) < len(want) - 20
-
-
 def test_benchmark_in_stretches(spark):
     """A long item is cut, its copies are one, every window stays whole in some stretch."""
     words = [f"w{i}" for i in range(500)]
