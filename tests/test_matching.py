@@ -110,3 +110,15 @@ def test_children_are_ended_with_the_worker():
     answers = run(iter([["Ann One"], ["Bob Two"]]))
     assert next(answers)[0][1] is None
     answers.close()  # the generator's end is the child's
+
+
+def test_late_texts_do_not_wait_for_each_other():
+    texts = [("hang" if k % 4 == 1 else "exit" if k % 16 == 2 else "fail" if k % 16 == 3 else f"Ann {k}") for k in range(64)]
+    begin = time.monotonic()
+    got = list(deadline.timed(slow_model(), 1000, forks=8)(iter([texts[:5], [], texts[5:30], texts[30:]])))
+    seconds = time.monotonic() - begin
+    assert [len(x) for x in got] == [5, 0, 25, 34]
+    said = [reason for answers in got for _, reason, _ in answers]
+    assert said == [{"hang": "timeout after 1000ms", "exit": "scan failed", "fail": "scan failed"}.get(t) for t in texts]
+    assert [a[0][0]["text"] for answers in got for a in answers if a[0]] == [t for t in texts if t.startswith("Ann")]
+    assert seconds < 10  # 16 texts hang for a second each

@@ -200,12 +200,12 @@ def isolated(predict: Callable[[list[str]], list[list[dict]]], texts: list[str])
     return isolated(predict, texts[:half]) + isolated(predict, texts[half:])
 
 
-def model_column(load: Loader, timeout_ms: int | None = None) -> Callable[[Column], Column]:
+def model_column(load: Loader, timeout_ms: int | None = None, forks: int = 0) -> Callable[[Column], Column]:
     """Arrow batch function around a model: the spans of a text, or the reason why there are none, and its time in ms.
 
     A batch the model fails on is halved until the text it fails on stands alone, so its neighbours keep
-    their spans. With a time limit each text is asked by itself, of a model in a process of its own. A
-    model that can not be loaded fails the job. Of a batch each text has an equal share of its time.
+    their spans. With a time limit each text is asked by itself, of a model in a process of its own, or in
+    up to ``forks`` copies of it where the model bears a fork. A model that can not be loaded fails the job. Of a batch each text has an equal share of its time.
     """
 
     def answers(batches: Iterator[list[str]]) -> Iterator[list[tuple[list[dict] | None, str | None, float]]]:
@@ -216,7 +216,7 @@ def model_column(load: Loader, timeout_ms: int | None = None) -> Callable[[Colum
             ms = (perf_counter() - begin) * 1000 / max(1, len(texts))
             yield [(found, None if found is not None else FAILED, ms) for found in all_found]
 
-    ask = timed(load, timeout_ms) if timeout_ms else answers
+    ask = timed(load, timeout_ms, forks=forks) if timeout_ms else answers
 
     @F.pandas_udf(ANSWER)
     def spans(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -227,7 +227,7 @@ def model_column(load: Loader, timeout_ms: int | None = None) -> Callable[[Colum
 
 
 def model_layer(
-    load: Loader, toggles: dict[str, bool] | None = None, second: bool = False, ready: bool = True, timeout_ms: int | None = None
+    load: Loader, toggles: dict[str, bool] | None = None, second: bool = False, ready: bool = True, timeout_ms: int | None = None, forks: int = 0
 ) -> Layer:
     """A model as a layer of the cascade.  It sees the text the layers before it have masked."""
     name = "opf" if second else "gliner"
@@ -235,7 +235,7 @@ def model_layer(
     suppressed = suppressed_labels(toggles)
 
     def scan(texts: DataFrame, text: str, out: str, position: int) -> DataFrame:
-        found = texts.withColumn(answer, model_column(load, timeout_ms)(F.col(text)))
+        found = texts.withColumn(answer, model_column(load, timeout_ms, forks)(F.col(text)))
         kept = F.filter(F.col(answer)["entities"], keep_second if second else lambda e: keep_first(e, suppressed))
         as_findings = to_findings(kept, name, position, second_label if second else lambda c: c)
         return (

@@ -98,7 +98,7 @@ def slow_stand_in():
 
 def timed(spark: SparkSession, sf: str) -> DataFrame:
     texts = read_texts(spark, sf, "documents", "doc_id", "text")
-    return cascade(texts, [M.model_layer(slow_stand_in, timeout_ms=LIMIT_MS)])
+    return cascade(texts, [M.model_layer(slow_stand_in, timeout_ms=LIMIT_MS, forks=8)])
 
 
 @query(
