@@ -15,14 +15,17 @@ from veilwright.plans.report_queries import reports_of
 from veilwright.plans.text_queries import _CLEAN
 from veilwright.sources.catalog import active_patterns, everything_on
 from veilwright.sources.patterns import profile
-from veilwright.sources.scratch import new_folder
+from veilwright.sources.scratch import is_folder, new_folder
 from veilwright.sources.tables import read_table, spread
 from veilwright.streaming import jobs as J
 from veilwright.streaming import state as ST
 
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return J.file_stream(spark, sf, f"{name}.parquet", read_table(spark, sf, name).schema)
+    """The table as a stream, be it one file or a folder of files."""
+    table = f"{sf}/{name}.parquet"
+    folder, files = (table, "*") if is_folder(spark, table) else (sf, f"{name}.parquet")
+    return J.file_stream(spark, folder, files, read_table(spark, sf, name).schema)
 
 
 def _files(spark: SparkSession, sf: str, name: str, files: int = 4) -> DataFrame:
@@ -166,23 +169,33 @@ for _state in ("on", "off"):
     with_tables("SELECT id, masked AS redacted_text FROM onc WHERE id % 4 IN (0, 3) UNION ALL SELECT id, masked FROM offc WHERE id % 4 IN (1, 2)", **_RELOADED),
 )
 def stream_reloaded(spark: SparkSession, sf: str) -> DataFrame:
-    """Four batches: a rule is on, then off, then its setting can not be read, then it is on again."""
+    """Four arrivals: a rule is on, then off, then its setting can not be read, then it is on again."""
     folder, table = new_folder(spark, "stream-reloaded"), read_table(spark, sf, "documents")
     states = [Settings(), Settings(toggles=_OFF), None, Settings()]
+    now = [states[0]]
 
     def read() -> Settings:
-        state = states.pop(0)
-        if state is None:
+        if now[0] is None:
             raise ValueError("the settings can not be read")
-        return state
+        return now[0]
 
     def sink(batch: DataFrame, number: int) -> None:
         batch.select("id", "redacted_text").write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
-    for k in range(4):  # one file for each batch, written one after the other
-        table.where(F.col("doc_id") % 4 == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    texts = J.file_stream(spark, f"{folder}/in", "*.parquet", table.schema, files_per_trigger=1).selectExpr("doc_id AS id", "text")
-    J.reloading_scan(texts, read, sink, f"{folder}/state").awaitTermination()
+    def arrive(k: int) -> None:
+        now[0] = states[k]
+        spread(table).where(F.col("doc_id") % 4 == k).write.mode("append").parquet(f"{folder}/in")
+
+    arrive(0)
+    texts = J.file_stream(spark, f"{folder}/in", "*.parquet", table.schema).selectExpr("doc_id AS id", "text")
+    stream = J.reloading_scan(texts, read, sink, f"{folder}/state", once=False)
+    try:
+        for k in range(4):  # the files of the next arrive when those of the last are scanned, in any number of batches
+            if k:
+                arrive(k)
+            stream.processAllAvailable()
+    finally:
+        stream.stop()
     return spark.read.parquet(f"{folder}/out").select("id", "redacted_text")
 
 

@@ -43,6 +43,12 @@ def children(spark: SparkSession, folder: str) -> list[str]:
     return sorted(s.getPath().getName() for s in files.listStatus(path)) if files.exists(path) else []
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether there is a folder of that name, on any file system."""
+    path, files = _path(spark, path)
+    return files.exists(path) and files.getFileStatus(path).isDirectory()
+
+
 def removed(spark: SparkSession, folder: str) -> bool:
     """Remove a folder of ours on any file system; whether it was there."""
     path, files = _path(spark, folder)
