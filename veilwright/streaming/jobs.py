@@ -98,14 +98,10 @@ def to_parquet(stream: DataFrame, path: str, checkpoint: str, mode: str = "appen
     )
 
 
-def each_batch(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
-    return (
-        stream.writeStream.outputMode(mode)
-        .foreachBatch(sink)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+def each_batch(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", once: bool = True) -> StreamingQuery:
+    """Everything there is now, then stop; without ``once`` also what arrives later, until it is stopped."""
+    writer = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 def reloading_scan(
@@ -113,6 +109,7 @@ def reloading_scan(
     read_settings: Callable[[], Settings],
     sink: Callable[[DataFrame, int], None],
     checkpoint: str,
+    once: bool = True,
 ) -> StreamingQuery:
     """Scan with rules that may change: they are read before each batch.
 
@@ -131,7 +128,7 @@ def reloading_scan(
             logging.getLogger(__name__).warning("batch %d keeps the last settings: %s", number, failure)
         sink(scan_and_redact(batch, settings=current["settings"]), number)
 
-    return each_batch(texts, run, checkpoint)
+    return each_batch(texts, run, checkpoint, once=once)
 
 
 ADMISSION = "token_hash string, attempt_id bigint, attempted_at timestamp"
