@@ -234,3 +234,27 @@ def test_labelled_corpus_with_string_and_number_values(spark, tmp_path):
     row = evaluate.summary(scored).first()
     assert (row.caught, row.missed, row.false_pos) == (1, 1, 1)
     assert (row.precision_pct, row.recall_pct, row.f1) == (50.0, 50.0, 50.0)
+
+
+def test_a_model_gets_texts_in_portions():
+    import pandas as pd
+
+    texts = ["ab"] * 600 + [None, "x" * (1 << 20), "cd"] + ["y" * 100_000] * 12
+    got = list(ml.portions(iter([pd.Series(texts), pd.Series([], dtype=object), pd.Series(["last"])])))
+    assert [t for part in got for t in part] == [t or "" for t in texts] + ["last"]
+    assert all(0 < len(part) <= 256 and (len(part) == 1 or sum(map(len, part)) <= 1 << 19) for part in got)
+
+
+def test_spans_of_a_batch_come_back_in_their_places(spark):
+    def load():
+        def predict(texts):
+            assert len(texts) <= 256
+            if any(t.endswith("7") for t in texts):
+                raise ValueError
+            return [[{"text": t, "label": "PERSON", "start": 0, "end": len(t), "score": 0.9}] for t in texts]
+        return predict
+
+    df = spark.range(3000).coalesce(1).selectExpr("id", "concat('Ann ', id) AS text")
+    got = cascade(df, [ml.model_layer(load)]).selectExpr("id", "findings.value AS v", "layers[0].skipped AS skipped").collect()
+    assert len(got) == 3000
+    assert all((r.v, r.skipped) == (([], True) if r.id % 10 == 7 else ([f"Ann {r.id}"], False)) for r in got)

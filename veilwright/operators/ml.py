@@ -185,6 +185,8 @@ Loader = Callable[[], Callable[[list[str]], list[list[dict]]]]
 
 
 FAILED = "scan failed"
+#: What a model gets at a time, and what its spans are held for: so many texts, fewer where they are long.
+TEXTS_AT_ONCE, CHARACTERS_AT_ONCE = 256, 1 << 19
 ANSWER = f"struct<entities:array<{ENTITY}>,reason:string,ms:double>"
 
 
@@ -200,6 +202,21 @@ def isolated(predict: Callable[[list[str]], list[list[dict]]], texts: list[str])
     return isolated(predict, texts[:half]) + isolated(predict, texts[half:])
 
 
+def portions(batches: Iterator[pd.Series]) -> Iterator[list[str]]:
+    """The texts of all batches in lists of bounded size; a null text is an empty one."""
+    for batch in batches:
+        part, size = [], 0
+        for text in batch:
+            text = text or ""
+            if part and (len(part) == TEXTS_AT_ONCE or size + len(text) > CHARACTERS_AT_ONCE):
+                yield part
+                part, size = [], 0
+            part.append(text)
+            size += len(text)
+        if part:
+            yield part
+
+
 def model_column(load: Loader, timeout_ms: int | None = None, forks: int = 0) -> Callable[[Column], Column]:
     """Arrow batch function around a model: the spans of a text, or the reason why there are none, and its time in ms.
 
@@ -220,7 +237,7 @@ def model_column(load: Loader, timeout_ms: int | None = None, forks: int = 0) ->
 
     @F.pandas_udf(ANSWER)
     def spans(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for found in ask([t or "" for t in texts] for texts in batches):
+        for found in ask(portions(batches)):  # in smaller lists than they come: the spans of a batch are many times its texts
             yield pd.DataFrame({"entities": pd.Series([f[0] for f in found], dtype=object), "reason": pd.Series([f[1] for f in found], dtype=object), "ms": pd.Series([f[2] for f in found], dtype=float)})
 
     return spans
