@@ -12,7 +12,7 @@ from veilwright.oracle import detection as O
 from veilwright.plans.registry import query, with_tables
 from veilwright.sources.catalog import FILE_EXTENSION_RULES, RULES
 from veilwright.sources.patterns import word_patterns
-from veilwright.sources.tables import read_table
+from veilwright.sources.tables import read_table, spread
 
 # --- rules: every customer is a user with three toggles, some of which name no rule ------------------
 
@@ -30,7 +30,7 @@ STATE_TABLES = {**RULE_TABLES, "state": _STATE}
 
 
 def users(spark: SparkSession, sf: str) -> DataFrame:
-    return read_table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"))
+    return spread(read_table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id")))
 
 
 def toggles(spark: SparkSession, sf: str) -> DataFrame:
@@ -46,6 +46,10 @@ def toggles(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def states(spark: SparkSession, sf: str) -> DataFrame:
+    return rulesets.rule_states(users(spark, sf), toggles(spark, sf))
+
+
 def state(spark: SparkSession, sf: str) -> DataFrame:
     return rulesets.effective(users(spark, sf), toggles(spark, sf))
 
@@ -82,7 +86,7 @@ def rules_unknown(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def rules_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    return rulesets.roll_up(state(spark, sf))
+    return rulesets.roll_up(states(spark, sf))
 
 
 @query(
@@ -93,7 +97,7 @@ def rules_rollup(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def rules_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return rulesets.group_states(state(spark, sf))
+    return rulesets.group_states(states(spark, sf))
 
 
 @query(
@@ -105,7 +109,7 @@ def rules_groups(spark: SparkSession, sf: str) -> DataFrame:
 )
 def rules_all_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Groups that each user sees, against the number of groups there are."""
-    groups = rulesets.group_states(state(spark, sf)).groupBy("user_id").agg(F.count("*").alias("groups"))
+    groups = rulesets.group_states(states(spark, sf)).groupBy("user_id").agg(F.count("*").alias("groups"))
     return groups.withColumn("complete", F.col("groups") == rulesets.group_count())
 
 
@@ -128,7 +132,7 @@ def rules_tier1_off(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def layers_on(spark: SparkSession, sf: str) -> DataFrame:
-    return rulesets.layers_on(state(spark, sf))
+    return rulesets.layers_on(states(spark, sf))
 
 
 @query(
