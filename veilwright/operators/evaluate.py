@@ -20,6 +20,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from veilwright.operators.matching import Meeting
 
+#: Texts whose spans Python holds as objects at a time.
+TEXTS_AT_ONCE = 256
 CREDIT = "array<struct<value:string,start:int,end:int,label:string,by_layer:string,by_label:string>>"
 WRONG = "array<struct<value:string,start:int,end:int,label:string,layer:string,ord:int>>"
 
@@ -33,7 +35,7 @@ def _met(labelled: DataFrame, truth: str, findings: str, fields: str, judge: Cal
     types = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, TEXTS_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, TEXTS_AT_ONCE)):
             out = []
             for wanted, had in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 wanted, had = wanted or [], had or []
