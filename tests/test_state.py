@@ -139,3 +139,19 @@ def test_feed_gives_each_report_once(spark, tmp_path):
     state.feed(named(), send, folder, cp).awaitTermination()
     assert got[0] == before[0] and got[1] == before[1] and sorted(got) == [0, 1, 2]
     assert len({x for own in got.values() for x in own}) == 6
+
+
+def test_one_call_into_python_is_for_many_texts(spark, tmp_path, monkeypatch):
+    """Texts share groups; those that share one are told apart, and a text may have more rows than a portion."""
+    monkeypatch.setattr(state, "BUCKETS", 2)
+    monkeypatch.setattr(state, "ROWS_AT_ONCE", 3)
+    source, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    for _ in range(2):
+        add(spark, source, [(k, f"{MAIL} {k % 20}") for k in range(60)])
+    stream = jobs.file_stream(spark, source, "*.parquet", texts(spark, []).schema, files_per_trigger=1)
+    once = state.scan_once(stream)
+    jobs.to_parquet(once, out, cp).awaitTermination()
+    got = outcome(spark.read.parquet(out))
+    assert [g[:3] for g in got] == sorted([(k, f"{MASK} {k % 20}", 1) for k in range(60) for _ in range(2)], key=repr)
+    assert len({g[1] for g in got if g[3]}) == 20 == sum(g[3] for g in got)
+    assert "bucket" in once._jdf.queryExecution().analyzed().toString()

@@ -7,6 +7,7 @@ that is run again after a crash writes the same, and a reader never counts anyth
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import and_
@@ -29,6 +30,10 @@ from veilwright.streaming.jobs import each_batch
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: How far the clock of arrival may go back between batches; results are kept that much longer.
 SLACK = "10 minutes"
+#: Groups of texts in state. A call into Python is for a group, not for a text; checkpoints depend on it.
+BUCKETS = 512
+#: Rows that get their results at a time.
+ROWS_AT_ONCE = 256
 
 
 # --- scans that answer repeats -----------------------------------------------------------------------
@@ -38,69 +43,100 @@ def _milliseconds(times: pd.Series) -> int:
     return int(times.max().timestamp() * 1000)
 
 
-class _Route(StatefulProcessor):
-    """Lets the first row of a text through with its text; later ones go on without."""
+class _Texts(StatefulProcessor):
+    """A map by text hash for each bucket; what is ``due`` at a time is removed by one timer for all."""
 
     def __init__(self, keep_ms: int):
         self.keep_ms = keep_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.seen = handle, handle.getValueState("seen", "since long")
+    def opened(self, handle: StatefulProcessorHandle, name: str, value: str) -> None:
+        self.handle, self.due = handle, handle.getMapState("due", "until long", "hashes array<string>")
+        self.texts = handle.getMapState(name, "hash string", f"until long, {value}")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        until = self.seen.get()[0] + self.keep_ms if self.seen.exists() else None
-        for part in rows:
-            now = _milliseconds(part["arrived_at"])
-            known = until is not None and now < until  # the timer waits for the watermark
-            first = [not known] + [False] * (len(part) - 1)
-            if not known:
-                until = now + self.keep_ms
-                self.seen.update((now,))
-                self.handle.registerTimer(until)
-            yield part.assign(text=part["text"].where(first, None), first=first)[["hash", "id", "text", "first", "arrived_at"]]
+    def remind(self, put: dict[int, list[str]]) -> None:
+        for until, hashes in put.items():
+            before = self.due.getValue((until,))
+            self.due.updateValue((until,), ([*before[0], *hashes] if before else hashes,))
+            self.handle.registerTimer(until)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.seen.exists() and expiredTimerInfo.getExpiryTimeInMs() >= self.seen.get()[0] + self.keep_ms:
-            self.seen.clear()
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        due = self.due.getValue((now,))
+        for own in due[0] if due else ():
+            kept = self.texts.getValue((own,))
+            if kept and kept[0] <= now:  # else it was put again since
+                self.texts.removeKey((own,))
+        if due:
+            self.due.removeKey((now,))
         return iter(())
 
     def close(self) -> None:
         pass
 
 
-class _Answer(StatefulProcessor):
-    """Keeps the result of a text and gives it to every row of that text."""
-
-    def __init__(self, keep_ms: int):
-        self.keep_ms = keep_ms
+class _Route(_Texts):
+    """Lets the first row of a text through with its text; later ones go on without."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.kept = handle, handle.getValueState("result", "result string, until long")
+        self.opened(handle, "seen", "since long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        ready = self.kept.get()[0] if self.kept.exists() else None
-        waiting: list[pd.DataFrame] = []  # ids that come before the scanned row, in the text's first batch
+        empty, met, put = not self.texts.exists(), {}, defaultdict(list)
         for part in rows:
-            scanned = part.loc[part["first"], "result"]
-            if len(scanned):
-                ready, until = scanned.iloc[0], _milliseconds(part["arrived_at"]) + self.keep_ms
-                self.kept.update((ready, until))
-                self.handle.registerTimer(until)
-            waiting.append(part[["id", "first", "arrived_at"]])
-            if ready is not None:
-                for own in waiting:
-                    yield own.assign(result=ready)[["id", "result", "first", "arrived_at"]]
-                waiting = []
-        if waiting:
-            raise ValueError("a text was sent on without its result")
+            now, first = _milliseconds(part["arrived_at"]), []
+            for own in part["hash"]:
+                if own not in met:
+                    kept = None if empty else self.texts.getValue((own,))
+                    met[own] = kept[0] if kept else now
+                new = met[own] <= now  # the timer waits for the watermark
+                if new:
+                    met[own] = now + self.keep_ms
+                    self.texts.updateValue((own,), (met[own], now))
+                    put[met[own]].append(own)
+                first.append(new)
+            yield part.assign(text=part["text"].where(first, None), first=first)[["bucket", "hash", "id", "text", "first", "arrived_at"]]
+        self.remind(put)
+
+
+class _Answer(_Texts):
+    """Keeps the result of a text and gives it to every row of that text."""
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.kept.exists() and expiredTimerInfo.getExpiryTimeInMs() >= self.kept.get()[1]:
-            self.kept.clear()
-        return iter(())
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.opened(handle, "kept", "result string")
 
-    def close(self) -> None:
-        pass
+    def results(self, hashes: pd.Series) -> list[str | None]:
+        """Results of rows as they are in state, each text asked for once."""
+        own = {h: self.texts.getValue((h,)) for h in hashes.unique()}
+        return [own[h][1] if own[h] else None for h in hashes]
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        columns = ["id", "result", "first", "arrived_at"]
+        put = defaultdict(list)
+        waiting: list[pd.DataFrame] = []  # rows without results that came before the scanned row of their text
+        for whole in rows:
+            until = _milliseconds(whole["arrived_at"]) + self.keep_ms
+            for part in _portions(whole):
+                scanned, again = part[part["first"]], part[~part["first"]]
+                for own, result in zip(scanned["hash"], scanned["result"], strict=True):
+                    self.texts.updateValue((own,), (until, result))
+                put[until] += scanned["hash"].tolist()
+                yield scanned[columns]
+                if len(again):
+                    again = again.assign(result=pd.Series(self.results(again["hash"]), again.index, object))
+                    ready = again["result"].notna()
+                    waiting.append(again.loc[~ready, ["hash", *columns]])
+                    yield again.loc[ready, columns]
+        for part in _portions(pd.concat(waiting)) if waiting else ():
+            late = part.assign(result=self.results(part["hash"]))
+            if late["result"].isna().any():
+                raise ValueError("a text was sent on without its result")
+            yield late[columns]
+        self.remind(put)
+
+
+def _portions(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Some rows at a time: each gets a whole result, and a text may have very many rows."""
+    return (rows.iloc[at : at + ROWS_AT_ONCE] for at in range(0, len(rows), ROWS_AT_ONCE))
 
 
 def scan_once(texts: DataFrame, keep_ms: int = 3_600_000, settings: Settings = Settings(), allowed: list[str] | None = None, id_col: str = "id", text: str = "text") -> DataFrame:
@@ -110,21 +146,23 @@ def scan_once(texts: DataFrame, keep_ms: int = 3_600_000, settings: Settings = S
     rows with the same text that come meanwhile get it from there. ``scanned`` tells which it was. A null
     text is a text; ids may repeat and be null. Two stateful steps with the scan between them: the first
     keeps when a text was seen, the second its result, twice as long, so a row that was sent on without
-    its text always finds it. Uses the RocksDB state store.
+    its text always finds it. Texts are grouped into ``BUCKETS``, each with a map by text hash, so that a
+    group, its small frames and its timer cost once for many texts. Uses the RocksDB state store.
     """
     texts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     id_type = texts.schema[id_col].dataType.simpleString()
     rules = F.lit(fingerprint(settings, allowed))  # results of other rules, left in the checkpoint, are not met
     arrived = texts.select(F.concat(rules, text_hash(text)).alias("hash"), F.col(id_col).alias("id"), F.col(text).alias("text"), F.current_timestamp().alias("arrived_at")).withWatermark("arrived_at", SLACK)
-    routed = arrived.groupBy("hash").transformWithStateInPandas(
-        _Route(keep_ms), f"hash string, id {id_type}, text string, first boolean, arrived_at timestamp", "Append", "EventTime", eventTimeColumnName="arrived_at"
+    grouped = arrived.withColumn("bucket", F.pmod(F.xxhash64("hash"), F.lit(BUCKETS)).cast("int")).groupBy("bucket")
+    routed = grouped.transformWithStateInPandas(
+        _Route(keep_ms), f"bucket int, hash string, id {id_type}, text string, first boolean, arrived_at timestamp", "Append", "EventTime", eventTimeColumnName="arrived_at"
     )
     # A row without its text costs next to nothing here: there is nothing to match in a null.
     found = redact(without_allowed(cascade(routed, default_layers(settings)), allowed or []))
     result = F.struct("redacted_text", "findings", "applied", "layers")
     shape = found.select(result.alias("r")).schema["r"].dataType
-    ready = found.select("hash", "id", F.when(F.col("first"), F.to_json(result, {"ignoreNullFields": "false"})).alias("result"), "first", "arrived_at")
-    answered = ready.groupBy("hash").transformWithStateInPandas(
+    ready = found.select("bucket", "hash", "id", F.when(F.col("first"), F.to_json(result, {"ignoreNullFields": "false"})).alias("result"), "first", "arrived_at")
+    answered = ready.groupBy("bucket").transformWithStateInPandas(
         _Answer(2 * keep_ms), f"id {id_type}, result string, first boolean, arrived_at timestamp", "Append", "EventTime", eventTimeColumnName="arrived_at"
     )
     return answered.withColumn("r", F.from_json("result", shape)).select(F.col("id").alias(id_col), "r.*", F.col("first").alias("scanned"), "arrived_at")
