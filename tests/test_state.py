@@ -48,6 +48,21 @@ def test_kept_side_is_not_shuffled(spark, tmp_path):
     assert "Bucketed: true" in plan and "Exchange" not in below[below.rindex("Aggregate") :]
 
 
+@pytest.mark.parametrize("few", [0, 100])
+def test_a_new_text_moves_once(spark, tmp_path, monkeypatch, few):
+    """Whether new texts are few or many, and whether a text has many copies; to the task of its bucket and no further."""
+    monkeypatch.setattr(kept, "FEW", few)
+    monkeypatch.setattr(kept, "OFTEN", 2)
+    own = texts(spark, [(1, MAIL), (1, MAIL), (None, MAIL), (2, None), (None, None), (3, "x"), (4, "x"), (5, "old")])
+    assert outcome(kept.scan_kept(own.where("id = 5"), str(tmp_path))) == [(5, "old", 0, True)]
+    want = [(1, MASK, 1, True)] * 2 + [(None, MASK, 1, True), (2, None, 0, True), (None, None, 0, True), (3, "x", 0, True), (4, "x", 0, True), (5, "old", 0, False)]
+    assert outcome(kept.scan_kept(own, str(tmp_path))) == sorted(want, key=repr)
+    rows = own.select("id", "text", kept.text_hash("text").alias("hash"))
+    new = rows.groupBy(F.col("hash").alias("new")).agg(F.min("id").alias("least"), F.count("*").alias("copies"))
+    plan = kept.new_texts(rows, new.localCheckpoint())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(hash#") == 1 and f", {kept.BUCKETS}), REPARTITION_BY_NUM" in plan
+
+
 def test_fingerprint():
     prints = [kept.fingerprint(), kept.fingerprint(Settings(toggles={"ipv4": True})), kept.fingerprint(Settings(entropy_length=9)), kept.fingerprint(allowed=["x"]), kept.fingerprint(models={"gliner": "2"}), kept.fingerprint(Settings(custom=(("A", "a+"),)))]
     assert len(set(prints)) == len(prints) and kept.fingerprint(allowed=["X"]) == kept.fingerprint(allowed=["x"])

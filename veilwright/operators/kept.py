@@ -20,11 +20,13 @@ from veilwright.operators.reuse import text_hash
 from veilwright.plans.cascade import Layer, Settings, cascade, default_layers
 from veilwright.plans.scan import without_allowed
 from veilwright.sources.catalog import active_patterns, effective
-from veilwright.sources.scratch import children, removed
+from veilwright.sources.scratch import children, removed, written
 
 #: To be raised whenever the same rules give other results than before.
 FORMAT = 1
 BUCKETS = 64
+#: So many new texts are looked up in every task, and so many copies of a text may go to one task.
+FEW, OFTEN = 100_000, 10_000
 RESULT = ("redacted_text", "findings", "applied", "layers")
 
 
@@ -55,6 +57,21 @@ def kept_table(spark: SparkSession, folder: str, like: DataFrame) -> str:
     return name
 
 
+def new_texts(rows: DataFrame, new: DataFrame) -> DataFrame:
+    """``(hash, text)`` of each hash in ``new``, dealt out as the table is: a text moves once, its result never.
+
+    Of a text with very many copies only rows with the least id are sent. With few new texts no other is sent.
+    """
+    is_least = F.col("id").eqNullSafe(F.col("least"))
+    if new.count() <= FEW:
+        sent = rows.join(F.broadcast(new), (F.col("hash") == F.col("new")) & is_least, "left_semi").repartition(BUCKETS, "hash")
+    else:
+        often = F.broadcast(new.where(F.col("copies") > OFTEN))
+        least = rows.join(often, F.col("hash") == F.col("new"), "left").where(F.col("new").isNull() | is_least).select("hash", "text")
+        sent = least.repartition(BUCKETS, "hash").join(new.select("new").repartition(BUCKETS, "new").hint("merge"), F.col("hash") == F.col("new"), "left_semi")
+    return sent.dropDuplicates(["hash"]).select("hash", "text")
+
+
 def scan_kept(
     texts: DataFrame, store: str, settings: Settings = Settings(), allowed: list[str] | None = None, layers: list[Layer] | None = None,
     models: dict[str, str] | None = None, id_col: str = "id", text: str = "text",
@@ -69,13 +86,12 @@ def scan_kept(
     layers = layers or default_layers(settings)
     rows = texts.select(F.col(id_col).alias("id"), F.col(text).alias("text"), text_hash(text).alias("hash"))
     # The least id of a text is found from its hash alone, so no text is sorted or sent for that.
-    once = rows.groupBy("hash").agg(F.min(F.struct("id")).alias("least"))
+    once = rows.groupBy("hash").agg(F.min(F.struct("id")).alias("least"), F.count("*").alias("copies"))
     like = _scanned(rows.select("hash", "text"), layers, allowed).withColumn("run", F.lit(run))
     name = kept_table(spark, f"{store.rstrip('/')}/{fingerprint(settings, allowed, models)}", like)
-    new = once.join(spark.table(name).select("hash"), "hash", "left_anti").select(F.col("hash").alias("new"), "least.id")
-    chosen = rows.join(new.toDF("new", "least"), (F.col("hash") == F.col("new")) & F.col("id").eqNullSafe(F.col("least")), "left_semi")
-    result = _scanned(chosen.dropDuplicates(["hash"]).select("hash", "text"), layers, allowed).withColumn("run", F.lit(run))
-    result.repartition(BUCKETS, "hash").write.insertInto(name)
+    new = once.join(spark.table(name).select("hash"), "hash", "left_anti").select(F.col("hash").alias("new"), F.col("least.id").alias("least"), "copies")
+    result = _scanned(new_texts(rows, written(new, "new-texts")), layers, allowed).withColumn("run", F.lit(run))
+    result.write.insertInto(name)
     spark.catalog.refreshTable(name)
     kept = spark.table(name).groupBy("hash").agg(F.any_value(F.struct(*RESULT, "run")).alias("r"))  # by bucket, without a shuffle
     out = rows.select("id", "hash").join(kept, "hash").select("id", "r.*")
