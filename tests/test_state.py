@@ -170,3 +170,36 @@ def test_one_call_into_python_is_for_many_texts(spark, tmp_path, monkeypatch):
     assert [g[:3] for g in got] == sorted([(k, f"{MASK} {k % 20}", 1) for k in range(60) for _ in range(2)], key=repr)
     assert len({g[1] for g in got if g[3]}) == 20 == sum(g[3] for g in got)
     assert "bucket" in once._jdf.queryExecution().analyzed().toString()
+
+
+def test_one_call_into_python_is_for_many_tokens(spark, tmp_path, monkeypatch):
+    """Tokens that share a group are told apart, in parts and batches of any size; ids are whole numbers, also beside nulls."""
+    monkeypatch.setattr(jobs, "TOKEN_GROUPS", 2)
+    day, big = lambda k: dt.datetime(1996, 1, 1) + dt.timedelta(days=k), 2**53 + 1
+    tokens = spark.createDataFrame([(f"t{k}", k % 4, k == 5, day(40)) for k in range(9)] + [("many", 30, False, day(40))], "token_hash string, max_uses int, revoked boolean, expires_at timestamp")
+    rows = [(big + k if k % 7 else None, f"t{k % 10}", day(50 - k % 60)) for k in range(120)] + [(big + k, "many", day(k % 3)) for k in range(50)]
+    files = [rows[0::3], rows[1::3], rows[2::3]]
+    schema = "attempt_id long, token_hash string, attempted_at timestamp"
+    source, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for own in files:
+            add(spark, source, own, schema)
+            stream = jobs.file_stream(spark, source, "*.parquet", spark.createDataFrame([], schema).schema)
+            taken = jobs.admissions(stream, tokens)
+            jobs.to_parquet(taken, out, cp).awaitTermination()  # goes on where it stopped
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    want, uses = [], {}
+    limits = {r.token_hash: r for r in tokens.collect()}
+    for own in files:
+        for i, token, at in sorted(own, key=lambda r: (r[2], r[0] is None, r[0])):
+            t = limits.get(token)
+            if t and not t.revoked and at <= t.expires_at and (t.max_uses == 0 or uses.get(token, 0) < t.max_uses):
+                uses[token] = uses.get(token, 0) + 1
+                want.append((token, i, at))
+    got = [tuple(r) for r in spark.read.parquet(out).select("token_hash", "attempt_id", "attempted_at").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert uses["many"] == 30 and None in {i for _, i, _ in got}
+    assert "bucket" in taken._jdf.queryExecution().analyzed().toString()

@@ -14,13 +14,15 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from veilwright.operators import fleet, reports
 from veilwright.operators.reuse import text_hash
 from veilwright.plans.cascade import Settings
 from veilwright.plans.scan import scan_and_redact
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def file_stream(spark: SparkSession, folder: str, name: str, schema, files_per_trigger: int | None = None) -> DataFrame:
     """Parquet files of a folder as they arrive; ``name`` is a file name or a pattern."""
@@ -131,37 +133,67 @@ def reloading_scan(
     return each_batch(texts, run, checkpoint, once=once)
 
 
-ADMISSION = "token_hash string, attempt_id bigint, attempted_at timestamp"
+#: Groups of tokens in state. A call into Python is for a group, not for a token; checkpoints depend on it.
+TOKEN_GROUPS = 512
+
+
+class _Uses(StatefulProcessor):
+    """Uses of tokens so far, a map by token for each group of tokens."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.used = handle.getMapState("used", "token_hash string", "uses long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        fresh, before = not self.used.exists(), {}
+        best, waiting, n_waiting = None, [], 0
+
+        def first(parts: list[pd.DataFrame]) -> pd.DataFrame:
+            """The first attempts of each token, as many as it has uses left."""
+            ordered = pd.concat(parts, ignore_index=True).sort_values(["at", "unnamed", "attempt_id"])
+            place = ordered.groupby("token_hash", sort=False).cumcount()
+            return ordered[place + ordered["token_hash"].map(before) < ordered["max_uses"]]
+
+        for part in rows:
+            for own in set(part["token_hash"]) - before.keys():
+                known = None if fresh else self.used.getValue((own,))
+                before[own] = known[0] if known else 0
+            waiting.append(part)
+            n_waiting += len(part)
+            if best is None or n_waiting >= len(best):  # else the same rows would be sorted for every part
+                best, waiting, n_waiting = first(waiting if best is None else [best, *waiting]), [], 0
+        if waiting:
+            best = first([best, *waiting])
+        if best is not None:
+            for own, uses in best["token_hash"].value_counts(sort=False).items():
+                self.used.updateValue((own,), (before[own] + uses,))
+            yield best[["token_hash", "attempt_id", "unnamed", "at"]]
+
+    def close(self) -> None:
+        pass
 
 
 def admissions(attempts: DataFrame, tokens: DataFrame) -> DataFrame:
     """Accepted enrolments of a stream of attempts.
 
     Attempts on tokens without a limit need no state and do not enter the grouped part.  For the
-    others the state is the number of uses so far, and a batch keeps at most as many attempts per
-    token as the token has uses left, whatever arrives.
+    others the state is the number of uses so far, and a batch keeps at most about twice as many attempts
+    per token as the token has uses left, whatever arrives.  Tokens are dealt into ``TOKEN_GROUPS``, each
+    with a map by token, so that a call and its frames cost once for many tokens.  Uses the RocksDB state
+    store.
     """
+    attempts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     joined = attempts.join(F.broadcast(tokens) if _is_small(tokens) else tokens, "token_hash")
     valid = joined.where(~F.col("revoked") & (F.col("attempted_at") <= F.col("expires_at")))
-    columns = ["token_hash", "attempt_id", F.col("attempted_at").cast("timestamp").alias("attempted_at")]
-    free = valid.where("max_uses = 0").select(*columns)
-    limited = valid.where("max_uses > 0").select(*columns, F.col("max_uses").cast("bigint").alias("max_uses"))
-
-    def take(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        used = state.get[0] if state.exists else 0
-        best = None
-        for part in batches:
-            left = int(part["max_uses"].iloc[0]) - used
-            best = part if best is None else pd.concat([best, part])
-            best = best.sort_values(["attempted_at", "attempt_id"]).head(max(left, 0))
-        if best is not None:
-            state.update((used + len(best),))
-            yield best[["token_hash", "attempt_id", "attempted_at"]]
-
-    counted = limited.groupBy("token_hash").applyInPandasWithState(
-        take, ADMISSION, "used bigint", "append", GroupStateTimeout.NoTimeout
+    at, named = F.col("attempted_at").cast("timestamp"), F.col("attempt_id").cast("bigint")
+    free = valid.where("max_uses = 0").select("token_hash", named.alias("attempt_id"), at.alias("attempted_at"))
+    # Whole numbers only: pandas would make floats of ids with nulls and round times to its own range.
+    limited = valid.where("max_uses > 0").select(
+        F.pmod(F.xxhash64("token_hash"), F.lit(TOKEN_GROUPS)).cast("int").alias("bucket"), "token_hash", F.coalesce(named, F.lit(0)).alias("attempt_id"),
+        named.isNull().alias("unnamed"), F.unix_micros(at).alias("at"), F.col("max_uses").cast("bigint").alias("max_uses"),
     )
-    return counted.unionByName(free)
+    counted = limited.groupBy("bucket").transformWithStateInPandas(_Uses(), "token_hash string, attempt_id bigint, unnamed boolean, at bigint", "Append", "None")
+    taken = counted.select("token_hash", F.when(~F.col("unnamed"), F.col("attempt_id")).alias("attempt_id"), F.timestamp_micros("at").alias("attempted_at"))
+    return taken.unionByName(free)
 
 
 def _is_small(df: DataFrame, limit: int = 64 << 20) -> bool:

@@ -25,9 +25,8 @@ from veilwright.operators.reuse import text_hash
 from veilwright.plans.cascade import Settings, cascade, default_layers
 from veilwright.plans.scan import without_allowed
 from veilwright.sources.scratch import children, removed
-from veilwright.streaming.jobs import each_batch
+from veilwright.streaming.jobs import ROCKSDB, each_batch
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: How far the clock of arrival may go back between batches; results are kept that much longer.
 SLACK = "10 minutes"
 #: Groups of texts in state. A call into Python is for a group, not for a text; checkpoints depend on it.
