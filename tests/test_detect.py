@@ -3,7 +3,7 @@ from pathlib import Path
 
 from conftest import SMALL
 from pyspark.sql import functions as F
-from veilwright.operators.detect import detect, finding_rows
+from veilwright.operators.detect import _tried, detect, detect_sets, finding_rows
 from veilwright.sources import catalog
 from veilwright.sources.derived import corpus
 from veilwright.sources.patterns import profile
@@ -76,3 +76,20 @@ def test_filter_on_findings_does_not_copy_the_detection(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     documents = plan.count("regexp_extract_all(text#")
     assert plan.count("Filter (size(findings") >= 1 and documents < 200
+
+
+def test_an_expression_of_several_sets_is_tried_once(spark):
+    texts = corpus(spark, SMALL)
+    twice = [*profile("simple"), *(p._replace(ord=p.ord + 500, label="AGAIN") for p in profile("simple")[:4])]  # one set, one expression twice
+    sets = {"old": profile("simple"), "findings": profile("compat"), "none": [], "twice": twice}
+    for gated in (True, False):
+        both = detect_sets(texts, sets, gated=gated)
+        assert both.columns[:2] == ["id", "text"] and set(both.columns) == {"id", "text", *sets}
+        for name, patterns in sets.items():
+            got, want = finding_rows(both, ["id"], name), finding_rows(detect(texts, patterns, gated=gated), ["id"])
+            assert (want.count() > 0) == bool(patterns)
+            assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    plan = detect_sets(texts, {k: sets[k] for k in ("old", "findings")})._jdf.queryExecution().analyzed().toString()
+    regexes = {(p.regex, p.edges) for name in ("simple", "compat") for p in profile(name)}
+    assert len(_tried((tuple(sets["old"]), tuple(sets["findings"])), "text", True)[0]) == len(regexes) == 72 < 29 + 63
+    assert plan.count("AS __digit#") == 1  # the text is prepared once

@@ -34,6 +34,15 @@ def test_meeting_against_all_pairs(in_order):
         assert m.unmet() == [i for i, f in enumerate(found) if not any(meets(t, f) for t in truth)]
 
 
+def test_few_pairs_are_tried_one_by_one():
+    pick = random.Random(6)
+    for _ in range(300):
+        truth, found = ([("".join(pick.choice("abé") for _ in range(pick.randint(0, 4))), at := pick.randint(0, 60), at + pick.choice([0, 1, 20])) for _ in range(pick.randint(0, 10))] for _ in range(2))
+        m, whole = matching.meeting(truth, found), matching.Meeting(truth, found)
+        assert isinstance(m, matching.Pairs) == (len(truth) * len(found) <= matching.FEW_PAIRS)
+        assert [m.all(t) for t in truth] == [whole.all(t) for t in truth] and [m.first(t) for t in truth] == [whole.first(t) for t in truth] and m.unmet() == whole.unmet()
+
+
 def test_many_spans_in_one_text():
     n = 10_000
     truth = [(f"name {i} of many", 40 * i, 40 * i + 10) for i in range(n)]

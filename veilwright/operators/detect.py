@@ -6,6 +6,8 @@ map over the texts: no join with the pattern table, no shuffle, no Python.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,25 +60,39 @@ def _gate(p: Pattern, text: str) -> str:
     return " AND ".join(tests)
 
 
-def _tries(patterns: tuple[Pattern, ...], text: str, gated: bool) -> str:
-    """Matches of every pattern, as one array; patterns without a match are left out."""
+def _tried(sets: tuple[tuple[Pattern, ...], ...], text: str, gated: bool) -> tuple[list[tuple[str, str]], list[tuple[int, ...]]]:
+    """Expressions with their gates, those that several sets share once; and for each set the numbers of its own."""
+    known: dict[tuple, int] = {}
+    places = []
+    for patterns in sets:
+        met: Counter = Counter()
+        own = []
+        for p in patterns:
+            tried = (to_java(p.regex, p.edges), _gate(p, text) if gated else "")
+            met[tried] += 1  # a set may have two patterns of one expression
+            own.append(known.setdefault((*tried, met[tried]), len(known) + 1))
+        places.append(tuple(own))
+    return [key[:2] for key in known], places
+
+
+def _tries(tried: list[tuple[str, str]], text: str) -> str:
+    """Matches of every expression, as one array; those without a match are left out."""
     items = []
-    for k, p in enumerate(patterns):
-        found = f"regexp_extract_all({text}, {sql_text(to_java(p.regex, p.edges))}, 0)"
-        gate = _gate(p, text) if gated else ""
+    for k, (regex, gate) in enumerate(tried):
+        found = f"regexp_extract_all({text}, {sql_text(regex)}, 0)"
         if gate:
             found = f"CASE WHEN {gate} THEN {found} END"
         items.append(f"named_struct('k', {k + 1}, 'm', {found})")
     return f"filter(array({', '.join(items)}), h -> size(h.m) > 0)"
 
 
-def _facts(patterns: tuple[Pattern, ...]) -> str:
-    """The pattern rows as a constant array, looked up by the number of the hit."""
-    rows = []
-    for p in patterns:
+def _facts(patterns: tuple[Pattern, ...], places: tuple[int, ...], size: int) -> str:
+    """The pattern rows as a constant array, looked up by the number of the hit; null for those of other sets."""
+    rows = ["NULL"] * size
+    for p, k in zip(patterns, places, strict=True):
         words = ", ".join(sql_text(w) for w in p.context)
         boosted = min(round(p.score + CONTEXT_BOOST, 4), 1.0)
-        rows.append(
+        rows[k - 1] = (
             f"named_struct('ord', {p.ord}, 'rule_id', {sql_text(p.rule_id)}, 'label', {sql_text(p.label)}, "
             f"'regex', {sql_text(to_java(p.regex, p.edges))}, 'score', {p.score}D, 'boosted', {boosted}D, "
             f"'context', cast(array({words}) AS array<string>), 'validator', {sql_text(p.validator)}, "
@@ -128,15 +144,20 @@ def _prepared(text: str) -> tuple[list[Column], list[Column]]:
 
 
 @built_once
-def _hits(patterns: tuple[Pattern, ...], text: str, gated: bool) -> Column:
-    return F.expr(_tries(patterns, f"`{text}`", gated)).alias("__hits")
+def _hits(sets: tuple[tuple[Pattern, ...], ...], text: str, gated: bool) -> Column:
+    return F.expr(_tries(_tried(sets, f"`{text}`", gated)[0], f"`{text}`")).alias("__hits")
 
 
 @built_once
-def _findings(patterns: tuple[Pattern, ...], text: str, layer: str, layer_ord: int) -> Column:
-    """Findings of a text from its hits."""
+def _findings(sets: tuple[tuple[Pattern, ...], ...], which: int, text: str, layer: str, layer_ord: int, gated: bool) -> Column:
+    """Findings of a set of patterns in a text, from its hits."""
     body, lower = F.col(text), F.col("__lower")
-    facts = F.expr(_facts(patterns))
+    patterns = sets[which]
+    tried, places = _tried(sets, f"`{text}`", gated)
+    facts = F.expr(_facts(patterns, places[which], len(tried)))
+    hits = F.col("__hits")
+    if len(patterns) < len(tried):
+        hits = F.filter(hits, lambda h: F.array_contains(F.array(*[F.lit(k) for k in places[which]]), h.k))
     checks = {p.validator for p in patterns}
     some_context = any(p.context for p in patterns)
 
@@ -166,7 +187,7 @@ def _findings(patterns: tuple[Pattern, ...], text: str, layer: str, layer_ord: i
             ),
         )
 
-    found = in_order(F.flatten(F.transform("__hits", findings_of)))
+    found = in_order(F.flatten(F.transform(hits, findings_of)))
     return settled(F.when(F.size("__hits") > 0, found).otherwise(empty(FINDING)))
 
 
@@ -180,17 +201,34 @@ def detect(
     gated: bool = True,
 ) -> DataFrame:
     """Add ``out``, the ordered findings of all patterns in column ``text``."""
-    if not patterns:
-        return texts.withColumn(out, empty(FINDING))
-    columns = [c for c in texts.columns if c != out]
-    rows = tuple(patterns)
+    return detect_sets(texts, {out: patterns}, text, layer, layer_ord, gated)
+
+
+def detect_sets(
+    texts: DataFrame,
+    sets: dict[str, list[Pattern]],
+    text: str = "text",
+    layer: str = "presidio",
+    layer_ord: int = 1,
+    gated: bool = True,
+) -> DataFrame:
+    """Add a column for each set of patterns, as ``detect`` does for one.
+
+    A text is prepared once, and an expression that several sets share is tried once.
+    """
+    columns = [c for c in texts.columns if c not in sets]
+    names = [n for n, patterns in sets.items() if patterns]
+    rows = tuple(tuple(sets[n]) for n in names)
+    none = [empty(FINDING).alias(n) for n in sets if n not in names]
+    if not names:
+        return texts.select(*columns, *none)
     first, second = _prepared(text)
     return (
         texts.select(*columns, *first)
         .select("*", *second)
         .select(*columns, "__lower", _hits(rows, text, gated))
         .withColumn("__wide_lower", F.when(F.size("__hits") > 0, wide_form(F.col("__lower"))))
-        .select(*columns, _findings(rows, text, layer, layer_ord).alias(out))
+        .select(*columns, *[_findings(rows, k, text, layer, layer_ord, gated).alias(n) for k, n in enumerate(names)], *none)
     )
 
 

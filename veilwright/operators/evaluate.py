@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from veilwright.operators.matching import Meeting
+from veilwright.operators.matching import Meeting, Pairs, meeting
 
 #: Texts whose spans Python holds as objects at a time.
 TEXTS_AT_ONCE = 256
@@ -26,7 +26,7 @@ CREDIT = "array<struct<value:string,start:int,end:int,label:string,by_layer:stri
 WRONG = "array<struct<value:string,start:int,end:int,label:string,layer:string,ord:int>>"
 
 
-def _met(labelled: DataFrame, truth: str, findings: str, fields: str, judge: Callable[[list[dict], list[dict], Meeting], tuple]) -> DataFrame:
+def _met(labelled: DataFrame, truth: str, findings: str, fields: str, judge: Callable[[list[dict], list[dict], Meeting | Pairs], tuple]) -> DataFrame:
     """``id`` and ``fields`` made from the truth, the findings and how they meet, text by text; null arrays are empty."""
     span = lambda x: F.struct(x.value.alias("value"), x.start.cast("int").alias("start"), x.end.cast("int").alias("end"), x.label.alias("label"))
     found = lambda x: F.struct(x.value.alias("value"), x.start.cast("int").alias("start"), x.end.cast("int").alias("end"), x.label.alias("label"), x.layer.alias("layer"))
@@ -40,7 +40,7 @@ def _met(labelled: DataFrame, truth: str, findings: str, fields: str, judge: Cal
             for wanted, had in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 wanted, had = wanted or [], had or []
                 plain = [[(x["value"], x["start"], x["end"]) for x in spans] for spans in (wanted, had)]
-                out.append(judge(wanted, had, Meeting(*plain)))
+                out.append(judge(wanted, had, meeting(*plain)))
             made = [pa.array([o[i] for o in out], f.type) for i, f in enumerate(list(types)[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=types.names)
 
@@ -55,14 +55,14 @@ def score(labelled: DataFrame, ignored: list[str], truth: str = "truth", finding
     """
     refused = frozenset(ignored)
 
-    def judge(wanted: list[dict], had: list[dict], meeting: Meeting) -> tuple:
+    def judge(wanted: list[dict], had: list[dict], met: Meeting | Pairs) -> tuple:
         credited = []
-        for t, plain in zip(wanted, meeting.truth, strict=True):
+        for t, plain in zip(wanted, met.truth, strict=True):
             if t["label"] not in refused:
-                i = meeting.first(plain)
+                i = met.first(plain)
                 by = had[i] if i is not None else {"layer": None, "label": None}
                 credited.append(t | {"by_layer": by["layer"], "by_label": by["label"]})
-        return credited, [had[i] | {"ord": i} for i in meeting.unmet()]
+        return credited, [had[i] | {"ord": i} for i in met.unmet()]
 
     return _met(labelled, truth, findings, f"credited {CREDIT}, wrong {WRONG}", judge)
 
@@ -70,8 +70,8 @@ def score(labelled: DataFrame, ignored: list[str], truth: str = "truth", finding
 def matches(labelled: DataFrame, truth: str = "truth", findings: str = "findings") -> DataFrame:
     """Which findings meet which truth spans."""
 
-    def judge(wanted: list[dict], had: list[dict], meeting: Meeting) -> tuple:
-        return ([t | {"met": meeting.all(plain)} for t, plain in zip(wanted, meeting.truth, strict=True)],)
+    def judge(wanted: list[dict], had: list[dict], met: Meeting | Pairs) -> tuple:
+        return ([t | {"met": met.all(plain)} for t, plain in zip(wanted, met.truth, strict=True)],)
 
     met = _met(labelled, truth, findings, "met array<struct<value:string,start:int,end:int,label:string,met:array<int>>>", judge)
     return met.select("id", F.explode("met").alias("t")).select("id", "t.value", "t.start", "t.end", "t.label", F.explode("t.met").alias("pos"))

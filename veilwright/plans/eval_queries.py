@@ -14,7 +14,7 @@ from veilwright.functions.spans import let, match_starts, settled
 from veilwright.operators import evaluate as V
 from veilwright.operators import ml as M
 from veilwright.operators import rulesets
-from veilwright.operators.detect import detect
+from veilwright.operators.detect import detect_sets
 from veilwright.oracle import detection as O
 from veilwright.plans.registry import query, with_tables
 from veilwright.plans.request_queries import RULE_TABLES, toggles, users
@@ -40,7 +40,7 @@ _TABLES = {
 
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
     """Texts with truth and findings, from one pass over the corpus."""
-    both = detect(detect(corpus(spark, sf), profile("simple"), out="old"), profile("compat"))
+    both = detect_sets(corpus(spark, sf), {"old": profile("simple"), "findings": profile("compat")})
     spans = F.transform(
         "old", lambda f: F.struct(f.value.alias("value"), f.start.alias("start"), f.end.alias("end"), f.label.alias("label"))
     )
@@ -157,7 +157,7 @@ _register(
        FROM corpus c LEFT JOIN (SELECT id, list(DISTINCT label) AS l FROM truth GROUP BY id) t USING (id)
        LEFT JOIN (SELECT id, list(DISTINCT label) AS l FROM pred GROUP BY id) p USING (id)""",
     lambda s, f: V.label_check(
-        detect(detect(corpus(s, f), profile("simple"), out="a"), profile("compat"), out="b").select(
+        detect_sets(corpus(s, f), {"a": profile("simple"), "b": profile("compat")}).select(
             "id",
             F.array_distinct(F.transform("a", lambda x: x.label)).alias("expected"),
             F.array_distinct(F.transform("b", lambda x: x.label)).alias("found"),

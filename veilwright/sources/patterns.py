@@ -355,7 +355,10 @@ GATES: dict[int, tuple[str, ...]] = {
     68: ("#digit", "#run:[0-9]{3}-[0-9]{2}-[0-9]{4}"),
     69: ("#digit", r"#run:[0-9]{3}\s[0-9]{2}\s[0-9]{4}"),
     70: ("#digit", "#run:[0-9]{13}"),
+    118: ("#digit", r"#run:[0-9]\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]"),
 }
+# What holds for an expression holds for it in the older profile too.
+_SAME_GATE = {(p.regex, p.edges): GATES.get(p.ord, p.gate) for p in PATTERNS}
 # Words that do not count as a password after "the password is".
 PROSE_STATES = (
     "valid", "invalid", "temporary", "required", "optional", "incorrect", "correct", "wrong", "right",
@@ -394,7 +397,7 @@ def profile(name: str = "compat", custom: list[tuple[str, str]] | None = None) -
     keep = [p for p in rows if p.profile == "compat" or name.endswith("extended")]
     for k, (label, regex) in enumerate(custom or []):
         keep.append(Pattern(1000 + k, "", label, regex, 1.0, edges="LR", gate=()))
-    return [p._replace(gate=GATES.get(p.ord, p.gate)) for p in keep]
+    return [p._replace(gate=GATES.get(p.ord, _SAME_GATE.get((p.regex, p.edges), p.gate))) for p in keep]
 
 
 def word_patterns(words: list[str], label: str = "CUSTOM-WORD", first_ord: int = 2000) -> list[Pattern]:
