@@ -93,3 +93,14 @@ def test_an_expression_of_several_sets_is_tried_once(spark):
     regexes = {(p.regex, p.edges) for name in ("simple", "compat") for p in profile(name)}
     assert len(_tried((tuple(sets["old"]), tuple(sets["findings"])), "text", True)[0]) == len(regexes) == 72 < 29 + 63
     assert plan.count("AS __digit#") == 1  # the text is prepared once
+
+
+def test_the_older_set_in_the_pass_of_the_pattern_layer(spark):
+    from veilwright.plans.cascade import cascade, entropy_layer, pattern_layer
+
+    texts = corpus(spark, SMALL)
+    found = cascade(texts, [pattern_layer(also={"old": profile("simple")}), entropy_layer()])
+    plain = cascade(detect(texts, profile("simple"), out="old"), [pattern_layer(), entropy_layer()])
+    assert sorted(found.columns) == sorted(plain.columns)
+    same = [c for c in plain.columns if c != "layers"]
+    assert found.select(*same).exceptAll(plain.select(*same)).count() == 0 and found.count() == plain.count()

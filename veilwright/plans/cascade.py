@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilwright.functions.spans import FINDING, built_once, empty, in_order, original_position, settled
-from veilwright.operators.detect import detect
+from veilwright.operators.detect import detect_sets
 from veilwright.operators.entropy import DEFAULT_LENGTH, DEFAULT_THRESHOLD, detect_entropy
 from veilwright.operators.redact import mask_layer
 from veilwright.sources.catalog import active_patterns, effective
+from veilwright.sources.patterns import Pattern
 
 # (texts, name of the text column, name of the findings column, position of the layer) -> texts
 Scan = Callable[[DataFrame, str, str, int], DataFrame]
@@ -29,6 +30,7 @@ class Layer:
     ``failure`` names a column the scan may add: why it failed on that text, null where it did not.
     ``latency`` names one with the milliseconds it took; layers that are expressions run as one with others.
     ``keep`` decides which of the findings so far stay; a layer that has one adds none itself.
+    ``adds`` names columns that the scan adds besides and that stay with the text.
     """
 
     name: str
@@ -38,6 +40,7 @@ class Layer:
     failure: str | None = None
     latency: str | None = None
     keep: Callable[[Column], Column] | None = None
+    adds: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -50,13 +53,14 @@ class Settings:
     gated: bool = True
 
 
-def pattern_layer(settings: Settings = Settings()) -> Layer:
-    patterns = active_patterns(settings.toggles, settings.profile, list(settings.custom))
+def pattern_layer(settings: Settings = Settings(), also: dict[str, list[Pattern]] | None = None) -> Layer:
+    """``also`` names columns with what other sets of patterns find in the text that the layer sees, in the same pass."""
+    patterns, others = active_patterns(settings.toggles, settings.profile, list(settings.custom)), also or {}
 
     def scan(texts: DataFrame, text: str, out: str, position: int) -> DataFrame:
-        return detect(texts, patterns, text=text, out=out, layer_ord=position, gated=settings.gated)
+        return detect_sets(texts, {out: patterns, **others}, text=text, layer_ord=position, gated=settings.gated)
 
-    return Layer("presidio", scan)
+    return Layer("presidio", scan, adds=tuple(others))
 
 
 def entropy_layer(settings: Settings = Settings()) -> Layer:
@@ -106,7 +110,8 @@ def _moved(findings: str, marks: str) -> Column:
 
 def cascade(texts: DataFrame, layers: list[Layer], text: str = "text") -> DataFrame:
     """Add ``findings`` (all layers, in span order) and ``layers`` (one entry per layer)."""
-    columns = texts.columns
+    added = [c for layer in layers if layer.ready for c in layer.adds]
+    columns = [*(c for c in texts.columns if c not in added), *added]
     state = texts.withColumn("findings", empty(FINDING))
     infos: list[Column] = []
     seen = text

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from veilwright.functions.spans import settled
 from veilwright.operators import evaluate as V
 from veilwright.operators import ml as M
-from veilwright.operators.detect import detect, finding_rows
+from veilwright.operators.detect import finding_rows
 from veilwright.oracle import detection as O
 from veilwright.plans.cascade import Settings, cascade, entropy_layer, layer_report, pattern_layer
 from veilwright.plans.eval_queries import _FIRST, _LABELS, _ONE, _SECOND, _SECOND_KEPT, IGNORED, NAME
@@ -214,8 +214,8 @@ _LAYERED = _stack(_patterns_sql, "entropy", model_sql, texts=O.corpus()) | {
 
 def layered(spark: SparkSession, sf: str) -> DataFrame:
     """Truth of the corpus, and the findings of patterns, entropy and the model in one cascade."""
-    texts = detect(corpus(spark, sf), profile("simple"), out="old")
-    found = cascade(texts, [pattern_layer(_SETTINGS), entropy_layer(_SETTINGS), M.model_layer(stand_in)])
+    patterns = pattern_layer(_SETTINGS, also={"old": profile("simple")})
+    found = cascade(corpus(spark, sf), [patterns, entropy_layer(_SETTINGS), M.model_layer(stand_in)])
     spans = F.transform("old", lambda f: F.struct(f.value.alias("value"), f.start.alias("start"), f.end.alias("end"), f.label.alias("label")))
     return found.select("id", settled(F.array_distinct(spans)).alias("truth"), "findings")
 
