@@ -16,6 +16,7 @@ from array import array
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 
 #: A-Z in lower case, and the white space of ASCII as blanks.
 CHUNK_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if b in b"\t\n\x0b\x0c\r" else b for b in range(256))
@@ -107,23 +108,32 @@ class Chunks(dict):
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[bytes | None]) -> list[bytes]:
-        """Ids of each whole text; the texts are cut into chunks together."""
+        """Ids of each whole text; the texts are cut into chunks together, and a chunk is looked up once however often it comes."""
+        if not texts:
+            return []
         plain = [t or b"" for t in texts]
         spelled = {}
         if self.special.search(b"\n".join(plain)):
             spelled = {i: self.whole(t.decode()) for i, t in enumerate(plain) if self.special.search(t)}
             plain = [b"" if i in spelled else t for i, t in enumerate(plain)]
-        lower = b" ".join(plain).translate(CHUNK_BYTES)
+        lower = b" ".join([*plain, b""]).translate(CHUNK_BYTES)
         kinds = np.frombuffer(lower.translate(CLASSES), np.uint8)
         cuts = np.flatnonzero((kinds[:-1] == 1) & (kinds[1:] == 2)) + 1
         letters = np.frombuffer(lower, np.uint8)
         starts = np.cumsum([0, *(len(t) + 1 for t in plain)])
         # A text begins with the chunk whose number is the blanks and cuts before it.
-        first = (np.searchsorted(np.flatnonzero(letters == 0x20), starts) + np.searchsorted(cuts, starts)).tolist()
-        chunks = (np.insert(letters, cuts, 0x20).tobytes() if len(cuts) else lower).split(b" ")
-        found = list(map(self.__getitem__, chunks))
-        first[-1] = len(found)
-        out = [b"".join(found[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+        first = np.searchsorted(np.flatnonzero(letters == 0x20), starts) + np.searchsorted(cuts, starts)
+        if len(cuts):
+            letters = np.insert(letters, cuts, 0x20)
+        # Here a chunk ends with the blank after it, so the chunks lie side by side.
+        ends = np.concatenate([[0], np.flatnonzero(letters == 0x20) + 1])
+        chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(letters)]).dictionary_encode()
+        different = chunks.dictionary.buffers()[2].to_pybytes().split(b" ")[: len(chunks.dictionary)]
+        found = pa.array(list(map(self.__getitem__, different)), pa.large_binary()).take(chunks.indices)
+        _, offsets, data = found.buffers()
+        at = np.frombuffer(offsets, np.int64)[first].tolist()
+        joined = memoryview(data or b"")
+        out = [bytes(joined[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
         for i, ids in spelled.items():
             out[i] = ids
         return out

@@ -33,6 +33,8 @@ HEAD = "<4sIQII"
 SHARD_TOKENS = 1 << 21
 #: Bits of a block: what is packed by itself, and what two entries of the directory lie apart.
 BLOCK = 1 << 16
+#: Ids that are parted, or put back, at a time.
+STRETCH = 1 << 16
 #: Unpacked blocks that a matrix remembers.
 REMEMBERED = 64
 
@@ -45,6 +47,17 @@ def unsqueeze(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+def stretches(bit: np.ndarray):
+    """``(stretch, places of its zeros, places of its ones)``, places from its beginning.
+
+    Ids are copied by places, not by a mask: of mixed bits each one decides a branch there. A stretch
+    keeps the places few.
+    """
+    for begin in range(0, len(bit), STRETCH):
+        own = bit[begin : begin + STRETCH]
+        yield slice(begin, begin + len(own)), np.flatnonzero(~own), np.flatnonzero(own)
+
+
 class Plane:
     """A bit-plane in packed blocks: ``ones[b]`` counts the ones before block b, ``ends`` says where the packed blocks end."""
 
@@ -124,9 +137,15 @@ class WaveletMatrix:
         for shift in range(max(1, top.bit_length()) - 1, -1, -1):
             bit = (now & now.dtype.type(1 << shift)) != 0
             planes.append(Plane.build(bit))
-            low = now[~bit]
-            zeros.append(len(low))
-            now = np.concatenate([low, now[bit]])
+            zeros.append(len(bit) - int(np.count_nonzero(bit)))
+            parted = np.empty_like(now)
+            low, high = 0, zeros[-1]
+            for stretch, zero, one in stretches(bit):
+                own = now[stretch]
+                parted[low : low + len(zero)] = own.take(zero)
+                parted[high : high + len(one)] = own.take(one)
+                low, high = low + len(zero), high + len(one)
+            now = parted
         return cls(len(ids), zeros, planes)
 
     def access(self, places) -> np.ndarray:
@@ -177,9 +196,14 @@ class WaveletMatrix:
         now = np.zeros(self.n, kind)
         for k in range(len(self.zeros) - 1, -1, -1):
             bit = self.planes[k].bits()
+            now[self.zeros[k] :] |= kind(1 << (len(self.zeros) - 1 - k))
             above = np.empty(self.n, kind)
-            above[~bit] = now[: self.zeros[k]]
-            above[bit] = now[self.zeros[k] :] | kind(1 << (len(self.zeros) - 1 - k))
+            low, high = 0, self.zeros[k]
+            for stretch, zero, one in stretches(bit):
+                own = above[stretch]
+                own[zero] = now[low : low + len(zero)]
+                own[one] = now[high : high + len(one)]
+                low, high = low + len(zero), high + len(one)
             now = above
         return now.astype("<u4")
 
